@@ -6,7 +6,9 @@ session. Every computed column carries the same alias as its Spark twin.
 
 from __future__ import annotations
 
+from quarry.operators import pages
 from quarry.plans import duck as d
+from quarry.plans import views
 from quarry.plans.queries import SEARCH_TEXT
 
 ORACLE: dict[str, str] = {}
@@ -119,3 +121,59 @@ sql("difficulty_class", f"WITH {d.PF_VIEW} SELECT id, difficulty_score, difficul
 sql("xp_award", f"WITH {d.PF_VIEW} SELECT id, difficulty, xp FROM PF")
 sql("final_difficulty",
     f"WITH {d.PF_VIEW} SELECT id, suggested_difficulty, difficulty, xp, title, topic FROM PF")
+
+
+# ------------------------------------------------------------ pages -> metadata
+
+def _links_sql(path=views.G_PATH) -> str:
+    outer, leaf = path[0], path[-1]
+    return f"""LB AS (SELECT page_id, array_to_string(regexp_extract_all(html, '(?is)<{outer}\\b[^>]*>(.*?)</{outer}>', 1), chr(10)) AS blk FROM pages),
+LA AS (SELECT page_id, regexp_extract_all(blk, '(?is)<{leaf}\\b([^>]*)>(.*?)</{leaf}>', 0) AS anchors FROM LB),
+LX AS (SELECT page_id, unnest(generate_series(0, len(anchors) - 1)) AS pos, unnest(anchors) AS a FROM LA WHERE len(anchors) > 0),
+LINKS AS (SELECT page_id, CAST(pos AS INTEGER) AS pos,
+  {_unescape("regexp_extract(regexp_extract(a, '(?is)^<" + leaf + "\\b([^>]*)>', 1), '(?i)href\\s*=\\s*\"([^\"]*)\"', 1)")} AS href,
+  {d.ustrip(_unescape("regexp_replace(regexp_extract(a, '(?is)^<" + leaf + "\\b[^>]*>(.*)</" + leaf + ">$', 1), '<[^>]*>', '', 'g')"))} AS text
+  FROM LX)"""
+
+
+def _unescape(x: str) -> str:
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        x = f"replace({x}, {d.lit(a)}, {d.lit(b)})"
+    return x
+
+
+_TOPICS_SQL = f"""TOPICS AS (SELECT * FROM LINKS WHERE pos < {views.G_HEAD}
+  AND length(text) >= 1 AND length(text) < {pages.MAX_TOPIC_LEN} AND contains(lower(text), {d.lit(views.G_KEYWORD.lower())}))"""
+
+_CRAWLED_SQL = f"""CRAWLED AS (
+  SELECT printf('{pages.CRAWLED_FILE_FMT}', idx + 1) AS file_name, 'crawled' AS origin, text AS topic,
+         CASE WHEN idx % 2 = 0 THEN 'Medium' ELSE 'Hard' END AS difficulty,
+         CASE WHEN len({d.split_words('text')}) > 0 THEN [{d.split_words('text')}[1], {d.lit(pages.CRAWLED_TAG)}]
+              ELSE [{d.lit(pages.CRAWLED_TAG)}] END AS tags,
+         text AS concept, printf({d.lit(pages.OBJECTIVE_FMT)}, text) AS learning_objective
+  FROM (SELECT *, row_number() OVER (ORDER BY page_id, pos) - 1 AS idx FROM TOPICS))"""
+
+
+def _baseline_sql() -> str:
+    rows = []
+    for i, (topic, diff, tags, concept, obj) in enumerate(pages.BASELINE_TOPICS):
+        tl = "[" + ", ".join(d.lit(t) for t in tags) + "]"
+        rows.append(f"({d.lit(pages.BASELINE_FILE_FMT % (i + 1))}, 'baseline', {d.lit(topic)}, {d.lit(diff)}, "
+                    f"{tl}, {d.lit(concept)}, {d.lit(obj)})")
+    return ("BASELINE AS (SELECT * FROM (VALUES " + ", ".join(rows) +
+            ") t(file_name, origin, topic, difficulty, tags, concept, learning_objective))")
+
+
+_COLLECTION_SQL = f"""{_links_sql()}, {_TOPICS_SQL}, {_CRAWLED_SQL}, {_baseline_sql()},
+COLLECTION AS (SELECT * FROM BASELINE UNION ALL SELECT * FROM CRAWLED)"""
+
+_META_OUT = ("SELECT file_name, origin, topic, difficulty, array_to_string(tags, '|') AS tags, concept, "
+             "learning_objective FROM ")
+
+sql("page_links", f"WITH {_links_sql()} SELECT page_id, pos, href, text FROM LINKS")
+sql("crawl_topics", f"WITH {_links_sql()}, {_TOPICS_SQL} SELECT page_id, pos, href, text FROM TOPICS")
+sql("crawled_metadata", f"WITH {_links_sql()}, {_TOPICS_SQL}, {_CRAWLED_SQL} {_META_OUT} CRAWLED")
+sql("metadata_collection", f"WITH {_COLLECTION_SQL} {_META_OUT} COLLECTION")
+sql("metadata_sink", f"WITH {_COLLECTION_SQL} {_META_OUT} COLLECTION")
+sql("metadata_scan", f"WITH {_COLLECTION_SQL} {_META_OUT} COLLECTION")
+sql("saved_count", f"WITH {_COLLECTION_SQL} SELECT count(*) AS saved_count FROM COLLECTION")

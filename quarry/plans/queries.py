@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import scoring, text
-from quarry.operators import search
+from quarry.operators import pages, search
 from quarry.plans import views
+from quarry.session import scratch_dir
+from quarry.sources import metadata
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -167,3 +169,67 @@ def q_xp_award(spark, sf):
 @register("final_difficulty")
 def q_final_difficulty(spark, sf):
     return pf_view(spark, sf).select("id", "suggested_difficulty", "difficulty", "xp", "title", "topic")
+
+
+# ------------------------------------------------------------ pages -> metadata
+
+def _g_links(spark, sf):
+    return pages.page_links(views.table(spark, sf, "pages"), views.G_PATH)
+
+
+def _g_collection(spark, sf):
+    return pages.metadata_collection(spark, views.table(spark, sf, "pages"), views.G_PATH,
+                                     views.G_HEAD, views.G_KEYWORD)
+
+
+def _meta_out(df):
+    return df.select("file_name", "origin", "topic", "difficulty",
+                     F.array_join("tags", "|").alias("tags"), "concept", "learning_objective")
+
+
+@register("page_links")
+def q_page_links(spark, sf):
+    return _g_links(spark, sf)
+
+
+@register("crawl_topics")
+def q_crawl_topics(spark, sf):
+    return pages.crawl_topics(_g_links(spark, sf), views.G_HEAD, views.G_KEYWORD)
+
+
+@register("crawled_metadata")
+def q_crawled_metadata(spark, sf):
+    t = pages.crawl_topics(_g_links(spark, sf), views.G_HEAD, views.G_KEYWORD)
+    return _meta_out(pages.crawled_metadata(t))
+
+
+@register("metadata_collection")
+def q_metadata_collection(spark, sf):
+    return _meta_out(_g_collection(spark, sf))
+
+
+@register("saved_count")
+def q_saved_count(spark, sf):
+    return pages.saved_count(_g_collection(spark, sf))
+
+
+@register("metadata_sink")
+def q_metadata_sink(spark, sf):
+    """Write the collection (one folder per origin) and read it back."""
+    path = scratch_dir(spark, "metadata")
+    metadata.metadata_sink(_g_collection(spark, sf), path)
+    back = spark.read.schema(
+        "file_name string, topic string, difficulty string, tags array<string>, concept string, "
+        "learning_objective string").json(path)
+    return _meta_out(back)
+
+
+@register("metadata_scan")
+def q_metadata_scan(spark, sf):
+    """Write one single-object file per record, then scan the directory."""
+    path = scratch_dir(spark, "metadata-files")
+    metadata.metadata_sink(_g_collection(spark, sf), path, per_record_files=True)
+    back = metadata.metadata_scan(spark, path)
+    origin = F.when(F.col("file_name").startswith("metadata_baseline"), F.lit("baseline")).otherwise(
+        F.lit("crawled"))
+    return _meta_out(back.withColumn("origin", origin))
