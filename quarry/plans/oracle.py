@@ -6,6 +6,7 @@ session. Every computed column carries the same alias as its Spark twin.
 
 from __future__ import annotations
 
+from quarry.functions import mock, prompts
 from quarry.operators import pages
 from quarry.plans import duck as d
 from quarry.plans import views
@@ -177,3 +178,133 @@ sql("metadata_collection", f"WITH {_COLLECTION_SQL} {_META_OUT} COLLECTION")
 sql("metadata_sink", f"WITH {_COLLECTION_SQL} {_META_OUT} COLLECTION")
 sql("metadata_scan", f"WITH {_COLLECTION_SQL} {_META_OUT} COLLECTION")
 sql("saved_count", f"WITH {_COLLECTION_SQL} SELECT count(*) AS saved_count FROM COLLECTION")
+
+
+# ------------------------------------------------------- model replies as tables
+
+def _render_sql(template: str, cols: set, defaults: dict | None = None) -> str:
+    defaults = defaults or {}
+    parts = []
+    for text, field in prompts.template_parts(template):
+        if text:
+            parts.append(d.lit(text))
+        if field is not None:
+            dv = defaults.get(field, "")
+            if field not in cols:
+                parts.append(d.lit(dv))
+            elif field in prompts.LIST_SLOTS:
+                parts.append(f"array_to_string(coalesce({field}, []::VARCHAR[]), ', ')")
+            else:
+                parts.append(f"coalesce(CAST({field} AS VARCHAR), {d.lit(dv)})")
+    return "(" + " || ".join(parts) + ")" if parts else "''"
+
+
+_D_COLS = {"id", "seq", "title", "statement", "tags", "topic"}
+
+
+def _render_all() -> str:
+    cols = []
+    for n, t in prompts.TEMPLATES.items():
+        r = _render_sql(t, _D_COLS, prompts.PROBLEM_DEFAULTS if n == "problem" else None)
+        cols.append(f"md5({r}) AS {n}_md5, length({r}) AS {n}_len")
+    return ", ".join(cols)
+
+
+sql("render_prompts", f"WITH {d.D_VIEW} SELECT id, {_render_all()} FROM D")
+
+
+def _json_escape(x: str) -> str:
+    x = f"regexp_replace({x}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', ' ', 'g')"
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        x = f"replace({x}, {d.lit(a)}, {d.lit(b)})"
+    return x
+
+
+L_VIEW = f"""LB0 AS (SELECT doc_id, '{{"text": "' || {_json_escape('text')} || '", "lang": "' || {_json_escape('lang')} || '"}}' AS body FROM documents),
+LF AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '```json' || chr(10) || body || chr(10) || '```'
+                           WHEN doc_id % 3 = 1 THEN '```' || chr(10) || body || chr(10) || '```'
+                           ELSE body END AS f FROM LB0),
+L AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN substr(f, 1, length(f) // 2) ELSE f END AS response FROM LF)"""
+
+_LINE_SEP = "\\r\\n|[\\n\\x0b\\x0c\\r\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
+
+
+def clean_sql(x: str) -> str:
+    t = d.ustrip(x)
+    rest = f"(regexp_split_to_array({t}, '{_LINE_SEP}'))[2:]"
+    body = (f"(CASE WHEN len({rest}) > 0 AND {d.ustrip(f'{rest}[-1]')} = '```' "
+            f"THEN {rest}[1:len({rest}) - 1] ELSE {rest} END)")
+    return f"(CASE WHEN starts_with({t}, '```') THEN {d.ustrip(f'array_to_string({body}, chr(10))')} ELSE {t} END)"
+
+
+def json_ok(x: str) -> str:
+    t = d.ustrip(x)
+    return (f"(CASE WHEN {x} IS NOT NULL AND json_valid({x}) AND starts_with({t}, '{{') "
+            f"AND ends_with({t}, '}}') THEN json_type({x}) = 'OBJECT' ELSE false END)")
+
+
+sql("clean_llm_json", f"""
+WITH {L_VIEW}, C AS (SELECT doc_id, {clean_sql('response')} AS c FROM L)
+SELECT doc_id, md5(c) AS clean_md5, length(c) AS clean_len FROM C
+""")
+
+sql("parse_or_fallback", f"""
+WITH {L_VIEW}, C AS (SELECT doc_id, {clean_sql('response')} AS c FROM L),
+K AS (SELECT doc_id, c, {json_ok('c')} AS ok FROM C)
+SELECT doc_id, ok AS parsed_ok,
+       md5(CASE WHEN ok THEN json_extract_string(c, '$.text') ELSE '' END) AS text_md5,
+       CASE WHEN ok THEN json_extract_string(c, '$.lang') ELSE 'und' END AS lang
+FROM K
+""")
+
+sql("default_fill", f"""
+WITH {d.D_VIEW}
+SELECT id, coalesce(topic, 'Coding') AS topic,
+       coalesce(CASE WHEN quality = 1 THEN 'Easy' WHEN quality = 0 THEN 'Hard' END, 'Medium') AS difficulty,
+       coalesce(CASE WHEN toxic = 1 THEN 'Moderation' END, 'General') AS concept,
+       array_to_string(tags, ', ') AS tags
+FROM D LEFT JOIN labels ON labels.doc_id = D.seq
+""")
+
+sql("metadata_overlay", f"""
+WITH {d.P_VIEW},
+R AS (SELECT *, '{{"title": "' || {_json_escape('title')} || '", "statement": "' || {_json_escape('statement')}
+      || '", "constraints": ["1 <= N <= 10"], "topic": "Other", "difficulty": "Easy"}}' AS reply FROM P),
+K AS (SELECT *, {json_ok(clean_sql('reply'))} AS ok, {clean_sql('reply')} AS c FROM R)
+SELECT id, CASE WHEN ok THEN json_extract_string(c, '$.title') END AS title,
+       CASE WHEN ok THEN json_extract_string(c, '$.statement') END AS statement,
+       topic, array_to_string(tags, '|') AS tags, NULL::VARCHAR AS concept, '' AS learning_objective,
+       difficulty,
+       CASE WHEN ok THEN array_to_string(CAST(json_extract(c, '$.constraints') AS VARCHAR[]), '|') END AS constraints
+FROM K
+""")
+
+
+def _mock_sql() -> str:
+    md = mock.MOCK_DEFAULTS
+    topic = f"coalesce(topic, {d.lit(md['topic'])})"
+    concept = f"coalesce(concept, {d.lit(md['concept'])})"
+    diff = f"coalesce(difficulty, {d.lit(md['difficulty'])})"
+    tags = "coalesce(tags, [" + ", ".join(d.lit(t) for t in md["tags"]) + "])"
+    return (f"SELECT file_name, printf({d.lit(mock.TITLE_FMT)}, {topic}) AS title, "
+            f"md5(printf({d.lit(mock.STATEMENT_FMT)}, {concept}, {diff})) AS statement_md5, "
+            f"{d.lit('|'.join(mock.MOCK_CONSTRAINTS))} AS constraints, {d.lit(mock.INPUT_FORMAT)} AS input_format, "
+            f"{d.lit(mock.OUTPUT_FORMAT)} AS output_format, 1 AS n_examples, {topic} AS topic, {diff} AS difficulty, "
+            f"array_to_string({tags}, '|') AS tags, {concept} AS concept, "
+            f"coalesce(learning_objective, {d.lit(md['learning_objective'])}) AS learning_objective FROM COLLECTION")
+
+
+sql("mock_problems", f"WITH {_COLLECTION_SQL} {_mock_sql()}")
+
+sql("mock_components", f"""
+WITH {_COLLECTION_SQL}
+SELECT file_name, {d.lit('|'.join(sorted(mock.STARTER)))} AS languages, {len(mock.PUBLIC_CASES)} AS n_public,
+       {len(mock.HIDDEN_CASES)} AS n_hidden, {len(mock.HINTS)} AS n_hints, {d.lit(mock.MOCK_TIME)} AS time_complexity,
+       md5({d.lit(mock.STARTER['python'])}) AS python_md5
+FROM COLLECTION
+""")
+
+sql("llm_generate", f"""
+WITH {d.D_VIEW}
+SELECT id, CAST(length({_render_sql(prompts.TEMPLATES['hints'], _D_COLS)}) AS BIGINT) AS n, true AS parsed_ok FROM D
+""")

@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import scoring, text
-from quarry.operators import pages, search
+from quarry.functions import mock, prompts, scoring, text
+from quarry.operators import generation, pages, search
 from quarry.plans import views
 from quarry.session import scratch_dir
 from quarry.sources import metadata
@@ -233,3 +233,122 @@ def q_metadata_scan(spark, sf):
     origin = F.when(F.col("file_name").startswith("metadata_baseline"), F.lit("baseline")).otherwise(
         F.lit("crawled"))
     return _meta_out(back.withColumn("origin", origin))
+
+
+# ------------------------------------------------------- model replies as tables
+
+
+
+def l_fallback():
+    return F.struct(F.lit("").alias("text"), F.lit("und").alias("lang"))
+L_SCHEMA = "text string, lang string"
+
+
+def l_view(spark, sf):
+    return views.responses_from_documents(views.table(spark, sf, "documents"))
+
+
+@register("render_prompts")
+def q_render_prompts(spark, sf):
+    d = prompts.render_prompts(d_view(spark, sf))
+    cols = ["id"]
+    for n in prompts.TEMPLATES:
+        c = F.col(f"prompt_{n}")
+        cols += [F.md5(c).alias(f"{n}_md5"), F.length(c).alias(f"{n}_len")]
+    return d.select(*cols)
+
+
+@register("clean_llm_json")
+def q_clean_llm_json(spark, sf):
+    c = text.clean_llm_json("response")
+    return l_view(spark, sf).select("doc_id", F.md5(c).alias("clean_md5"), F.length(c).alias("clean_len"))
+
+
+@register("parse_or_fallback")
+def q_parse_or_fallback(spark, sf):
+    from pyspark.sql import types as T
+    schema = T._parse_datatype_string(L_SCHEMA)
+    p = generation.parse_or_fallback(l_view(spark, sf), "response", schema, l_fallback())
+    return p.select("doc_id", F.col("parsed_ok").alias("parsed_ok"),
+                    F.md5(F.col("parsed.text")).alias("text_md5"), F.col("parsed.lang").alias("lang"))
+
+
+def _d_labels(spark, sf):
+    labels = views.table(spark, sf, "labels").withColumnRenamed("doc_id", "seq")
+    d = d_view(spark, sf).join(labels, "seq", "left")
+    return d.withColumns({
+        "difficulty": F.when(F.col("quality") == 1, F.lit("Easy")).when(F.col("quality") == 0, F.lit("Hard")),
+        "concept": F.when(F.col("toxic") == 1, F.lit("Moderation")),
+    })
+
+
+@register("default_fill")
+def q_default_fill(spark, sf):
+    filled = generation.default_fill(_d_labels(spark, sf), prompts.PROBLEM_DEFAULTS)
+    return filled.select("id", "topic", "difficulty", "concept",
+                         F.array_join("tags", ", ").alias("tags"))
+
+
+@register("metadata_overlay")
+def q_metadata_overlay(spark, sf):
+    """P records answered by a reply that names its own topic and level;
+    the metadata wins after parsing."""
+    from pyspark.sql import types as T
+    p = p_view(spark, sf)
+    reply = F.concat(F.lit('{"title": "'), views.json_escape(F.col("title")),
+                     F.lit('", "statement": "'), views.json_escape(F.col("statement")),
+                     F.lit('", "constraints": ["1 <= N <= 10"], "topic": "Other", "difficulty": "Easy"}'))
+    meta = p.select("id", F.col("topic").alias("meta_topic"), F.col("tags").alias("meta_tags"),
+                    F.col("difficulty").alias("meta_difficulty"),
+                    F.lit(None).cast("string").alias("meta_concept"),
+                    F.lit(None).cast("string").alias("meta_learning_objective"), reply.alias("reply"))
+    schema = T.StructType(generation.PROBLEM_REPLY.fields + [T.StructField("topic", T.StringType()),
+                                                             T.StructField("difficulty", T.StringType())])
+    parsed = generation.parse_or_fallback(meta, "reply", schema, F.lit(None).cast(schema))
+    out = generation.metadata_overlay(parsed.select("id", "meta_topic", "meta_tags", "meta_difficulty",
+                                                    "meta_concept", "meta_learning_objective", "parsed.*"))
+    return out.select("id", "title", "statement", "topic", F.array_join("tags", "|").alias("tags"),
+                      "concept", "learning_objective", "difficulty",
+                      F.array_join("constraints", "|").alias("constraints"))
+
+
+def _mock_out(df):
+    return df.select("file_name", "title", F.md5("statement").alias("statement_md5"),
+                     F.array_join("constraints", "|").alias("constraints"), "input_format", "output_format",
+                     F.size("examples").alias("n_examples"), "topic", "difficulty",
+                     F.array_join("tags", "|").alias("tags"), "concept", "learning_objective")
+
+
+@register("mock_problems")
+def q_mock_problems(spark, sf):
+    return _mock_out(mock.mock_problem(_g_collection(spark, sf)))
+
+
+@register("mock_components")
+def q_mock_components(spark, sf):
+    m = mock.mock_components(_g_collection(spark, sf))
+    return m.select("file_name",
+                    F.array_join(F.array_sort(F.map_keys("starter_code")), "|").alias("languages"),
+                    F.size("test_cases.public").alias("n_public"), F.size("test_cases.hidden").alias("n_hidden"),
+                    F.size("hints").alias("n_hints"), F.col("editorial.time_complexity").alias("time_complexity"),
+                    F.md5(F.col("starter_code")["python"]).alias("python_md5"))
+
+
+def _length_client():
+    import json
+
+    def call(prompt: str) -> str:
+        if prompt is None:
+            raise ValueError("no prompt")
+        return json.dumps({"n": len(prompt)})
+    return call
+
+
+@register("llm_generate")
+def q_llm_generate(spark, sf):
+    d = prompts.render_prompts(d_view(spark, sf), ["hints"])
+    out = generation.generate(d.select("id", "prompt_hints"), "prompt_hints", _length_client, key_cols=["id"])
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("n", T.LongType())])
+    parsed = generation.parse_or_fallback(out, "response", schema, F.struct(F.lit(-1).cast("long").alias("n")))
+    return parsed.select("id", F.col("parsed.n").alias("n"), "parsed_ok")

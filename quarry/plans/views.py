@@ -135,7 +135,7 @@ def responses_from_documents(docs: DataFrame) -> DataFrame:
               .when(m3 == 1, F.concat(F.lit("```\n"), body, F.lit("\n```")))
               .otherwise(body))
     cut = F.when(F.col("doc_id") % 7 == 0,
-                 F.substring(fenced, 1, (F.length(fenced) / 2).cast("int"))).otherwise(fenced)
+                 fenced.substr(F.lit(1), (F.length(fenced) / 2).cast("int"))).otherwise(fenced)
     return docs.select("doc_id", cut.alias("response"))
 
 
