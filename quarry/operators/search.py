@@ -156,3 +156,21 @@ def search_batch(post: DataFrame, summary: DataFrame, queries: DataFrame,
     hits = (qw.join(word_ids, "word").groupBy("query_id", "id").agg(F.count("*").alias("n"))
             .join(nwords, "query_id").where(F.col("n") == F.col("n_words")).select("query_id", "id"))
     return hits.join(summary, "id")
+
+
+def write_index(post: DataFrame, summary: DataFrame, base: str) -> None:
+    """Postings range-sorted by term (so a term lookup prunes row groups
+    by min/max statistics) and the summary table, as Parquet."""
+    (post.repartitionByRange("term").sortWithinPartitions("term", "id")
+     .write.mode("overwrite").parquet(f"{base}/postings"))
+    summary.write.mode("overwrite").parquet(f"{base}/summary")
+
+
+def read_index(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """Read both tables; a missing index reads as empty."""
+    try:
+        return (spark.read.parquet(f"{base}/postings"), spark.read.parquet(f"{base}/summary"))
+    except Exception:  # noqa: BLE001 - missing/corrupt index -> empty result
+        return (spark.createDataFrame([], "term string, id string"),
+                spark.createDataFrame([], "id string, title string, difficulty string, tags array<string>, "
+                                          "topic string, xp int, time_complexity string, space_complexity string"))

@@ -7,10 +7,10 @@ session. Every computed column carries the same alias as its Spark twin.
 from __future__ import annotations
 
 from quarry.functions import mock, prompts
-from quarry.operators import pages
+from quarry.operators import pages, quality
 from quarry.plans import duck as d
 from quarry.plans import views
-from quarry.plans.queries import SEARCH_TEXT
+from quarry.plans.queries import SEARCH_TEXT, SHUFFLE_SEED
 
 ORACLE: dict[str, str] = {}
 
@@ -308,3 +308,138 @@ sql("llm_generate", f"""
 WITH {d.D_VIEW}
 SELECT id, CAST(length({_render_sql(prompts.TEMPLATES['hints'], _D_COLS)}) AS BIGINT) AS n, true AS parsed_ok FROM D
 """)
+
+
+# ------------------------------------------------------------ verdicts & gates
+
+def _cases_values() -> str:
+    rows = []
+    for i, (inp, out) in enumerate(mock.PUBLIC_CASES):
+        rows.append(f"({i}, {d.lit(inp)}, {d.lit(out)}, NULL::VARCHAR)")
+    for j, (inp, out, t) in enumerate(mock.HIDDEN_CASES):
+        rows.append(f"({len(mock.PUBLIC_CASES) + j}, {d.lit(inp)}, {d.lit(out)}, {d.lit(t)})")
+    return "MC AS (SELECT * FROM (VALUES " + ", ".join(rows) + ") t(case_idx, input, expected, type))"
+
+
+sql("case_flatten", f"""
+WITH {d.P_VIEW}, {_cases_values()}
+SELECT P.id AS problem_id, CAST(case_idx AS INTEGER) AS case_idx, input, expected, type FROM P CROSS JOIN MC
+""")
+
+V_VIEW = """G AS (SELECT l_orderkey AS problem_id, l_linenumber AS case_idx, max(l_quantity) AS q,
+              max(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 1 ELSE 0 END) AS rf,
+              min(l_linestatus) AS st, max(l_tax) AS tax, max(l_discount) AS disc
+       FROM lineitem GROUP BY 1, 2),
+VC AS (SELECT problem_id, case_idx, st || ' ' AS expected FROM G),
+VO AS (SELECT problem_id, case_idx, CASE WHEN tax >= 0.08 THEN 'X' ELSE '  ' || st END AS actual,
+              CAST(rf AS INTEGER) AS exit_code, q >= 49 AS timed_out FROM G WHERE disc < 0.1),
+VR AS (SELECT c.problem_id, c.case_idx, c.expected, o.actual, o.exit_code, o.timed_out,
+              o.problem_id IS NOT NULL AS has_output
+       FROM VC c LEFT JOIN VO o ON c.problem_id = o.problem_id AND c.case_idx = o.case_idx)"""
+
+_ACT, _EXP = "coalesce(actual, '')", "coalesce(expected, '')"
+_TEQ = f"({d.ustrip(_ACT)} = {d.ustrip(_EXP)})"
+
+sql("case_results", f"WITH {V_VIEW} SELECT problem_id, case_idx, expected, actual, exit_code, timed_out, has_output FROM VR")
+sql("case_match", f"WITH {V_VIEW} SELECT problem_id, case_idx, {_TEQ} AND has_output AS match FROM VR")
+
+sql("case_verdicts", f"""
+WITH {V_VIEW},
+K AS (SELECT *, CASE WHEN NOT has_output THEN 'missing_output'
+                     WHEN coalesce(timed_out, false) THEN 'timeout'
+                     WHEN coalesce(exit_code, 0) <> 0 THEN 'runtime_error'
+                     WHEN NOT {_TEQ} THEN 'mismatch' END AS kind FROM VR),
+A AS (SELECT problem_id, count(*) AS n_cases, count_if(kind IS NOT NULL) AS n_failed,
+             min(CASE WHEN kind IS NOT NULL THEN case_idx END) AS first_idx FROM K GROUP BY problem_id),
+A2 AS (SELECT A.*, K.kind AS first_kind FROM A LEFT JOIN K ON K.problem_id = A.problem_id AND K.case_idx = A.first_idx)
+SELECT o_orderkey AS problem_id, coalesce(n_cases, 0) > 0 AND coalesce(n_failed, 0) = 0 AS passed,
+       coalesce(n_cases, 0) AS n_cases, first_idx AS first_fail_idx,
+       CASE WHEN coalesce(n_cases, 0) = 0 THEN 'no_cases' ELSE first_kind END AS first_fail_kind
+FROM orders LEFT JOIN A2 ON A2.problem_id = o_orderkey
+""")
+
+_CONSTR = "[" + ", ".join(d.lit(c) for c in mock.MOCK_CONSTRAINTS) + "]"
+DR_VIEW = f"""{d.D_VIEW},
+DR AS (SELECT D.*, CASE WHEN quality = 1 THEN 'Easy' WHEN quality = 0 THEN 'Hard' END AS sugg,
+              CASE WHEN url IS NOT NULL THEN regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) END AS concept,
+              CASE WHEN toxic = 0 THEN 'Write a clean solution' END AS learning_objective,
+              {_CONSTR} AS constraints, {d.lit(mock.MOCK_TIME)} AS time_complexity
+       FROM D LEFT JOIN labels ON labels.doc_id = D.seq LEFT JOIN pages ON pages.page_id = D.seq),
+DS AS (SELECT *, {d.difficulty_score(d='sugg')} AS score FROM DR),
+DF AS (SELECT *, {d.difficulty_class('score')} AS difficulty, {d.xp_award(d.difficulty_class('score'))} AS xp FROM DS)"""
+
+_REC_OUT = (f"SELECT id, md5(title) AS title_md5, md5(statement) AS statement_md5, difficulty, xp, "
+            f"array_to_string(tags, '|') AS tags, topic, concept, learning_objective, "
+            f"array_to_string(constraints, '|') AS constraints, {len(mock.STARTER)} AS n_languages, "
+            f"{len(mock.PUBLIC_CASES)} AS n_public, {len(mock.HIDDEN_CASES)} AS n_hidden, {len(mock.HINTS)} AS n_hints, "
+            f"time_complexity FROM DF")
+
+sql("assemble_records", f"WITH {DR_VIEW} {_REC_OUT}")
+
+
+def _rules_sql() -> list[tuple[str, str]]:
+    rules = []
+    present = {"title", "statement", "difficulty", "xp", "tags", "topic", "concept", "learning_objective",
+               "constraints"}
+    for c in quality.RECORD_COLUMNS:
+        # formats, components and created_at are constants filled by assembly
+        rules.append((f"not_null_{c}", f"{c} IS NOT NULL" if c in present else "true"))
+    rules += [("difficulty_allowed", "coalesce(difficulty IN ('Easy', 'Medium', 'Hard'), false)"),
+              ("title_not_empty", f"coalesce({d.ustrip('title')} <> '', false)"),
+              ("starter_python_java", "true"),
+              ("public_cases", f"{len(mock.PUBLIC_CASES)} >= 1"),
+              ("hidden_cases", f"{len(mock.HIDDEN_CASES)} >= 10"),
+              ("optimal_not_empty", "true"),
+              ("three_hints", f"{len(mock.HINTS)} = 3"),
+              ("id_prefix", "coalesce(starts_with(id, 'LL-'), false)"),
+              ("id_unique", "id_n = 1")]
+    return rules
+
+
+_DFU = f"{DR_VIEW}, DU AS (SELECT *, count(*) OVER (PARTITION BY id) AS id_n FROM DF)"
+
+sql("expectations", f"WITH {_DFU} " + " UNION ALL ".join(
+    f"SELECT '{n}' AS rule, count_if(NOT ({c})) AS n_failed FROM DU" for n, c in _rules_sql()))
+
+sql("expectations_quarantine", f"""
+WITH {_DFU}, Q AS (SELECT id, concat_ws('|', {', '.join(f"CASE WHEN NOT ({c}) THEN '{n}' END" for n, c in _rules_sql())}) AS failed_rules FROM DU)
+SELECT id, failed_rules FROM Q WHERE failed_rules <> ''
+""")
+
+# ---------------------------------------------------------------- store & runs
+
+sql("store_append", f"WITH {DR_VIEW} {_REC_OUT}")
+sql("store_scan", f"WITH {DR_VIEW} {_REC_OUT}")
+sql("store_overwrite", f"WITH {DR_VIEW} {_REC_OUT} WHERE xp = 50")
+sql("store_count", f"WITH {DR_VIEW} SELECT count(id) AS n_records FROM DF")
+sql("index_io", f"WITH {d.PF_VIEW}, {d.POSTINGS_FROM_PF} SELECT POST.id, term, title FROM POST JOIN PF ON PF.id = POST.id")
+sql("assign_ids", f"""
+SELECT doc_id, {d.fmt_id('(SELECT count(*) FROM part) + row_number() OVER (ORDER BY doc_id)')} AS id FROM documents
+""")
+sql("shuffle_order", f"""
+WITH {d.P_VIEW}
+SELECT id, title, row_number() OVER (ORDER BY md5('{SHUFFLE_SEED}' || id), id) - 1 AS position FROM P
+""")
+sql("generation_limit", f"""
+WITH {d.PF_VIEW}
+SELECT id, title, difficulty FROM PF ORDER BY md5('{SHUFFLE_SEED}' || id), id LIMIT 10
+""")
+sql("retry_first_success", f"""
+WITH E AS (SELECT user_id AS key, ts, event_id,
+                  CASE event_type WHEN 'purchase' THEN 'inserted' WHEN 'view' THEN 'duplicate' ELSE 'failure' END AS outcome
+           FROM events WHERE event_type IN ('purchase', 'view', 'error')),
+R AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS rn FROM E),
+F3 AS (SELECT * FROM R WHERE rn <= 3),
+S AS (SELECT key, min(CASE WHEN outcome = 'inserted' THEN rn END) AS s, count(*) AS n FROM F3 GROUP BY key)
+SELECT S.key, CASE WHEN s IS NOT NULL THEN 'inserted' ELSE 'failed' END AS status,
+       CAST(s AS INTEGER) AS success_attempt, CAST(coalesce(s, n) AS INTEGER) AS n_attempts,
+       CAST(count_if(outcome = 'duplicate' AND rn < coalesce(s, 4)) AS INTEGER) AS n_duplicates,
+       CAST(count_if(outcome = 'failure' AND rn < coalesce(s, 4)) AS INTEGER) AS n_failures
+FROM S JOIN F3 ON S.key = F3.key GROUP BY S.key, s, n
+""")
+sql("run_summary", """
+SELECT strftime(ts, '%Y-%m-%d') AS run, count_if(event_type = 'purchase') AS inserted,
+       count_if(event_type = 'view') AS duplicates, count_if(event_type = 'error') AS failures,
+       (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS elapsed_sec
+FROM events GROUP BY 1
+""")

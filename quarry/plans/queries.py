@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import mock, prompts, scoring, text
-from quarry.operators import generation, pages, search
+from quarry.operators import generation, ids, pages, quality, runs, search, verdicts
 from quarry.plans import views
 from quarry.session import scratch_dir
-from quarry.sources import metadata
+from quarry.sources import metadata, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -352,3 +352,152 @@ def q_llm_generate(spark, sf):
     schema = T.StructType([T.StructField("n", T.LongType())])
     parsed = generation.parse_or_fallback(out, "response", schema, F.struct(F.lit(-1).cast("long").alias("n")))
     return parsed.select("id", F.col("parsed.n").alias("n"), "parsed_ok")
+
+
+# ------------------------------------------------------------ verdicts & gates
+
+def _v_tables(spark, sf):
+    return views.case_tables_from_lineitem(views.table(spark, sf, "lineitem"))
+
+
+@register("case_flatten")
+def q_case_flatten(spark, sf):
+    recs = mock.mock_components(p_view(spark, sf))
+    return verdicts.case_flatten(recs, "id")
+
+
+@register("case_results")
+def q_case_results(spark, sf):
+    cases, outputs = _v_tables(spark, sf)
+    return verdicts.case_results(cases, outputs).select(
+        "problem_id", "case_idx", "expected", "actual", "exit_code", "timed_out", "has_output")
+
+
+@register("case_match")
+def q_case_match(spark, sf):
+    cases, outputs = _v_tables(spark, sf)
+    return verdicts.case_match(verdicts.case_results(cases, outputs)).select("problem_id", "case_idx", "match")
+
+
+@register("case_verdicts")
+def q_case_verdicts(spark, sf):
+    cases, outputs = _v_tables(spark, sf)
+    problems = views.table(spark, sf, "orders").select(F.col("o_orderkey").alias("problem_id"))
+    return verdicts.case_verdicts(problems, cases, outputs)
+
+
+def d_records(spark, sf):
+    """D records assembled with labels, pages and offline components."""
+    labels = views.table(spark, sf, "labels").withColumnRenamed("doc_id", "seq")
+    pg = views.table(spark, sf, "pages").select(F.col("page_id").alias("seq"), "url")
+    d = d_view(spark, sf).join(labels, "seq", "left").join(pg, "seq", "left")
+    d = d.withColumns({
+        "difficulty": F.when(F.col("quality") == 1, F.lit("Easy")).when(F.col("quality") == 0, F.lit("Hard")),
+        "concept": F.when(F.col("url").isNotNull(), F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)),
+        "learning_objective": F.when(F.col("toxic") == 0, F.lit("Write a clean solution")),
+        "constraints": F.array(*[F.lit(c) for c in mock.MOCK_CONSTRAINTS]),
+        "input_format": F.lit(mock.INPUT_FORMAT), "output_format": F.lit(mock.OUTPUT_FORMAT),
+    })
+    d = mock.mock_components(d).withColumn("time_complexity", F.col("editorial.time_complexity"))
+    d = scoring.with_final_difficulty(d)
+    return quality.assemble_record(d)
+
+
+def _record_out(df):
+    return df.select("id", F.md5("title").alias("title_md5"), F.md5("statement").alias("statement_md5"),
+                     "difficulty", "xp", F.array_join("tags", "|").alias("tags"), "topic", "concept",
+                     "learning_objective", F.array_join("constraints", "|").alias("constraints"),
+                     F.size(F.map_keys("starter_code")).alias("n_languages"),
+                     F.size("test_cases.public").alias("n_public"), F.size("test_cases.hidden").alias("n_hidden"),
+                     F.size("hints").alias("n_hints"), F.col("editorial.time_complexity").alias("time_complexity"))
+
+
+@register("assemble_records")
+def q_assemble_records(spark, sf):
+    return _record_out(d_records(spark, sf))
+
+
+@register("expectations")
+def q_expectations(spark, sf):
+    return quality.expectation_summary(quality.check_expectations(d_records(spark, sf)))
+
+
+@register("expectations_quarantine")
+def q_expectations_quarantine(spark, sf):
+    checked = quality.check_expectations(d_records(spark, sf))
+    _, bad = quality.split_pass_quarantine(checked)
+    return bad.select("id", F.array_join("failed_rules", "|").alias("failed_rules"))
+
+
+# ---------------------------------------------------------------- store & runs
+
+def _two_batch_store(spark, sf):
+    base = scratch_dir(spark, "store")
+    recs = d_records(spark, sf)
+    store.store_append(recs.where(F.col("id") < "LL-000500"), base)
+    store.store_append(recs.where(F.col("id") >= "LL-000500"), base)
+    return base
+
+
+@register("store_append")
+def q_store_append(spark, sf):
+    return _record_out(store.store_scan(spark, _two_batch_store(spark, sf)))
+
+
+@register("store_scan")
+def q_store_scan(spark, sf):
+    base = scratch_dir(spark, "store")
+    store.store_append(d_records(spark, sf), base)
+    return _record_out(store.store_scan(spark, base))
+
+
+@register("store_overwrite")
+def q_store_overwrite(spark, sf):
+    base = _two_batch_store(spark, sf)
+    current = store.store_scan(spark, base)
+    store.store_overwrite(current.where(F.col("xp") == 50), base)
+    return _record_out(store.store_scan(spark, base))
+
+
+@register("store_count")
+def q_store_count(spark, sf):
+    return store.store_count(spark, _two_batch_store(spark, sf))
+
+
+@register("index_io")
+def q_index_io(spark, sf):
+    base = scratch_dir(spark, "index")
+    pf = pf_view(spark, sf)
+    search.write_index(search.postings(pf), search.search_summary(pf), base)
+    post, summ = search.read_index(spark, base)
+    return post.join(summ.select("id", "title"), "id")
+
+
+@register("assign_ids")
+def q_assign_ids(spark, sf):
+    existing = views.table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
+    docs = views.table(spark, sf, "documents").select("doc_id", "lang")
+    return ids.assign_ids(docs, ["doc_id"], store=existing).select("doc_id", "id")
+
+
+SHUFFLE_SEED = "42"
+
+
+@register("shuffle_order")
+def q_shuffle_order(spark, sf):
+    return runs.shuffle_order(p_view(spark, sf).select("id", "title"), "id", SHUFFLE_SEED)
+
+
+@register("generation_limit")
+def q_generation_limit(spark, sf):
+    return runs.generation_limit(pf_view(spark, sf).select("id", "title", "difficulty"), "id", 10, SHUFFLE_SEED)
+
+
+@register("retry_first_success")
+def q_retry_first_success(spark, sf):
+    return runs.retry_first_success(views.attempts_from_events(views.table(spark, sf, "events")))
+
+
+@register("run_summary")
+def q_run_summary(spark, sf):
+    return runs.run_summary(views.table(spark, sf, "events"))
