@@ -28,8 +28,6 @@ Plan, all lossless:
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,18 +82,24 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, m: float) -> DataFra
         w = Window.partitionBy("k").orderBy("freq", "ch", "occ")
         t = toks.join(freq, ["ch", "occ"]).withColumn("r", F.row_number().over(w)).join(lens, "k")
         plen = F.col("n") - F.ceil(F.col("n") * F.lit(lf) - F.lit(EPS)) + 1
-        return t.where(F.col("r") <= plen).select("k", "n", "ch", "occ")
+        return t.where(F.col("r") <= plen).select("k", "n", "ch", "occ", "r")
 
     lp = prefix(ltok, ln)
     rp = lp if same else prefix(rtok, rn)
-    a = lp.select(F.col("k").alias("ka"), F.col("n").alias("na"), "ch", "occ")
-    b = rp.select(F.col("k").alias("kb"), F.col("n").alias("nb"), "ch", "occ")
-    cand = (a.join(b, ["ch", "occ"])
-            .where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(lf) - F.lit(EPS))
-            .select("ka", "kb").distinct())
+    a = lp.select(F.col("k").alias("ka"), F.col("n").alias("na"), F.col("r").alias("ra"), "ch", "occ")
+    b = rp.select(F.col("k").alias("kb"), F.col("n").alias("nb"), F.col("r").alias("rb"), "ch", "occ")
+    # Positional bound (PPJoin): common tokens lie in the same global order in
+    # both strings, so overlap <= (#common prefix tokens) + what is left after
+    # the last common one on the shorter side. One aggregation per pair.
+    pairs = (a.join(b, ["ch", "occ"])
+             .where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(lf) - F.lit(EPS))
+             .groupBy("ka", "kb", "na", "nb")
+             .agg(F.count(F.lit(1)).alias("c"), F.max("ra").alias("ia"), F.max("rb").alias("ib")))
+    upper = F.col("c") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    cand = pairs.where(upper * 2 >= (F.col("na") + F.col("nb")) * F.lit(m) - F.lit(EPS)).select("ka", "kb")
     ls = left.select(F.col("k").alias("ka"), F.col("s").alias("sa"))
     rs = right.select(F.col("k").alias("kb"), F.col("s").alias("sb"))
-    scored = (cand.join(ls, "ka").join(rs, "kb")
+    scored = (spread(cand.join(ls, "ka").join(rs, "kb"))
               .withColumn("ratio", ratio_at_least_udf("sa", "sb", F.lit(float(m))))
               .where(F.col("ratio").isNotNull()).select("ka", "kb", "ratio"))
     # empty strings have no tokens: '' vs '' scores 1.0
@@ -106,6 +110,14 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, m: float) -> DataFra
     return scored.unionByName(e)
 
 
+def spread(df: DataFrame, factor: int = 4) -> DataFrame:
+    """Round-robin rows over enough partitions for a Python UDF stage: AQE
+    sizes partitions by bytes, but UDF cost is per row."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) * factor
+    return df.repartition(n)
+
+
 def _strings(f: DataFrame, key: str, text: str) -> DataFrame:
     return f.select(F.col(key).alias("k"), F.col(text).alias("s")).dropDuplicates(["k"])
 
@@ -122,27 +134,43 @@ def _weighted(t, s, g):
 
 
 class _Branches:
-    """Shared candidate tables for one (new, existing) comparison."""
+    """Shared candidate tables for one (new, existing) comparison.
+
+    ``TP``: distinct title pairs with ``title >= low_t`` (title branch and
+    the title side of the weighted branch). ``SP``: distinct statement pairs
+    with ``statement >= t`` (statement branch). The weighted branch is only
+    reachable for *different* titles with ``low_t <= title < t``; its
+    statement pairs come from those title pairs (no all-pairs pass over
+    statements at the lower floor).
+    """
 
     def __init__(self, new_f: DataFrame, ex_f: DataFrame | None, t: float):
         self.t = t
-        low_t, low_s = branch_floors(t)
+        self.low_t, self.low_s = branch_floors(t)
         same = ex_f is None
         ex_f = new_f if same else ex_f
-        self.TP = similar_pairs(_strings(new_f, "kt", "nt"), None if same else _strings(ex_f, "kt", "nt"), low_t)
-        self.SP = similar_pairs(_strings(new_f, "ks", "ns"), None if same else _strings(ex_f, "ks", "ns"), low_s)
+        self.TP = similar_pairs(_strings(new_f, "kt", "nt"), None if same else _strings(ex_f, "kt", "nt"),
+                                self.low_t)
+        self.SP = similar_pairs(_strings(new_f, "ks", "ns"), None if same else _strings(ex_f, "ks", "ns"), t)
 
     def weighted_pairs(self, new_sig: DataFrame, ex_sig: DataFrame) -> DataFrame:
-        """Signature pairs duplicated through the weighted score only."""
+        """Signature pairs duplicated through the weighted score alone.
+
+        ``new_sig``/``ex_sig`` carry ``sig, kt, ks, ns, tg`` (plus ``m`` on
+        the existing side when present)."""
         t = self.t
         a = new_sig.select(F.col("sig").alias("sa"), F.col("kt").alias("kta"), F.col("ks").alias("ka"),
-                           F.col("tg").alias("tga"))
+                           F.col("ns").alias("nsa"), F.col("tg").alias("tga"))
         b = ex_sig.select(F.col("sig").alias("sb"), F.col("kt").alias("ktb"), F.col("ks").alias("kb"),
-                          F.col("tg").alias("tgb"), *[c for c in ex_sig.columns if c == "m"])
-        sp = self.SP.where(F.col("ratio") < t).withColumnRenamed("ratio", "S")
-        tp = self.TP.where(F.col("ratio") < t).select(F.col("ka").alias("kta"), F.col("kb").alias("ktb"),
-                                                      F.col("ratio").alias("T"))
-        j = sp.join(a, "ka").join(b, "kb").join(tp, ["kta", "ktb"])
+                          F.col("ns").alias("nsb"), F.col("tg").alias("tgb"),
+                          *[c for c in ex_sig.columns if c == "m"])
+        gray = self.TP.where(F.col("ratio") < t).select(F.col("ka").alias("kta"), F.col("kb").alias("ktb"),
+                                                        F.col("ratio").alias("T"))
+        j = gray.join(a, "kta").join(b, "ktb")
+        need = j.select("ka", "kb", "nsa", "nsb").dropDuplicates(["ka", "kb"])
+        scored = (spread(need).withColumn("S", ratio_at_least_udf("nsa", "nsb", F.lit(float(self.low_s))))
+                  .where(F.col("S").isNotNull()).select("ka", "kb", "S"))
+        j = j.drop("nsa", "nsb").join(scored, ["ka", "kb"])
         g = jaccard_sets(F.col("tga"), F.col("tgb"))
         return j.withColumn("G", g).where(_weighted(F.col("T"), F.col("S"), F.col("G")) >= t)
 
@@ -167,9 +195,10 @@ def first_duplicate(new: DataFrame, existing: DataFrame | None = None, t: float
           .groupBy("ka").agg(F.min("m").alias("mt")).withColumnRenamed("ka", "kt"))
     bs = (br.SP.where(F.col("ratio") >= t).join(_earliest(ef, "ks").withColumnRenamed("ks", "kb"), "kb")
           .groupBy("ka").agg(F.min("m").alias("ms")).withColumnRenamed("ka", "ks"))
-    new_sig = nf.dropDuplicates(["sig"]).select("sig", "kt", "ks", "tg")
+    new_sig = nf.dropDuplicates(["sig"]).select("sig", "kt", "ks", "ns", "tg")
     ex_sig = ef.groupBy("sig").agg(F.min(F.struct("seq", "id")).alias("m"), F.first("kt").alias("kt"),
-                                   F.first("ks").alias("ks"), F.first("tg").alias("tg"))
+                                   F.first("ks").alias("ks"), F.first("ns").alias("ns"),
+                                   F.first("tg").alias("tg"))
     bw = br.weighted_pairs(new_sig, ex_sig).groupBy(F.col("sa").alias("sig")).agg(F.min("m").alias("mw"))
     j = nf.join(bt, "kt", "left").join(bs, "ks", "left").join(bw, "sig", "left")
     first = F.least("mt", "ms", "mw")
@@ -178,8 +207,8 @@ def first_duplicate(new: DataFrame, existing: DataFrame | None = None, t: float
         j = j.where(F.col("first.seq") < F.col("seq"))
     e = ef.select(F.col("id").alias("dup_id"), F.col("nt").alias("nt_b"), F.col("ns").alias("ns_b"),
                   F.col("tg").alias("tg_b"))
-    out = j.select("id", "nt", "ns", "tg", F.col("first.id").alias("dup_id"),
-                   F.col("first.seq").alias("dup_seq")).join(e, "dup_id")
+    out = spread(j.select("id", "nt", "ns", "tg", F.col("first.id").alias("dup_id"),
+                          F.col("first.seq").alias("dup_seq")).join(e, "dup_id"))
     ts, ss = ratio_udf("nt", "nt_b"), ratio_udf("ns", "ns_b")
     out = out.withColumns({"title_similarity": ts, "statement_similarity": ss,
                            "tag_similarity": jaccard_sets(F.col("tg"), F.col("tg_b"))})
@@ -206,12 +235,13 @@ def near_dup_pairs(new: DataFrame, existing: DataFrame, t: float = THRESHOLD, **
              .join(a, "kta").join(b, "ktb").select("sa", "sb"))
     via_s = (br.SP.select(F.col("ka").alias("ksa"), F.col("kb").alias("ksb"))
              .join(a, "ksa").join(b, "ksb").select("sa", "sb"))
-    cand = via_t.unionByName(via_s).distinct()
+    via_w = br.weighted_pairs(ns, es).select("sa", "sb")
+    cand = via_t.unionByName(via_s).unionByName(via_w).distinct()
     A = ns.select(F.col("sig").alias("sa"), F.col("fa.id").alias("new_id"), "n_new",
                   F.col("nt").alias("nta"), F.col("ns").alias("nsa"), F.col("tg").alias("tga"))
     B = es.select(F.col("sig").alias("sb"), F.col("fb.id").alias("existing_id"), "n_existing",
                   F.col("nt").alias("ntb"), F.col("ns").alias("nsb"), F.col("tg").alias("tgb"))
-    j = cand.join(A, "sa").join(B, "sb")
+    j = spread(cand.join(A, "sa").join(B, "sb"))
     j = j.withColumns({"title_similarity": ratio_udf("nta", "ntb"),
                        "statement_similarity": ratio_udf("nsa", "nsb"),
                        "tag_similarity": jaccard_sets(F.col("tga"), F.col("tgb"))})
@@ -268,7 +298,7 @@ def greedy_dedupe(cands: DataFrame, store: DataFrame | None = None, t: float = T
     br = _Branches(nodes, None, t)
     TD = br.TP.where(F.col("ratio") >= t).select("ka", "kb").checkpoint()
     SD = br.SP.where(F.col("ratio") >= t).select("ka", "kb").checkpoint()
-    sig_view = nodes.select("sig", "kt", "ks", "tg")
+    sig_view = nodes.select("sig", "kt", "ks", "ns", "tg")
     WD = br.weighted_pairs(sig_view, sig_view).select("sa", "sb").checkpoint()
     nodes = nodes.select("sig", "seq", "id", "kt", "ks", "state").checkpoint()
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from quarry.functions import mock, prompts
 from quarry.operators import pages, quality
 from quarry.plans import duck as d
+from quarry.plans import oracle_lit as L
 from quarry.plans import views
 from quarry.plans.queries import SEARCH_TEXT, SHUFFLE_SEED
 
@@ -443,3 +444,39 @@ SELECT strftime(ts, '%Y-%m-%d') AS run, count_if(event_type = 'purchase') AS ins
        (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS elapsed_sec
 FROM events GROUP BY 1
 """)
+
+
+# ------------------------------------------------------------------ near-dup
+# Scores come from the plain-Python brute force in oracle_lit (DuckDB has no
+# Ratcliff-Obershelp); everything else is SQL.
+
+def _lit_entries() -> None:
+    if not L.available():
+        return
+    adj = L.values([(r[0], r[1], r[2], r[3]) for r in L.adjacent_scores()],
+                   ["id", "prev_id", "title_similarity", "statement_similarity"])
+    adj_sql = f"""WITH {d.P_VIEW}, ADJ AS {adj},
+J AS (SELECT ADJ.*, {d.norm_tags('pa.tags')} AS sa, {d.norm_tags('pb.tags')} AS sb
+      FROM ADJ JOIN P pa ON pa.id = ADJ.id JOIN P pb ON pb.id = ADJ.prev_id),
+S AS (SELECT id, prev_id, title_similarity, statement_similarity,
+             CASE WHEN len(sa) = 0 AND len(sb) = 0 THEN 1.0 WHEN len(sa) = 0 OR len(sb) = 0 THEN 0.0
+                  ELSE len(list_intersect(sa, sb))::DOUBLE / len(list_distinct(list_concat(sa, sb))) END AS tag_similarity
+      FROM J),
+W AS (SELECT *, title_similarity * 0.4 + statement_similarity * 0.5 + tag_similarity * 0.1 AS weighted_similarity FROM S)"""
+    sql("sequence_ratio", f"{adj_sql} SELECT id, prev_id, title_similarity, statement_similarity FROM W")
+    sql("weighted_similarity", f"{adj_sql} SELECT id, prev_id, tag_similarity, weighted_similarity FROM W")
+    sql("is_duplicate", f"""{adj_sql} SELECT id, prev_id, (title_similarity >= 0.85 OR statement_similarity >= 0.85
+        OR weighted_similarity >= 0.85) AS is_duplicate FROM W""")
+
+    sql("near_dup_pairs", "SELECT * FROM " + L.values(L.part_sig_pairs(), [
+        "new_id", "existing_id", "n_new", "n_existing", "title_similarity", "statement_similarity",
+        "tag_similarity", "weighted_similarity", "is_duplicate"]))
+    fd_cols = ["id", "dup_id", "dup_seq", "title_similarity", "statement_similarity", "tag_similarity",
+               "weighted_similarity"]
+    sql("first_duplicate", "SELECT * FROM " + L.values(list(L.part_first_dup_self().values()), fd_cols))
+    gone = L.values([(k,) for k in L.part_gate_dups()], ["id"])
+    sql("dedupe_gate", f"WITH {d.P_VIEW} SELECT id, seq FROM P JOIN part ON p_partkey = seq "
+                       f"WHERE p_size > 25 AND id NOT IN (SELECT id FROM {gone})")
+
+
+_lit_entries()

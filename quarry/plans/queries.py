@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import mock, prompts, scoring, text
-from quarry.operators import generation, ids, pages, quality, runs, search, verdicts
+from quarry.functions import mock, prompts, scoring, similarity, text
+from quarry.operators import generation, ids, neardup, pages, quality, runs, search, verdicts
 from quarry.plans import views
 from quarry.session import scratch_dir
 from quarry.sources import metadata, store
@@ -501,3 +501,69 @@ def q_retry_first_success(spark, sf):
 @register("run_summary")
 def q_run_summary(spark, sf):
     return runs.run_summary(views.table(spark, sf, "events"))
+
+
+# ------------------------------------------------------------------ near-dup
+
+def _adjacent(spark, sf):
+    p = p_view(spark, sf).select("seq", "id", "title", "statement", "tags")
+    prev = p.select((F.col("seq") + 1).alias("seq"), F.col("id").alias("prev_id"),
+                    F.col("title").alias("prev_title"), F.col("statement").alias("prev_statement"),
+                    F.col("tags").alias("prev_tags"))
+    return neardup.spread(p.join(prev, "seq"))
+
+
+def _adjacent_scores(spark, sf):
+    j = _adjacent(spark, sf)
+    j = j.withColumns({"title_similarity": similarity.sequence_ratio("title", "prev_title"),
+                       "statement_similarity": similarity.sequence_ratio("statement", "prev_statement"),
+                       "tag_similarity": text.tag_jaccard("tags", "prev_tags")})
+    return j.withColumn("weighted_similarity", similarity.weighted_similarity(
+        "title_similarity", "statement_similarity", "tag_similarity"))
+
+
+@register("sequence_ratio")
+def q_sequence_ratio(spark, sf):
+    return _adjacent_scores(spark, sf).select("id", "prev_id", "title_similarity", "statement_similarity")
+
+
+@register("weighted_similarity")
+def q_weighted_similarity(spark, sf):
+    return _adjacent_scores(spark, sf).select("id", "prev_id", "tag_similarity", "weighted_similarity")
+
+
+@register("is_duplicate")
+def q_is_duplicate(spark, sf):
+    s = _adjacent_scores(spark, sf)
+    return s.select("id", "prev_id", similarity.is_duplicate(
+        "title_similarity", "statement_similarity", "weighted_similarity").alias("is_duplicate"))
+
+
+def _p_split(spark, sf):
+    """P records with p_size > 25 (new) against the others (the store)."""
+    p = p_view(spark, sf).join(views.table(spark, sf, "part").select(F.col("p_partkey").alias("seq"), "p_size"),
+                               "seq")
+    return p.where(F.col("p_size") > 25).drop("p_size"), p.where(F.col("p_size") <= 25).drop("p_size")
+
+
+@register("near_dup_pairs")
+def q_near_dup_pairs(spark, sf):
+    new, ex = _p_split(spark, sf)
+    return neardup.near_dup_pairs(new, ex)
+
+
+@register("first_duplicate")
+def q_first_duplicate(spark, sf):
+    return neardup.first_duplicate(p_view(spark, sf))
+
+
+@register("dedupe_gate")
+def q_dedupe_gate(spark, sf):
+    new, ex = _p_split(spark, sf)
+    return neardup.dedupe_gate(new, ex).select("id", "seq")
+
+
+@register("greedy_dedupe")
+def q_greedy_dedupe(spark, sf):
+    g = neardup.greedy_dedupe(p_view(spark, sf))
+    return g.where("accepted").select("id", "seq", "title")
