@@ -282,14 +282,14 @@ def greedy_dedupe(cands: DataFrame, store: DataFrame | None = None, t: float = T
     ensure_checkpoint_dir(spark)
     cf = features(cands, **cols)
     if store is not None:
-        sf = features(store, **cols)
-        off = cf.agg(F.min("seq").alias("a")).first()["a"]
-        smax = sf.agg(F.max("seq").alias("b")).first()["b"]
-        shift = 0 if off is None or smax is None else int(smax) - int(off) + 1
-        allf = sf.withColumn("_store", F.lit(True)).unionByName(
-            cf.withColumn("seq", F.col("seq") + F.lit(shift)).withColumn("_store", F.lit(False)))
+        # store records are accepted and precede every candidate; their own
+        # order is irrelevant, so one seq below the candidates serves them all
+        lo = cf.agg(F.min("seq").alias("a")).first()["a"]
+        sc = dict(cols)
+        sc["seq"] = "_store_seq"
+        sf = features(store.withColumn("_store_seq", F.lit(int(lo or 0) - 1).cast("long")), **sc)
+        allf = sf.withColumn("_store", F.lit(True)).unionByName(cf.withColumn("_store", F.lit(False)))
     else:
-        shift = 0
         allf = cf.withColumn("_store", F.lit(False))
     # exact copies: only the earliest record of a signature can be accepted
     reps = allf.groupBy("sig").agg(F.min(F.struct("seq", "id", "kt", "ks", "nt", "ns", "tg", "_store")).alias("r"))

@@ -480,3 +480,7 @@ W AS (SELECT *, title_similarity * 0.4 + statement_similarity * 0.5 + tag_simila
 
 
 _lit_entries()
+
+
+# ------------------------------------------------------------------ streaming
+sql("stream_index", f"WITH {d.PF_VIEW}, {d.POSTINGS_FROM_PF} SELECT term, id FROM POST")

@@ -17,6 +17,7 @@ from quarry.operators import generation, ids, neardup, pages, quality, runs, sea
 from quarry.plans import views
 from quarry.session import scratch_dir
 from quarry.sources import metadata, store
+from quarry.streaming import gate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -567,3 +568,37 @@ def q_dedupe_gate(spark, sf):
 def q_greedy_dedupe(spark, sf):
     g = neardup.greedy_dedupe(p_view(spark, sf))
     return g.where("accepted").select("id", "seq", "title")
+
+
+# ------------------------------------------------------------------ streaming
+
+STREAM_SLICES = 4
+
+
+def _p_stream_source(spark, sf, name):
+    src = scratch_dir(spark, name + "-src")
+    p = p_view(spark, sf)
+    gate.write_slices(p, src, "seq", STREAM_SLICES)
+    return src, p.schema
+
+
+@register("stream_gate")
+def q_stream_gate(spark, sf):
+    """P arriving in four files; the store ends as the greedy result."""
+    src, schema = _p_stream_source(spark, sf, "gate")
+    base = scratch_dir(spark, "gate-store")
+    gate.stream_gate(spark, src, schema, base, scratch_dir(spark, "gate-ckpt"))
+    return store.store_scan(spark, base).select("id", "title")
+
+
+@register("stream_index")
+def q_stream_index(spark, sf):
+    src, schema = _p_stream_source(spark, sf, "index")
+    # the index is built from analysed records (difficulty, XP)
+    pf_src = scratch_dir(spark, "index-pf")
+    pf = scoring.with_final_difficulty(spark.read.schema(schema).parquet(src))
+    pf.write.parquet(pf_src)
+    base = scratch_dir(spark, "index-out")
+    gate.stream_index(spark, pf_src, pf.schema, base, scratch_dir(spark, "index-ckpt"))
+    post, _ = gate.read_stream_index(spark, base)
+    return post.select("term", "id")

@@ -1,14 +1,18 @@
 """The record store (S5, S6, S7, S10) as versioned Parquet.
 
-Layout: ``<base>/v=<NNNNNN>/part-*.parquet``. Reads take the newest
-version; appends add files to it; an overwrite writes a *new* version so a
-job may rewrite the store from a plan that still reads the old one.
+Layout: ``<base>/v=<NNNNNN>/batch=<token>/part-*.parquet``. Reads take the
+newest version; an append writes one batch folder into it (a known token,
+e.g. a stream's batch id, is overwritten on replay: idempotent); an
+overwrite writes a *new* version so a job may rewrite the store from a plan
+that still reads the old one.
 Listing uses the Hadoop FileSystem of the path (works for any shared
 file system the cluster names).
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,12 +80,18 @@ def conform(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def store_scan(spark: SparkSession, base: str) -> DataFrame:
-    """Newest version of the store; absent store -> empty frame, same schema."""
+def store_scan(spark: SparkSession, base: str, exclude_batch: str | None = None) -> DataFrame:
+    """Newest version of the store; absent store -> empty frame, same schema.
+
+    ``exclude_batch`` hides one batch folder (a replayed stream batch must
+    not see its own earlier partial output)."""
     vs = versions(spark, base)
     if not vs:
         return spark.createDataFrame([], STORE_SCHEMA)
-    return spark.read.schema(STORE_SCHEMA).parquet(_vpath(base, vs[-1]))
+    df = spark.read.schema(STORE_SCHEMA).option("recursiveFileLookup", "true").parquet(_vpath(base, vs[-1]))
+    if exclude_batch is not None:
+        df = df.where(~F.col("_metadata.file_path").contains(f"/batch={exclude_batch}/"))
+    return df
 
 
 def import_json_array(spark: SparkSession, path: str) -> DataFrame:
@@ -93,12 +103,16 @@ def import_json_array(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], STORE_SCHEMA)
 
 
-def store_append(df: DataFrame, base: str) -> str:
-    """Append records to the newest version (create the first if none)."""
+def store_append(df: DataFrame, base: str, batch: str | None = None) -> str:
+    """Append records to the newest version (create the first if none).
+
+    Each call writes its own ``batch=`` folder; a given ``batch`` token is
+    rewritten on replay instead of duplicated."""
     spark = df.sparkSession
     vs = versions(spark, base)
-    path = _vpath(base, vs[-1] if vs else 1)
-    conform(df).write.mode("append").parquet(path)
+    token = batch if batch is not None else uuid.uuid4().hex
+    path = f"{_vpath(base, vs[-1] if vs else 1)}/batch={token}"
+    conform(df).write.mode("overwrite").parquet(path)
     return path
 
 
@@ -106,7 +120,7 @@ def store_overwrite(df: DataFrame, base: str) -> str:
     """Write the whole store as a new version (never the one being read)."""
     spark = df.sparkSession
     vs = versions(spark, base)
-    path = _vpath(base, (vs[-1] + 1) if vs else 1)
+    path = f"{_vpath(base, (vs[-1] + 1) if vs else 1)}/batch=0"
     conform(df).write.mode("errorifexists").parquet(path)
     return path
 
