@@ -73,7 +73,8 @@ def clean_llm_json(c) -> Column:
     """strip; a fenced reply loses its first line and a closing fence line.
 
     Unfenced text is only stripped. Text after a closing fence is kept when the
-    fence is not the last line. Null stays null (a failed call).
+    fence is not the last line. Null stays null (a failed call). For large
+    texts prefer ``with_clean_llm_json`` (each stage computed once).
     """
     t = ustrip(_c(c))
     lines = F.split(t, LINE_SEP, -1)
@@ -84,6 +85,21 @@ def clean_llm_json(c) -> Column:
     return F.when(t.startswith("```"), ustrip(F.array_join(body, "\n"))).otherwise(t)
 
 
+def with_clean_llm_json(df, src: str, out: str):
+    """F15 as staged columns: the strip, the line split (fenced replies only)
+    and the body are separate projections, so no stage is evaluated twice."""
+    t, rest = f"_{out}_t", f"_{out}_rest"
+    df = df.withColumn(t, ustrip(F.col(src)))
+    df = df.withColumn(rest, F.when(F.col(t).startswith("```"),
+                                    F.filter(F.split(F.col(t), LINE_SEP, -1), lambda x, i: i >= 1)))
+    r, n = F.col(rest), F.size(F.col(rest))
+    body = F.when((n > 0) & (ustrip(F.element_at(r, -1)) == "```"),
+                  F.filter(r, lambda x, i: i < n - 1)).otherwise(r)
+    df = df.withColumn(out, F.when(F.col(rest).isNotNull(), ustrip(F.array_join(body, "\n")))
+                       .otherwise(F.col(t)))
+    return df.drop(t, rest)
+
+
 def trimmed_equal(a, b) -> Column:
     """Equality after Unicode strip of both sides."""
     return ustrip(F.coalesce(_c(a), F.lit(""))) == ustrip(F.coalesce(_c(b), F.lit("")))

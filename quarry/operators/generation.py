@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.text import clean_llm_json, ustrip
+from quarry.functions.text import ustrip, with_clean_llm_json
 
 CORRUPT = "_corrupt"
 
@@ -42,17 +42,22 @@ def parse_reply(cleaned, schema: T.StructType) -> Column:
     c = F.col(cleaned) if isinstance(cleaned, str) else cleaned
     parsed = F.from_json(c, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
                                    "allowSingleQuotes": "false"})
-    t = ustrip(c)
+    # the cleaned text is already stripped
     ok = (c.isNotNull() & parsed.isNotNull() & parsed[CORRUPT].isNull()
-          & t.startswith("{") & t.endswith("}"))
+          & c.startswith("{") & c.endswith("}"))
     return F.when(ok, parsed.dropFields(CORRUPT))
 
 
 def parse_or_fallback(df: DataFrame, reply: str, schema: T.StructType, fallback: Column,
                       out: str = "parsed") -> DataFrame:
-    """F16: cleaned + parsed reply, or the whole fallback value on any failure."""
-    p = parse_reply(clean_llm_json(F.col(reply)), schema)
-    return df.withColumn(out, F.coalesce(p, fallback)).withColumn(f"{out}_ok", p.isNotNull())
+    """F16: cleaned + parsed reply, or the whole fallback value on any failure.
+
+    Staged projections: clean once, parse once, then derive both outputs."""
+    c, p = f"_{out}_clean", f"_{out}_p"
+    df = with_clean_llm_json(df, reply, c)
+    df = df.withColumn(p, parse_reply(F.col(c), schema))
+    return (df.withColumn(out, F.coalesce(F.col(p), fallback)).withColumn(f"{out}_ok", F.col(p).isNotNull())
+            .drop(c, p))
 
 
 def default_fill(df: DataFrame, defaults: dict) -> DataFrame:

@@ -261,8 +261,9 @@ def q_render_prompts(spark, sf):
 
 @register("clean_llm_json")
 def q_clean_llm_json(spark, sf):
-    c = text.clean_llm_json("response")
-    return l_view(spark, sf).select("doc_id", F.md5(c).alias("clean_md5"), F.length(c).alias("clean_len"))
+    c = F.col("clean")
+    return text.with_clean_llm_json(l_view(spark, sf), "response", "clean").select(
+        "doc_id", F.md5(c).alias("clean_md5"), F.length(c).alias("clean_len"))
 
 
 @register("parse_or_fallback")
