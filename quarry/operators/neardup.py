@@ -73,13 +73,35 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, m: float) -> DataFra
     same = right is None
     right = left if same else right
     lf = length_floor(m)
+    if not same:
+        # A string can only pair with lengths in [lf*n, n/lf]: drop those that
+        # cannot reach the other side's length range (two tiny aggregates).
+        def rng(df):
+            r = df.agg(F.min(F.length("s")).alias("a"), F.max(F.length("s")).alias("b")).first()
+            return r["a"], r["b"]
+        (la, lb), (ra, rb) = rng(left), rng(right)
+        if la is None or ra is None:
+            return left.sparkSession.createDataFrame([], "ka binary, kb binary, ratio double")
+
+        def keep(df, lo, hi):
+            n = F.length("s")
+            return df.where((n == 0) | ((n >= F.lit(lo * lf - EPS)) & (n <= F.lit(hi / lf + EPS))))
+        left, right = keep(left, ra, rb), keep(right, la, lb)
     ln, ltok = _prefix_tokens(left, None, m)
     rn, rtok = (ln, ltok) if same else _prefix_tokens(right, None, m)
-    alltok = ltok if same else ltok.unionByName(rtok)
-    freq = alltok.groupBy("ch", "occ").agg(F.count(F.lit(1)).alias("freq"))
+    if same:
+        freq = ltok.groupBy("ch", "occ").agg(F.count(F.lit(1)).alias("freq"), F.lit(1).alias("both"))
+    else:
+        # Any fixed total order keeps the prefix principle; tokens present on
+        # one side only come first (they fill prefixes but never pair).
+        sides = (ltok.select("ch", "occ", F.lit(1).alias("l"), F.lit(0).alias("r"))
+                 .unionByName(rtok.select("ch", "occ", F.lit(0).alias("l"), F.lit(1).alias("r"))))
+        freq = sides.groupBy("ch", "occ").agg(
+            F.count(F.lit(1)).alias("freq"),
+            ((F.max("l") == 1) & (F.max("r") == 1)).cast("int").alias("both"))
 
     def prefix(toks, lens):
-        w = Window.partitionBy("k").orderBy("freq", "ch", "occ")
+        w = Window.partitionBy("k").orderBy("both", "freq", "ch", "occ")
         t = toks.join(freq, ["ch", "occ"]).withColumn("r", F.row_number().over(w)).join(lens, "k")
         plen = F.col("n") - F.ceil(F.col("n") * F.lit(lf) - F.lit(EPS)) + 1
         return t.where(F.col("r") <= plen).select("k", "n", "ch", "occ", "r")
@@ -136,36 +158,58 @@ def _weighted(t, s, g):
 class _Branches:
     """Shared candidate tables for one (new, existing) comparison.
 
-    ``TP``: distinct title pairs with ``title >= low_t`` (title branch and
-    the title side of the weighted branch). ``SP``: distinct statement pairs
-    with ``statement >= t`` (statement branch). The weighted branch is only
-    reachable for *different* titles with ``low_t <= title < t``; its
-    statement pairs come from those title pairs (no all-pairs pass over
-    statements at the lower floor).
+    ``TP``: distinct title pairs with ``title >= t`` (title branch). ``SP``:
+    distinct statement pairs with ``statement >= t`` (statement branch).
+    The weighted branch is only reachable for *different* titles with
+    ``low_t <= title < t`` and statements ``>= low_s``; its title pairs are
+    searched only among records whose statement lengths can reach ``low_s``
+    against the other side, and its statement pairs come from those title
+    pairs (no all-pairs pass over statements at the lower floor).
     """
 
     def __init__(self, new_f: DataFrame, ex_f: DataFrame | None, t: float):
         self.t = t
         self.low_t, self.low_s = branch_floors(t)
-        same = ex_f is None
-        ex_f = new_f if same else ex_f
-        self.TP = similar_pairs(_strings(new_f, "kt", "nt"), None if same else _strings(ex_f, "kt", "nt"),
-                                self.low_t)
-        self.SP = similar_pairs(_strings(new_f, "ks", "ns"), None if same else _strings(ex_f, "ks", "ns"), t)
+        self.same = ex_f is None
+        self.new_f, self.ex_f = new_f, (new_f if self.same else ex_f)
+        self.TP = similar_pairs(_strings(new_f, "kt", "nt"),
+                                None if self.same else _strings(self.ex_f, "kt", "nt"), t)
+        self.SP = similar_pairs(_strings(new_f, "ks", "ns"),
+                                None if self.same else _strings(self.ex_f, "ks", "ns"), t)
+
+    def _gray_titles(self, new_sig: DataFrame, ex_sig: DataFrame) -> DataFrame:
+        lf = length_floor(self.low_s)
+        a, b = new_sig, ex_sig
+        if not self.same:
+            def rng(df):
+                r = df.agg(F.min(F.length("ns")).alias("x"), F.max(F.length("ns")).alias("y")).first()
+                return r["x"], r["y"]
+            (alo, ahi), (blo, bhi) = rng(a), rng(b)
+            if alo is None or blo is None:
+                return a.sparkSession.createDataFrame([], "kta binary, ktb binary, T double")
+
+            def keep(df, lo, hi):
+                n = F.length("ns")
+                return df.where((n == 0) | ((n >= F.lit(lo * lf - EPS)) & (n <= F.lit(hi / lf + EPS))))
+            a, b = keep(a, blo, bhi), keep(b, alo, ahi)
+        ta = a.select(F.col("kt").alias("k"), F.col("nt").alias("s")).dropDuplicates(["k"])
+        tb = None if self.same else b.select(F.col("kt").alias("k"), F.col("nt").alias("s")).dropDuplicates(["k"])
+        tp = similar_pairs(ta, tb, self.low_t)
+        return tp.where(F.col("ratio") < self.t).select(F.col("ka").alias("kta"), F.col("kb").alias("ktb"),
+                                                        F.col("ratio").alias("T"))
 
     def weighted_pairs(self, new_sig: DataFrame, ex_sig: DataFrame) -> DataFrame:
         """Signature pairs duplicated through the weighted score alone.
 
-        ``new_sig``/``ex_sig`` carry ``sig, kt, ks, ns, tg`` (plus ``m`` on
-        the existing side when present)."""
+        ``new_sig``/``ex_sig`` carry ``sig, kt, ks, nt, ns, tg`` (plus ``m``
+        on the existing side when present)."""
         t = self.t
+        gray = self._gray_titles(new_sig, ex_sig)
         a = new_sig.select(F.col("sig").alias("sa"), F.col("kt").alias("kta"), F.col("ks").alias("ka"),
                            F.col("ns").alias("nsa"), F.col("tg").alias("tga"))
         b = ex_sig.select(F.col("sig").alias("sb"), F.col("kt").alias("ktb"), F.col("ks").alias("kb"),
                           F.col("ns").alias("nsb"), F.col("tg").alias("tgb"),
                           *[c for c in ex_sig.columns if c == "m"])
-        gray = self.TP.where(F.col("ratio") < t).select(F.col("ka").alias("kta"), F.col("kb").alias("ktb"),
-                                                        F.col("ratio").alias("T"))
         j = gray.join(a, "kta").join(b, "ktb")
         need = j.select("ka", "kb", "nsa", "nsb").dropDuplicates(["ka", "kb"])
         scored = (spread(need).withColumn("S", ratio_at_least_udf("nsa", "nsb", F.lit(float(self.low_s))))
@@ -188,17 +232,20 @@ def first_duplicate(new: DataFrame, existing: DataFrame | None = None, t: float
     statement_similarity, tag_similarity, weighted_similarity`` for records
     that have a duplicate.
     """
-    nf = features(new, **cols)
-    ef = nf if existing is None else features(existing, **cols)
+    ensure_checkpoint_dir(new.sparkSession)
+    # normalised once; every branch reads the checkpoint instead of re-running
+    # the scan and the regexes (and a lost executor does not replay them)
+    nf = features(new, **cols).checkpoint()
+    ef = nf if existing is None else features(existing, **cols).checkpoint()
     br = _Branches(nf, None if existing is None else ef, t)
     bt = (br.TP.where(F.col("ratio") >= t).join(_earliest(ef, "kt").withColumnRenamed("kt", "kb"), "kb")
           .groupBy("ka").agg(F.min("m").alias("mt")).withColumnRenamed("ka", "kt"))
     bs = (br.SP.where(F.col("ratio") >= t).join(_earliest(ef, "ks").withColumnRenamed("ks", "kb"), "kb")
           .groupBy("ka").agg(F.min("m").alias("ms")).withColumnRenamed("ka", "ks"))
-    new_sig = nf.dropDuplicates(["sig"]).select("sig", "kt", "ks", "ns", "tg")
+    new_sig = nf.dropDuplicates(["sig"]).select("sig", "kt", "ks", "nt", "ns", "tg")
     ex_sig = ef.groupBy("sig").agg(F.min(F.struct("seq", "id")).alias("m"), F.first("kt").alias("kt"),
-                                   F.first("ks").alias("ks"), F.first("ns").alias("ns"),
-                                   F.first("tg").alias("tg"))
+                                   F.first("ks").alias("ks"), F.first("nt").alias("nt"),
+                                   F.first("ns").alias("ns"), F.first("tg").alias("tg"))
     bw = br.weighted_pairs(new_sig, ex_sig).groupBy(F.col("sa").alias("sig")).agg(F.min("m").alias("mw"))
     j = nf.join(bt, "kt", "left").join(bs, "ks", "left").join(bw, "sig", "left")
     first = F.least("mt", "ms", "mw")
@@ -221,7 +268,8 @@ def near_dup_pairs(new: DataFrame, existing: DataFrame, t: float = THRESHOLD, **
     """Duplicate pairs of distinct content (new signature vs existing
     signature) with all four scores and the number of records behind each
     side. Exact copies are one row, never a block of record pairs."""
-    nf, ef = features(new, **cols), features(existing, **cols)
+    ensure_checkpoint_dir(new.sparkSession)
+    nf, ef = features(new, **cols).checkpoint(), features(existing, **cols).checkpoint()
     br = _Branches(nf, ef, t)
     ns = nf.groupBy("sig").agg(F.min(F.struct("seq", "id")).alias("fa"), F.count(F.lit(1)).alias("n_new"),
                                F.first("kt").alias("kt"), F.first("ks").alias("ks"),
@@ -291,6 +339,7 @@ def greedy_dedupe(cands: DataFrame, store: DataFrame | None = None, t: float = T
         allf = sf.withColumn("_store", F.lit(True)).unionByName(cf.withColumn("_store", F.lit(False)))
     else:
         allf = cf.withColumn("_store", F.lit(False))
+    allf = allf.checkpoint()
     # exact copies: only the earliest record of a signature can be accepted
     reps = allf.groupBy("sig").agg(F.min(F.struct("seq", "id", "kt", "ks", "nt", "ns", "tg", "_store")).alias("r"))
     nodes = reps.select("sig", "r.*").withColumn(
@@ -298,7 +347,7 @@ def greedy_dedupe(cands: DataFrame, store: DataFrame | None = None, t: float = T
     br = _Branches(nodes, None, t)
     TD = br.TP.where(F.col("ratio") >= t).select("ka", "kb").checkpoint()
     SD = br.SP.where(F.col("ratio") >= t).select("ka", "kb").checkpoint()
-    sig_view = nodes.select("sig", "kt", "ks", "ns", "tg")
+    sig_view = nodes.select("sig", "kt", "ks", "nt", "ns", "tg")
     WD = br.weighted_pairs(sig_view, sig_view).select("sa", "sb").checkpoint()
     nodes = nodes.select("sig", "seq", "id", "kt", "ks", "state").checkpoint()
 

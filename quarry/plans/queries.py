@@ -541,6 +541,10 @@ def q_is_duplicate(spark, sf):
         "title_similarity", "statement_similarity", "weighted_similarity").alias("is_duplicate"))
 
 
+def bench_view(spark, sf):
+    return views.items_from_benchmark(views.table(spark, sf, "benchmark"))
+
+
 def _p_split(spark, sf):
     """P records with p_size > 25 (new) against the others (the store)."""
     p = p_view(spark, sf).join(views.table(spark, sf, "part").select(F.col("p_partkey").alias("seq"), "p_size"),
