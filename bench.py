@@ -31,6 +31,7 @@ HEADLINE = [
     "sequence_ratio",      # exact ratio UDF on record pairs
     "metadata_collection",
     "assemble_records",
+    "dedupe_gate_benchmark",  # near-duplicate gate: documents vs benchmark items
 ]
 
 

@@ -474,6 +474,8 @@ W AS (SELECT *, title_similarity * 0.4 + statement_similarity * 0.5 + tag_simila
     fd_cols = ["id", "dup_id", "dup_seq", "title_similarity", "statement_similarity", "tag_similarity",
                "weighted_similarity"]
     sql("first_duplicate", "SELECT * FROM " + L.values(list(L.part_first_dup_self().values()), fd_cols))
+    gone_b = L.values([(k,) for k in L.doc_bench_first_dup()], ["id"])
+    sql("dedupe_gate_benchmark", f"WITH {d.D_VIEW} SELECT id, seq FROM D WHERE id NOT IN (SELECT id FROM {gone_b})")
     gone = L.values([(k,) for k in L.part_gate_dups()], ["id"])
     sql("dedupe_gate", f"WITH {d.P_VIEW} SELECT id, seq FROM P JOIN part ON p_partkey = seq "
                        f"WHERE p_size > 25 AND id NOT IN (SELECT id FROM {gone})")

@@ -563,6 +563,12 @@ def q_first_duplicate(spark, sf):
     return neardup.first_duplicate(p_view(spark, sf))
 
 
+@register("dedupe_gate_benchmark")
+def q_dedupe_gate_benchmark(spark, sf):
+    """Documents that are not near-duplicates of any benchmark item."""
+    return neardup.dedupe_gate(d_view(spark, sf), bench_view(spark, sf)).select("id", "seq")
+
+
 @register("dedupe_gate")
 def q_dedupe_gate(spark, sf):
     new, ex = _p_split(spark, sf)
