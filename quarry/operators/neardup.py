@@ -64,6 +64,22 @@ def _prefix_tokens(strings: DataFrame, freq: DataFrame | None, m: float):
     return base.select("k", "n"), toks
 
 
+def _histograms(strings: DataFrame) -> DataFrame:
+    """Per string its character histogram as a map (size <= alphabet, also
+    for very long texts)."""
+    chars = strings.where(F.length("s") > 0).select(
+        "k", F.explode(F.regexp_extract_all("s", F.lit("(?s)."), 0)).alias("ch"))
+    return chars.groupBy("k", "ch").agg(F.count(F.lit(1)).cast("int").alias("c")).groupBy("k").agg(
+        F.map_from_entries(F.collect_list(F.struct("ch", "c"))).alias("h"))
+
+
+def _bag_overlap(ha, hb):
+    """sum over characters of min(count in a, count in b), natively."""
+    return F.aggregate(F.map_keys(ha), F.lit(0),
+                       lambda acc, c: acc + F.least(F.try_element_at(ha, c),
+                                                    F.coalesce(F.try_element_at(hb, c), F.lit(0))))
+
+
 def similar_pairs(left: DataFrame, right: DataFrame | None, m: float) -> DataFrame:
     """All ``(ka, kb, ratio)`` with ``ratio(left s as new, right s as existing) >= m``.
 
@@ -118,7 +134,17 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, m: float) -> DataFra
              .groupBy("ka", "kb", "na", "nb")
              .agg(F.count(F.lit(1)).alias("c"), F.max("ra").alias("ia"), F.max("rb").alias("ib")))
     upper = F.col("c") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    cand = pairs.where(upper * 2 >= (F.col("na") + F.col("nb")) * F.lit(m) - F.lit(EPS)).select("ka", "kb")
+    cand = pairs.where(upper * 2 >= (F.col("na") + F.col("nb")) * F.lit(m) - F.lit(EPS)).select(
+        "ka", "kb", "na", "nb")
+    # Exact bag bound (difflib's quick_ratio) in the JVM before any Python:
+    # ratio <= 2 * sum_c min(count_a(c), count_b(c)) / (na + nb).
+    lh = _histograms(left)
+    rh = lh if same else _histograms(right)
+    cand = (cand.join(lh.select(F.col("k").alias("ka"), F.col("h").alias("ha")), "ka")
+            .join(rh.select(F.col("k").alias("kb"), F.col("h").alias("hb")), "kb")
+            .where(_bag_overlap(F.col("ha"), F.col("hb")) * 2
+                   >= (F.col("na") + F.col("nb")) * F.lit(m) - F.lit(EPS))
+            .select("ka", "kb"))
     ls = left.select(F.col("k").alias("ka"), F.col("s").alias("sa"))
     rs = right.select(F.col("k").alias("kb"), F.col("s").alias("sb"))
     scored = (spread(cand.join(ls, "ka").join(rs, "kb"))
