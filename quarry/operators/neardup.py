@@ -129,7 +129,11 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, m: float) -> DataFra
     # Positional bound (PPJoin): common tokens lie in the same global order in
     # both strings, so overlap <= (#common prefix tokens) + what is left after
     # the last common one on the shorter side. One aggregation per pair.
-    pairs = (a.join(b, ["ch", "occ"])
+    joined = a.join(b, ["ch", "occ"])
+    if same:
+        # every bound below is symmetric: build each unordered pair once
+        joined = joined.where(F.col("ka") < F.col("kb"))
+    pairs = (joined
              .where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(lf) - F.lit(EPS))
              .groupBy("ka", "kb", "na", "nb")
              .agg(F.count(F.lit(1)).alias("c"), F.max("ra").alias("ia"), F.max("rb").alias("ib")))
@@ -145,6 +149,11 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, m: float) -> DataFra
             .where(_bag_overlap(F.col("ha"), F.col("hb")) * 2
                    >= (F.col("na") + F.col("nb")) * F.lit(m) - F.lit(EPS))
             .select("ka", "kb"))
+    if same:
+        # both directions (the ratio is asymmetric) and each string with
+        # itself (scored too: autojunk can keep ratio(x, x) below 1.0)
+        cand = (cand.unionByName(cand.select(F.col("kb").alias("ka"), F.col("ka").alias("kb")))
+                .unionByName(left.where(F.length("s") > 0).select(F.col("k").alias("ka"), F.col("k").alias("kb"))))
     ls = left.select(F.col("k").alias("ka"), F.col("s").alias("sa"))
     rs = right.select(F.col("k").alias("kb"), F.col("s").alias("sb"))
     scored = (spread(cand.join(ls, "ka").join(rs, "kb"))
