@@ -67,7 +67,8 @@ RUN_OUTCOMES = {"inserted": "purchase", "duplicates": "view", "failures": "error
 
 def run_summary(events: DataFrame, run=None) -> DataFrame:
     """A4: inserted / duplicates / failures / elapsed seconds per run."""
-    run = run if run is not None else F.date_format("ts", "yyyy-MM-dd")
+    # zone-independent on TIMESTAMP_NTZ: calendar date and microsecond span
+    run = run if run is not None else F.to_date("ts").cast("string")
     return events.groupBy(run.alias("run")).agg(
         *[F.count_if(F.col("event_type") == v).alias(k) for k, v in RUN_OUTCOMES.items()],
-        ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / F.lit(1e6)).alias("elapsed_sec"))
+        (F.expr("timestampdiff(MICROSECOND, min(ts), max(ts))") / F.lit(1e6)).alias("elapsed_sec"))
