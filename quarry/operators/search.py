@@ -112,7 +112,8 @@ def _pad(c, width: int):
 
 
 def problem_listing(records: DataFrame) -> DataFrame:
-    """Fixed-width listing rows plus the total as a column."""
+    """Fixed-width listing rows (the total is ``store_count``, one
+    aggregate; it is not repeated on every row)."""
     row = F.concat_ws(" | ",
                       _pad(F.coalesce(F.col("id"), F.lit("")), 10),
                       _pad(F.substring(F.coalesce(F.col("title"), F.lit("")), 1, 28), 30),
