@@ -53,3 +53,17 @@ def test_first_duplicate_scores_against_store(spark, candidates):
     got = tuple(round(v, 4) for v in (r.title_similarity, r.statement_similarity, r.tag_similarity,
                                       r.weighted_similarity))
     assert r.dup_id == "LL-000001" and got == (1.0, 0.9901, 0.5, 0.945)
+
+
+def test_first_duplicate_among_store_and_accepted(spark, candidates):
+    # store order: the shipped record, then the accepted records in order
+    acc = candidates.where(F.col("id").isin("metadata_baseline_0003", "metadata_crawled_0002")).select(
+        "id", (F.col("seq") + 1).alias("seq"), "title", "statement", "tags")
+    store = spark.createDataFrame([(s[0], 0) + s[1:] for s in STORE],
+                                  "id string, seq long, title string, statement string, tags array<string>")
+    rest = candidates.where(F.col("id").isin("metadata_baseline_0007", "metadata_crawled_0003"))
+    got = {r.id: (r.dup_id, tuple(round(v, 4) for v in (r.title_similarity, r.statement_similarity,
+                                                         r.tag_similarity, r.weighted_similarity)))
+           for r in neardup.first_duplicate(rest, store.unionByName(acc)).collect()}
+    assert got == {"metadata_baseline_0007": ("metadata_baseline_0003", (0.7576, 0.9116, 0.3333, 0.7922)),
+                   "metadata_crawled_0003": ("metadata_crawled_0002", (0.7234, 0.8798, 0.3333, 0.7626))}
