@@ -46,7 +46,7 @@ def features(df: DataFrame, id="id", seq="seq", title="title", statement="statem
     """Normalised content plus keys: ``kt`` title, ``ks`` statement, ``sig`` all."""
     f = df.select(F.col(id).alias("id"), F.col(seq).alias("seq"),
                   normalize_text(F.col(title)).alias("nt"), normalize_text(F.col(statement)).alias("ns"),
-                  normalize_tags(F.col(tags)).alias("tg"))
+                  normalize_tags(F.col(tags)).alias("tg"), *(["_grp"] if "_grp" in df.columns else []))
     return f.withColumns({"kt": _h(F.col("nt")), "ks": _h(F.col("ns")),
                           "sig": _h(F.to_json(F.struct("nt", "ns", "tg")))})
 
@@ -349,7 +349,8 @@ UNDECIDED, ACCEPTED, REJECTED = 0, 1, 2
 
 
 def greedy_dedupe(cands: DataFrame, store: DataFrame | None = None, t: float = THRESHOLD,
-                  limit: int | None = None, max_rounds: int | None = None, **cols) -> DataFrame:
+                  limit: int | None = None, max_rounds: int | None = None, group: str | None = None,
+                  **cols) -> DataFrame:
     """Order-dependent keep-first. A record is accepted iff it has no
     duplicate among the records accepted before it (store records count as
     accepted and come first). Output: the candidate records plus
@@ -363,28 +364,35 @@ def greedy_dedupe(cands: DataFrame, store: DataFrame | None = None, t: float = T
     """
     spark = cands.sparkSession
     ensure_checkpoint_dir(spark)
-    cf = features(cands, **cols)
+    # ``group``: attempts of one metadata key (in ``seq`` order); an accepted
+    # attempt ends its key, so later attempts of that key never count.
+    cands_g = cands.withColumn("_grp", F.col(group).cast("string") if group else F.lit(None).cast("string"))
+    cf = features(cands_g, **cols)
     if store is not None:
         # store records are accepted and precede every candidate; their own
         # order is irrelevant, so one seq below the candidates serves them all
         lo = cf.agg(F.min("seq").alias("a")).first()["a"]
         sc = dict(cols)
         sc["seq"] = "_store_seq"
-        sf = features(store.withColumn("_store_seq", F.lit(int(lo or 0) - 1).cast("long")), **sc)
+        sf = features(store.withColumn("_store_seq", F.lit(int(lo or 0) - 1).cast("long"))
+                      .withColumn("_grp", F.lit(None).cast("string")), **sc)
         allf = sf.withColumn("_store", F.lit(True)).unionByName(cf.withColumn("_store", F.lit(False)))
     else:
         allf = cf.withColumn("_store", F.lit(False))
     allf = allf.checkpoint()
     # exact copies: only the earliest record of a signature can be accepted
-    reps = allf.groupBy("sig").agg(F.min(F.struct("seq", "id", "kt", "ks", "nt", "ns", "tg", "_store")).alias("r"))
-    nodes = reps.select("sig", "r.*").withColumn(
+    # exact copies collapse per (signature, key): a copy under another key
+    # stays a node, since its key's earlier success may have stopped the first
+    reps = allf.groupBy("sig", "_grp").agg(
+        F.min(F.struct("seq", "id", "kt", "ks", "nt", "ns", "tg", "_store")).alias("r"))
+    nodes = reps.select("sig", "_grp", "r.*").withColumn(
         "state", F.when(F.col("_store"), F.lit(ACCEPTED)).otherwise(F.lit(UNDECIDED)))
     br = _Branches(nodes, None, t)
     TD = br.TP.where(F.col("ratio") >= t).select("ka", "kb").checkpoint()
     SD = br.SP.where(F.col("ratio") >= t).select("ka", "kb").checkpoint()
     sig_view = nodes.select("sig", "kt", "ks", "nt", "ns", "tg")
     WD = br.weighted_pairs(sig_view, sig_view).select("sa", "sb").checkpoint()
-    nodes = nodes.select("sig", "seq", "id", "kt", "ks", "state").checkpoint()
+    nodes = nodes.select("sig", "_grp", "seq", "id", "kt", "ks", "state").checkpoint()
 
     def neighbour_min(nodes, which):
         """Per node: min seq over neighbours (any branch) having state in which."""
@@ -395,8 +403,10 @@ def greedy_dedupe(cands: DataFrame, store: DataFrame | None = None, t: float = T
               .groupBy("ka").agg(F.min("x").alias("ms")).withColumnRenamed("ka", "ks"))
         mw = (WD.join(live.select(F.col("sig").alias("sb"), F.col("seq").alias("x")), "sb")
               .groupBy("sa").agg(F.min("x").alias("mw")).withColumnRenamed("sa", "sig"))
+        mg = live.where(F.col("_grp").isNotNull()).groupBy("_grp").agg(F.min("seq").alias("mg"))
         return (nodes.join(mt, "kt", "left").join(ms, "ks", "left").join(mw, "sig", "left")
-                .withColumn("_m", F.least("mt", "ms", "mw")).drop("mt", "ms", "mw"))
+                .join(mg, "_grp", "left")
+                .withColumn("_m", F.least("mt", "ms", "mw", "mg")).drop("mt", "ms", "mw", "mg"))
 
     rounds = 0
     while True:
