@@ -8,13 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import simhash_dedup
+from quarry.llm import fingerprints, simhash_dedup, token_count
 from quarry.llm.common import read
 from quarry.session import ensure_checkpoint_dir
 
+TOKEN_LIMIT = 4096
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a vocabulary file; the operators take paths as parameters."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def register(name: str):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,3 +38,14 @@ def register(name: str):
 def op1(spark, sf):
     found = simhash_dedup.near_duplicates(read(spark, sf, "documents"), shingle=3, max_bits=2)
     return found.select("doc_id", simhash_dedup.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+@register("op2_document_fingerprints")
+def op2(spark, sf):
+    return fingerprints.document_fingerprints(read(spark, sf, "documents"))
+
+
+@register("op10_token_counts")
+def op10(spark, sf):
+    counts = token_count.token_counts(read(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
