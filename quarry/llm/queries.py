@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import fingerprints, simhash_dedup, token_count
+from quarry.llm import fingerprints, mixing, packing, simhash_dedup, token_count
 from quarry.llm.common import read
 from quarry.session import ensure_checkpoint_dir
 
 TOKEN_LIMIT = 4096
+MIX_WEIGHTS = [5, 2, 1]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -45,6 +46,17 @@ def op2(spark, sf):
     return fingerprints.document_fingerprints(read(spark, sf, "documents"))
 
 
+@register("op4_mix_sources")
+def op4(spark, sf):
+    mixed = mixing.mix(read(spark, sf, "documents"), weights=MIX_WEIGHTS, factor=1.5, max_epochs=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "whole", "part")
+
+
+@register("op7_pack_sequences")
+def op7(spark, sf):
+    return packing.pack(read(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"), 2048, end_id=0)
+
+
 @register("op10_token_counts")
 def op10(spark, sf):
     counts = token_count.token_counts(read(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model"))
