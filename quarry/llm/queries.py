@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import fingerprints, mixing, packing, simhash_dedup, token_count
+from quarry.llm import fingerprints, lang_id, mixing, packing, simhash_dedup, token_count
 from quarry.llm.common import read
 from quarry.session import ensure_checkpoint_dir
 
@@ -52,6 +52,15 @@ def op4(spark, sf):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "whole", "part")
 
 
+@register("op6_language_id")
+def op6(spark, sf):
+    docs = read(spark, sf, "documents")
+    held = lang_id.remainder(3) == 1
+    model = lang_id.fit(docs.where(~held))
+    return (lang_id.predict(docs, model, ["doc_id"])
+            .select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score"))
+
+
 @register("op7_pack_sequences")
 def op7(spark, sf):
     return packing.pack(read(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"), 2048, end_id=0)
