@@ -8,12 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import fingerprints, lang_id, mixing, packing, simhash_dedup, token_count
+from quarry.llm import fingerprints, lang_id, mixing, packing, quality, simhash_dedup, token_count, url_filter
 from quarry.llm.common import read
 from quarry.session import ensure_checkpoint_dir
 
 TOKEN_LIMIT = 4096
 MIX_WEIGHTS = [5, 2, 1]
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"),
+             ("allow", "org", "/fr/")]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -52,6 +54,11 @@ def op4(spark, sf):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "whole", "part")
 
 
+@register("op5_url_filter")
+def op5(spark, sf):
+    return url_filter.judge(read(spark, sf, "pages"), URL_RULES)
+
+
 @register("op6_language_id")
 def op6(spark, sf):
     docs = read(spark, sf, "documents")
@@ -66,6 +73,11 @@ def op7(spark, sf):
     return packing.pack(read(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"), 2048, end_id=0)
 
 
+@register("op8_quality_rules")
+def op8(spark, sf):
+    return quality.judge(read(spark, sf, "documents"))
+
+
 @register("op10_token_counts")
 def op10(spark, sf):
     counts = token_count.token_counts(read(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model"))
