@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import fingerprints, lang_id, mixing, packing, quality, simhash_dedup, token_count, url_filter
+from quarry.llm import fingerprints, lang_id, mixing, packing, pii, quality, simhash_dedup, token_count, url_filter
 from quarry.llm.common import read
 from quarry.session import ensure_checkpoint_dir
 
@@ -78,6 +78,14 @@ def op8(spark, sf):
     return quality.judge(read(spark, sf, "documents"))
 
 
+@register("op9_personal_data")
+def op9(spark, sf):
+    found = pii.find(read(spark, sf, "documents"))
+    counts = [pii.count_kind("base", k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text("base"), 256).alias("base_sha256"),
+                        pii.span_text("spans").alias("spans"))
+
+
 @register("op10_token_counts")
 def op10(spark, sf):
     counts = token_count.token_counts(read(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model"))
