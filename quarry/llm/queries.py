@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import fingerprints, lang_id, mixing, packing, pii, quality, simhash_dedup, token_count, url_filter
+from quarry.llm import fingerprints, lang_id, lm_score, mixing, packing, pii, quality, simhash_dedup, token_count, url_filter
 from quarry.llm.common import read
 from quarry.session import ensure_checkpoint_dir
 
@@ -48,6 +48,11 @@ def op2(spark, sf):
     return fingerprints.document_fingerprints(read(spark, sf, "documents"))
 
 
+@register("op3_lm_score")
+def op3(spark, sf):
+    return lm_score.score(read(spark, sf, "documents"), held_out=lang_id.remainder(5) == 1)
+
+
 @register("op4_mix_sources")
 def op4(spark, sf):
     mixed = mixing.mix(read(spark, sf, "documents"), weights=MIX_WEIGHTS, factor=1.5, max_epochs=2.0)
