@@ -268,8 +268,9 @@ def train(docs: DataFrame, precision: float = 0.95, text: str = "text") -> Trees
     """Learn from all rows of ``docs`` (``doc_id, text``). Every fifth document
     (by a hash of its text) calibrates."""
     base = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    # explode() would test the whole array once more before it, from the text on.
     seen = (with_candidates(base, "_t")
-            .select((F.pmod(F.xxhash64("_t"), F.lit(5)) == 0).alias("held"), F.explode("cands").alias("c"))
+            .select((F.pmod(F.xxhash64("_t"), F.lit(5)) == 0).alias("held"), F.explode_outer("cands").alias("c"))
             .where("c.label IS NOT NULL").groupBy("held", *[F.col(f"c.f.{f}").alias(f) for f in FEATURES])
             .agg(F.sum("c.label").alias("positive"), F.count(F.lit(1)).alias("n")).collect())
     # One row of belief for each kind and check: small tables must not learn the reverse.
