@@ -4,9 +4,9 @@ elastic net) and calibrated by a temperature.
 
 Texts are lower-cased, runs of non-letters become one space, and n-grams of one
 to three characters are hashed to ``DIMS`` features. Document frequencies cover
-all training rows. Only the regression itself sees a bounded sample: at most
-``max_train_docs`` labelled rows, the same number of each language, drawn by a
-hash of the id; every fifth of them calibrates instead of training.
+all training rows. Only the regression itself sees a bounded sample: about
+``max_train_docs`` labelled rows (never over twice as many), as many of each
+language, drawn by a hash; every fifth of them calibrates instead of training.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -150,9 +150,10 @@ def fit(docs: DataFrame, max_train_docs: int = 4000, seed: int = 11) -> Model:
     """Learn from ``docs`` (``doc_id, text, lang``); rows without text or lang
     teach nothing. Without labels every prediction is ``und``.
     """
-    rows = (docs.select("text", "lang", F.xxhash64(F.lit(seed), "doc_id").alias("draw"))
+    rows = (docs.select("text", "lang", F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"))
             .where(F.col("text").isNotNull() & F.col("lang").isNotNull()))
-    labels = sorted(r[0] for r in rows.select("lang").distinct().collect())  # one row a language
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labels = sorted(sizes)  # one row a language
     frequency = stage(rows.select("text").mapInArrow(_document_frequency, "feature int, n long")
                       .groupBy("feature").agg(F.sum("n").alias("n")), "df").collect()
     df = np.zeros(DIMS + 1)
@@ -162,12 +163,11 @@ def fit(docs: DataFrame, max_train_docs: int = 4000, seed: int = 11) -> Model:
     model = Model(labels, idf, np.zeros((DIMS + 1, len(labels))))
     if not labels:
         return model
+    # Draws are uniform: a share of their range takes about as many rows of each language.
     each = max(1, max_train_docs // len(labels))
-    order = Window.partitionBy("lang").orderBy("draw")
-    last = (rows.select("lang", "draw").withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= each)
-            .groupBy("lang").agg(F.max("draw").alias("last")).collect())
-    limit = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(r["last"])) for r in last])
-    sample = (rows.where(F.col("draw") <= limit)
+    limit = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(2**63 - 1, int(2**64 * each / n) - 2**63)))
+                         for lang, n in sizes.items()])
+    sample = (rows.where(F.col("draw") <= limit).limit(2 * max_train_docs)
               .mapInArrow(_extract, "lang string, draw long, features binary, counts binary").collect())
     taught = [(np.frombuffer(r["features"], np.int32), np.frombuffer(r["counts"], np.int32),
                labels.index(r["lang"]), r["draw"]) for r in sample]
