@@ -125,7 +125,7 @@ def _start(rows: DataFrame, group: list[str], names: list[str]) -> DataFrame:
     p = len(names)
     middle = rows.groupBy(*group).agg(*[F.percentile_approx(n, 0.5, 10000).alias(f"m{i}")
                                         for i, n in enumerate(names)])
-    off = _with(rows, middle, group).groupBy(*group).agg(
+    off = _with(rows, stage(middle, "mcd"), group).groupBy(*group).agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(p)],
         *[F.percentile_approx(F.abs(F.col(n) - F.col(f"m{i}")), 0.5, 10000).alias(f"d{i}")
           for i, n in enumerate(names)])
@@ -136,7 +136,11 @@ def _start(rows: DataFrame, group: list[str], names: list[str]) -> DataFrame:
 
 
 def _with(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
-    """Rows with their group's columns; null languages and sources are groups."""
+    """Rows with their group's columns; null languages and sources are groups.
+
+    ``groups`` is a written table: Spark knows its size before it plans, and
+    moves the rows only if there are too many groups to send to all tasks.
+    """
     other = groups.select(*[F.col(c).alias(f"of_{c}") for c in by], *[c for c in groups.columns if c not in by])
     on = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by]
     return rows.join(other, on, "left").drop(*[f"of_{c}" for c in by])
@@ -154,7 +158,7 @@ def robust_distances(rows: DataFrame, group: list[str], names: list[str], fit_on
     logdet = sum((F.log(_low(i, i)) for i in range(1, len(names))), F.log(_low(0, 0)))
     for _ in range(ROUNDS):
         far = _with(inside, groups, group).withColumn("distance", _squared_distance(names))
-        edge = far.groupBy(*group).agg(F.percentile_approx("distance", core, 10000).alias("edge"))
+        edge = stage(far.groupBy(*group).agg(F.percentile_approx("distance", core, 10000).alias("edge")), "mcd")
         near = _with(far.select(*group, *names, "distance"), edge, group).where("distance <= edge")
         after = stage(_estimate(near, group, names), "mcd")
         moved = _with(groups.select(*group, logdet.alias("was")), after.select(*group, logdet.alias("now")), group)
@@ -165,7 +169,7 @@ def robust_distances(rows: DataFrame, group: list[str], names: list[str], fit_on
     normal_median = chi_square_quantile(0.5, len(names))
     middle = (_with(inside, groups, group).withColumn("distance", _squared_distance(names)).groupBy(*group)
               .agg(F.greatest(F.percentile_approx("distance", 0.5, 10000) / normal_median, F.lit(1.0)).alias("scale")))
-    groups = _with(groups, middle, group)
+    groups = stage(_with(groups, stage(middle, "mcd"), group), "mcd")
     extra = [*_params(len(names)), "scale"]
     return (_with(rows, groups, group).withColumn("distance", _squared_distance(names) / F.col("scale"))
             .drop(*extra))
