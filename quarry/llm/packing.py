@@ -3,10 +3,13 @@
 A document's tokens and one end token are cut only if they exceed a sequence:
 into full pieces, after a first piece that may be shorter. Sequences follow
 patterns of a few lengths that fill them. Non-negative least squares finds how
-often to repeat each pattern to meet the histogram of piece lengths; rounded
+often to repeat each pattern to meet the histogram of piece lengths (a length's
+error weighs as the length, for a long piece left over costs most); rounded
 down to what the histogram still holds, the rest goes by best fit (longest
 piece first, then the longest that still fits, repeated while the lengths
-last). Only the histogram, one number a length, is on the driver; pieces get
+last). Three pattern sets are tried - all, those with a piece over half a
+sequence, none - and the plan with fewest sequences is taken, the first of
+equals. Only the histogram, one number a length, is on the driver; pieces get
 their place by their rank among those of their length.
 """
 
@@ -94,9 +97,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) ->
 
 # ------------------------------------------------------------------ the plan
 
-def enumerate_patterns(counts: np.ndarray, capacity: int) -> np.ndarray:
+def enumerate_patterns(counts: np.ndarray, capacity: int, shortest_lead: int) -> np.ndarray:
     """Patterns of two or three lengths in stock that fill a sequence exactly,
-    as rows of three lengths (0: none).
+    as rows of three lengths, the longest (``shortest_lead`` or more) first
+    (0: none).
 
     Triples are thinned by a step in the middle length, so that there are no
     more patterns than an eighth of the pieces, or 4096.
@@ -106,7 +110,7 @@ def enumerate_patterns(counts: np.ndarray, capacity: int) -> np.ndarray:
     pairs = np.stack([half, capacity - half, np.zeros_like(half)], axis=1)
     room = max(4096, int(counts.sum()) // 8)
     step = max(1, capacity * capacity // (12 * room))
-    long, mid = np.meshgrid(np.arange(capacity // 3, capacity - 1), np.arange(1, capacity // 2 + 1, step))
+    long, mid = np.meshgrid(np.arange(shortest_lead, capacity - 1), np.arange(1, capacity // 2 + 1, step))
     long, mid = long.ravel(), mid.ravel()
     short = capacity - long - mid
     fits = (short > 0) & (short <= mid) & (mid <= long)
@@ -115,43 +119,29 @@ def enumerate_patterns(counts: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def repeat_counts(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Non-negative least squares of pattern repeats against the histogram, by
-    multiplicative updates (each keeps the sign and lowers the error)."""
+    """Non-negative least squares of pattern repeats against the histogram,
+    errors weighing as the lengths, by multiplicative updates (each keeps the
+    sign and lowers the error)."""
     if not len(patterns):
         return np.zeros(0)
     size, wanted = len(counts), counts.astype(float)
-    wanted[0] = 0
+    weight = np.arange(size, dtype=float)  # no length: no weight
 
     def used(x: np.ndarray) -> np.ndarray:
-        out = np.bincount(patterns.ravel(), weights=np.repeat(x, patterns.shape[1]), minlength=size)
-        out[0] = 0
-        return out
+        return np.bincount(patterns.ravel(), weights=np.repeat(x, patterns.shape[1]), minlength=size)
 
-    goal = wanted[patterns].sum(axis=1)
-    shares = np.bincount(patterns.ravel(), minlength=size)
-    x = (wanted / np.maximum(shares, 1))[patterns].max(axis=1) + 1e-9
+    goal = (weight * wanted)[patterns].sum(axis=1)
+    shares = np.maximum(np.bincount(patterns.ravel(), minlength=size), 1)
+    shares[0], wanted[0] = 1, 0
+    x = (wanted / shares)[patterns].max(axis=1) + 1e-9
     for _ in range(rounds):
-        x *= goal / np.maximum(used(x)[patterns].sum(axis=1), 1e-12)
+        x *= goal / np.maximum((weight * used(x))[patterns].sum(axis=1), 1e-12)
     return x
 
 
-def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats) of every pattern used; uses exactly ``counts``."""
-    left = counts.astype(np.int64).copy()
-    out = [((capacity,), int(left[capacity]))] if left[capacity] else []
-    left[capacity] = 0
-    patterns = enumerate_patterns(left, capacity)
-    x = repeat_counts(patterns, left)
-    for i in np.argsort(-x, kind="stable"):
-        if x[i] < 1:
-            break
-        row = [int(v) for v in patterns[i] if v]
-        n = min(int(x[i]), *(int(left[v]) // row.count(v) for v in row))
-        if n:
-            out.append((tuple(row), n))
-            for v in row:
-                left[v] -= n
-    # Best fit for the residual: longest first, filled with the longest that fits.
+def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Longest first, filled with the longest that fits; empties ``left``."""
+    out = []
     while left.any():
         row, room, free = [], capacity, left.copy()
         while room and (fit := np.flatnonzero(free[:room + 1])).size:
@@ -166,6 +156,30 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]
     return out
 
 
+def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, repeats) of every pattern used; uses exactly ``counts``."""
+    full = int(counts[capacity])
+    plans = []
+    for shortest_lead in (capacity // 3, capacity // 2 + 1, None):
+        left = counts.astype(np.int64).copy()
+        left[capacity] = 0
+        out = [((capacity,), full)] if full else []
+        if shortest_lead is not None:
+            patterns = enumerate_patterns(left, capacity, shortest_lead)
+            x = repeat_counts(patterns, left)
+            for i in np.argsort(-x, kind="stable"):
+                if x[i] < 1:
+                    break
+                row = [int(v) for v in patterns[i] if v]
+                n = min(int(x[i]), *(int(left[v]) // row.count(v) for v in row))
+                if n:
+                    out.append((tuple(row), n))
+                    for v in row:
+                        left[v] -= n
+        plans.append(out + best_fit(left, capacity))
+    return min(plans, key=lambda p: sum(n for _, n in p))
+
+
 def slots(patterns: list[tuple[tuple[int, ...], int]], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, rank after the last, first sequence, offset)."""
     taken, sequence, out = [0] * (capacity + 1), 0, []
