@@ -94,9 +94,11 @@ def mix(docs: DataFrame, weights: list[float], factor: float = 1.5, max_epochs:
 
 def first_words(text: str, n: str) -> Column:
     """``text`` up to the end of its ``n``-th word, white space kept (0 < n)."""
-    leads = f"if({text} rlike '^{SPACE}', 1, 0)".replace("\\", "\\\\")
-    rest = f"element_at(split({text}, '{SPACE}+', cast({n} + 1 + {leads} as int)), -1)".replace("\\x", "\\\\x")
-    return F.expr(f"substring({text}, 1, length({text}) - length({rest}))")
+    space = SPACE.replace("\\", "\\\\")
+    pieces = f"cast({n} + if({text} rlike '^{space}', 1, 0) as int)"  # a leading blank makes an empty piece
+    parts = f"split({text}, '{space}+', {pieces} + 1)"
+    rest = f"if(size({parts}) > {pieces}, length(element_at({parts}, -1)), 0)"
+    return F.expr(f"substring({text}, 1, length({text}) - {rest})")
 
 
 def expand(mixed: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
