@@ -153,10 +153,10 @@ def learn(train: DataFrame, vocab: Vocabulary, model_counts: np.ndarray, tokens:
                                                         pa.binary())], ["tokens", "weights"])
 
     replicas = max(1, round(tokens / PART / REPLICA))
-    share = (drawn.where(F.pmod("draw", F.lit(PART)) == 0).repartition(replicas, "draw")
-             .sortWithinPartitions("draw"))
+    # Dealt evenly, without a key: as many replicas as the tokens need, however many shuffle partitions there are.
+    share = drawn.where(F.pmod("draw", F.lit(PART)) == 0).repartition(replicas).sortWithinPartitions("draw")
     found = stage(share.mapInArrow(refine, "tokens long, weights binary"), "replicas")
-    sums = found.rdd.map(lambda r: (r["tokens"], r["tokens"] * np.frombuffer(r["weights"], np.float32).astype(np.float64)))
+    sums = found.rdd.map(lambda r: (r["tokens"], r["tokens"] * np.frombuffer(r["weights"], np.float32)))
     if found.isEmpty():
         return weights
     n, total = sums.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]), depth=3)
