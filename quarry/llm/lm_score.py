@@ -29,7 +29,7 @@ from quarry.llm import gru
 from quarry.llm.common import stage, words_of
 
 SHARE = 1e-6
-PART = 16          # one in so many training documents teaches the replicas
+PART = 32          # one in so many training documents teaches the replicas
 REPLICA = 1_000_000
 CHUNK = 1024       # documents scored together
 FLUSH = 500_000
