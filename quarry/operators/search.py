@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import normalize_word, split_words
+from quarry.sources import store
 
 MIN_TERM_LEN = 2
 
@@ -159,19 +160,29 @@ def search_batch(post: DataFrame, summary: DataFrame, queries: DataFrame,
     return hits.join(summary, "id")
 
 
+POSTINGS_SCHEMA = "term string, id string"
+SUMMARY_SCHEMA = ("id string, title string, difficulty string, tags array<string>, topic string, xp int, "
+                  "time_complexity string, space_complexity string")
+
+
 def write_index(post: DataFrame, summary: DataFrame, base: str) -> None:
-    """Postings range-sorted by term (so a term lookup prunes row groups
-    by min/max statistics) and the summary table, as Parquet."""
-    (post.repartitionByRange("term").sortWithinPartitions("term", "id")
-     .write.mode("overwrite").parquet(f"{base}/postings"))
-    summary.write.mode("overwrite").parquet(f"{base}/summary")
+    """Postings range-sorted by term and the summary table, as Parquet.
+
+    Each call writes a new version folder; readers take the newest one whose
+    two tables are complete, so an index being rewritten stays readable.
+    """
+    used = store.version_numbers(post.sparkSession, base)
+    path = f"{base.rstrip('/')}/v={(used[-1] + 1 if used else 1):06d}"
+    (post.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+     .write.mode("errorifexists").parquet(f"{path}/postings"))
+    summary.write.mode("errorifexists").parquet(f"{path}/summary")
 
 
 def read_index(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
-    """Read both tables; a missing index reads as empty."""
-    try:
-        return (spark.read.parquet(f"{base}/postings"), spark.read.parquet(f"{base}/summary"))
-    except Exception:  # noqa: BLE001 - missing/corrupt index -> empty result
-        return (spark.createDataFrame([], "term string, id string"),
-                spark.createDataFrame([], "id string, title string, difficulty string, tags array<string>, "
-                                          "topic string, xp int, time_complexity string, space_complexity string"))
+    """Both tables of the newest complete index; none reads as empty."""
+    for v in reversed(store.version_numbers(spark, base)):
+        paths = [f"{base.rstrip('/')}/v={v:06d}/{t}" for t in ("postings", "summary")]
+        if all(store.committed(spark, p) for p in paths):
+            return (spark.read.schema(POSTINGS_SCHEMA).parquet(paths[0]),
+                    spark.read.schema(SUMMARY_SCHEMA).parquet(paths[1]))
+    return spark.createDataFrame([], POSTINGS_SCHEMA), spark.createDataFrame([], SUMMARY_SCHEMA)

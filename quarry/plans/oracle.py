@@ -411,7 +411,7 @@ SELECT id, failed_rules FROM Q WHERE failed_rules <> ''
 
 sql("store_append", f"WITH {DR_VIEW} {_REC_OUT}")
 sql("store_scan", f"WITH {DR_VIEW} {_REC_OUT}")
-sql("store_overwrite", f"WITH {DR_VIEW} {_REC_OUT} WHERE xp = 50")
+sql("store_overwrite", f"WITH {DR_VIEW} {_REC_OUT} WHERE topic <> 'en'")
 sql("store_count", f"WITH {DR_VIEW} SELECT count(id) AS n_records FROM DF")
 sql("index_io", f"WITH {d.PF_VIEW}, {d.POSTINGS_FROM_PF} SELECT POST.id, term, title FROM POST JOIN PF ON PF.id = POST.id")
 sql("assign_ids", f"""

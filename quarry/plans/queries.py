@@ -457,7 +457,7 @@ def q_store_scan(spark, sf):
 def q_store_overwrite(spark, sf):
     base = _two_batch_store(spark, sf)
     current = store.store_scan(spark, base)
-    store.store_overwrite(current.where(F.col("xp") == 50), base)
+    store.store_overwrite(current.where(F.col("topic") != "en"), base)
     return _record_out(store.store_scan(spark, base))
 
 

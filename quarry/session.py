@@ -9,6 +9,7 @@ folder named by ``spark.checkpoint.dir``. Only when that setting is absent
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -45,6 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return cur
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         # Unset: local tests and single-machine runs only.
         conf = tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(conf)

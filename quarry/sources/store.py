@@ -1,18 +1,21 @@
 """The record store (S5, S6, S7, S10) as versioned Parquet.
 
-Layout: ``<base>/v=<NNNNNN>/batch=<token>/part-*.parquet``. Reads take the
-newest version; an append writes one batch folder into it (a known token,
-e.g. a stream's batch id, is overwritten on replay: idempotent); an
-overwrite writes a *new* version so a job may rewrite the store from a plan
-that still reads the old one.
-Listing uses the Hadoop FileSystem of the path (works for any shared
-file system the cluster names).
+Layout: ``<base>/v=<NNNNNN>/batch=<token>/part-*.parquet``. A batch folder
+counts once its job has left its ``_SUCCESS`` marker, and a version once it
+has such a batch: a write that fails is never read. Reads take the newest
+version; an append writes one batch folder into it; an overwrite writes one
+batch into a *new* version, so a job may rewrite the store from a plan that
+still reads the old one. Tokens are unique unless the caller names one: a
+token named again replaces that batch alone (a stream's replay).
+One writer at a time. Listing uses the Hadoop FileSystem of the path (works
+for any shared file system the cluster names).
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,19 +56,38 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def versions(spark: SparkSession, base: str) -> list[int]:
-    fs, p = _fs(spark, base)
+SUCCESS = "_SUCCESS"
+
+
+def _folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Names of the folders in ``path`` that start with ``prefix``, sorted."""
+    fs, p = _fs(spark, path)
     if not fs.exists(p):
         return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("v="):
-            try:
-                out.append(int(name[2:]))
-            except ValueError:
-                pass
-    return sorted(out)
+    found = [(st.getPath().getName(), st.isDirectory()) for st in fs.listStatus(p)]
+    return sorted(name for name, folder in found if folder and name.startswith(prefix))
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether the job that wrote the folder ended well."""
+    fs, p = _fs(spark, f"{path.rstrip('/')}/{SUCCESS}")
+    return fs.exists(p)
+
+
+def version_numbers(spark: SparkSession, base: str) -> list[int]:
+    """All version numbers in use, committed or not."""
+    return [int(n[2:]) for n in _folders(spark, base, "v=") if n[2:].isdigit()]
+
+
+def batches(spark: SparkSession, base: str, v: int) -> list[str]:
+    """Paths of the committed batches of a version."""
+    paths = [f"{_vpath(base, v)}/{n}" for n in _folders(spark, _vpath(base, v), "batch=")]
+    return [p for p in paths if committed(spark, p)]
+
+
+def versions(spark: SparkSession, base: str) -> list[int]:
+    """Committed versions: those with at least one committed batch."""
+    return [v for v in version_numbers(spark, base) if batches(spark, base, v)]
 
 
 def _vpath(base: str, v: int) -> str:
@@ -81,25 +103,26 @@ def conform(df: DataFrame) -> DataFrame:
 
 
 def store_scan(spark: SparkSession, base: str, exclude_batch: str | None = None) -> DataFrame:
-    """Newest version of the store; absent store -> empty frame, same schema.
+    """Newest committed version of the store; none -> empty frame, same schema.
 
-    ``exclude_batch`` hides one batch folder (a replayed stream batch must
-    not see its own earlier partial output)."""
+    ``exclude_batch`` hides one batch (a replayed stream batch must not see
+    its own earlier output)."""
     vs = versions(spark, base)
-    if not vs:
+    paths = [p for p in batches(spark, base, vs[-1]) if not p.endswith(f"/batch={exclude_batch}")] if vs else []
+    if not paths:
         return spark.createDataFrame([], STORE_SCHEMA)
-    df = spark.read.schema(STORE_SCHEMA).option("recursiveFileLookup", "true").parquet(_vpath(base, vs[-1]))
-    if exclude_batch is not None:
-        df = df.where(~F.col("_metadata.file_path").contains(f"/batch={exclude_batch}/"))
-    return df
+    return spark.read.schema(STORE_SCHEMA).parquet(*paths)
 
 
 def import_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """S5 (import): one JSON array document; unreadable -> empty."""
+    """S5 (import): one JSON array document; a missing file reads as empty, and
+    what cannot be parsed is dropped. Any other error is raised."""
     try:
         return spark.read.schema(STORE_SCHEMA).option("multiLine", True).option(
             "mode", "DROPMALFORMED").json(path)
-    except Exception:  # noqa: BLE001 - missing or corrupt file reads as empty
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], STORE_SCHEMA)
 
 
@@ -111,16 +134,19 @@ def store_append(df: DataFrame, base: str, batch: str | None = None) -> str:
     spark = df.sparkSession
     vs = versions(spark, base)
     token = batch if batch is not None else uuid.uuid4().hex
-    path = f"{_vpath(base, vs[-1] if vs else 1)}/batch={token}"
+    used = version_numbers(spark, base)
+    path = f"{_vpath(base, vs[-1] if vs else (used[-1] + 1 if used else 1))}/batch={token}"
     conform(df).write.mode("overwrite").parquet(path)
     return path
 
 
 def store_overwrite(df: DataFrame, base: str) -> str:
-    """Write the whole store as a new version (never the one being read)."""
+    """Write the whole store as a new version (never the one being read).
+
+    The old version stays in force until the write has committed."""
     spark = df.sparkSession
-    vs = versions(spark, base)
-    path = f"{_vpath(base, (vs[-1] + 1) if vs else 1)}/batch=0"
+    used = version_numbers(spark, base)
+    path = f"{_vpath(base, used[-1] + 1 if used else 1)}/batch={uuid.uuid4().hex}"
     conform(df).write.mode("errorifexists").parquet(path)
     return path
 

@@ -5,12 +5,13 @@ and ``foreachBatch``; each micro-batch is an ordinary batch plan:
 
 * ``stream_gate`` (R1): candidates are checked against the store *and*
   against those accepted earlier in the same batch (greedy keep-first with
-  the store as pre-accepted records), then appended to the store under the
-  batch id. A replayed batch overwrites its own folder and ignores it when
-  reading the store, so the sink is idempotent (exactly-once output with
-  the stream checkpoint).
+  the store as pre-accepted records), then appended to the store under a token
+  of the stream's query id and the batch id. A replayed batch overwrites its
+  own folder and ignores it when reading the store, so the sink is idempotent
+  (exactly-once output with the stream checkpoint); other streams have other
+  ids and never touch it.
 * ``stream_index`` (R2): postings and summaries of each batch's records are
-  appended under the batch id; the union equals a full rebuild.
+  appended under the same token; the union equals a full rebuild.
 """
 
 from __future__ import annotations
@@ -23,10 +24,19 @@ from quarry.operators import neardup, search
 from quarry.sources import store as st
 
 
-def _run(stream: DataFrame, fn, checkpoint: str, timeout_s: int | None = None) -> None:
-    q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s) if timeout_s else q.awaitTermination()
+def _run(stream: DataFrame, fn, checkpoint: str) -> None:
+    """Process everything that has arrived; ``fn`` gets each batch and a token
+    of its own, the same again if that batch is replayed.
+
+    The token holds the query's id from the checkpoint: a stream with another
+    checkpoint never meets this one's folders.
+    """
+    def batch(df: DataFrame, batch_id: int) -> None:
+        meta = df.sparkSession.read.json(f"{checkpoint.rstrip('/')}/metadata").first()
+        fn(df, f"{meta['id']}-{batch_id}")
+
+    (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
 
 
 def stream_gate(spark: SparkSession, source: str, schema: T.StructType, store_base: str, checkpoint: str,
@@ -35,8 +45,7 @@ def stream_gate(spark: SparkSession, source: str, schema: T.StructType, store_ba
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source))
 
-    def batch(df: DataFrame, batch_id: int) -> None:
-        token = str(batch_id)
+    def batch(df: DataFrame, token: str) -> None:
         current = st.store_scan(spark, store_base, exclude_batch=token)
         kept = neardup.greedy_dedupe(df, store=current, t=t, **cols).where("accepted").drop("accepted")
         st.store_append(kept, store_base, batch=token)
@@ -50,9 +59,9 @@ def stream_index(spark: SparkSession, source: str, schema: T.StructType, index_b
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source))
 
-    def batch(df: DataFrame, batch_id: int) -> None:
-        search.postings(df).write.mode("overwrite").parquet(f"{index_base}/postings/batch={batch_id}")
-        search.search_summary(df).write.mode("overwrite").parquet(f"{index_base}/summary/batch={batch_id}")
+    def batch(df: DataFrame, token: str) -> None:
+        search.postings(df).write.mode("overwrite").parquet(f"{index_base}/postings/batch={token}")
+        search.search_summary(df).write.mode("overwrite").parquet(f"{index_base}/summary/batch={token}")
 
     _run(stream, batch, checkpoint)
 
@@ -64,10 +73,11 @@ def read_stream_index(spark: SparkSession, index_base: str) -> tuple[DataFrame,
 
 
 def write_slices(df: DataFrame, path: str, order: str, n: int) -> None:
-    """Test helper: write ``df`` as ``n`` files in arrival order (one job each)."""
+    """Write ``df`` as ``n`` arrivals by ranges of ``order``: one job each, with
+    as many files as its rows need."""
     bounds = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
     lo, hi = int(bounds["a"]), int(bounds["b"])
     step = (hi - lo) // n + 1
     for i in range(n):
         part = df.where((F.col(order) >= lo + i * step) & (F.col(order) < lo + (i + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.write.mode("append").parquet(path)
