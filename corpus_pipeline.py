@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import lang_id, mixing, packing, pii, simhash_dedup
-from quarry.llm.common import read, stage
+from quarry.llm.common import prepare, read, stage
 from quarry.llm.queries import MIX_WEIGHTS, tokenizer_path
-from quarry.session import ensure_checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose best language is less likely than this is rejected.
@@ -24,7 +23,7 @@ MIN_LANGUAGE_SCORE = 0.5
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and texts of no clear language; the language
     of a document without one is filled in."""
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     rows = docs.select(*COLUMNS)
     found = lang_id.predict(rows, lang_id.fit(rows), COLUMNS)
     kept = found.where((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
@@ -33,27 +32,27 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates."""
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     return simhash_dedup.keep_one(docs.select(*COLUMNS), shingle=3, max_bits=2)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by tags; ``n_chars`` follows the text."""
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     rows = docs.select(*COLUMNS)
     return _sized(pii.redact(rows, pii.train(rows)))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix's documents: one row for each repetition, parts cut at a word."""
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     mixed = mixing.mix(docs.select(*COLUMNS), MIX_WEIGHTS, factor=1.5, max_epochs=2.0, carry=COLUMNS)
     return _sized(mixing.expand(mixed, COLUMNS))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens: one row a piece."""
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     return packing.pack(docs.select(*COLUMNS), tokenizer_path("byte_bpe_50k.json"), 2048, end_id=0)
 
 
@@ -75,7 +74,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written below the shared folder."""
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     docs = read(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name)

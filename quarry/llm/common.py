@@ -13,7 +13,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import scratch_dir
+from quarry.session import ensure_checkpoint_dir, scratch_dir
 
 #: Word boundary of all contracts: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
@@ -21,6 +21,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows and bytes of texts that go to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Shared folder for written tables, and bounds on what a Python worker and
+    its executor hold at once: Spark's default of 10,000 rows a batch counts
+    rows, not the length of their texts. Smaller settings of the session stay.
+    """
+    ensure_checkpoint_dir(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
 

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import fingerprints, lang_id, lm_score, mixing, packing, pii, quality, simhash_dedup, token_count, url_filter
-from quarry.llm.common import read
-from quarry.session import ensure_checkpoint_dir
+from quarry.llm.common import prepare, read
 
 TOKEN_LIMIT = 4096
 MIX_WEIGHTS = [5, 2, 1]
@@ -30,7 +29,7 @@ def tokenizer_path(name: str) -> str:
 def register(name: str):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ensure_checkpoint_dir(spark)
+            prepare(spark)
             return fn(spark, sf_dir)
         QUERIES[name] = run
         return fn
