@@ -87,14 +87,19 @@ def generate(df: DataFrame, prompt_col: str, client_factory: Callable[[], Callab
     """Call a model client for every prompt; one client per partition.
 
     ``client_factory`` runs on the executor and returns ``prompt -> text``.
-    Failures (exceptions, non-string results) give a null reply.
+    Failures (exceptions, non-string results) give a null reply; a factory
+    that fails gives its whole partition null replies.
     """
     keys = key_cols or [c for c in df.columns if c != prompt_col]
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(prompt_col, T.StringType()),
                                                           T.StructField(out, T.StringType())])
 
     def run(batches):
-        client = client_factory()
+        try:
+            client = client_factory()
+        except Exception:  # noqa: BLE001 - no client: every call fails
+            def client(_):
+                raise RuntimeError("no client")
         for pdf in batches:
             res = []
             for p in pdf[prompt_col]:

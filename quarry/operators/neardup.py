@@ -16,8 +16,10 @@ Plan, all lossless:
    hence a shared token among each string's rarest ``len - overlap + 1``
    tokens (AllPairs prefix principle). The join is an equi-join on the
    token; the length bound is applied before scoring.
+   Before any Python, common characters and common bigrams (as bags) must
+   reach their lower bounds, natively.
 3. **Exact scores** with the Arrow-batched ``difflib`` UDF on surviving
-   distinct pairs only (cheap bag/length bounds first, inside the batch).
+   distinct pairs only.
 4. **Branches instead of record pairs.** A title pair at ``>= t`` makes
    every record pair of those titles a duplicate, so the title branch is
    answered per *title* (earliest record per title, ``min`` over similar
@@ -37,6 +39,9 @@ from quarry.functions.text import normalize_tags, normalize_text
 from quarry.session import ensure_checkpoint_dir
 
 
+_ROW = "_row"  # a candidate row's own number: ids may repeat
+
+
 def _h(c):
     return F.unhex(F.sha2(c, 256))
 
@@ -46,40 +51,50 @@ def features(df: DataFrame, id="id", seq="seq", title="title", statement="statem
     """Normalised content plus keys: ``kt`` title, ``ks`` statement, ``sig`` all."""
     f = df.select(F.col(id).alias("id"), F.col(seq).alias("seq"),
                   normalize_text(F.col(title)).alias("nt"), normalize_text(F.col(statement)).alias("ns"),
-                  normalize_tags(F.col(tags)).alias("tg"), *(["_grp"] if "_grp" in df.columns else []))
+                  normalize_tags(F.col(tags)).alias("tg"), *[c for c in ("_grp", _ROW) if c in df.columns])
     return f.withColumns({"kt": _h(F.col("nt")), "ks": _h(F.col("ns")),
                           "sig": _h(F.to_json(F.struct("nt", "ns", "tg")))})
 
 
 # ------------------------------------------------------------ candidate pairs
 
-def _prefix_tokens(strings: DataFrame, freq: DataFrame | None, m: float):
-    """strings(k, s) -> (k, n, ch, occ) for each string's rarest prefix tokens."""
+def _counts(strings: DataFrame, size: int) -> DataFrame:
+    """(k, g, c): how often each character n-gram stands in each string."""
     n = F.length("s")
-    base = strings.select("k", "s", n.alias("n"))
-    chars = base.where(F.col("n") > 0).select(
-        "k", F.explode(F.regexp_extract_all("s", F.lit("(?s)."), 0)).alias("ch"))
-    counts = chars.groupBy("k", "ch").count()
-    toks = counts.select("k", "ch", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("occ"))
-    return base.select("k", "n"), toks
+    if size == 1:
+        grams = F.regexp_extract_all("s", F.lit("(?s)."), 0)
+    else:
+        grams = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(F.col("s"), i, size))
+    return (strings.where(n >= size).select("k", F.explode(grams).alias("g"))
+            .groupBy("k", "g").agg(F.count(F.lit(1)).cast("int").alias("c")))
+
+
+def _tokens(counts: DataFrame) -> DataFrame:
+    """(k, ch, occ): the k-th occurrence of a character is a token of its own."""
+    return counts.select("k", F.col("g").alias("ch"), F.explode(F.sequence(F.lit(1), F.col("c"))).alias("occ"))
 
 
-def _histograms(strings: DataFrame) -> DataFrame:
-    """Per string its character histogram as a map (size <= alphabet, also
-    for very long texts)."""
-    chars = strings.where(F.length("s") > 0).select(
-        "k", F.explode(F.regexp_extract_all("s", F.lit("(?s)."), 0)).alias("ch"))
-    return chars.groupBy("k", "ch").agg(F.count(F.lit(1)).cast("int").alias("c")).groupBy("k").agg(
-        F.map_from_entries(F.collect_list(F.struct("ch", "c"))).alias("h"))
+def _histograms(counts: DataFrame) -> DataFrame:
+    """Per string its n-gram counts as a map."""
+    return counts.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("g", "c"))).alias("h"))
 
 
 def _bag_overlap(ha, hb):
-    """sum over characters of min(count in a, count in b), natively."""
+    """sum over n-grams of min(count in a, count in b), natively."""
     return F.aggregate(F.map_keys(ha), F.lit(0),
                        lambda acc, c: acc + F.least(F.try_element_at(ha, c),
                                                     F.coalesce(F.try_element_at(hb, c), F.lit(0))))
 
 
+def _bag_filter(cand: DataFrame, left: DataFrame, right: DataFrame, need) -> DataFrame:
+    """Candidates whose common n-grams (as bags) reach ``need``."""
+    lh, rh = _histograms(left), _histograms(right)
+    return (cand.join(lh.select(F.col("k").alias("ka"), F.col("h").alias("ha")), "ka", "left")
+            .join(rh.select(F.col("k").alias("kb"), F.col("h").alias("hb")), "kb", "left")
+            .where(F.coalesce(_bag_overlap(F.col("ha"), F.col("hb")), F.lit(0)) >= need)
+            .drop("ha", "hb"))
+
+
 def similar_pairs(left: DataFrame, right: DataFrame | None, m: float) -> DataFrame:
     """All ``(ka, kb, ratio)`` with ``ratio(left s as new, right s as existing) >= m``.
 
@@ -89,6 +104,8 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, m: float) -> DataFra
     same = right is None
     right = left if same else right
     lf = length_floor(m)
+    if m <= EPS:
+        raise ValueError("pairs that share no character would be missed: the threshold is too low")
     if not same:
         # A string can only pair with lengths in [lf*n, n/lf]: drop those that
         # cannot reach the other side's length range (two tiny aggregates).
@@ -103,8 +120,12 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, m: float) -> DataFra
             n = F.length("s")
             return df.where((n == 0) | ((n >= F.lit(lo * lf - EPS)) & (n <= F.lit(hi / lf + EPS))))
         left, right = keep(left, ra, rb), keep(right, la, lb)
-    ln, ltok = _prefix_tokens(left, None, m)
-    rn, rtok = (ln, ltok) if same else _prefix_tokens(right, None, m)
+    lcounts = _counts(left, 1)
+    rcounts = lcounts if same else _counts(right, 1)
+    ltok = _tokens(lcounts)
+    rtok = ltok if same else _tokens(rcounts)
+    ln = left.select("k", F.length("s").alias("n"))
+    rn = ln if same else right.select("k", F.length("s").alias("n"))
     if same:
         freq = ltok.groupBy("ch", "occ").agg(F.count(F.lit(1)).alias("freq"), F.lit(1).alias("both"))
     else:
@@ -142,13 +163,16 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, m: float) -> DataFra
         "ka", "kb", "na", "nb")
     # Exact bag bound (difflib's quick_ratio) in the JVM before any Python:
     # ratio <= 2 * sum_c min(count_a(c), count_b(c)) / (na + nb).
-    lh = _histograms(left)
-    rh = lh if same else _histograms(right)
-    cand = (cand.join(lh.select(F.col("k").alias("ka"), F.col("h").alias("ha")), "ka")
-            .join(rh.select(F.col("k").alias("kb"), F.col("h").alias("hb")), "kb")
-            .where(_bag_overlap(F.col("ha"), F.col("hb")) * 2
-                   >= (F.col("na") + F.col("nb")) * F.lit(m) - F.lit(EPS))
-            .select("ka", "kb"))
+    total = F.col("na") + F.col("nb")
+    cand = _bag_filter(cand, lcounts, rcounts, total * F.lit(m / 2) - F.lit(EPS))
+    # Matched characters form M = m/2 * total pairs in blocks. Between two blocks
+    # lies at least one unmatched character, so there are at most total - 2M + 1
+    # blocks, and M less the blocks, or more, adjacent pairs are common bigrams.
+    need = total * F.lit(1.5 * m - 1) - F.lit(1 + EPS)
+    if 1.5 * m > 1:
+        lgrams = _counts(left, 2)
+        cand = _bag_filter(cand, lgrams, lgrams if same else _counts(right, 2), need)
+    cand = cand.select("ka", "kb")
     if same:
         # both directions (the ratio is asymmetric) and each string with
         # itself (scored too: autojunk can keep ratio(x, x) below 1.0)
@@ -212,6 +236,14 @@ class _Branches:
         self.SP = similar_pairs(_strings(new_f, "ks", "ns"),
                                 None if self.same else _strings(self.ex_f, "ks", "ns"), t)
 
+    @classmethod
+    def for_weighted(cls, t: float) -> _Branches:
+        """Only the weighted branch, new against existing."""
+        br = cls.__new__(cls)
+        br.t, br.same = t, False
+        br.low_t, br.low_s = branch_floors(t)
+        return br
+
     def _gray_titles(self, new_sig: DataFrame, ex_sig: DataFrame) -> DataFrame:
         lf = length_floor(self.low_s)
         a, b = new_sig, ex_sig
@@ -238,18 +270,37 @@ class _Branches:
 
         ``new_sig``/``ex_sig`` carry ``sig, kt, ks, nt, ns, tg`` (plus ``m``
         on the existing side when present)."""
-        t = self.t
-        gray = self._gray_titles(new_sig, ex_sig)
+        t, low_s = self.t, self.low_s
+        gray = self._gray_titles(new_sig, ex_sig).checkpoint()
+        lf = length_floor(low_s)
+
+        def keys(sig: DataFrame, side: str) -> DataFrame:
+            return sig.select(F.col("kt").alias(f"kt{side}"), F.col("ks").alias(f"k{side}"),
+                              F.length("ns").alias(f"n{side}")).distinct()
+
+        def strings(sig: DataFrame, side: str) -> DataFrame:
+            return sig.select(F.col("ks").alias(f"k{side}"), F.col("ns").alias(f"s{side}")).dropDuplicates([f"k{side}"])
+
+        # Statement pairs from keys alone, bounded natively; texts come last.
+        need = (gray.join(keys(new_sig, "a"), "kta").join(keys(ex_sig, "b"), "ktb")
+                .where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(lf) - F.lit(EPS))
+                .select("ka", "kb", "na", "nb").distinct())
+        total = F.col("na") + F.col("nb")
+
+        def counts(sig: DataFrame, size: int) -> DataFrame:
+            return _counts(sig.select(F.col("ks").alias("k"), F.col("ns").alias("s")).dropDuplicates(["k"]), size)
+        need = _bag_filter(need, counts(new_sig, 1), counts(ex_sig, 1), total * F.lit(low_s / 2) - F.lit(EPS))
+        if 1.5 * low_s > 1:
+            need = _bag_filter(need, counts(new_sig, 2), counts(ex_sig, 2),
+                               total * F.lit(1.5 * low_s - 1) - F.lit(1 + EPS))
+        scored = (spread(need.select("ka", "kb").join(strings(new_sig, "a"), "ka").join(strings(ex_sig, "b"), "kb"))
+                  .withColumn("S", ratio_at_least_udf("sa", "sb", F.lit(float(low_s))))
+                  .where(F.col("S").isNotNull()).select("ka", "kb", "S"))
         a = new_sig.select(F.col("sig").alias("sa"), F.col("kt").alias("kta"), F.col("ks").alias("ka"),
-                           F.col("ns").alias("nsa"), F.col("tg").alias("tga"))
+                           F.col("tg").alias("tga"))
         b = ex_sig.select(F.col("sig").alias("sb"), F.col("kt").alias("ktb"), F.col("ks").alias("kb"),
-                          F.col("ns").alias("nsb"), F.col("tg").alias("tgb"),
-                          *[c for c in ex_sig.columns if c == "m"])
-        j = gray.join(a, "kta").join(b, "ktb")
-        need = j.select("ka", "kb", "nsa", "nsb").dropDuplicates(["ka", "kb"])
-        scored = (spread(need).withColumn("S", ratio_at_least_udf("nsa", "nsb", F.lit(float(self.low_s))))
-                  .where(F.col("S").isNotNull()).select("ka", "kb", "S"))
-        j = j.drop("nsa", "nsb").join(scored, ["ka", "kb"])
+                          F.col("tg").alias("tgb"), *[c for c in ex_sig.columns if c == "m"])
+        j = scored.join(a, "ka").join(b, "kb").join(gray, ["kta", "ktb"])
         g = jaccard_sets(F.col("tga"), F.col("tgb"))
         return j.withColumn("G", g).where(_weighted(F.col("T"), F.col("S"), F.col("G")) >= t)
 
@@ -286,61 +337,96 @@ def first_duplicate(new: DataFrame, existing: DataFrame | None = None, t: float
     first = F.least("mt", "ms", "mw")
     j = j.withColumn("first", first).where(F.col("first").isNotNull())
     if existing is None:
-        j = j.where(F.col("first.seq") < F.col("seq"))
-    e = ef.select(F.col("id").alias("dup_id"), F.col("nt").alias("nt_b"), F.col("ns").alias("ns_b"),
-                  F.col("tg").alias("tg_b"))
-    out = spread(j.select("id", "nt", "ns", "tg", F.col("first.id").alias("dup_id"),
-                          F.col("first.seq").alias("dup_seq")).join(e, "dup_id"))
-    ts, ss = ratio_udf("nt", "nt_b"), ratio_udf("ns", "ns_b")
-    out = out.withColumns({"title_similarity": ts, "statement_similarity": ss,
-                           "tag_similarity": jaccard_sets(F.col("tg"), F.col("tg_b"))})
+        j = j.where(F.col("first") < F.struct("seq", "id"))
+    e = ef.select(F.col("id").alias("dup_id"), F.col("seq").alias("dup_seq"), F.col("kt").alias("kt_b"),
+                  F.col("ks").alias("ks_b"), F.col("tg").alias("tg_b"))
+    # ids may repeat: a record is its id and place
+    e = e.dropDuplicates(["dup_id", "dup_seq"])
+    out = (j.select("id", "kt", "ks", "tg", F.col("first.id").alias("dup_id"), F.col("first.seq").alias("dup_seq"))
+           .join(e, ["dup_id", "dup_seq"])).checkpoint()
+    for name, key, text in (("title_similarity", "kt", "nt"), ("statement_similarity", "ks", "ns")):
+        # each pair of distinct strings is scored once
+        a_text = nf.select(key, F.col(text).alias("_a")).dropDuplicates([key])
+        b_text = ef.select(F.col(key).alias(f"{key}_b"), F.col(text).alias("_b")).dropDuplicates([f"{key}_b"])
+        pairs = spread(out.select(key, f"{key}_b").distinct().join(a_text, key).join(b_text, f"{key}_b"))
+        out = out.join(pairs.select(key, f"{key}_b", ratio_udf("_a", "_b").alias(name)), [key, f"{key}_b"])
+    out = out.withColumn("tag_similarity", jaccard_sets(F.col("tg"), F.col("tg_b")))
     return out.select("id", "dup_id", "dup_seq", "title_similarity", "statement_similarity", "tag_similarity",
                       _weighted(F.col("title_similarity"), F.col("statement_similarity"),
                                 F.col("tag_similarity")).alias("weighted_similarity"))
 
 
+def _sides(f: DataFrame, key: str, who: str) -> DataFrame:
+    """Per distinct string: its earliest record and how many records have it."""
+    return f.groupBy(F.col(key).alias(f"k_{who}")).agg(
+        F.min(F.struct("seq", "id"))["id"].alias(f"{who}_id"), F.count(F.lit(1)).alias(f"n_{who}"))
+
+
 def near_dup_pairs(new: DataFrame, existing: DataFrame, t: float = THRESHOLD, **cols) -> DataFrame:
-    """Duplicate pairs of distinct content (new signature vs existing
-    signature) with all four scores and the number of records behind each
-    side. Exact copies are one row, never a block of record pairs."""
+    """Duplicate pairs, new against existing, as pairs of distinct strings.
+
+    One row for each pair of titles at or above ``t`` (``branch`` title): it
+    stands for all its records, whose numbers it gives. Then the statement
+    pairs at or above ``t`` that have records under titles not already paired,
+    and the pairs of distinct contents that only the weighted score makes
+    duplicates. Rows grow with distinct strings, never with copies; scores
+    that a row's branch does not decide are null.
+    """
     ensure_checkpoint_dir(new.sparkSession)
     nf, ef = features(new, **cols).checkpoint(), features(existing, **cols).checkpoint()
     br = _Branches(nf, ef, t)
-    ns = nf.groupBy("sig").agg(F.min(F.struct("seq", "id")).alias("fa"), F.count(F.lit(1)).alias("n_new"),
-                               F.first("kt").alias("kt"), F.first("ks").alias("ks"),
-                               F.first("nt").alias("nt"), F.first("ns").alias("ns"), F.first("tg").alias("tg"))
-    es = ef.groupBy("sig").agg(F.min(F.struct("seq", "id")).alias("fb"), F.count(F.lit(1)).alias("n_existing"),
-                               F.first("kt").alias("kt"), F.first("ks").alias("ks"),
-                               F.first("nt").alias("nt"), F.first("ns").alias("ns"), F.first("tg").alias("tg"))
-    a = ns.select(F.col("sig").alias("sa"), F.col("kt").alias("kta"), F.col("ks").alias("ksa"))
-    b = es.select(F.col("sig").alias("sb"), F.col("kt").alias("ktb"), F.col("ks").alias("ksb"))
-    via_t = (br.TP.where(F.col("ratio") >= t).select(F.col("ka").alias("kta"), F.col("kb").alias("ktb"))
-             .join(a, "kta").join(b, "ktb").select("sa", "sb"))
-    via_s = (br.SP.select(F.col("ka").alias("ksa"), F.col("kb").alias("ksb"))
-             .join(a, "ksa").join(b, "ksb").select("sa", "sb"))
-    via_w = br.weighted_pairs(ns, es).select("sa", "sb")
-    cand = via_t.unionByName(via_s).unionByName(via_w).distinct()
-    A = ns.select(F.col("sig").alias("sa"), F.col("fa.id").alias("new_id"), "n_new",
-                  F.col("nt").alias("nta"), F.col("ns").alias("nsa"), F.col("tg").alias("tga"))
-    B = es.select(F.col("sig").alias("sb"), F.col("fb.id").alias("existing_id"), "n_existing",
-                  F.col("nt").alias("ntb"), F.col("ns").alias("nsb"), F.col("tg").alias("tgb"))
-    j = spread(cand.join(A, "sa").join(B, "sb"))
-    j = j.withColumns({"title_similarity": ratio_udf("nta", "ntb"),
-                       "statement_similarity": ratio_udf("nsa", "nsb"),
-                       "tag_similarity": jaccard_sets(F.col("tga"), F.col("tgb"))})
-    j = j.withColumn("weighted_similarity", _weighted(F.col("title_similarity"), F.col("statement_similarity"),
-                                                      F.col("tag_similarity")))
-    dup = ((F.col("title_similarity") >= t) | (F.col("statement_similarity") >= t)
-           | (F.col("weighted_similarity") >= t))
-    return j.where(dup).select("new_id", "existing_id", "n_new", "n_existing", "title_similarity",
-                               "statement_similarity", "tag_similarity", "weighted_similarity",
-                               dup.alias("is_duplicate"))
+    tp, sp = br.TP.checkpoint(), br.SP.checkpoint()
+    out_cols = ["branch", "new_id", "existing_id", "n_new", "n_existing", "title_similarity",
+                "statement_similarity", "tag_similarity", "weighted_similarity"]
+
+    def rows(pairs: DataFrame, key: str, branch: str, **scores) -> DataFrame:
+        j = (pairs.join(_sides(nf, key, "new"), F.col("a") == F.col("k_new"))
+             .join(_sides(ef, key, "existing"), F.col("b") == F.col("k_existing")))
+        values = {c: scores.get(c, F.lit(None).cast("double")) for c in out_cols[-4:]}
+        return j.withColumns({"branch": F.lit(branch), **values}).select(*out_cols)
+
+    titles = tp.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "ratio")
+    under_a = nf.select(F.col("ks").alias("a"), F.col("kt").alias("kta")).distinct()
+    under_b = ef.select(F.col("ks").alias("b"), F.col("kt").alias("ktb")).distinct()
+    statements = sp.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "ratio")
+    uncovered = (statements.join(under_a, "a").join(under_b, "b")
+                 .join(tp.select(F.col("ka").alias("kta"), F.col("kb").alias("ktb")), ["kta", "ktb"], "left_anti")
+                 .select("a", "b", "ratio").distinct())
+
+    def contents(f: DataFrame) -> DataFrame:
+        return f.dropDuplicates(["sig"]).select("sig", "kt", "ks", "nt", "ns", "tg")
+    weighted = br.weighted_pairs(contents(nf), contents(ef)).where((F.col("S") < t) & (F.col("T") < t)).select(
+        F.col("sa").alias("a"), F.col("sb").alias("b"), "T", "S", "G")
+    return (rows(titles, "kt", "title", title_similarity=F.col("ratio"))
+            .unionByName(rows(uncovered, "ks", "statement", statement_similarity=F.col("ratio")))
+            .unionByName(rows(weighted, "sig", "weighted", title_similarity=F.col("T"), statement_similarity=F.col("S"),
+                              tag_similarity=F.col("G"),
+                              weighted_similarity=_weighted(F.col("T"), F.col("S"), F.col("G")))))
+
+
+def _without_duplicates(nf: DataFrame, ef: DataFrame, t: float) -> DataFrame:
+    """Feature rows of ``nf`` that duplicate none of ``ef``: verdicts only.
+
+    Each branch looks at what the one before has left, and no pair is scored
+    beyond what its verdict needs.
+    """
+    titles = similar_pairs(_strings(nf, "kt", "nt"), _strings(ef, "kt", "nt"), t)
+    left = nf.join(titles.select(F.col("ka").alias("kt")).distinct(), "kt", "left_anti").checkpoint()
+    statements = similar_pairs(_strings(left, "ks", "ns"), _strings(ef, "ks", "ns"), t)
+    left = left.join(statements.select(F.col("ka").alias("ks")).distinct(), "ks", "left_anti").checkpoint()
+
+    def contents(f: DataFrame) -> DataFrame:
+        return f.dropDuplicates(["sig"]).select("sig", "kt", "ks", "nt", "ns", "tg")
+    weighted = _Branches.for_weighted(t).weighted_pairs(contents(left), contents(ef))
+    return left.join(weighted.select(F.col("sa").alias("sig")).distinct(), "sig", "left_anti")
 
 
 def dedupe_gate(new: DataFrame, existing: DataFrame, t: float = THRESHOLD, id: str = "id", **cols) -> DataFrame:
     """New records without any duplicate in the store."""
-    d = first_duplicate(new, existing, t, id=id, **cols).select(F.col("id").alias(id))
-    return new.join(d, id, "left_anti")
+    ensure_checkpoint_dir(new.sparkSession)
+    rows = new.withColumn(_ROW, F.monotonically_increasing_id()).checkpoint()
+    kept = _without_duplicates(features(rows, id=id, **cols).checkpoint(), features(existing, **{"id": id, **cols}).checkpoint(), t)
+    return rows.join(kept.select(_ROW), _ROW, "left_semi").drop(_ROW)
 
 
 # ------------------------------------------------------------------ greedy
@@ -349,87 +435,72 @@ UNDECIDED, ACCEPTED, REJECTED = 0, 1, 2
 
 
 def greedy_dedupe(cands: DataFrame, store: DataFrame | None = None, t: float = THRESHOLD,
-                  limit: int | None = None, max_rounds: int | None = None, group: str | None = None,
-                  **cols) -> DataFrame:
+                  limit: int | None = None, group: str | None = None, **cols) -> DataFrame:
     """Order-dependent keep-first. A record is accepted iff it has no
     duplicate among the records accepted before it (store records count as
-    accepted and come first). Output: the candidate records plus
-    ``accepted`` (bool) and ``dup_of`` is not computed here (see J2).
+    accepted and come first). Output: the candidate rows plus ``accepted``.
 
-    Rounds (Blelloch-Fineman-Shun style): reject nodes with an accepted
+    The order is (seq, id), equal ones by row. Candidates that duplicate a
+    store record leave first, by verdicts of candidates against the store
+    (store records are never compared with one another). The rest go through
+    rounds (Blelloch-Fineman-Shun style): reject nodes with an accepted
     earlier neighbour; accept nodes whose earlier neighbours are all
-    rejected. Neighbourhoods are evaluated per title / statement group and
-    per weighted signature pair, never as record pairs. Each round's state
-    is checkpointed (reliable) into ``spark.checkpoint.dir``.
+    rejected; the earliest undecided one is always decided, so the rounds end.
+    Neighbourhoods are evaluated per title / statement group and per weighted
+    signature pair, never as record pairs. Each round's state is checkpointed
+    (reliable) into ``spark.checkpoint.dir``.
+
+    ``group``: attempts of one metadata key; an accepted attempt ends its key,
+    so later attempts of that key never count. ``limit``: only the first so
+    many accepted ones stay accepted.
     """
     spark = cands.sparkSession
     ensure_checkpoint_dir(spark)
-    # ``group``: attempts of one metadata key (in ``seq`` order); an accepted
-    # attempt ends its key, so later attempts of that key never count.
-    cands_g = cands.withColumn("_grp", F.col(group).cast("string") if group else F.lit(None).cast("string"))
-    cf = features(cands_g, **cols)
+    rows = (cands.withColumn("_grp", F.col(group).cast("string") if group else F.lit(None).cast("string"))
+            .withColumn(_ROW, F.monotonically_increasing_id()).checkpoint())
+    cf = features(rows, **cols).checkpoint()
     if store is not None:
-        # store records are accepted and precede every candidate; their own
-        # order is irrelevant, so one seq below the candidates serves them all
-        lo = cf.agg(F.min("seq").alias("a")).first()["a"]
-        sc = dict(cols)
-        sc["seq"] = "_store_seq"
-        sf = features(store.withColumn("_store_seq", F.lit(int(lo or 0) - 1).cast("long"))
-                      .withColumn("_grp", F.lit(None).cast("string")), **sc)
-        allf = sf.withColumn("_store", F.lit(True)).unionByName(cf.withColumn("_store", F.lit(False)))
-    else:
-        allf = cf.withColumn("_store", F.lit(False))
-    allf = allf.checkpoint()
-    # exact copies: only the earliest record of a signature can be accepted
+        cf = _without_duplicates(cf, features(store, **{**cols, "seq": cols.get("id", "id")}).checkpoint(), t).checkpoint()
     # exact copies collapse per (signature, key): a copy under another key
     # stays a node, since its key's earlier success may have stopped the first
-    reps = allf.groupBy("sig", "_grp").agg(
-        F.min(F.struct("seq", "id", "kt", "ks", "nt", "ns", "tg", "_store")).alias("r"))
-    nodes = reps.select("sig", "_grp", "r.*").withColumn(
-        "state", F.when(F.col("_store"), F.lit(ACCEPTED)).otherwise(F.lit(UNDECIDED)))
+    cf = cf.withColumn("at", F.struct("seq", "id", _ROW))
+    reps = cf.groupBy("sig", "_grp").agg(F.min(F.struct("at", "kt", "ks", "nt", "ns", "tg")).alias("r"))
+    nodes = reps.select("sig", "_grp", "r.*").withColumn("state", F.lit(UNDECIDED)).checkpoint()
     br = _Branches(nodes, None, t)
     TD = br.TP.where(F.col("ratio") >= t).select("ka", "kb").checkpoint()
     SD = br.SP.where(F.col("ratio") >= t).select("ka", "kb").checkpoint()
-    sig_view = nodes.select("sig", "kt", "ks", "nt", "ns", "tg")
+    sig_view = nodes.select("sig", "kt", "ks", "nt", "ns", "tg").dropDuplicates(["sig"])
     WD = br.weighted_pairs(sig_view, sig_view).select("sa", "sb").checkpoint()
-    nodes = nodes.select("sig", "_grp", "seq", "id", "kt", "ks", "state").checkpoint()
+    nodes = nodes.select("sig", "_grp", "at", "kt", "ks", "state").checkpoint()
 
     def neighbour_min(nodes, which):
-        """Per node: min seq over neighbours (any branch) having state in which."""
+        """Per node: earliest place of neighbours (any branch) having state in which."""
         live = nodes.where(F.col("state").isin(which))
-        mt = (TD.join(live.groupBy("kt").agg(F.min("seq").alias("x")).withColumnRenamed("kt", "kb"), "kb")
+        mt = (TD.join(live.groupBy("kt").agg(F.min("at").alias("x")).withColumnRenamed("kt", "kb"), "kb")
               .groupBy("ka").agg(F.min("x").alias("mt")).withColumnRenamed("ka", "kt"))
-        ms = (SD.join(live.groupBy("ks").agg(F.min("seq").alias("x")).withColumnRenamed("ks", "kb"), "kb")
+        ms = (SD.join(live.groupBy("ks").agg(F.min("at").alias("x")).withColumnRenamed("ks", "kb"), "kb")
               .groupBy("ka").agg(F.min("x").alias("ms")).withColumnRenamed("ka", "ks"))
-        mw = (WD.join(live.select(F.col("sig").alias("sb"), F.col("seq").alias("x")), "sb")
+        mw = (WD.join(live.groupBy(F.col("sig").alias("sb")).agg(F.min("at").alias("x")), "sb")
               .groupBy("sa").agg(F.min("x").alias("mw")).withColumnRenamed("sa", "sig"))
-        mg = live.where(F.col("_grp").isNotNull()).groupBy("_grp").agg(F.min("seq").alias("mg"))
+        mg = live.where(F.col("_grp").isNotNull()).groupBy("_grp").agg(F.min("at").alias("mg"))
         return (nodes.join(mt, "kt", "left").join(ms, "ks", "left").join(mw, "sig", "left")
                 .join(mg, "_grp", "left")
                 .withColumn("_m", F.least("mt", "ms", "mw", "mg")).drop("mt", "ms", "mw", "mg"))
 
-    rounds = 0
-    while True:
-        und = nodes.where(F.col("state") == UNDECIDED).count()
-        if und == 0 or (max_rounds is not None and rounds >= max_rounds):
-            break
-        rounds += 1
+    while nodes.where(F.col("state") == UNDECIDED).limit(1).count():
         x = neighbour_min(nodes, [ACCEPTED])
-        x = x.withColumn("state", F.when((F.col("state") == UNDECIDED) & (F.col("_m") < F.col("seq")),
+        x = x.withColumn("state", F.when((F.col("state") == UNDECIDED) & (F.col("_m") < F.col("at")),
                                          F.lit(REJECTED)).otherwise(F.col("state"))).drop("_m")
         x = x.checkpoint()
         y = neighbour_min(x, [UNDECIDED, ACCEPTED])
         y = y.withColumn("state", F.when((F.col("state") == UNDECIDED)
-                                         & (F.coalesce(F.col("_m"), F.col("seq")) >= F.col("seq")),
+                                         & (F.coalesce(F.col("_m"), F.col("at")) >= F.col("at")),
                                          F.lit(ACCEPTED)).otherwise(F.col("state"))).drop("_m")
         nodes = y.checkpoint()
 
-    acc = nodes.where(F.col("state") == ACCEPTED).select("id", F.lit(True).alias("accepted"))
-    out = cf.select("id", "seq").join(acc, "id", "left").select(
-        "id", (F.col("seq")).alias("seq"), F.coalesce(F.col("accepted"), F.lit(False)).alias("accepted"))
+    accepted = nodes.where(F.col("state") == ACCEPTED)
     if limit is not None:
-        firsts = out.where("accepted").orderBy("seq").limit(limit).select("id", F.lit(True).alias("_keep"))
-        out = out.join(firsts, "id", "left").withColumn(
-            "accepted", F.coalesce(F.col("_keep"), F.lit(False))).drop("_keep")
-    key = cols.get("id", "id")
-    return cands.join(out.withColumnRenamed("id", key).drop("seq"), key)
+        accepted = accepted.orderBy("at").limit(limit)
+    kept = accepted.select(F.col(f"at.{_ROW}").alias(_ROW), F.lit(True).alias("accepted"))
+    return (rows.join(kept, _ROW, "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+            .drop(_ROW, "_grp"))

@@ -3,20 +3,19 @@
 The source is a table of already fetched pages ``(page_id, url, html[,
 status])``. Link extraction has two forms:
 
-* ``page_links`` - native regexes (JVM, codegen): anchors inside the blocks
-  of the first path element, in document order. Right for well-formed pages
-  whose anchors in that block all sit on the path.
-* ``page_links_exact`` - ``mapInPandas`` with the stdlib HTML parser and an
-  open-tag stack: exact descendant-path semantics for arbitrary markup. Each
-  Arrow batch of pages is parsed in the executor; nothing goes to the driver.
+* ``page_links`` - the stdlib HTML parser with an open-tag stack, over Arrow
+  batches of pages in the executors: exact descendant-path semantics for
+  arbitrary markup (nested blocks, anchors off the path, any quoting).
+* ``page_links_regex`` - native regexes (JVM): anchors inside the blocks of the
+  first path element, in document order. Only right for flat pages whose
+  anchors in that block all sit on the path.
 """
 
 from __future__ import annotations
 
-import html as _html
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,9 +25,8 @@ from quarry.operators.ids import dense_index
 
 # Default crawl parameters and output formats.
 DEFAULT_PATH = ["div.mw-parser-output", "ul", "li", "a"]
-DEFAULT_HEAD = 30
 DEFAULT_KEYWORD = "algorithm"
-MAX_TOPIC_LEN = 40  # kept topics are shorter than this
+MAX_TOPIC_LEN = 40  # kept topics are shorter than this (a parameter of crawl_topics)
 CRAWLED_TAG = "Algorithm"
 OBJECTIVE_FMT = "Understand the core properties and runtime behavior of %s."
 BASELINE_FILE_FMT = "metadata_baseline_%04d"
@@ -96,8 +94,8 @@ def _unescape_basic(c):
     return c
 
 
-def page_links(pages: DataFrame, path=None, ok_status_only: bool = True) -> DataFrame:
-    """P1 (native form): ``(page_id, pos, href, text)`` in document order."""
+def page_links_regex(pages: DataFrame, path=None, ok_status_only: bool = True) -> DataFrame:
+    """P1 for flat pages: ``(page_id, pos, href, text)`` in document order."""
     path = path or DEFAULT_PATH
     if ok_status_only and "status" in pages.columns:
         pages = pages.where(F.col("status") == 200)
@@ -130,7 +128,7 @@ class _PathCollector(HTMLParser):
         self.path = [_tag_name(s) for s in path]
         self.stack: list[tuple[str, set]] = []
         self.out: list[list] = []      # [href, [text parts]]
-        self.open: list[int] = []      # depth of currently open matches
+        self.open: list[tuple[int, int]] = []  # (depth, place in out) of matches still open
         self.skip = 0
 
     def _matches(self) -> bool:
@@ -156,54 +154,59 @@ class _PathCollector(HTMLParser):
         self.stack.append((tag, set((a.get("class") or "").split())))
         if self._matches():
             self.out.append([a.get("href") or "", []])
-            self.open.append(len(self.stack))
+            self.open.append((len(self.stack), len(self.out) - 1))
 
     def handle_endtag(self, tag):
         if tag in ("script", "style") and self.skip:
             self.skip -= 1
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                while self.open and self.open[-1] > i:
+                while self.open and self.open[-1][0] > i:
                     self.open.pop()
                 del self.stack[i:]
                 break
 
     def handle_data(self, data):
-        if self.open and not self.skip:
-            self.out[-1][1].append(data)
+        if not self.skip:
+            for _, place in self.open:  # a match's text holds that of the matches inside it
+                self.out[place][1].append(data)
 
 
 def _extract_links(path):
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for pid, doc in zip(pdf["page_id"], pdf["html"]):
+            for pid, doc in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
                 p = _PathCollector(path)
-                try:
-                    p.feed(doc or "")
-                    p.close()
-                except Exception:  # noqa: BLE001 - a broken page yields what was parsed
-                    pass
-                for pos, (href, parts) in enumerate(p.out):
-                    rows.append((pid, pos, _html.unescape(href), "".join(parts).strip()))
-            yield pd.DataFrame(rows, columns=["page_id", "pos", "href", "text"]).astype(
-                {"page_id": "int64", "pos": "int32"})
+                p.feed(doc or "")  # the parser takes any markup; it has unescaped attributes already
+                p.close()
+                rows += [(pid, pos, href, "".join(parts).strip()) for pos, (href, parts) in enumerate(p.out)]
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
+                                             ["page_id", "pos", "href", "text"])
     return run
 
 
-def page_links_exact(pages: DataFrame, path=None, ok_status_only: bool = True) -> DataFrame:
-    """P1 (exact form): descendant-path selection with an HTML parser per batch."""
+def page_links(pages: DataFrame, path=None, ok_status_only: bool = True) -> DataFrame:
+    """``(page_id, pos, href, text)`` of the elements on a descendant path,
+    in document order."""
     path = path or DEFAULT_PATH
     if ok_status_only and "status" in pages.columns:
         pages = pages.where(F.col("status") == 200)
-    return pages.select("page_id", "html").mapInPandas(_extract_links(path), LINKS_SCHEMA)
+    return (pages.select(F.col("page_id").cast("long").alias("page_id"), "html")
+            .mapInArrow(_extract_links(path), LINKS_SCHEMA))
+
 
+def crawl_topics(links: DataFrame, head: int | None = None, keyword: str = DEFAULT_KEYWORD,
+                 max_len: int = MAX_TOPIC_LEN) -> DataFrame:
+    """P2 (+W5): non-empty texts shorter than ``max_len`` with the keyword.
 
-def crawl_topics(links: DataFrame, head: int = DEFAULT_HEAD, keyword: str = DEFAULT_KEYWORD) -> DataFrame:
-    """P2 (+W5): first ``head`` links per page, then non-empty, short, keyword."""
+    ``head`` keeps the first links of a page only - politeness to a live site,
+    which a table of fetched pages does not need; by default all count."""
     t = F.col("text")
-    return links.where(F.col("pos") < head).where(
-        (F.length(t) >= 1) & (F.length(t) < MAX_TOPIC_LEN) & F.lower(t).contains(keyword.lower()))
+    if head is not None:
+        links = links.where(F.col("pos") < head)
+    return links.where((F.length(t) >= 1) & (F.length(t) < max_len) & F.lower(t).contains(keyword.lower()))
 
 
 def crawled_metadata(topics: DataFrame) -> DataFrame:
@@ -222,11 +225,10 @@ def crawled_metadata(topics: DataFrame) -> DataFrame:
         F.format_string(OBJECTIVE_FMT, F.col("text")).alias("learning_objective"))
 
 
-def metadata_collection(spark: SparkSession, pages: DataFrame, path=None, head: int = DEFAULT_HEAD,
-                        keyword: str = DEFAULT_KEYWORD, exact: bool = False) -> DataFrame:
+def metadata_collection(spark: SparkSession, pages: DataFrame, path=None, head: int | None = None,
+                        keyword: str = DEFAULT_KEYWORD) -> DataFrame:
     """Baseline rows followed by crawled rows, keyed by file name."""
-    links = (page_links_exact if exact else page_links)(pages, path)
-    crawled = crawled_metadata(crawl_topics(links, head, keyword))
+    crawled = crawled_metadata(crawl_topics(page_links(pages, path), head, keyword))
     return baseline_metadata(spark).unionByName(crawled)
 
 

@@ -5,10 +5,9 @@
 * ``generation_limit`` - the first ``n`` rows of an order: a top-k
   (``TakeOrderedAndProject``: each task keeps ``n`` rows, the driver merges
   ``n`` per task) - the limit *is* the feature here.
-* ``retry_first_success`` - ``row_number() <= k`` per key. Spark plans this
-  with a partial ``WindowGroupLimit`` before the shuffle, so a hot key ships
-  at most ``k`` rows per map task; the ``k`` survivors per key are then
-  collected (bounded by ``k``) and decided with array functions.
+* ``retry_first_success`` - the earliest success of a key is a partial minimum,
+  the attempts before it partial counts. Only a caller's cap ``k`` needs row
+  numbers (a partial ``WindowGroupLimit`` then comes before the shuffle).
 * ``run_summary`` - one grouped aggregation with partial aggregation.
 """
 
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.ids import dense_index
 
-MAX_ATTEMPTS = 3  # fixed value: attempts per metadata key
+MAX_ATTEMPTS = 3  # fixed value: attempts per metadata key in a generation run
 
 
 def shuffle_key(key, seed: str = "0"):
@@ -37,28 +36,33 @@ def generation_limit(df: DataFrame, key: str, n: int, seed: str = "0") -> DataFr
 
 
 def retry_first_success(attempts: DataFrame, key: str = "key", order=("ts", "event_id"),
-                        outcome: str = "outcome", k: int = MAX_ATTEMPTS) -> DataFrame:
-    """Per key, the first ``k`` attempts; the first ``inserted`` wins.
+                        outcome: str = "outcome", k: int | None = None) -> DataFrame:
+    """Per key, the attempts in order; the first ``inserted`` wins.
 
-    Duplicates and failures are counted only for attempts before the win
-    (all ``k`` when none wins). Output ``(key, status, success_attempt,
-    n_attempts, n_duplicates, n_failures)``.
+    Duplicates and failures are counted only for attempts before the win (all
+    when none wins); ``k`` ends a key after its first ``k`` attempts. Output
+    ``(key, status, success_attempt, n_attempts, n_duplicates, n_failures)``.
+
+    Without ``k`` there is no window: the win's place in the order is a
+    minimum, and what lies before it are counts, so a hot key is summed up
+    where its rows are. ``order`` must be unique within a key.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    firsts = attempts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
-    g = firsts.groupBy(key).agg(F.collect_list(F.struct(F.col("_rn").alias("rn"),
-                                                        F.col(outcome).alias("o"))).alias("_a"))
-    won = F.array_min(F.transform(F.filter("_a", lambda x: x["o"] == "inserted"), lambda x: x["rn"]))
-    g = g.withColumn("success_attempt", won.cast("int"))
-    upto = F.coalesce(F.col("success_attempt"), F.lit(k + 1))
+    at = F.struct(*order)
+    if k is not None:
+        w = Window.partitionBy(key).orderBy(*order)
+        attempts = attempts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+    wins = (attempts.where(F.col(outcome) == "inserted").groupBy(F.col(key).alias("_key"))
+            .agg(F.min(at).alias("_won")))
+    j = attempts.join(wins, F.col(key).eqNullSafe(F.col("_key")), "left")
+    won, before = F.col("_won").isNotNull(), F.col("_won").isNull() | (at < F.col("_won"))
+    g = j.groupBy(key).agg(
+        F.max(won).alias("_ok"), F.count_if(before).alias("_before"),
+        F.count_if(before & (F.col(outcome) == "duplicate")).cast("int").alias("n_duplicates"),
+        F.count_if(before & (F.col(outcome) == "failure")).cast("int").alias("n_failures"))
+    n = (F.col("_before") + F.col("_ok").cast("int")).cast("int")
     return g.select(
-        key,
-        F.when(F.col("success_attempt").isNotNull(), F.lit("inserted")).otherwise(F.lit("failed")).alias("status"),
-        "success_attempt",
-        F.when(F.col("success_attempt").isNotNull(), F.col("success_attempt"))
-        .otherwise(F.size("_a")).cast("int").alias("n_attempts"),
-        F.size(F.filter("_a", lambda x: (x["o"] == "duplicate") & (x["rn"] < upto))).cast("int").alias("n_duplicates"),
-        F.size(F.filter("_a", lambda x: (x["o"] == "failure") & (x["rn"] < upto))).cast("int").alias("n_failures"))
+        key, F.when(F.col("_ok"), F.lit("inserted")).otherwise(F.lit("failed")).alias("status"),
+        F.when(F.col("_ok"), n).alias("success_attempt"), n.alias("n_attempts"), "n_duplicates", "n_failures")
 
 
 # Event type -> run counter.

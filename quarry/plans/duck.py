@@ -67,7 +67,7 @@ P_VIEW = f"""P AS (
 
 D_VIEW = f"""D AS (
   SELECT {fmt_id('doc_id + 1')} AS id, doc_id AS seq,
-         substr(split_part(text, chr(10), 1), 1, 60) AS title, text AS statement,
+         split_part(text, chr(10), 1) AS title, text AS statement,
          [lang, source] AS tags, lang AS topic
   FROM documents)"""
 

@@ -144,8 +144,8 @@ def _unescape(x: str) -> str:
     return x
 
 
-_TOPICS_SQL = f"""TOPICS AS (SELECT * FROM LINKS WHERE pos < {views.G_HEAD}
-  AND length(text) >= 1 AND length(text) < {pages.MAX_TOPIC_LEN} AND contains(lower(text), {d.lit(views.G_KEYWORD.lower())}))"""
+_TOPICS_SQL = f"""TOPICS AS (SELECT * FROM LINKS
+  WHERE length(text) >= 1 AND length(text) < {pages.MAX_TOPIC_LEN} AND contains(lower(text), {d.lit(views.G_KEYWORD.lower())}))"""
 
 _CRAWLED_SQL = f"""CRAWLED AS (
   SELECT printf('{pages.CRAWLED_FILE_FMT}', idx + 1) AS file_name, 'crawled' AS origin, text AS topic,
@@ -225,7 +225,7 @@ L_VIEW = f"""LB0 AS (SELECT doc_id, '{{"text": "' || {_json_escape('text')} || '
 LF AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '```json' || chr(10) || body || chr(10) || '```'
                            WHEN doc_id % 3 = 1 THEN '```' || chr(10) || body || chr(10) || '```'
                            ELSE body END AS f FROM LB0),
-L AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN substr(f, 1, length(f) // 2) ELSE f END AS response FROM LF)"""
+L AS (SELECT doc_id, f AS response FROM LF)"""
 
 _LINE_SEP = "\\r\\n|[\\n\\x0b\\x0c\\r\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
 
@@ -430,13 +430,12 @@ WITH E AS (SELECT user_id AS key, ts, event_id,
                   CASE event_type WHEN 'purchase' THEN 'inserted' WHEN 'view' THEN 'duplicate' ELSE 'failure' END AS outcome
            FROM events WHERE event_type IN ('purchase', 'view', 'error')),
 R AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS rn FROM E),
-F3 AS (SELECT * FROM R WHERE rn <= 3),
-S AS (SELECT key, min(CASE WHEN outcome = 'inserted' THEN rn END) AS s, count(*) AS n FROM F3 GROUP BY key)
+S AS (SELECT key, min(CASE WHEN outcome = 'inserted' THEN rn END) AS s, count(*) AS n FROM R GROUP BY key)
 SELECT S.key, CASE WHEN s IS NOT NULL THEN 'inserted' ELSE 'failed' END AS status,
        CAST(s AS INTEGER) AS success_attempt, CAST(coalesce(s, n) AS INTEGER) AS n_attempts,
-       CAST(count_if(outcome = 'duplicate' AND rn < coalesce(s, 4)) AS INTEGER) AS n_duplicates,
-       CAST(count_if(outcome = 'failure' AND rn < coalesce(s, 4)) AS INTEGER) AS n_failures
-FROM S JOIN F3 ON S.key = F3.key GROUP BY S.key, s, n
+       CAST(count_if(outcome = 'duplicate' AND rn < coalesce(s, n + 1)) AS INTEGER) AS n_duplicates,
+       CAST(count_if(outcome = 'failure' AND rn < coalesce(s, n + 1)) AS INTEGER) AS n_failures
+FROM S JOIN R ON S.key = R.key GROUP BY S.key, s, n
 """)
 sql("run_summary", """
 SELECT strftime(ts, '%Y-%m-%d') AS run, count_if(event_type = 'purchase') AS inserted,
@@ -453,7 +452,7 @@ FROM events GROUP BY 1
 def _lit_entries() -> None:
     if not L.available():
         return
-    adj = L.values([(r[0], r[1], r[2], r[3]) for r in L.adjacent_scores()],
+    adj = L.values([r[:4] for r in L.adjacent_scores()],
                    ["id", "prev_id", "title_similarity", "statement_similarity"])
     adj_sql = f"""WITH {d.P_VIEW}, ADJ AS {adj},
 J AS (SELECT ADJ.*, {d.norm_tags('pa.tags')} AS sa, {d.norm_tags('pb.tags')} AS sb
@@ -468,17 +467,21 @@ W AS (SELECT *, title_similarity * 0.4 + statement_similarity * 0.5 + tag_simila
     sql("is_duplicate", f"""{adj_sql} SELECT id, prev_id, (title_similarity >= 0.85 OR statement_similarity >= 0.85
         OR weighted_similarity >= 0.85) AS is_duplicate FROM W""")
 
-    sql("near_dup_pairs", "SELECT * FROM " + L.values(L.part_sig_pairs(), [
-        "new_id", "existing_id", "n_new", "n_existing", "title_similarity", "statement_similarity",
-        "tag_similarity", "weighted_similarity", "is_duplicate"]))
+    sql("near_dup_pairs", "SELECT * FROM " + L.values(L.string_pairs(*L.part_split()), [
+        "branch", "new_id", "existing_id", "n_new", "n_existing", "title_similarity", "statement_similarity",
+        "tag_similarity", "weighted_similarity"]))
     fd_cols = ["id", "dup_id", "dup_seq", "title_similarity", "statement_similarity", "tag_similarity",
                "weighted_similarity"]
-    sql("first_duplicate", "SELECT * FROM " + L.values(list(L.part_first_dup_self().values()), fd_cols))
-    gone_b = L.values([(k,) for k in L.doc_bench_first_dup()], ["id"])
+    sql("first_duplicate", "SELECT * FROM " + L.values(L.part_first_matches(), fd_cols))
+    gone_b = L.values([(k,) for k in L.document_matches()], ["id"])
     sql("dedupe_gate_benchmark", f"WITH {d.D_VIEW} SELECT id, seq FROM D WHERE id NOT IN (SELECT id FROM {gone_b})")
-    gone = L.values([(k,) for k in L.part_gate_dups()], ["id"])
-    sql("dedupe_gate", f"WITH {d.P_VIEW} SELECT id, seq FROM P JOIN part ON p_partkey = seq "
-                       f"WHERE p_size > 25 AND id NOT IN (SELECT id FROM {gone})")
+    new, old = L.gate_split()
+    gone = L.values([(r.id,) for r in new if L.first_match(r, old)], ["id"])
+    sql("dedupe_gate", f"WITH {d.P_VIEW} SELECT id, seq FROM P WHERE seq % 101 >= 2 "
+                       f"AND id NOT IN (SELECT id FROM {gone})")
+    kept = L.values([(k,) for k in L.keep_first(L.part_records())], ["id"])
+    sql("greedy_dedupe", f"WITH {d.P_VIEW} SELECT id, seq, title FROM P WHERE id IN (SELECT id FROM {kept})")
+    sql("stream_gate", f"WITH {d.P_VIEW} SELECT id, title FROM P WHERE id IN (SELECT id FROM {kept})")
 
 
 _lit_entries()

@@ -57,7 +57,7 @@ def problems_from_documents(docs: DataFrame) -> DataFrame:
     return docs.select(
         format_id(F.col("doc_id") + 1).alias("id"),
         F.col("doc_id").alias("seq"),
-        F.substring(first_line, 1, 60).alias("title"),
+        first_line.alias("title"),
         F.col("text").alias("statement"),
         F.array(F.col("lang"), F.col("source")).alias("tags"),
         F.col("lang").alias("topic"),
@@ -65,12 +65,12 @@ def problems_from_documents(docs: DataFrame) -> DataFrame:
 
 
 def items_from_benchmark(bench: DataFrame) -> DataFrame:
-    """benchmark items as stored problems (title = first line, 60 chars)."""
+    """benchmark items as stored problems (title = first line)."""
     first_line = F.substring_index(F.col("text"), "\n", 1)
     return bench.select(
         format_id(F.col("item_id") + 1, "BM").alias("id"),
         F.col("item_id").alias("seq"),
-        F.substring(first_line, 1, 60).alias("title"),
+        first_line.alias("title"),
         F.col("text").alias("statement"),
         F.array().cast("array<string>").alias("tags"),
     )
@@ -127,19 +127,17 @@ def json_escape(c: Column) -> Column:
 
 
 def responses_from_documents(docs: DataFrame) -> DataFrame:
-    """L view: documents as model replies (fenced variants, every 7th cut in half)."""
+    """L view: documents as model replies (fenced variants, every 7th without its closing brace)."""
+    close = F.when(F.col("doc_id") % 7 == 0, F.lit('"')).otherwise(F.lit('"}'))
     body = F.concat(F.lit('{"text": "'), json_escape(F.col("text")), F.lit('", "lang": "'),
-                    json_escape(F.col("lang")), F.lit('"}'))
+                    json_escape(F.col("lang")), close)
     m3 = F.col("doc_id") % 3
     fenced = (F.when(m3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
               .when(m3 == 1, F.concat(F.lit("```\n"), body, F.lit("\n```")))
               .otherwise(body))
-    cut = F.when(F.col("doc_id") % 7 == 0,
-                 fenced.substr(F.lit(1), (F.length(fenced) / 2).cast("int"))).otherwise(fenced)
-    return docs.select("doc_id", cut.alias("response"))
+    return docs.select("doc_id", fenced.alias("response"))
 
 
 # Fixed values of the G view.
 G_PATH = ["nav", "ul", "li", "a"]
-G_HEAD = 3
 G_KEYWORD = "e"

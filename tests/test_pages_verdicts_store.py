@@ -18,7 +18,7 @@ HTML = ('<html><body><div class="mw-parser-output"><ul><li><a href="/w/Brent">Br
 def test_crawl_from_page(spark):
     pg = spark.createDataFrame([(1, "u", HTML, 200), (2, "v", HTML, 500)],
                                "page_id long, url string, html string, status int")
-    coll = pages.metadata_collection(spark, pg, exact=True)
+    coll = pages.metadata_collection(spark, pg)
     crawled = coll.where("origin = 'crawled'").orderBy("idx").collect()
     assert [(r.topic, r.difficulty, r.tags) for r in crawled] == [
         ("Brent's algorithm", "Medium", ["Brent's", "Algorithm"]), ("Dijkstra's algorithm", "Hard",
@@ -27,13 +27,48 @@ def test_crawl_from_page(spark):
     assert coll.count() == 13 + 2
 
 
-def test_native_and_exact_links_agree(spark, sf):
+def test_parser_and_regex_agree_on_flat_pages(spark, sf):
     pg = views.table(spark, sf, "pages")
     a = pages.page_links(pg, views.G_PATH).collect()
-    b = pages.page_links_exact(pg, views.G_PATH).collect()
+    b = pages.page_links_regex(pg, views.G_PATH).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) > 0
 
 
+MARKUP = [
+    # nested block, an anchor outside any list, a list after the inner block
+    ('<div class="mw-parser-output x"><a href="/no">outside a list</a><div><ul><li><a href="/1">one</a></li></ul></div>'
+     '<ul><li><b><a href="/2">two</a></b></li></ul></div><ul><li><a href="/no">outside the block</a></li></ul>',
+     [("/1", "one"), ("/2", "two")]),
+    # single quotes, no quotes, entities (unescaped once), no href, upper case, comments
+    ("<DIV CLASS='mw-parser-output'><UL><LI><A HREF='/s'>s &amp; t</A><li><a href=/u>u&eacute;&#x21;</a>"
+     '<li><a href="/e?a=1&amp;amp;b=2">e</a><li><a>none</a><!-- <a href="/c">c</a> --></ul></div>',
+     [("/s", "s & t"), ("/u", "u\u00e9!"), ("/e?a=1&amp;b=2", "e"), ("", "none")]),
+    # scripts hold no text; unclosed tags; a class name that only begins alike
+    ('<div class="mw-parser-output"><ul><li><a href="/x">x<script>var a = "<b>";</script> y</a></ul>'
+     '<div class="mw-parser-outputs"><li><a href="/no">not in a list of ours', [("/x", "x y")]),
+    (None, []), ("", []),
+]
+
+
+def test_links_on_any_markup(spark):
+    df = spark.createDataFrame([(i, m) for i, (m, _) in enumerate(MARKUP)], "page_id long, html string")
+    got = {}
+    for r in pages.page_links(df).orderBy("page_id", "pos").collect():
+        got.setdefault(r.page_id, []).append((r.href, r.text))
+    assert got == {i: want for i, (_, want) in enumerate(MARKUP) if want}
+
+
+def test_nested_matches_share_their_text(spark):
+    df = spark.createDataFrame([(1, "<ul><li>a<ul><li>b</li></ul>c</li></ul>")], "page_id long, html string")
+    assert [r.text for r in pages.page_links(df, ["ul", "li"]).orderBy("pos").collect()] == ["abc", "b"]
+
+
+def test_all_links_of_a_page_count(spark):
+    links = spark.createDataFrame([(1, i, "", f"algorithm {i}") for i in range(50)], pages.LINKS_SCHEMA)
+    assert pages.crawl_topics(links).count() == 50 and pages.crawl_topics(links, head=30).count() == 30
+    assert pages.crawl_topics(links, max_len=12).count() == 10
+
+
 def test_metadata_sink_and_scan_roundtrip(spark):
     coll = pages.baseline_metadata(spark)
     path = scratch_dir(spark, "t-meta")

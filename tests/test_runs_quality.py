@@ -45,5 +45,8 @@ def test_retry_first_success_counts_only_up_to_the_win(spark):
             (3, 1, "inserted"), (3, 2, "duplicate")]
     df = spark.createDataFrame(rows, "key long, ts long, outcome string").withColumn("event_id", F.col("ts"))
     got = {r.key: (r.status, r.success_attempt, r.n_attempts, r.n_duplicates, r.n_failures)
-           for r in runs.retry_first_success(df).collect()}
+           for r in runs.retry_first_success(df, k=3).collect()}
     assert got == {1: ("inserted", 3, 3, 1, 1), 2: ("failed", None, 3, 3, 0), 3: ("inserted", 1, 1, 0, 0)}
+    every = {r.key: (r.status, r.success_attempt, r.n_attempts, r.n_duplicates, r.n_failures)
+             for r in runs.retry_first_success(df).collect()}
+    assert every == got | {2: ("inserted", 4, 4, 3, 0)}
