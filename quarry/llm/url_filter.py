@@ -60,6 +60,8 @@ def with_rule(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
                .groupBy(F.col("host").alias("_h")).agg(F.collect_list(F.struct(
                    (F.length("of") + F.length("prefix")).alias("size"), F.length("of").alias("depth"),
                    F.concat("of", "prefix").alias("rule"), "verdict", "prefix")).alias("_rules")))
+    # Written first: Spark knows how small it is and leaves the urls where they are.
+    fitting = stage(fitting, "rules")
     best = F.array_max(F.filter("_rules", lambda r: F.col("path").startswith(r["prefix"])))
     return (df.join(fitting, F.col("host") == F.col("_h"), "left").withColumn("_best", best)
             .withColumn("rule", F.col("_best.rule")).withColumn("rule_verdict", F.col("_best.verdict"))
