@@ -42,8 +42,10 @@ def parse_reply(cleaned, schema: T.StructType) -> Column:
     c = F.col(cleaned) if isinstance(cleaned, str) else cleaned
     parsed = F.from_json(c, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
                                    "allowSingleQuotes": "false"})
-    # the cleaned text is already stripped
-    ok = (c.isNotNull() & parsed.isNotNull() & parsed[CORRUPT].isNull()
+    # The cleaned text is already stripped. from_json stops after the first
+    # value; as the only element of an array, nothing may stand behind it.
+    alone = F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1
+    ok = (c.isNotNull() & F.coalesce(alone, F.lit(False)) & parsed.isNotNull() & parsed[CORRUPT].isNull()
           & c.startswith("{") & c.endswith("}"))
     return F.when(ok, parsed.dropFields(CORRUPT))
 

@@ -10,9 +10,9 @@ Plan shape at scale:
   query), broadcast into a nested-loop join against the *distinct
   vocabulary* only; matched terms then equi-join the postings.
 * ``search_batch``: a table of queries can be large, so substring matching
-  runs as an equi-join on character bigrams (every word of length >= 2 shares
-  its first bigram with any term containing it) and is verified with
-  ``contains``; single-character words join on the character.
+  runs as an equi-join on the word's rarest character bigram (any term that
+  contains the word has it) and is verified with ``contains``; each query then
+  starts from the ids of its rarest word.
 """
 
 from __future__ import annotations
@@ -130,34 +130,51 @@ def _bigrams(c):
         F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(c, i, 2))))
 
 
+def matching_terms(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(word, term): terms of ``vocab`` that contain each of ``words``.
+
+    An equi-join on a piece of the word that every such term has: the one of
+    its bigrams that fewest terms hold (a single character: itself). Words
+    with a bigram in no term match nothing and drop out here.
+    """
+    def pieces(c):
+        chars = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, 1))
+        return F.array_distinct(F.concat(_bigrams(c), chars))
+    held = vocab.select("term", F.explode(pieces(F.col("term"))).alias("k"))
+    size = held.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.length("word") >= 2, _bigrams(F.col("word"))).otherwise(F.array("word"))
+    key = (words.select("word", F.explode(own).alias("k")).join(size, "k", "left")
+           .groupBy("word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k"))["k"].alias("k")))
+    return key.join(held, "k").where(F.col("term").contains(F.col("word"))).select("word", "term")
+
+
 def search_batch(post: DataFrame, summary: DataFrame, queries: DataFrame,
                  query_id="query_id", text="query") -> DataFrame:
     """Conjunctive search for a whole table of queries in one plan.
 
     Output ``(query_id, id, ...summary)``. Matching (word, term) pairs are
-    computed once for the distinct words of all queries.
+    computed once for the distinct words of all queries; each query starts
+    from the ids of its rarest word, and the other words only check those.
     """
     qw = (queries.select(F.col(query_id).alias("query_id"),
                          F.explode(split_words(F.col(text))).alias("w"))
           .select("query_id", normalize_word("w").alias("word"))
           .where(F.col("word") != "").distinct())
-    nwords = qw.groupBy("query_id").agg(F.count("*").alias("n_words"))
-    words = qw.select("word").distinct()
-    vocab = post.select("term").distinct()
-    # Equi-join key: first bigram of the word / every bigram of the term;
-    # single characters use the character itself.
-    wkey = words.select("word", F.when(F.length("word") >= 2, F.substring("word", 1, 2))
-                        .otherwise(F.col("word")).alias("k"))
-    tkey = vocab.select("term", F.explode(F.array_union(
-        _bigrams(F.col("term")),
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("term")),
-                                     lambda i: F.substring(F.col("term"), i, 1))))).alias("k"))
-    matched = (wkey.join(tkey, "k").where(F.col("term").contains(F.col("word")))
-               .select("word", "term").distinct())
+    matched = matching_terms(qw.select("word").distinct(), post.select("term").distinct())
     word_ids = matched.join(post, "term").select("word", "id").distinct()
-    hits = (qw.join(word_ids, "word").groupBy("query_id", "id").agg(F.count("*").alias("n"))
-            .join(nwords, "query_id").where(F.col("n") == F.col("n_words")).select("query_id", "id"))
-    return hits.join(summary, "id")
+    sizes = word_ids.groupBy("word").agg(F.count(F.lit(1)).alias("n_ids"))
+    per_query = (qw.join(sizes, "word", "left").groupBy("query_id")
+                 .agg(F.min(F.struct(F.coalesce("n_ids", F.lit(0)).alias("n_ids"), "word")).alias("rarest"),
+                      F.count(F.lit(1)).alias("n_words"))
+                 .where("rarest.n_ids > 0").select("query_id", F.col("rarest.word").alias("word"), "n_words"))
+    start = per_query.join(word_ids, "word").select("query_id", F.col("word").alias("first"), "n_words", "id")
+    others = (start.join(qw, "query_id").where(F.col("word") != F.col("first"))
+              .join(word_ids, ["word", "id"], "left_semi")
+              .groupBy("query_id", "id").agg((F.count(F.lit(1)) + 1).alias("n")))
+    alone = start.where("n_words = 1").select("query_id", "id")
+    all_words = (others.join(per_query.select("query_id", "n_words"), "query_id")
+                 .where(F.col("n") == F.col("n_words")).select("query_id", "id"))
+    return alone.unionByName(all_words).join(summary, "id")
 
 
 POSTINGS_SCHEMA = "term string, id string"

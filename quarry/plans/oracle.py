@@ -221,7 +221,7 @@ def _json_escape(x: str) -> str:
     return x
 
 
-L_VIEW = f"""LB0 AS (SELECT doc_id, '{{"text": "' || {_json_escape('text')} || '", "lang": "' || {_json_escape('lang')} || '"}}' AS body FROM documents),
+L_VIEW = f"""LB0 AS (SELECT doc_id, '{{"text": "' || {_json_escape('text')} || '", "lang": "' || {_json_escape('lang')} || '"' || CASE WHEN doc_id % 7 = 0 THEN '' ELSE '}}' END AS body FROM documents),
 LF AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '```json' || chr(10) || body || chr(10) || '```'
                            WHEN doc_id % 3 = 1 THEN '```' || chr(10) || body || chr(10) || '```'
                            ELSE body END AS f FROM LB0),
@@ -479,6 +479,11 @@ W AS (SELECT *, title_similarity * 0.4 + statement_similarity * 0.5 + tag_simila
     gone = L.values([(r.id,) for r in new if L.first_match(r, old)], ["id"])
     sql("dedupe_gate", f"WITH {d.P_VIEW} SELECT id, seq FROM P WHERE seq % 101 >= 2 "
                        f"AND id NOT IN (SELECT id FROM {gone})")
+    made = L.part_run()
+    sql("generation_run", "SELECT * FROM " + L.values(made, ["id", "seq", "outcome", "new_id"]))
+    n = {k: sum(r[2] == k for r in made) for k in ("inserted", "duplicate", "failure")}
+    sql("generation_counters", f"SELECT {n['inserted']} AS inserted, {n['duplicate']} AS duplicates, "
+                               f"{n['failure']} AS failures")
     kept = L.values([(k,) for k in L.keep_first(L.part_records())], ["id"])
     sql("greedy_dedupe", f"WITH {d.P_VIEW} SELECT id, seq, title FROM P WHERE id IN (SELECT id FROM {kept})")
     sql("stream_gate", f"WITH {d.P_VIEW} SELECT id, title FROM P WHERE id IN (SELECT id FROM {kept})")

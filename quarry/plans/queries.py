@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import mock, prompts, scoring, similarity, text
-from quarry.operators import generation, ids, neardup, pages, quality, runs, search, verdicts
+from quarry.operators import generation, generation_run, ids, neardup, pages, quality, runs, search, verdicts
 from quarry.plans import views
 from quarry.session import scratch_dir
 from quarry.sources import metadata, store
@@ -52,10 +52,23 @@ def _tags_text(c="tags"):
 
 # ------------------------------------------------------------ index & search
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark, sf):
+    """The written index of the P records: built once an application, then read."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        base = scratch_dir(spark, "search-index")
+        pf = pf_view(spark, sf)
+        search.write_index(search.postings(pf), search.search_summary(pf), base)
+        _INDEXES[key] = base
+    return search.read_index(spark, _INDEXES[key])
+
+
 @register("search_query")
 def q_search_query(spark, sf):
-    pf = pf_view(spark, sf)
-    hits = search.search_query(spark, search.postings(pf), search.search_summary(pf), SEARCH_TEXT)
+    hits = search.search_query(spark, *stored_index(spark, sf), SEARCH_TEXT)
     return search.result_lines(hits).select(
         "id", "title", "difficulty", "xp", "topic", _tags_text().alias("tags"),
         "time_complexity", "space_complexity", "line")
@@ -87,10 +100,9 @@ def q_problem_listing(spark, sf):
 
 @register("search_batch")
 def q_search_batch(spark, sf):
-    pf = pf_view(spark, sf)
     queries = (views.table(spark, sf, "part").select(F.col("p_name").alias("query")).distinct()
                .withColumn("query_id", F.col("query")))
-    hits = search.search_batch(search.postings(pf), search.search_summary(pf), queries)
+    hits = search.search_batch(*stored_index(spark, sf), queries)
     return hits.select("query_id", "id", "title")
 
 
@@ -495,6 +507,33 @@ def q_generation_limit(spark, sf):
     return runs.generation_limit(pf_view(spark, sf).select("id", "title", "difficulty"), "id", 10, SHUFFLE_SEED)
 
 
+RUN_LIMIT = 20
+
+
+def _run_attempts(spark, sf):
+    """Parts as attempts, three a key in order; verdicts of the case tables."""
+    cases, outputs = _v_tables(spark, sf)
+    p = p_view(spark, sf)
+    passed = verdicts.case_verdicts(p.select(F.col("seq").alias("problem_id")), cases, outputs).select(
+        F.col("problem_id").alias("seq"), F.col("first_fail_kind").isNull().alias("valid"))
+    return p.join(passed, "seq").withColumn("key", F.floor(F.col("seq") / runs.MAX_ATTEMPTS))
+
+
+def _made(spark, sf):
+    return generation_run.generation_run(_run_attempts(spark, sf), scratch_dir(spark, "run-store"),
+                                         scratch_dir(spark, "run-index"), RUN_LIMIT)
+
+
+@register("generation_run")
+def q_generation_run(spark, sf):
+    return _made(spark, sf).select("id", "seq", "outcome", "new_id")
+
+
+@register("generation_counters")
+def q_generation_counters(spark, sf):
+    return generation_run.counters(_made(spark, sf))
+
+
 @register("retry_first_success")
 def q_retry_first_success(spark, sf):
     return runs.retry_first_success(views.attempts_from_events(views.table(spark, sf, "events")))
