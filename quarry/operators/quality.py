@@ -55,10 +55,13 @@ def rule_columns(prefix: str = "LL") -> dict[str, Column]:
     return rules
 
 
-def check_expectations(records: DataFrame, prefix: str = "LL") -> DataFrame:
-    """Add one boolean per rule, ``id_unique`` and ``passed`` / ``failed_rules``."""
+def check_expectations(records: DataFrame, prefix: str = "LL", ids: DataFrame | None = None) -> DataFrame:
+    """Add one boolean per rule, ``id_unique`` and ``passed`` / ``failed_rules``.
+
+    ``ids`` may give the records' ids without their assembly; else the records
+    are evaluated once more for them."""
     rules = rule_columns(prefix)
-    dup_ids = records.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(
+    dup_ids = (records if ids is None else ids).groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(
         "id", F.lit(False).alias("id_unique"))
     checked = records.withColumns({f"rule_{k}": v for k, v in rules.items()})
     checked = checked.join(dup_ids, "id", "left").withColumn(

@@ -7,7 +7,7 @@ session. Every computed column carries the same alias as its Spark twin.
 from __future__ import annotations
 
 from quarry.functions import mock, prompts
-from quarry.operators import pages, quality
+from quarry.operators import pages
 from quarry.plans import duck as d
 from quarry.plans import oracle_lit as L
 from quarry.plans import views
@@ -379,25 +379,25 @@ sql("assemble_records", f"WITH {DR_VIEW} {_REC_OUT}")
 
 
 def _rules_sql() -> list[tuple[str, str]]:
+    """The rules on records broken by their number (see ``checked_records``)."""
     rules = []
-    present = {"title", "statement", "difficulty", "xp", "tags", "topic", "concept", "learning_objective",
-               "constraints"}
-    for c in quality.RECORD_COLUMNS:
-        # formats, components and created_at are constants filled by assembly
-        rules.append((f"not_null_{c}", f"{c} IS NOT NULL" if c in present else "true"))
+    data = {"title", "statement", "difficulty", "xp", "tags", "topic", "concept", "learning_objective", "constraints"}
+    broken = {"hints": "seq % 19 <> 0", "input_format": "seq % 23 <> 0"}
+    for c in ("title statement difficulty xp tags topic concept learning_objective input_format output_format "
+              "constraints starter_code test_cases hints editorial created_at").split():
+        rules.append((f"not_null_{c}", f"{c} IS NOT NULL" if c in data else broken.get(c, "true")))
     rules += [("difficulty_allowed", "coalesce(difficulty IN ('Easy', 'Medium', 'Hard'), false)"),
               ("title_not_empty", f"coalesce({d.ustrip('title')} <> '', false)"),
-              ("starter_python_java", "true"),
-              ("public_cases", f"{len(mock.PUBLIC_CASES)} >= 1"),
-              ("hidden_cases", f"{len(mock.HIDDEN_CASES)} >= 10"),
-              ("optimal_not_empty", "true"),
-              ("three_hints", f"{len(mock.HINTS)} = 3"),
-              ("id_prefix", "coalesce(starts_with(id, 'LL-'), false)"),
-              ("id_unique", "id_n = 1")]
+              ("starter_python_java", "seq % 5 <> 0"), ("public_cases", "seq % 17 <> 0"),
+              ("hidden_cases", "seq % 7 <> 0"), ("optimal_not_empty", "seq % 13 <> 0"),
+              ("three_hints", "seq % 11 <> 0 AND seq % 19 <> 0"),
+              ("id_prefix", "coalesce(starts_with(id, 'LL-'), false)"), ("id_unique", "id_n = 1")]
     return rules
 
 
-_DFU = f"{DR_VIEW}, DU AS (SELECT *, count(*) OVER (PARTITION BY id) AS id_n FROM DF)"
+_DFU = f"""{DR_VIEW}, DB AS (SELECT * REPLACE (CASE WHEN seq % 101 = 0 THEN 'LL-000001'
+  WHEN seq % 97 = 0 THEN 'XX' || substr(id, 3) ELSE id END AS id) FROM DF),
+DU AS (SELECT *, count(*) OVER (PARTITION BY id) AS id_n FROM DB)"""
 
 sql("expectations", f"WITH {_DFU} " + " UNION ALL ".join(
     f"SELECT '{n}' AS rule, count_if(NOT ({c})) AS n_failed FROM DU" for n, c in _rules_sql()))

@@ -239,10 +239,15 @@ def q_metadata_sink(spark, sf):
 
 @register("metadata_scan")
 def q_metadata_scan(spark, sf):
-    """Write one single-object file per record, then scan the directory."""
-    path = scratch_dir(spark, "metadata-files")
-    metadata.metadata_sink(_g_collection(spark, sf), path, per_record_files=True)
-    back = metadata.metadata_scan(spark, path)
+    """The 13 baseline records as one file each, the crawled ones as files of
+    many records; both layouts scanned."""
+    own, many = scratch_dir(spark, "metadata-files"), scratch_dir(spark, "metadata-lines")
+    collection = _g_collection(spark, sf)
+    metadata.metadata_sink(collection.where("origin = 'baseline'"), own, per_record_files=True)
+    metadata.metadata_sink(collection.where("origin = 'crawled'"), many)
+    columns = ["file_name", "topic", "difficulty", "tags", "concept", "learning_objective"]
+    back = metadata.metadata_scan(spark, own).select(*columns).unionByName(
+        metadata.metadata_scan(spark, many, one_object_per_file=False).select(*columns))
     origin = F.when(F.col("file_name").startswith("metadata_baseline"), F.lit("baseline")).otherwise(
         F.lit("crawled"))
     return _meta_out(back.withColumn("origin", origin))
@@ -431,15 +436,41 @@ def q_assemble_records(spark, sf):
     return _record_out(d_records(spark, sf))
 
 
+def _broken_id(n, id):
+    """Some ids without their prefix, some not unique."""
+    return (F.when(n % 101 == 0, F.lit("LL-000001")).when(n % 97 == 0, F.concat(F.lit("XX"), F.substring(id, 3, 20)))
+            .otherwise(F.col(id)))
+
+
+def checked_records(spark, sf):
+    """Records with parts broken by their number, so that every rule on
+    components fails somewhere."""
+    n = F.substring("id", 4, 20).cast("long") - 1
+    broken = d_records(spark, sf).withColumn("_n", n)
+    n = F.col("_n")
+    cases = F.col("test_cases")
+    broken = broken.withColumns({
+        "id": _broken_id(n, "id"),
+        "starter_code": F.when(n % 5 == 0, F.map_filter("starter_code", lambda k, v: k != "java")).otherwise(
+            F.col("starter_code")),
+        "test_cases": cases.withField("hidden", F.when(n % 7 == 0, F.slice(cases["hidden"], 1, 9)).otherwise(cases["hidden"]))
+        .withField("public", F.when(n % 17 == 0, F.slice(cases["public"], 1, 0)).otherwise(cases["public"])),
+        "editorial": F.col("editorial").withField("optimal", F.when(n % 13 == 0, F.lit("")).otherwise(
+            F.col("editorial.optimal"))),
+        "hints": F.when(n % 19 != 0, F.when(n % 11 == 0, F.slice("hints", 1, 2)).otherwise(F.col("hints"))),
+        "input_format": F.when(n % 23 != 0, F.col("input_format"))}).drop("_n")
+    own = views.table(spark, sf, "documents").select(F.col("doc_id").alias("n"), views.format_id(F.col("doc_id") + 1).alias("i"))
+    return quality.check_expectations(broken, ids=own.select(_broken_id(F.col("n"), "i").alias("id")))
+
+
 @register("expectations")
 def q_expectations(spark, sf):
-    return quality.expectation_summary(quality.check_expectations(d_records(spark, sf)))
+    return quality.expectation_summary(checked_records(spark, sf))
 
 
 @register("expectations_quarantine")
 def q_expectations_quarantine(spark, sf):
-    checked = quality.check_expectations(d_records(spark, sf))
-    _, bad = quality.split_pass_quarantine(checked)
+    _, bad = quality.split_pass_quarantine(checked_records(spark, sf))
     return bad.select("id", F.array_join("failed_rules", "|").alias("failed_rules"))
 
 
