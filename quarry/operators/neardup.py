@@ -30,6 +30,8 @@ Plan, all lossless:
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -309,6 +311,21 @@ def _earliest(f: DataFrame, key: str) -> DataFrame:
     return f.groupBy(key).agg(F.min(F.struct("seq", "id")).alias("m"))
 
 
+def _statement_and_weighted(nf: DataFrame, ef: DataFrame, t: float) -> DataFrame:
+    """(sig, ks, m): earliest match of each content of ``nf`` in ``ef`` by the
+    statement branch and by the weighted one."""
+    SP = similar_pairs(_strings(nf, "ks", "ns"), _strings(ef, "ks", "ns"), t)
+    bs = (SP.join(_earliest(ef, "ks").withColumnRenamed("ks", "kb"), "kb")
+          .groupBy("ka").agg(F.min("m").alias("m")).withColumnRenamed("ka", "ks"))
+    new_sig = nf.dropDuplicates(["sig"]).select("sig", "kt", "ks", "nt", "ns", "tg")
+    ex_sig = ef.groupBy("sig").agg(F.min(F.struct("seq", "id")).alias("m"), F.first("kt").alias("kt"),
+                                   F.first("ks").alias("ks"), F.first("nt").alias("nt"),
+                                   F.first("ns").alias("ns"), F.first("tg").alias("tg"))
+    bw = _Branches.for_weighted(t).weighted_pairs(new_sig, ex_sig).select(F.col("sa").alias("sig"), "m")
+    return (new_sig.select("sig", "ks").join(bs, "ks").select("sig", "ks", "m")
+            .unionByName(bw.join(new_sig.select("sig", "ks"), "sig").select("sig", "ks", "m")))
+
+
 def first_duplicate(new: DataFrame, existing: DataFrame | None = None, t: float = THRESHOLD,
                     **cols) -> DataFrame:
     """Per new record, the first duplicate in store order with its scores.
@@ -323,18 +340,26 @@ def first_duplicate(new: DataFrame, existing: DataFrame | None = None, t: float
     # the scan and the regexes (and a lost executor does not replay them)
     nf = features(new, **cols).checkpoint()
     ef = nf if existing is None else features(existing, **cols).checkpoint()
-    br = _Branches(nf, None if existing is None else ef, t)
-    bt = (br.TP.where(F.col("ratio") >= t).join(_earliest(ef, "kt").withColumnRenamed("kt", "kb"), "kb")
-          .groupBy("ka").agg(F.min("m").alias("mt")).withColumnRenamed("ka", "kt"))
-    bs = (br.SP.where(F.col("ratio") >= t).join(_earliest(ef, "ks").withColumnRenamed("ks", "kb"), "kb")
-          .groupBy("ka").agg(F.min("m").alias("ms")).withColumnRenamed("ka", "ks"))
-    new_sig = nf.dropDuplicates(["sig"]).select("sig", "kt", "ks", "nt", "ns", "tg")
-    ex_sig = ef.groupBy("sig").agg(F.min(F.struct("seq", "id")).alias("m"), F.first("kt").alias("kt"),
-                                   F.first("ks").alias("ks"), F.first("nt").alias("nt"),
-                                   F.first("ns").alias("ns"), F.first("tg").alias("tg"))
-    bw = br.weighted_pairs(new_sig, ex_sig).groupBy(F.col("sa").alias("sig")).agg(F.min("m").alias("mw"))
-    j = nf.join(bt, "kt", "left").join(bs, "ks", "left").join(bw, "sig", "left")
-    first = F.least("mt", "ms", "mw")
+    TP = similar_pairs(_strings(nf, "kt", "nt"), None if existing is None else _strings(ef, "kt", "nt"), t)
+    bt = (TP.join(_earliest(ef, "kt").withColumnRenamed("kt", "kb"), "kb")
+          .groupBy("ka").agg(F.min("m").alias("mt")).withColumnRenamed("ka", "kt")).checkpoint()
+    # A record whose title has a match only asks statements for earlier ones:
+    # no later than the latest of all such matches. Others ask all.
+    titled = nf.join(bt, "kt", "left_semi").checkpoint()
+    if existing is None:  # each title matches itself: a match counts if it is earlier
+        titled = (nf.join(bt, "kt").where(F.col("mt") < F.struct("seq", "id")).drop("mt")).checkpoint()
+    open_ = nf.join(titled.select("seq", "id"), ["seq", "id"], "left_anti").checkpoint()
+    last = bt.join(titled.select("kt").distinct(), "kt", "left_semi").agg(F.max("mt").alias("m")).first()["m"]
+    found = []
+    for rows, old in ((titled, None if last is None else ef.where(
+            F.struct("seq", "id") < F.struct(*[F.lit(v).cast(ef.schema[c].dataType)
+                                               for c, v in (("seq", last["seq"]), ("id", last["id"]))]))), (open_, ef)):
+        if old is not None:
+            found.append(_statement_and_weighted(rows, old, t))
+    later = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    later = later.groupBy("sig", "ks").agg(F.min("m").alias("ms")).checkpoint()
+    j = nf.join(bt, "kt", "left").join(later.select("sig", "ms"), "sig", "left")
+    first = F.least("mt", "ms")
     j = j.withColumn("first", first).where(F.col("first").isNotNull())
     if existing is None:
         j = j.where(F.col("first") < F.struct("seq", "id"))
@@ -434,36 +459,20 @@ def dedupe_gate(new: DataFrame, existing: DataFrame, t: float = THRESHOLD, id: s
 UNDECIDED, ACCEPTED, REJECTED = 0, 1, 2
 
 
-def greedy_dedupe(cands: DataFrame, store: DataFrame | None = None, t: float = THRESHOLD,
-                  limit: int | None = None, group: str | None = None, **cols) -> DataFrame:
-    """Order-dependent keep-first. A record is accepted iff it has no
-    duplicate among the records accepted before it (store records count as
-    accepted and come first). Output: the candidate rows plus ``accepted``.
+PREFIX = 512  # records of the first prefix; each following one is four times as long
 
-    The order is (seq, id), equal ones by row. Candidates that duplicate a
-    store record leave first, by verdicts of candidates against the store
-    (store records are never compared with one another). The rest go through
-    rounds (Blelloch-Fineman-Shun style): reject nodes with an accepted
-    earlier neighbour; accept nodes whose earlier neighbours are all
-    rejected; the earliest undecided one is always decided, so the rounds end.
-    Neighbourhoods are evaluated per title / statement group and per weighted
-    signature pair, never as record pairs. Each round's state is checkpointed
-    (reliable) into ``spark.checkpoint.dir``.
 
-    ``group``: attempts of one metadata key; an accepted attempt ends its key,
-    so later attempts of that key never count. ``limit``: only the first so
-    many accepted ones stay accepted.
+def _keep_first(cf: DataFrame, t: float) -> DataFrame:
+    """Feature rows of ``cf`` that keep-first accepts among themselves.
+
+    Rounds (Blelloch-Fineman-Shun style): reject nodes with an accepted
+    earlier neighbour; accept nodes whose earlier neighbours are all rejected;
+    the earliest undecided one is always decided, so the rounds end.
+    Neighbourhoods are evaluated per title / statement group and per weighted
+    signature pair, never as record pairs. Each round's state is checkpointed.
     """
-    spark = cands.sparkSession
-    ensure_checkpoint_dir(spark)
-    rows = (cands.withColumn("_grp", F.col(group).cast("string") if group else F.lit(None).cast("string"))
-            .withColumn(_ROW, F.monotonically_increasing_id()).checkpoint())
-    cf = features(rows, **cols).checkpoint()
-    if store is not None:
-        cf = _without_duplicates(cf, features(store, **{**cols, "seq": cols.get("id", "id")}).checkpoint(), t).checkpoint()
     # exact copies collapse per (signature, key): a copy under another key
     # stays a node, since its key's earlier success may have stopped the first
-    cf = cf.withColumn("at", F.struct("seq", "id", _ROW))
     reps = cf.groupBy("sig", "_grp").agg(F.min(F.struct("at", "kt", "ks", "nt", "ns", "tg")).alias("r"))
     nodes = reps.select("sig", "_grp", "r.*").withColumn("state", F.lit(UNDECIDED)).checkpoint()
     br = _Branches(nodes, None, t)
@@ -497,8 +506,52 @@ def greedy_dedupe(cands: DataFrame, store: DataFrame | None = None, t: float = T
                                          & (F.coalesce(F.col("_m"), F.col("at")) >= F.col("at")),
                                          F.lit(ACCEPTED)).otherwise(F.col("state"))).drop("_m")
         nodes = y.checkpoint()
+    return cf.join(nodes.where(F.col("state") == ACCEPTED).select("at"), "at", "left_semi")
+
+
+def greedy_dedupe(cands: DataFrame, store: DataFrame | None = None, t: float = THRESHOLD,
+                  limit: int | None = None, group: str | None = None, **cols) -> DataFrame:
+    """Order-dependent keep-first. A record is accepted iff it has no
+    duplicate among the records accepted before it (store records count as
+    accepted and come first). Output: the candidate rows plus ``accepted``.
+
+    The order is (seq, id), equal ones by row. Candidates that duplicate a
+    store record leave first, by verdicts of candidates against the store
+    (store records are never compared with one another). The rest are decided
+    in prefixes of growing length (``_keep_first``); after each, whatever its
+    accepted records rule out leaves by the same verdicts. Checkpoints are
+    reliable ones in ``spark.checkpoint.dir``.
 
-    accepted = nodes.where(F.col("state") == ACCEPTED)
+    ``group``: attempts of one metadata key; an accepted attempt ends its key,
+    so later attempts of that key never count. ``limit``: only the first so
+    many accepted ones stay accepted.
+    """
+    spark = cands.sparkSession
+    ensure_checkpoint_dir(spark)
+    rows = (cands.withColumn("_grp", F.col(group).cast("string") if group else F.lit(None).cast("string"))
+            .withColumn(_ROW, F.monotonically_increasing_id()).checkpoint())
+    cf = features(rows, **cols).checkpoint()
+    if store is not None:
+        cf = _without_duplicates(cf, features(store, **{**cols, "seq": cols.get("id", "id")}).checkpoint(), t).checkpoint()
+    cf = cf.withColumn("at", F.struct("seq", "id", _ROW)).checkpoint()
+    # In order, a prefix at a time: what its accepted ones rule out never meets
+    # the rest. Where much repeats, few records ever meet one another.
+    rest, size, parts, n_accepted = cf, PREFIX, [], 0
+    while (n := rest.count()) and (limit is None or n_accepted < limit):
+        if n > size:
+            bound = rest.agg(F.percentile_approx("seq", size / n, 10000)).first()[0]
+            head, tail = rest.where(F.col("seq") <= bound), rest.where(F.col("seq") > bound)
+        else:
+            head, tail = rest, None
+        done = _keep_first(head, t).checkpoint()
+        parts.append(done)
+        n_accepted += done.count()
+        if tail is None:
+            break
+        ended = done.where("_grp IS NOT NULL").select("_grp").distinct()
+        rest = _without_duplicates(tail.join(ended, "_grp", "left_anti"), done, t).checkpoint()
+        size *= 4
+    accepted = functools.reduce(DataFrame.unionByName, parts) if parts else cf.where("false")
     if limit is not None:
         accepted = accepted.orderBy("at").limit(limit)
     kept = accepted.select(F.col(f"at.{_ROW}").alias(_ROW), F.lit(True).alias("accepted"))
