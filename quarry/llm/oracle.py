@@ -1,3 +1,60 @@
-"""DuckDB SQL of the operators that SQL can express."""
+"""DuckDB SQL of the operators that SQL can express.
+
+Only the URL filter: XXH64, trained models, tokenizers, seeded draws and
+packing have no form in SQL; tests hold those against brute force.
+"""
 
 ORACLE: dict[str, str] = {}
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _parts(table: str, url: str, keep: str) -> str:
+    """host, path and node (host, path and query) of a table's url column."""
+    return f"""SELECT {keep}, coalesce(translate(h, '{_UPPER}', '{_LOWER}'), '') AS host,
+      coalesce(regexp_extract(tail, '^[^?#]*'), '') AS path,
+      CASE WHEN h <> '' THEN translate(h, '{_UPPER}', '{_LOWER}')
+        || CASE WHEN regexp_extract(tail, '^[^?#]*') = '' THEN '/' ELSE '' END
+        || regexp_extract(tail, '^[^#]*') END AS node
+    FROM (SELECT *, substr(rest, length(h) + 1) AS tail
+      FROM (SELECT *, regexp_extract(rest, '^[^/?#]*') AS h
+        FROM (SELECT *, CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) END AS rest
+          FROM {table})))"""
+
+
+def _rule(what: str) -> str:
+    return f"""(SELECT {what} FROM rules WHERE host <> '' AND (host = rh OR ends_with(host, '.' || rh))
+      AND starts_with(path, rp) ORDER BY length(rh || rp) DESC, length(rh) DESC LIMIT 1)"""
+
+
+ORACLE["op5_url_filter"] = f"""
+WITH RECURSIVE rules(v, rh, rp) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'),
+  ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM pages
+  WHERE strpos(url, '://') > 0),
+hrefs AS (SELECT url, replace(CASE
+    WHEN regexp_matches(tag, '(?is)^<link.*\\brel\\s*=\\s*["'']?canonical\\b')
+      THEN regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1)
+    WHEN regexp_matches(tag, '(?is)^<meta.*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b')
+      THEN regexp_extract(tag, '(?is)\\bcontent\\s*=\\s*["'']?\\s*[0-9.]+\\s*[;,]\\s*url\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1)
+    END, '&amp;', '&') AS href FROM tags),
+links AS (SELECT url, CASE
+    WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href
+    WHEN starts_with(href, '//') THEN regexp_extract(url, '^[^:/?#]*') || ':' || href
+    WHEN starts_with(href, '/') THEN regexp_extract(url, '^[^:/?#]*://[^/?#]*') || href
+    ELSE regexp_replace(regexp_extract(url, '^[^:/?#]*://[^?#]*'), '([^/])/[^/]*$', '\\1') || '/' || href END AS target
+  FROM hrefs WHERE href <> ''),
+a AS ({_parts('links', 'url', 'url, target')}),
+b AS ({_parts('links', 'target', 'url, target')}),
+edges AS (SELECT DISTINCT a.node AS x, b.node AS y FROM a JOIN b ON a.url = b.url AND a.target = b.target
+  WHERE a.node <> b.node),
+both_ways AS (SELECT x, y FROM edges UNION SELECT y, x FROM edges),
+reach(x, y) AS (SELECT x, y FROM both_ways UNION SELECT reach.x, e.y FROM reach JOIN both_ways e ON reach.y = e.x),
+ends AS (SELECT DISTINCT node, host, path FROM a UNION SELECT DISTINCT node, host, path FROM b),
+decided AS (SELECT node, {_rule('v')} AS v FROM ends),
+carried AS (SELECT reach.x AS node, CASE WHEN bool_or(v = 'allow') THEN 'allow' WHEN bool_or(v = 'block') THEN 'block' END AS v
+  FROM reach JOIN decided ON decided.node = reach.y GROUP BY 1),
+p AS ({_parts('pages', 'url', 'page_id')})
+SELECT page_id, host, path, {_rule("rh || rp")} AS rule, coalesce({_rule('v')}, carried.v, 'allow') AS verdict
+FROM p LEFT JOIN carried ON carried.node = p.node
+"""
