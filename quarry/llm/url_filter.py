@@ -78,7 +78,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     to = (F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
           .when(href.startswith("/"), F.concat(site, href)).otherwise(F.concat(folder, F.lit("/"), href)))
     return (pages.where(F.col("url").contains("://") & F.col("html").isNotNull())
-            .select("url", F.explode(found).alias("href")).select(F.col("url").alias("from_url"), to.alias("to_url")))
+            .select("url", F.explode_outer(found).alias("href")).where("href IS NOT NULL").select(F.col("url").alias("from_url"), to.alias("to_url")))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None) -> DataFrame:
@@ -89,7 +89,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFr
     urls without a scheme fit no rule, have no aliases and are allowed;
     repeated rows get the same verdict; an empty table gives no rows.
     """
-    edges = page_links(pages)
+    # Written once: the expressions below use each url many times.
+    edges = stage(page_links(pages), "links")
     if redirects is not None:
         edges = edges.unionByName(redirects.select("from_url", "to_url"))
     for side in ("from_url", "to_url"):
