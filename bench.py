@@ -26,12 +26,18 @@ HEADLINE = [
     "case_verdicts",       # lineitem-sized verdict aggregation
     "expectations",        # assembly + rule checks
     "assign_ids",          # distributed dense numbering
-    "retry_first_success", # window group limit
+    "retry_first_success", # minima and counts, no window
     "run_summary",
     "sequence_ratio",      # exact ratio UDF on record pairs
     "metadata_collection",
     "assemble_records",
     "dedupe_gate_benchmark",  # near-duplicate gate: documents vs benchmark items
+    "dedupe_gate",         # the same, parts against a small store
+    "near_dup_pairs",      # all duplicate pairs of distinct strings
+    "first_duplicate",     # earliest duplicate of each record
+    "greedy_dedupe",       # keep-first in growing prefixes
+    "stream_gate",         # keep-first over arriving batches
+    "stream_index",        # index kept current over arriving batches
 ]
 
 
