@@ -169,16 +169,17 @@ def _dense_links(dense: DataFrame, max_bits: int) -> DataFrame:
             .where(F.col("fp") != F.col("hub")).select(F.col("hub").alias("a"), F.col("fp").alias("b")))
 
 
-def components(docs: DataFrame, shingle: int, max_bits: int, segments: int, bucket_limit: int) -> DataFrame:
-    """``doc_id, tie, fp, root`` of every row: ``tie`` is a hash of the text,
-    ``root`` the smallest fingerprint of the row's component."""
+def prints_and_roots(docs: DataFrame, shingle: int, max_bits: int, segments: int,
+                     bucket_limit: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, tie, fp`` of every row (``tie``: a hash of the text), and
+    ``fp, root`` of every fingerprint: the smallest one of its component."""
     prints = stage(docs.select("doc_id", F.xxhash64("text").alias("tie"),
                                fingerprint_udf(shingle)("text").alias("fp")), "prints")
     distinct = stage(prints.select("fp").distinct(), "classes")
     roots = connected_components(links(distinct, max_bits, segments, bucket_limit), "a", "b")
     owner = (distinct.join(roots, distinct["fp"] == roots["node"], "left")
              .select("fp", F.coalesce("root", "fp").alias("root")))
-    return prints.join(owner, "fp").select("doc_id", "tie", "fp", "root")
+    return prints, owner
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, segments: int = 5,
@@ -191,9 +192,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, segmen
     then); repeated rows stay repeated; an empty table gives no rows. Only
     ``doc_id`` and ``text`` are read, so other columns may have any name.
     """
-    rows = stage(components(docs, shingle, max_bits, segments, bucket_limit), "members")
-    named = rows.groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("component_id"))
-    return rows.join(named, F.col("root") == F.col("of")).select("doc_id", "fp", "component_id")
+    prints, owner = prints_and_roots(docs, shingle, max_bits, segments, bucket_limit)
+    # Ids meet by fingerprint first: a group of copies is one row from there on.
+    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(owner, "fp"), "members")
+    named = classes.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("component_id"))
+    owned = classes.join(named, F.col("root") == F.col("of")).select("fp", "component_id")
+    return prints.join(owned, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2, segments: int = 5,
@@ -201,7 +205,8 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2, segments: int
     """``docs`` with one row of each component: the one of the smallest doc_id
     (nulls last), among equal ids one by a hash of the text."""
     columns = list(docs.columns)
-    rows = components(docs, shingle, max_bits, segments, bucket_limit)
+    prints, owner = prints_and_roots(docs, shingle, max_bits, segments, bucket_limit)
+    rows = prints.join(owner, "fp")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first")
     kept = rows.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.tie").alias("_tie"))
     tied = docs.withColumn("_t", F.xxhash64("text"))
