@@ -93,20 +93,21 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFr
     edges = stage(page_links(pages), "links")
     if redirects is not None:
         edges = edges.unionByName(redirects.select("from_url", "to_url"))
-    for side in ("from_url", "to_url"):
-        edges = with_parts(edges, side).withColumnRenamed("node", f"{side}_node").drop("host", "path")
-    edges = stage(edges.select(F.col("from_url_node").alias("a"), F.col("to_url_node").alias("b"),
-                               "from_url", "to_url").where("a <> b"), "aliases")
+    for side, end in (("from_url", "a"), ("to_url", "b")):
+        edges = with_parts(edges, side)
+        for part, name in (("node", end), ("host", f"{end}_host"), ("path", f"{end}_path")):
+            edges = edges.withColumnRenamed(part, name)
+    edges = stage(edges.drop("from_url", "to_url").where("a <> b"), "aliases")
     roots = connected_components(edges, "a", "b")
-    ends = (edges.select(F.col("a").alias("node"), F.col("from_url").alias("u"))
-            .unionByName(edges.select(F.col("b").alias("node"), F.col("to_url").alias("u"))))
-    ends = with_rule(with_parts(ends.groupBy("node").agg(F.min("u").alias("u")).withColumnRenamed("node", "end"), "u"),
-                     rules)
+    # Two rows where a node has urls with the path / and without one: a rule may fit only one of them.
+    ends = edges.select(F.col("a").alias("end"), F.col("a_host").alias("host"), F.col("a_path").alias("path")).unionByName(
+        edges.select(F.col("b").alias("end"), F.col("b_host").alias("host"), F.col("b_path").alias("path"))).distinct()
+    ends = with_rule(ends, rules)
     decided = (ends.join(roots, F.col("end") == roots["node"], "left")
                .withColumn("root", F.coalesce("root", "end")))
     verdicts = decided.groupBy("root").agg(
         F.max(F.col("rule_verdict") == "allow").alias("allowed"), F.max(F.col("rule_verdict") == "block").alias("blocked"))
-    carried = (decided.select("end", "root").join(verdicts, "root")
+    carried = (decided.select("end", "root").distinct().join(verdicts, "root")
                .select("end", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("carried")))
     judged = with_rule(with_parts(pages.select("page_id", "url"), "url"), rules)
     return (judged.join(carried, F.col("node") == F.col("end"), "left")

@@ -74,3 +74,11 @@ def test_decisions_reach_aliases(spark):
     redirects = spark.createDataFrame([("http://b.com/2", "http://c.com/3"), (None, "http://a.com/1")],
                                       "from_url string, to_url string")
     assert judged(spark, rows, redirects=redirects)[2]["verdict"] == "block"
+
+
+def test_both_forms_of_a_bare_host_are_looked_up(spark):
+    rows = [(1, "http://foo.com/p", "<link rel=canonical href='http://x.net'>"),
+            (2, "http://bar.com/p", "<link rel=canonical href='http://x.net/'>"), (3, "http://x.net", None),
+            (4, "http://baz.com/p", "<link rel=canonical href='http://y.net'>")]  # without the other form no rule fits
+    got = U.judge(spark.createDataFrame(rows, SCHEMA), URL_RULES).collect()
+    assert sorted((r["page_id"], r["verdict"]) for r in got) == [(1, "block"), (2, "block"), (3, "block"), (4, "allow")]

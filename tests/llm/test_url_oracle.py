@@ -24,3 +24,14 @@ def test_sql_equals_the_operator(spark):
     got = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge(pages, URL_RULES).collect()}
     assert got == want
     assert {k: v[3] for k, v in got.items()} == dict.fromkeys(range(1, 12), "allow") | dict.fromkeys((1, 2, 10), "block")
+
+
+def test_sql_equals_the_operator_on_both_forms_of_a_bare_host(spark):
+    rows = [(1, "http://foo.com/p", "<link rel=canonical href='http://x.net'>"),
+            (2, "http://bar.com/p", "<link rel=canonical href='http://x.net/'>"), (3, "http://x.net", None)]
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    want = sorted(con.execute(ORACLE["op5_url_filter"]).fetchall(), key=lambda r: r[0])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(tuple(r) for r in url_filter.judge(pages, URL_RULES).collect()) == want
+    assert [r[4] for r in want] == ["block"] * 3
