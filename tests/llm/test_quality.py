@@ -85,3 +85,29 @@ def test_base_and_odd_rows(spark):
 def test_chi_square_quantiles():
     for share, p, known in ((0.5, 4, 3.357), (0.95, 4, 9.488), (0.999, 4, 18.467), (0.95, 2, 5.991)):
         assert Q.chi_square_quantile(share, p) == pytest.approx(known, rel=0.02)
+
+
+def test_exact_quantiles_far_out():
+    for share, p, known in ((0.999, 4, 18.4668), (0.9999, 4, 23.5127), (1 - 1e-9, 4, 47.8795), (0.95, 1, 3.84146), (0.95, 3, 7.81473)):
+        assert Q.chi_square_quantile(share, p) == pytest.approx(known, rel=1e-5)
+
+
+def test_moderate_junk_goes(spark):
+    rng = np.random.default_rng(6)
+
+    def prose(lines=10):
+        return ["".join(rng.choice(list("abcdefghij"), 3)) + " " + " ".join(
+            "".join(rng.choice(list("klmnopqrst"), rng.integers(2, 9))) for _ in range(12)) for _ in range(lines)]
+
+    def symbols(per_word):
+        words = "\n".join(prose()).split(" ")
+        return " ".join(w + "#" * int(rng.random() < per_word) for w in words)
+
+    clean = ["\n".join(prose(int(rng.integers(8, 20)))) for _ in range(120)]
+    lines = [prose(8) for _ in range(4)]
+    junk = [symbols(x) for x in (0.3, 0.4, 0.5, 0.6, 0.8, 1.0)] + ["\n".join(y + "\nmenu" for y in x) for x in lines]
+    rows = [(i, t, "en", "s") for i, t in enumerate(clean + junk)]
+    got = {r["doc_id"]: r for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(got[i]["kept"] for i in range(120)) >= 118
+    assert not any(got[120 + i]["kept"] for i in range(len(junk)))
+    assert not any(r["base_failed"] for r in got.values())
