@@ -109,11 +109,12 @@ def log_likelihood(p: dict, h: np.ndarray, targets: np.ndarray, grads: dict | No
 
 def train(p: dict, stream: np.ndarray, batch: int = 64, window: int = 16, rate: float = 0.1, epochs: int = 1) -> None:
     """Adagrad over ``stream`` (word numbers, each document closed by END),
-    read as ``batch`` parallel parts in windows; changes ``p``."""
-    length = len(stream) // batch
+    read as ``batch`` parallel parts in windows; changes ``p``. The last part
+    is filled up from the stream's start."""
+    length = -(-len(stream) // batch)
     if length < 2:
         return
-    parts = stream[:length * batch].reshape(batch, length).T
+    parts = np.resize(stream, length * batch).reshape(batch, length).T
     seen = {k: np.full_like(v, 1e-3) for k, v in p.items()}
     for _ in range(epochs):
         h = np.zeros((batch, HIDDEN), dtype=np.float32)
@@ -123,7 +124,7 @@ def train(p: dict, stream: np.ndarray, batch: int = 64, window: int = 16, rate:
             trace: list = []
             hs = states(p, ids, h, trace)
             h = hs[-1]
-            g = {k: np.zeros_like(v) for k, v in p.items()}
+            g = {k: np.zeros_like(v) for k, v in p.items() if k != "x"}
             _, dout = log_likelihood(p, hs.reshape(-1, HIDDEN), targets.ravel(), g)
             dout = dout.reshape(hs.shape)
             back = np.zeros_like(h)
@@ -140,12 +141,16 @@ def train(p: dict, stream: np.ndarray, batch: int = 64, window: int = 16, rate:
                 g["u"] += before.T @ both
                 back = (d * z + drh * r + both @ p["u"].T) * (ids[t] != END)[:, None]
                 da[t, :, :2 * HIDDEN], da[t, :, 2 * HIDDEN:] = both, dn
-            np.add.at(g["x"], ids.ravel(), da.reshape(-1, 3 * HIDDEN))
+            # Only the rows of words in the window have a gradient.
+            order = np.argsort(ids, axis=None, kind="stable")
+            rows, starts = np.unique(ids.ravel()[order], return_index=True)
+            g["x"] = np.add.reduceat(da.reshape(-1, 3 * HIDDEN)[order], starts)
             scale = 1.0 / batch
             for k, v in p.items():
+                own = rows if k == "x" else slice(None)
                 step = np.clip(g[k] * scale, -1, 1)
-                seen[k] += step * step
-                v -= rate * step / np.sqrt(seen[k])
+                seen[k][own] += step * step
+                v[own] -= rate * step / np.sqrt(seen[k][own])
 
 
 def score(p: dict, documents: list[np.ndarray], group: int = 512, window: int = 32) -> np.ndarray:

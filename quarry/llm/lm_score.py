@@ -4,14 +4,16 @@ From all training rows come the counts of every token; frequent tokens (a
 share of ``SHARE`` or more of all, so at most 1/SHARE of them) go to all tasks,
 the most frequent WORDS - 2 are the model's own words. The model starts from
 the corpus frequencies, takes a first course over at most ``warm_docs`` drawn
-documents on the driver, and then learns from a fixed part of all training
-documents: replicas of about ``REPLICA`` tokens each go on from the first
-course, and their weights are averaged by tokens in a tree.
+documents on the driver, and then learns from all training documents in
+``ROUNDS`` rounds, each over its own part of them: replicas of about
+``REPLICA`` tokens each go on from the last average, and their weights are
+averaged by tokens in a tree.
 
 A token that is no word of the model costs P(rare | state) times its smoothed
 share among the training tokens that are no words of the model. Tokens that
 are not frequent meet their counts in a join by token; a document's sums come
-together by its row number. Texts themselves are never moved.
+together by its row number. Texts themselves are never moved, only their word
+numbers in the model.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from quarry.llm import gru
 from quarry.llm.common import stage, words_of
 
 SHARE = 1e-6
-PART = 32          # one in so many training documents teaches the replicas
+ROUNDS = 4         # each training document teaches in one of them
+BATCH = 256        # parallel parts of a replica's stream, fewer if it is short
 REPLICA = 1_000_000
 CHUNK = 1024       # documents scored together
 FLUSH = 500_000
@@ -105,7 +108,7 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, Totals, np.ndarray, int]:
     return vocab, totals, model_counts, least
 
 
-def learn(train: DataFrame, vocab: Vocabulary, model_counts: np.ndarray, tokens: int, warm_docs: int,
+def learn(train: DataFrame, vocab: Vocabulary, model_counts: np.ndarray, warm_docs: int,
           seed: int = 3) -> dict[str, np.ndarray]:
     spark = train.sparkSession
     shared = spark.sparkContext.broadcast(vocab)
@@ -124,7 +127,21 @@ def learn(train: DataFrame, vocab: Vocabulary, model_counts: np.ndarray, tokens:
     warm = drawn.where(F.col("draw") <= last).limit(warm_docs).mapInArrow(encode, "draw long, ids binary").collect()
     warm.sort(key=lambda r: (r["draw"], r["ids"]))
     gru.train(weights, np.concatenate([np.frombuffer(r["ids"], np.int32) for r in warm]), rate=0.2)
-    start = spark.sparkContext.broadcast(weights)
+    # Written once, as word numbers: each round reads its own part.
+    coded = stage(drawn.mapInArrow(encode, "draw long, ids binary")
+                  .withColumn("round", F.pmod("draw", F.lit(ROUNDS))), "coded")
+    sizes = coded.groupBy("round").agg(F.sum(F.length("ids") / 4).alias("n")).collect()
+    for r in sorted(sizes, key=lambda r: r["round"]):
+        # Dealt evenly, without a key: as many replicas as the tokens need, however many shuffle partitions there are.
+        share = (coded.where(F.col("round") == r["round"]).select("draw", "ids")
+                 .repartition(max(1, round(r["n"] / REPLICA))).sortWithinPartitions("draw", "ids"))
+        weights = _averaged(share, weights)
+    return weights
+
+
+def _averaged(share: DataFrame, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The mean weights, by tokens, of one replica a partition of ``share``."""
+    start = share.sparkSession.sparkContext.broadcast(weights)
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream: list[np.ndarray] = []
@@ -134,11 +151,11 @@ def learn(train: DataFrame, vocab: Vocabulary, model_counts: np.ndarray, tokens:
         def course() -> None:
             nonlocal stream, seen
             ids = np.concatenate(stream)
-            gru.train(own, ids, batch=64, rate=0.1)
+            gru.train(own, ids, batch=max(1, min(BATCH, len(ids) // 16)), rate=0.1)
             seen += len(ids)
             stream = []
         held = 0
-        for batch in encode(batches):
+        for batch in batches:
             for ids in batch.column("ids").to_pylist():
                 stream.append(np.frombuffer(ids, np.int32))
                 held += len(stream[-1])
@@ -152,13 +169,8 @@ def learn(train: DataFrame, vocab: Vocabulary, model_counts: np.ndarray, tokens:
                 [pa.array([seen], pa.int64()), pa.array([np.concatenate([own[k].ravel() for k in gru.NAMES]).tobytes()],
                                                         pa.binary())], ["tokens", "weights"])
 
-    replicas = max(1, round(tokens / PART / REPLICA))
-    # Dealt evenly, without a key: as many replicas as the tokens need, however many shuffle partitions there are.
-    share = drawn.where(F.pmod("draw", F.lit(PART)) == 0).repartition(replicas).sortWithinPartitions("draw")
     found = stage(share.mapInArrow(refine, "tokens long, weights binary"), "replicas")
     sums = found.rdd.map(lambda r: (r["tokens"], r["tokens"] * np.frombuffer(r["weights"], np.float32)))
-    if found.isEmpty():
-        return weights
     n, total = sums.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]), depth=3)
     flat, at, out = (total / n).astype(np.float32), 0, {}
     for k in gru.NAMES:
@@ -184,7 +196,7 @@ def score(docs: DataFrame, held_out: Column, warm_docs: int = 1500) -> DataFrame
     train = rows.where(~F.col("held_out"))
     counts = count_tokens(train)
     vocab, totals, model_counts, least = vocabulary(counts)
-    weights = learn(train, vocab, model_counts, totals.tokens, warm_docs)
+    weights = learn(train, vocab, model_counts, warm_docs)
     shared = spark.sparkContext.broadcast((vocab, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
