@@ -540,7 +540,8 @@ def greedy_dedupe(cands: DataFrame, store: DataFrame | None = None, t: float = T
     while (n := rest.count()) and (limit is None or n_accepted < limit):
         if n > size:
             bound = rest.agg(F.percentile_approx("seq", size / n, 10000)).first()[0]
-            head, tail = rest.where(F.col("seq") <= bound), rest.where(F.col("seq") > bound)
+            # Null places come first, as in ``at``.
+            head, tail = rest.where(F.col("seq").isNull() | (F.col("seq") <= bound)), rest.where(F.col("seq") > bound)
         else:
             head, tail = rest, None
         done = _keep_first(head, t).checkpoint()
