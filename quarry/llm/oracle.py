@@ -1,7 +1,8 @@
 """DuckDB SQL of the operators that SQL can express.
 
-Only the URL filter: XXH64, trained models, tokenizers, seeded draws and
-packing have no form in SQL; tests hold those against brute force.
+Only the URL filter and the filter audit: XXH64, trained models, tokenizers,
+seeded draws and packing have no form in SQL; tests hold those against brute
+force.
 """
 
 ORACLE: dict[str, str] = {}
@@ -58,3 +59,32 @@ p AS ({_parts('pages', 'url', 'page_id')})
 SELECT page_id, host, path, {_rule("rh || rp")} AS rule, coalesce({_rule('v')}, carried.v, 'allow') AS verdict
 FROM p LEFT JOIN carried ON carried.node = p.node
 """
+
+ORACLE["op13_filter_audit"] = """
+WITH RECURSIVE texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM texts GROUP BY t),
+words AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM texts),
+marks AS (SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'),
+    coalesce(doc_id > first, false)] AS fails FROM words JOIN firsts USING (t)),
+known AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+    max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+groups AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+    FROM marks LEFT JOIN known USING (doc_id) GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest(range(1, 6)) AS i),
+orders(o) AS (SELECT '' UNION ALL SELECT o || x FROM orders, letters WHERE strpos(o, x) = 0),
+steps AS (SELECT o AS filter_order, i AS step, list_transform(string_split(o, ''), lambda c: ascii(c) - 64) AS seq
+    FROM orders, letters WHERE length(o) = 5),
+judged AS (SELECT part, filter_order, step, seq[step] AS f, n, good, toxic, fails[seq[step]] AS failing,
+    len(list_filter(seq[:step - 1], lambda k: fails[k])) > 0 AS earlier,
+    len(list_filter(fails, lambda b: b)) = 1 AS alone FROM groups, steps),
+sums AS (SELECT part, filter_order, step, f, sum(CASE WHEN NOT earlier AND NOT failing THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN NOT earlier AND failing THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN earlier AND failing THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN alone AND failing THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN NOT earlier AND failing THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN NOT earlier AND failing THEN toxic ELSE 0 END) AS toxic_lost FROM judged GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+    redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+    toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM sums
+"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import fingerprints, lang_id, lm_score, mixing, packing, pii, quality, simhash_dedup, token_count, url_filter
+from quarry.llm import filter_audit, fingerprints, lang_id, lm_score, mixing, packing, pii, quality, simhash_dedup, token_count, url_filter
 from quarry.llm.common import prepare, read
 
 TOKEN_LIMIT = 4096
@@ -94,3 +94,11 @@ def op9(spark, sf):
 def op10(spark, sf):
     counts = token_count.token_counts(read(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@register("op13_filter_audit")
+def op13(spark, sf):
+    filters = filter_audit.contract_filters(F.coalesce("text", F.lit("")))
+    found = filter_audit.audit(read(spark, sf, "documents"), read(spark, sf, "labels"), filters, duplicate="E",
+                               part=F.coalesce("lang", F.lit("")))
+    return found.drop("filter")
