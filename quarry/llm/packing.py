@@ -49,19 +49,23 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self.vocab = spec["model"]["vocab"]
+        # The file writes each byte as a visible character; printable ones stand for themselves.
+        shown = sorted(ByteLevel.alphabet())
+        plain = [b for b in range(256) if chr(b) in shown]
+        other = [b for b in range(256) if chr(b) not in shown]
+        self.byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
         split = spec["pre_tokenizer"]
         self.fast = None
         if (spec["model"]["type"], split["type"], split.get("use_regex"), split.get("add_prefix_space")) == (
                 "BPE", "ByteLevel", True, False) and not spec["normalizer"]:
-            # The file writes each byte as a visible character; printable ones stand for themselves.
-            shown = sorted(ByteLevel.alphabet())
-            plain = [b for b in range(256) if chr(b) in shown]
-            other = [b for b in range(256) if chr(b) not in shown]
-            byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
-            ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items()
-                     if token not in self.special}
+            ranks = {self.spelled(token): i for token, i in self.vocab.items() if token not in self.special}
             self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def spelled(self, token: str) -> bytes:
+        """The bytes of a token of the file, a special one as it stands."""
+        return token.encode() if token in self.special else bytes(self.byte[c] for c in token)
+
     def ids(self, text: str) -> list[int]:
         if self.fast is None or any(s in text for s in self.special):
             return self.own.encode(text, add_special_tokens=False).ids

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import filter_audit, fingerprints, lang_id, lm_score, mixing, packing, pii, quality, simhash_dedup, token_count, url_filter
+from quarry.llm import filter_audit, fingerprints, lang_id, lm_score, mixing, order_packing, packing, pii, quality, simhash_dedup, token_align, token_count, url_filter
 from quarry.llm.common import prepare, read
 
 TOKEN_LIMIT = 4096
@@ -96,6 +96,17 @@ def op10(spark, sf):
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+@register("op11_token_alignment")
+def op11(spark, sf):
+    return token_align.align(read(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                             tokenizer_path("piece_bpe_32k.model"))
+
+
+@register("op12_order_packing")
+def op12(spark, sf):
+    return order_packing.pack(read(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"), 1024, end_id=0)
+
+
 @register("op13_filter_audit")
 def op13(spark, sf):
     filters = filter_audit.contract_filters(F.coalesce("text", F.lit("")))
