@@ -67,12 +67,11 @@ def test_common_ends_of_random_arrays():
         a = [i for i in range(1, size) if r.random() < p] + [size]
         b = [x for x in a if r.random() < q or x == size] if r.random() < 0.5 else \
             [i for i in range(1, size) if r.random() < q] + [size]
-        at_a, at_b = token_align.common_ends(a, b)
+        at_a, at_b = map(list, token_align.run_indices(token_align.common_runs(a, b)))
         assert [a[i] for i in at_a] == [b[j] for j in at_b] == sorted(set(a) & set(b))
-    assert token_align.common_ends([], []) == ([], [])
+    assert token_align.common_runs([], []) == []
     long = list(range(1, 5000))  # one end missing far inside: the shift changes by one
-    at_a, at_b = token_align.common_ends(long, long[:2000] + long[2001:])
-    assert at_b == list(range(4998)) and at_a == [*range(2000), *range(2001, 4999)]
+    assert token_align.common_runs(long, long[:2000] + long[2001:]) == [(0, 0, 2000), (2001, 2000, 2998)]
 
 
 def test_alignment_equals_brute_force(spark, sf):
