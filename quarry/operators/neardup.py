@@ -13,13 +13,14 @@ Plan, all lossless:
    filtering on character-multiset tokens ``(char, k-th occurrence)``:
    Ratcliff-Obershelp matches are a sub-multiset of the common characters,
    so ``ratio >= m`` forces a bag overlap of at least ``m/(2-m)*len`` and
-   hence a shared token among each string's rarest ``len - overlap + 1``
-   tokens (AllPairs prefix principle). The join is an equi-join on the
-   token; the length bound is applied before scoring.
-   Before any Python, common characters and common bigrams (as bags) must
-   reach their lower bounds, natively.
-3. **Exact scores** with the Arrow-batched ``difflib`` UDF on surviving
-   distinct pairs only.
+   hence a shared token among each string's first ``len - overlap + 1``
+   tokens of any common order (AllPairs prefix principle). Over short strings
+   of few words most pairs share such a token whatever the key is, so pairs are
+   judged inside the join: each row carries a *profile* of its string, bitmaps
+   and bucket counts of its characters and bigrams, whose overlap bounds the
+   common ones from above in a few instructions. A token that too many strings
+   share is dealt over a grid of keys.
+3. **Exact scores** in Arrow batches on surviving distinct pairs only.
 4. **Branches instead of record pairs.** A title pair at ``>= t`` makes
    every record pair of those titles a duplicate, so the title branch is
    answered per *title* (earliest record per title, ``min`` over similar
@@ -31,12 +32,16 @@ Plan, all lossless:
 from __future__ import annotations
 
 import functools
+import zlib
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.similarity import (EPS, THRESHOLD, W_STATEMENT, W_TAGS, W_TITLE,
-                                         branch_floors, length_floor, ratio_at_least_udf, ratio_udf)
+                                         branch_floors, length_floor, ratio_at_least, ratio_udf)
 from quarry.functions.text import normalize_tags, normalize_text
 from quarry.session import ensure_checkpoint_dir
 
@@ -60,41 +65,144 @@ def features(df: DataFrame, id="id", seq="seq", title="title", statement="statem
 
 # ------------------------------------------------------------ candidate pairs
 
-def _counts(strings: DataFrame, size: int) -> DataFrame:
-    """(k, g, c): how often each character n-gram stands in each string."""
-    n = F.length("s")
-    if size == 1:
-        grams = F.regexp_extract_all("s", F.lit("(?s)."), 0)
-    else:
-        grams = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(F.col("s"), i, size))
-    return (strings.where(n >= size).select("k", F.explode(grams).alias("g"))
-            .groupBy("k", "g").agg(F.count(F.lit(1)).cast("int").alias("c")))
-
-
-def _tokens(counts: DataFrame) -> DataFrame:
-    """(k, ch, occ): the k-th occurrence of a character is a token of its own."""
-    return counts.select("k", F.col("g").alias("ch"), F.explode(F.sequence(F.lit(1), F.col("c"))).alias("occ"))
-
-
-def _histograms(counts: DataFrame) -> DataFrame:
-    """Per string its n-gram counts as a map."""
-    return counts.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("g", "c"))).alias("h"))
-
-
-def _bag_overlap(ha, hb):
-    """sum over n-grams of min(count in a, count in b), natively."""
-    return F.aggregate(F.map_keys(ha), F.lit(0),
-                       lambda acc, c: acc + F.least(F.try_element_at(ha, c),
-                                                    F.coalesce(F.try_element_at(hb, c), F.lit(0))))
-
-
-def _bag_filter(cand: DataFrame, left: DataFrame, right: DataFrame, need) -> DataFrame:
-    """Candidates whose common n-grams (as bags) reach ``need``."""
-    lh, rh = _histograms(left), _histograms(right)
-    return (cand.join(lh.select(F.col("k").alias("ka"), F.col("h").alias("ha")), "ka", "left")
-            .join(rh.select(F.col("k").alias("kb"), F.col("h").alias("hb")), "kb", "left")
-            .where(F.coalesce(_bag_overlap(F.col("ha"), F.col("hb")), F.lit(0)) >= need)
-            .drop("ha", "hb"))
+#: Characters and bigrams are counted in so many buckets of a profile.
+CHARS, BIGRAMS = 37, 61
+#: Tokens of a string (an n-gram and its k-th occurrence) stand for one bit each of so many words of a bitmap.
+MAP_WORDS = 4
+#: Strings up to this length are bounded by bitmaps alone.
+SHORT = 64
+#: Counts are two bytes wide; longer strings are not bounded by their profiles.
+WIDEST = 32767
+#: A token that would join more pairs than this meets in a grid of keys, each
+#: side copied once a column or row, at most so many times.
+CELL, GRID = 4_000_000, 16
+#: Buckets of the token order: characters, and doublings of the occurrence.
+ORDER, DOUBLINGS = 1024, 32
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+
+
+def _bitmap(grams: np.ndarray) -> tuple[list[int], int]:
+    """Bits of the tokens ``(gram, k-th occurrence)``, and how many tokens
+    found their bit taken."""
+    ordered = np.sort(grams)
+    first = np.flatnonzero(np.diff(ordered, prepend=-1))
+    occ = np.arange(len(ordered)) - np.repeat(first, np.diff(first, append=len(ordered)))
+    hashed = (ordered.astype(np.uint64) * np.uint64(1 << 16) + occ.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    bits = np.zeros(64 * MAP_WORDS, dtype=bool)
+    bits[(hashed >> np.uint64(40)) % np.uint64(64 * MAP_WORDS)] = True
+    return np.packbits(bits).view("<i8").tolist(), len(grams) - int(bits.sum())
+
+
+_PROFILE = ("k binary, n int, cm array<bigint>, cr int, gm array<bigint>, gr int, h array<smallint>, "
+            "g array<smallint>")
+_COLUMNS = [c.split()[0] for c in _PROFILE.split(", ")]
+
+
+def _profiles(strings: DataFrame) -> DataFrame:
+    """Per distinct string ``k, n``, bitmaps of its characters (``cm``, those
+    without a bit of their own: ``cr``) and bigrams (``gm, gr``), their counts
+    folded into buckets (``h, g``), and its ``bag``: every character with its
+    number. Texts stay behind."""
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column("s").to_pylist():
+                x = _points(text)
+                pairs = x[:-1] * (1 << 21) + x[1:]
+                chars, n = np.unique(x, return_counts=True)
+                rows.append((len(x), *_bitmap(x), *_bitmap(pairs),
+                             np.minimum(np.bincount(x % CHARS, minlength=CHARS), WIDEST).tolist(),
+                             np.minimum(np.bincount(pairs % BIGRAMS, minlength=BIGRAMS), WIDEST).tolist(),
+                             ((chars << 32) + n).tolist()))
+            words, short = pa.list_(pa.int64()), pa.list_(pa.int16())
+            kinds = [pa.int32(), words, pa.int32(), words, pa.int32(), short, short, words]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("k"), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], [*_COLUMNS, "bag"])
+
+    return strings.select("k", "s").mapInArrow(profile, _PROFILE + ", bag array<bigint>")
+
+
+def _common_bits(what: str) -> Column:
+    """At most so many tokens are common: those whose bits meet, and of the
+    tokens without a bit of their own the smaller number."""
+    a, b = F.col(f"{what}ma"), F.col(f"{what}mb")
+    return functools.reduce(lambda x, y: x + y, [F.bit_count(a[i].bitwiseAND(b[i])) for i in range(MAP_WORDS)],
+                            F.least(f"{what}ra", f"{what}rb"))
+
+
+def _common_counts(what: str) -> Column:
+    """At most so many n-grams are common: the smaller count of each bucket."""
+    return F.aggregate(F.zip_with(f"{what}a", f"{what}b", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda x, y: x + y)
+
+
+def _within_bounds(m: float) -> Column:
+    """Whether a pair of profiles (columns ending in ``a`` and ``b``) can reach
+    ``m``: lengths, then common characters, then common bigrams.
+
+    Matched characters form M = m/2 * total pairs in blocks. Between two blocks
+    lies at least one unmatched character, so there are at most total - 2M + 1
+    blocks, and M less the blocks, or more, adjacent pairs are common bigrams.
+    """
+    na, nb = F.col("na"), F.col("nb")
+    total, longest = na + nb, F.greatest("na", "nb")
+    chars = total * F.lit(m / 2) - F.lit(EPS)
+    grams = total * F.lit(max(0.0, 1.5 * m - 1)) - F.lit(1 + EPS)
+    counts = (longest <= SHORT) | (longest > WIDEST)  # bits suffice; counts are cut
+    return ((F.least("na", "nb") >= longest * F.lit(length_floor(m)) - F.lit(EPS))
+            & (_common_bits("c") >= chars) & (_common_bits("g") >= grams)
+            & (counts | ((_common_counts("h") >= chars) & (_common_counts("g") >= grams))))
+
+
+def _token_weights(profiles: DataFrame) -> np.ndarray:
+    """About how many strings hold a token of each bucket; a fixed number of
+    sums, whatever the characters and lengths."""
+    found = (profiles.select(F.explode("bag").alias("x"))
+             .select(F.shiftright("x", 32).alias("char"), F.col("x").bitwiseAND((1 << 32) - 1).alias("c"))
+             .select("char", F.explode(F.sequence(F.lit(0), F.floor(F.log2("c")).cast("int"))).alias("d"))
+             .groupBy((F.pmod("char", F.lit(ORDER)) * DOUBLINGS + F.col("d")).cast("int").alias("bucket"))
+             .agg(F.count(F.lit(1)).alias("n")).collect())
+    out = np.zeros(ORDER * DOUBLINGS)
+    for r in found:
+        out[r["bucket"]] = r["n"]
+    return out
+
+
+def _prefixes(profiles: DataFrame, weights: np.ndarray, lf: float, side: str) -> DataFrame:
+    """One row for each of a string's first tokens ``(char, k-th occurrence)``
+    in the common order: those that join least come first. ``weights`` says
+    about how many pairs a token joins; frequent ones are dealt over a grid."""
+    grid = np.clip(np.ceil(np.sqrt(weights / CELL)), 1, GRID).astype(np.int64)
+    shared = profiles.sparkSession.sparkContext.broadcast((weights, grid))
+
+    def dealt(token: np.ndarray, size: np.ndarray, own: int) -> np.ndarray:
+        """Keys of the tokens: a row of the grid for ``a``, a column for ``b``."""
+        copy = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        token, size = np.repeat(token, size), np.repeat(size, size)
+        cell = own % size * size + copy if side == "a" else copy * size + own % size
+        return token * (GRID * GRID) + cell
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, g = shared.value
+        for batch in batches:
+            out = []
+            for k, n, bag in zip(*(batch.column(c).to_pylist() for c in ("k", "n", "bag"))):
+                x = np.array(bag, dtype=np.int64)
+                chars, counts = x >> 32, x & 0xFFFFFFFF
+                char = np.repeat(chars, counts)
+                occ = np.arange(1, n + 1) - np.repeat(np.cumsum(counts) - counts, counts)
+                token = (char << 32) + occ
+                at = (char % ORDER) * DOUBLINGS + np.log2(occ).astype(np.int64)
+                keep = n - int(np.ceil(n * lf - EPS)) + 1
+                first = np.lexsort((token, w[at]))[:keep]
+                out.append(dealt(token[first], g[at[first]], zlib.crc32(k)).tolist() if n else [])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in _COLUMNS], pa.array(out, pa.list_(pa.int64()))],
+                                             [*_COLUMNS, "tokens"])
+
+    rows = profiles.mapInArrow(prefix, _PROFILE + ", tokens array<bigint>")
+    return rows.select(*[F.col(c).alias(c + side) for c in _COLUMNS], F.explode("tokens").alias("token"))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame | None, m: float) -> DataFrame:
@@ -122,59 +230,19 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, m: float) -> DataFra
             n = F.length("s")
             return df.where((n == 0) | ((n >= F.lit(lo * lf - EPS)) & (n <= F.lit(hi / lf + EPS))))
         left, right = keep(left, ra, rb), keep(right, la, lb)
-    lcounts = _counts(left, 1)
-    rcounts = lcounts if same else _counts(right, 1)
-    ltok = _tokens(lcounts)
-    rtok = ltok if same else _tokens(rcounts)
-    ln = left.select("k", F.length("s").alias("n"))
-    rn = ln if same else right.select("k", F.length("s").alias("n"))
-    if same:
-        freq = ltok.groupBy("ch", "occ").agg(F.count(F.lit(1)).alias("freq"), F.lit(1).alias("both"))
-    else:
-        # Any fixed total order keeps the prefix principle; tokens present on
-        # one side only come first (they fill prefixes but never pair).
-        sides = (ltok.select("ch", "occ", F.lit(1).alias("l"), F.lit(0).alias("r"))
-                 .unionByName(rtok.select("ch", "occ", F.lit(0).alias("l"), F.lit(1).alias("r"))))
-        freq = sides.groupBy("ch", "occ").agg(
-            F.count(F.lit(1)).alias("freq"),
-            ((F.max("l") == 1) & (F.max("r") == 1)).cast("int").alias("both"))
-
-    def prefix(toks, lens):
-        w = Window.partitionBy("k").orderBy("both", "freq", "ch", "occ")
-        t = toks.join(freq, ["ch", "occ"]).withColumn("r", F.row_number().over(w)).join(lens, "k")
-        plen = F.col("n") - F.ceil(F.col("n") * F.lit(lf) - F.lit(EPS)) + 1
-        return t.where(F.col("r") <= plen).select("k", "n", "ch", "occ", "r")
-
-    lp = prefix(ltok, ln)
-    rp = lp if same else prefix(rtok, rn)
-    a = lp.select(F.col("k").alias("ka"), F.col("n").alias("na"), F.col("r").alias("ra"), "ch", "occ")
-    b = rp.select(F.col("k").alias("kb"), F.col("n").alias("nb"), F.col("r").alias("rb"), "ch", "occ")
-    # Positional bound (PPJoin): common tokens lie in the same global order in
-    # both strings, so overlap <= (#common prefix tokens) + what is left after
-    # the last common one on the shorter side. One aggregation per pair.
-    joined = a.join(b, ["ch", "occ"])
+    lp = _profiles(spread(left, 1)).checkpoint()
+    rp = lp if same else _profiles(spread(right, 1)).checkpoint()
+    # Any fixed order of the tokens keeps the prefix principle. Those of one
+    # side only have no weight: they fill prefixes but never pair.
+    lw = _token_weights(lp)
+    weights = lw * (lw if same else _token_weights(rp))
+    joined = _prefixes(lp, weights, lf, "a").join(_prefixes(rp, weights, lf, "b"), "token")
     if same:
         # every bound below is symmetric: build each unordered pair once
         joined = joined.where(F.col("ka") < F.col("kb"))
-    pairs = (joined
-             .where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(lf) - F.lit(EPS))
-             .groupBy("ka", "kb", "na", "nb")
-             .agg(F.count(F.lit(1)).alias("c"), F.max("ra").alias("ia"), F.max("rb").alias("ib")))
-    upper = F.col("c") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    cand = pairs.where(upper * 2 >= (F.col("na") + F.col("nb")) * F.lit(m) - F.lit(EPS)).select(
-        "ka", "kb", "na", "nb")
-    # Exact bag bound (difflib's quick_ratio) in the JVM before any Python:
-    # ratio <= 2 * sum_c min(count_a(c), count_b(c)) / (na + nb).
-    total = F.col("na") + F.col("nb")
-    cand = _bag_filter(cand, lcounts, rcounts, total * F.lit(m / 2) - F.lit(EPS))
-    # Matched characters form M = m/2 * total pairs in blocks. Between two blocks
-    # lies at least one unmatched character, so there are at most total - 2M + 1
-    # blocks, and M less the blocks, or more, adjacent pairs are common bigrams.
-    need = total * F.lit(1.5 * m - 1) - F.lit(1 + EPS)
-    if 1.5 * m > 1:
-        lgrams = _counts(left, 2)
-        cand = _bag_filter(cand, lgrams, lgrams if same else _counts(right, 2), need)
-    cand = cand.select("ka", "kb")
+    # The bounds hold inside the join: of the pairs that share a token only
+    # those go on that can reach m.
+    cand = joined.where(_within_bounds(m)).select("ka", "kb").distinct()
     if same:
         # both directions (the ratio is asymmetric) and each string with
         # itself (scored too: autojunk can keep ratio(x, x) below 1.0)
@@ -182,9 +250,7 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, m: float) -> DataFra
                 .unionByName(left.where(F.length("s") > 0).select(F.col("k").alias("ka"), F.col("k").alias("kb"))))
     ls = left.select(F.col("k").alias("ka"), F.col("s").alias("sa"))
     rs = right.select(F.col("k").alias("kb"), F.col("s").alias("sb"))
-    scored = (spread(cand.join(ls, "ka").join(rs, "kb"))
-              .withColumn("ratio", ratio_at_least_udf("sa", "sb", F.lit(float(m))))
-              .where(F.col("ratio").isNotNull()).select("ka", "kb", "ratio"))
+    scored = _scored(cand.join(ls, "ka").join(rs, "kb"), m)
     # empty strings have no tokens: '' vs '' scores 1.0
     e = (left.where(F.length("s") == 0).select(F.col("k").alias("ka")).distinct()
          .join(right.where(F.length("s") == 0).select(F.col("k").alias("kb")).distinct(),
@@ -193,7 +259,23 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, m: float) -> DataFra
     return scored.unionByName(e)
 
 
-def spread(df: DataFrame, factor: int = 4) -> DataFrame:
+def _scored(pairs: DataFrame, m: float) -> DataFrame:
+    """``ka, kb, ratio`` of the pairs of texts ``sa, sb`` that reach ``m``.
+
+    Not a UDF with a filter: the optimizer would push that filter, and the UDF
+    with it, below the exchange that spreads the pairs.
+    """
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r = pa.array([ratio_at_least(x, y, m) for x, y in zip(batch.column("sa").to_pylist(),
+                                                                  batch.column("sb").to_pylist())], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("ka"), batch.column("kb"), r],
+                                             ["ka", "kb", "ratio"]).filter(r.is_valid())
+
+    return spread(pairs.select("ka", "kb", "sa", "sb")).mapInArrow(score, "ka binary, kb binary, ratio double")
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     """Round-robin rows over enough partitions for a Python UDF stage: AQE
     sizes partitions by bytes, but UDF cost is per row."""
     spark = df.sparkSession
@@ -283,21 +365,16 @@ class _Branches:
         def strings(sig: DataFrame, side: str) -> DataFrame:
             return sig.select(F.col("ks").alias(f"k{side}"), F.col("ns").alias(f"s{side}")).dropDuplicates([f"k{side}"])
 
-        # Statement pairs from keys alone, bounded natively; texts come last.
+        # Statement pairs from keys and profiles alone; texts come last.
+        def profiles(sig: DataFrame, side: str) -> DataFrame:
+            p = _profiles(spread(sig.select(F.col("ks").alias("k"), F.col("ns").alias("s")).dropDuplicates(["k"]), 1))
+            return p.select(*[F.col(c).alias(c + side) for c in _COLUMNS])
         need = (gray.join(keys(new_sig, "a"), "kta").join(keys(ex_sig, "b"), "ktb")
                 .where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(lf) - F.lit(EPS))
-                .select("ka", "kb", "na", "nb").distinct())
-        total = F.col("na") + F.col("nb")
-
-        def counts(sig: DataFrame, size: int) -> DataFrame:
-            return _counts(sig.select(F.col("ks").alias("k"), F.col("ns").alias("s")).dropDuplicates(["k"]), size)
-        need = _bag_filter(need, counts(new_sig, 1), counts(ex_sig, 1), total * F.lit(low_s / 2) - F.lit(EPS))
-        if 1.5 * low_s > 1:
-            need = _bag_filter(need, counts(new_sig, 2), counts(ex_sig, 2),
-                               total * F.lit(1.5 * low_s - 1) - F.lit(1 + EPS))
-        scored = (spread(need.select("ka", "kb").join(strings(new_sig, "a"), "ka").join(strings(ex_sig, "b"), "kb"))
-                  .withColumn("S", ratio_at_least_udf("sa", "sb", F.lit(float(low_s))))
-                  .where(F.col("S").isNotNull()).select("ka", "kb", "S"))
+                .select("ka", "kb").distinct()
+                .join(profiles(new_sig, "a"), "ka").join(profiles(ex_sig, "b"), "kb").where(_within_bounds(low_s)))
+        scored = _scored(need.select("ka", "kb").join(strings(new_sig, "a"), "ka").join(strings(ex_sig, "b"), "kb"),
+                         low_s).withColumnRenamed("ratio", "S")
         a = new_sig.select(F.col("sig").alias("sa"), F.col("kt").alias("kta"), F.col("ks").alias("ka"),
                            F.col("tg").alias("tga"))
         b = ex_sig.select(F.col("sig").alias("sb"), F.col("kt").alias("ktb"), F.col("ks").alias("kb"),
