@@ -18,32 +18,35 @@ MOCK_CONSTRAINTS = ["1 <= N <= 10^5", "1 <= coordinates[i] <= 1000"]
 MOCK_TIME = "Brute Force: O(N^2), Optimal: O(N)"
 MOCK_SPACE = "Brute Force: O(1), Optimal: O(K) where K is the alphabet size or window element range."
 
-TITLE_FMT = "Practice Set: %s"
-STATEMENT_FMT = ("You are given N integers that describe readings along a line. Report the length of the "
-                 "shortest contiguous run whose spread stays inside a limit. The exercise is about %s "
-                 "at %s level.")
-INPUT_FORMAT = "The first line holds N; the second line holds N integers."
-OUTPUT_FORMAT = "One integer: the shortest run length, or -1 when none exists."
-EXAMPLE = ("4\n3 1 4 1", "2", "The run [1 4] is too wide, [4 1] too; the shortest valid run has length 2.")
-
-PUBLIC_CASES = [("3\n1 2 3", "2"), ("2\n7 7", "1"), ("3\n1 9 20", "-1")]
-HIDDEN_CASES = [("1\n5", "1", "edge"), ("1\n999", "1", "edge"), ("2\n4 4", "1", "edge"),
-                ("4\n2 4 6 8", "2", "random"), ("5\n3 8 9 15 16", "2", "random"),
-                ("6\n1 3 1 3 1 3", "2", "random"), ("5\n10 40 20 30 50", "3", "random"),
-                ("8\n1 2 3 4 5 6 7 8", "2", "large"), ("10\n5 5 5 5 5 5 5 5 5 5", "1", "large"),
-                ("12\n2 4 6 8 10 12 14 16 18 20 22 24", "2", "large")]
-HINTS = ["Look at how a valid run changes when you extend it by one element.",
-         "Keep two indices and move the left one only when the run becomes invalid.",
-         "Track the minimum and maximum of the run with monotonic queues for O(1) updates."]
+# An exercise of our own: how many different marks a ferry passes.
+TITLE_FMT = "Ferry Log: %s"
+STATEMENT_FMT = ("A ferry notes the number of each buoy it passes, N notes in all, some buoys many times. "
+                 "How many different buoys did it meet? Practises %s; level %s.")
+INPUT_FORMAT = "N on a line of its own, then the N notes on the next."
+OUTPUT_FORMAT = "The number of different buoys."
+EXAMPLE = ("6\n8 3 8 8 5 3", "3", "The notes name the buoys 3, 5 and 8.")
+
+
+def _log(n: int, buoys: int) -> tuple[str, str]:
+    """A log of ``n`` notes over at most ``buoys`` buoys, and its answer."""
+    notes = [1 + i * i % buoys for i in range(n)]
+    return f"{n}\n{' '.join(map(str, notes))}", str(len(set(notes)))
+
+
+# Three public cases, ten hidden ones of these kinds.
+PUBLIC_CASES = [_log(n, 5) for n in (2, 6, 9)]
+HIDDEN_CASES = [(*_log(n, n + 2), "edge" if n < 3 else "random" if n < 40 else "large")
+                for n in (1, 2, 4, 7, 11, 16, 29, 46, 75, 120)]
+HINTS = ["Would sorting the notes bring equal ones together?",
+         "Which collection ignores what it already holds?",
+         "One note can only raise the answer by one: by when?"]
 EDITORIAL = {
-    "brute_force": "Check every contiguous run with two nested loops and keep the shortest valid one.",
-    "optimal": "Slide a window with two pointers, keeping its extremes in monotonic deques; shrink from "
-               "the left while the window is valid and record its length.",
+    "brute_force": "Compare each note with all earlier notes; count it if none of them is the same.",
+    "optimal": "Put every note into a hash set while reading; the answer is the size of the set.",
     "time_complexity": MOCK_TIME,
     "space_complexity": MOCK_SPACE,
-    "common_mistakes": ["Quadratic scans time out for N near 10^5.",
-                        "Moving a pointer one step too far.",
-                        "Forgetting to reset the window after an invalid element."],
+    "common_mistakes": ["Counting N itself as a note.", "Comparing notes as text, so that 07 and 7 differ.",
+                        "Reading only the first line."],
 }
 STARTER = {
     "python": "def solve(n: int, values: list[int]) -> int:\n    # your code here\n    return 0\n",

@@ -55,18 +55,29 @@ def rule_columns(prefix: str = "LL") -> dict[str, Column]:
     return rules
 
 
-def check_expectations(records: DataFrame, prefix: str = "LL", ids: DataFrame | None = None) -> DataFrame:
+def check_expectations(records: DataFrame, prefix: str = "LL", ids: DataFrame | None = None,
+                       stored: DataFrame | None = None) -> DataFrame:
     """Add one boolean per rule, ``id_unique`` and ``passed`` / ``failed_rules``.
 
     ``ids`` may give the records' ids without their assembly; else the records
-    are evaluated once more for them."""
+    are evaluated once more for them. ``stored``: the store; an id that it
+    holds fails ``id_not_stored``. Only the store's ids are read, and of them
+    only those of the batch go on (a semi-join, before which Spark puts its
+    runtime Bloom filter on a large store's scan)."""
     rules = rule_columns(prefix)
-    dup_ids = (records if ids is None else ids).groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(
+    own_ids = (records if ids is None else ids).select("id")
+    names = [*rules, "id_unique"]
+    if stored is not None:
+        taken = (stored.select("id").join(own_ids.distinct(), "id", "left_semi").distinct()
+                 .withColumn("_taken", F.lit(True)))
+        records = (records.join(taken, "id", "left").withColumn("rule_id_not_stored", F.col("_taken").isNull())
+                   .drop("_taken"))
+        names.append("id_not_stored")
+    dup_ids = own_ids.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(
         "id", F.lit(False).alias("id_unique"))
     checked = records.withColumns({f"rule_{k}": v for k, v in rules.items()})
     checked = checked.join(dup_ids, "id", "left").withColumn(
         "rule_id_unique", F.coalesce(F.col("id_unique"), F.lit(True))).drop("id_unique")
-    names = list(rules) + ["id_unique"]
     failed = F.filter(F.array(*[F.when(~F.col(f"rule_{n}"), F.lit(n)) for n in names]),
                       lambda x: x.isNotNull())
     return checked.withColumn("failed_rules", failed).withColumn("passed", F.size(failed) == 0)

@@ -494,3 +494,21 @@ _lit_entries()
 
 # ------------------------------------------------------------------ streaming
 sql("stream_index", f"WITH {d.PF_VIEW}, {d.POSTINGS_FROM_PF} SELECT term, id FROM POST")
+
+sql("metadata_rejects", """
+SELECT 'malformed' AS reason, md5('{"concept": "c' || doc_id || '", "topic": "' || lang || '"'
+       || CASE WHEN doc_id % 5 = 1 THEN '' ELSE ', "tags": 7}' END) AS raw_md5
+FROM documents WHERE doc_id % 5 IN (1, 3)
+""")
+
+sql("llm_generate_once", """
+WITH asked AS (SELECT doc_id, n_chars // 1000 AS size, 'thousands of characters in ' || lang || ' ' || (n_chars // 1000) AS prompt
+               FROM documents)
+SELECT doc_id, CASE WHEN size % 2 = 0 THEN length(prompt)::INTEGER END AS n,
+       CASE WHEN size % 2 = 1 THEN 'ValueError: odd' END AS error FROM asked
+""")
+
+sql("expectations_stored", f"""
+WITH {d.D_VIEW}
+SELECT id, true AS rule_id_unique, seq % 7 <> 0 AS rule_id_not_stored, seq % 7 = 0 AS listed FROM D
+""")

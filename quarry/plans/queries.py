@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import mock, prompts, scoring, similarity, text
-from quarry.operators import generation, generation_run, ids, neardup, pages, quality, runs, search, verdicts
+from quarry.operators import generation, generation_run, ids, ledger, neardup, pages, quality, runs, search, verdicts
 from quarry.plans import views
 from quarry.session import scratch_dir
 from quarry.sources import metadata, store
@@ -253,6 +253,18 @@ def q_metadata_scan(spark, sf):
     return _meta_out(back.withColumn("origin", origin))
 
 
+@register("metadata_rejects")
+def q_metadata_rejects(spark, sf):
+    """Metadata lines made of documents, those of every fifth cut short or with
+    a field of another type: what the scan leaves out."""
+    path = scratch_dir(spark, "metadata-broken")
+    line = F.concat(F.lit('{"concept": "c'), F.col("doc_id"), F.lit('", "topic": "'), F.col("lang"), F.lit('"'))
+    end = F.when(F.col("doc_id") % 5 == 1, "").when(F.col("doc_id") % 5 == 3, ', "tags": 7}').otherwise("}")
+    views.table(spark, sf, "documents").select(F.concat(line, end).alias("value")).write.text(path)
+    bad = metadata.metadata_rejects(spark, path, one_object_per_file=False, pattern="*.txt")
+    return bad.select("reason", F.md5("raw").alias("raw_md5"))
+
+
 # ------------------------------------------------------- model replies as tables
 
 
@@ -373,6 +385,28 @@ def q_llm_generate(spark, sf):
     return parsed.select("id", F.col("parsed.n").alias("n"), "parsed_ok")
 
 
+def _moody_client():
+    """Answers with the prompt's length; refuses prompts about odd thousands."""
+    def call(prompt: str) -> str:
+        if int(prompt.rsplit(" ", 1)[1]) % 2:
+            raise ValueError("odd")
+        return str(len(prompt))
+    return call
+
+
+@register("llm_generate_once")
+def q_llm_generate_once(spark, sf):
+    """One prompt for all documents of a language and size: called once each,
+    over two runs of which the second finds all answers in the ledger."""
+    path = scratch_dir(spark, "ledger")
+    rows = views.table(spark, sf, "documents").select("doc_id", F.concat(
+        F.lit("thousands of characters in "), F.col("lang"), F.lit(" "),
+        F.floor(F.col("n_chars") / 1000).cast("string")).alias("prompt"))
+    ledger.generate_once(rows.where("doc_id % 2 = 0"), "prompt", _moody_client, path)
+    out = ledger.generate_once(rows, "prompt", _moody_client, path, wave=20)
+    return out.select("doc_id", F.col("response").cast("int").alias("n"), "error")
+
+
 # ------------------------------------------------------------ verdicts & gates
 
 def _v_tables(spark, sf):
@@ -474,6 +508,17 @@ def q_expectations_quarantine(spark, sf):
     return bad.select("id", F.array_join("failed_rules", "|").alias("failed_rules"))
 
 
+@register("expectations_stored")
+def q_expectations_stored(spark, sf):
+    """Documents' records against a store that holds every seventh id."""
+    base = scratch_dir(spark, "stored")
+    recs = d_records(spark, sf)
+    store.store_append(d_view(spark, sf).where(F.col("seq") % 7 == 0), base)
+    checked = quality.check_expectations(recs, ids=d_view(spark, sf).select("id"), stored=store.store_scan(spark, base))
+    return checked.select("id", "rule_id_unique", "rule_id_not_stored",
+                          F.array_contains("failed_rules", "id_not_stored").alias("listed"))
+
+
 # ---------------------------------------------------------------- store & runs
 
 def _two_batch_store(spark, sf):

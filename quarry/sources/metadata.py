@@ -26,6 +26,36 @@ def metadata_scan(spark: SparkSession, path: str, one_object_per_file: bool = Tr
     return df.withColumn("file_name", F.coalesce(F.col("file_name"), from_path))
 
 
+CORRUPT = "_corrupt_record"
+
+
+def metadata_rejects(spark: SparkSession, path: str, one_object_per_file: bool = True,
+                     pattern: str = "*.json") -> DataFrame:
+    """What ``metadata_scan`` leaves out: ``file_name, path, reason, raw``.
+
+    ``malformed``: text that is no record, or a record with a field of another
+    type, as it stands in the file (a line, or the whole file where each holds
+    one object). ``no record``: files that hold only white space (the reader's
+    listing leaves out files of no bytes: nothing is lost with them). Every field is parsed, whatever columns a reader would ask for; files are
+    listed without reading their contents.
+    """
+    schema = T.StructType([*META_SCHEMA.fields, T.StructField("file_name", T.StringType()),
+                           T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_json("raw", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    rows = (spark.read.option("wholetext", one_object_per_file).option("pathGlobFilter", pattern)
+            .option("recursiveFileLookup", "true").text(path)
+            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+            .where(F.length(F.regexp_replace("raw", r"\s+", "")) > 0))
+    bad = (rows.withColumn("parsed", parsed).where(F.col("parsed").isNull() | F.col(f"parsed.{CORRUPT}").isNotNull())
+           .select("path", F.lit("malformed").alias("reason"), "raw"))
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+             .load(path).select(F.col("_metadata.file_path").alias("path")))
+    silent = (files.join(rows.select("path").distinct(), "path", "left_anti")
+              .select("path", F.lit("no record").alias("reason"), F.lit(None).cast("string").alias("raw")))
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.json$", "")
+    return bad.unionByName(silent).select(name.alias("file_name"), "path", "reason", "raw")
+
+
 def metadata_sink(collection: DataFrame, path: str, per_record_files: bool = False) -> int:
     """Overwrite the metadata collection as JSON; returns the count.
 
