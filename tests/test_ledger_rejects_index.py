@@ -89,17 +89,19 @@ def test_ids_in_the_store_fail(spark):
 
 def test_index_survives_repeats_and_half_written_folders(spark, tmp_path):
     schema = "id string, title string, tags array<string>, topic string, difficulty string, xp int"
+    rest = dict(time_complexity=F.lit("O(1)"), space_complexity=F.lit(None).cast("string"))
+    full = spark.createDataFrame([], schema).withColumns(rest).schema
     src, base, ckpt = (str(tmp_path / x) for x in ("src", "index", "ckpt"))
 
     def arrive(rows):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-        gate.stream_index(spark, src, spark.createDataFrame([], schema).schema, base, ckpt)
+        spark.createDataFrame(rows, schema).withColumns(rest).coalesce(1).write.mode("append").parquet(src)
+        gate.stream_index(spark, src, full, base, ckpt)
     one, two = ("p1", "Red Ring", ["x"], "t", "Easy", 1), ("p2", "Blue Plate", ["y"], "t", "Hard", 2)
     arrive([one, two, one])
     arrive([("p1", "Red Ring", ["x"], "t", "Hard", 5), ("p3", "Old Bolt", ["z"], "t", "Easy", 3)])
     post, summ = gate.read_stream_index(spark, base)
     rebuilt = search.postings(spark.createDataFrame(
-        [("p1", "Red Ring", ["x"], "t", "Hard", 5), one, two, ("p3", "Old Bolt", ["z"], "t", "Easy", 3)], schema))
+        [("p1", "Red Ring", ["x"], "t", "Hard", 5), one, two, ("p3", "Old Bolt", ["z"], "t", "Easy", 3)], schema).withColumns(rest))
     assert sorted(map(tuple, post.select("term", "id").collect())) == sorted(
         map(tuple, rebuilt.select("term", "id").distinct().collect()))
     assert {r.id: (r.difficulty, r.xp) for r in summ.collect()} == {"p1": ("Hard", 5), "p2": ("Hard", 2), "p3": ("Easy", 3)}
