@@ -8,6 +8,8 @@ from window to window, forwards only, and starts anew after each end token.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 HIDDEN, CLASSES, SIZE = 16, 64, 64
@@ -34,7 +36,10 @@ def fresh(counts: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(a: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * a) + 0.5
+    out = np.tanh(0.5 * a)
+    out *= 0.5
+    out += 0.5
+    return out
 
 
 def states(p: dict, ids: np.ndarray, h: np.ndarray, trace: list | None = None) -> np.ndarray:
@@ -61,7 +66,7 @@ def _softmax_parts(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.n
     float32 can take; no maximum needs to be taken off.
     """
     own = logits[np.arange(len(at)), at]
-    e = np.exp(logits)
+    e = np.exp(logits, out=logits)
     total = e.sum(axis=1)
     return own - np.log(total), e, total
 
@@ -70,7 +75,7 @@ def log_likelihood(p: dict, h: np.ndarray, targets: np.ndarray, grads: dict | No
     """ln P of each target from its state (N, HIDDEN). With ``grads``, adds the
     output layer's gradients of the summed loss there and returns the states'
     gradient as well."""
-    order = np.argsort(targets, kind="stable")
+    order = np.argsort(targets.astype(np.int16), kind="stable")  # WORDS fit; so short a type sorts by radix
     h, sorted_targets = h[order], targets[order]
     group, slot = sorted_targets // SIZE, sorted_targets % SIZE
     found, e, total = _softmax_parts(h @ p["wc"] + p["bc"], group)
@@ -142,7 +147,7 @@ def train(p: dict, stream: np.ndarray, batch: int = 64, window: int = 16, rate:
                 back = (d * z + drh * r + both @ p["u"].T) * (ids[t] != END)[:, None]
                 da[t, :, :2 * HIDDEN], da[t, :, 2 * HIDDEN:] = both, dn
             # Only the rows of words in the window have a gradient.
-            order = np.argsort(ids, axis=None, kind="stable")
+            order = np.argsort(ids.astype(np.int16), axis=None, kind="stable")
             rows, starts = np.unique(ids.ravel()[order], return_index=True)
             g["x"] = np.add.reduceat(da.reshape(-1, 3 * HIDDEN)[order], starts)
             scale = 1.0 / batch
@@ -153,32 +158,50 @@ def train(p: dict, stream: np.ndarray, batch: int = 64, window: int = 16, rate:
                 v[own] -= rate * step / np.sqrt(seen[k][own])
 
 
-def score(p: dict, documents: list[np.ndarray], group: int = 512, window: int = 32) -> np.ndarray:
-    """ln P of each complete document (word numbers, END last): longest first,
-    ``group`` at once, in windows whose state goes on to the next."""
-    order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
+def lanes_of(lengths: np.ndarray, lanes: int) -> list[list[int]]:
+    """Documents dealt to lanes, longest first to the lane that ends first;
+    lanes by falling length."""
+    heap = [(0, i) for i in range(min(lanes, len(lengths)))]
+    dealt: list[list[int]] = [[] for _ in heap]
+    for d in np.argsort(-lengths, kind="stable").tolist():
+        end, i = heapq.heappop(heap)
+        dealt[i].append(d)
+        heapq.heappush(heap, (end + int(lengths[d]), i))
+    return [dealt[i] for _, i in sorted(heap, reverse=True)]
+
+
+def score(p: dict, documents: list[np.ndarray], lanes: int = 256, window: int = 64) -> np.ndarray:
+    """ln P of each complete document (word numbers, END last).
+
+    Documents follow one another in ``lanes`` that run side by side, in windows
+    whose state goes on to the next and starts anew after each END: what a long
+    document costs in steps is shared by all that run beside it.
+    """
+    documents = [np.asarray(d, dtype=np.int32) for d in documents]
     out = np.zeros(len(documents))
-    for at in range(0, len(order), group):
-        own = order[at:at + group]
-        lengths = np.array([len(documents[i]) for i in own])
-        if not lengths[0]:
-            break
-        h = np.zeros((len(own), HIDDEN), dtype=np.float32)
-        for start in range(0, int(lengths[0]), window):
-            live = int((lengths > start).sum())
-            steps = min(window, int(lengths[0]) - start)
-            targets = np.full((steps, live), END, dtype=np.int32)
-            ids = np.full((steps, live), RARE, dtype=np.int32)  # what stands after a document's end is not counted
-            for j in range(live):
-                d = documents[own[j]]
-                part = d[start:start + steps]
-                targets[:len(part), j] = part
-                before = d[start - 1:start - 1 + steps] if start else np.concatenate(([END], d[:steps - 1]))
-                ids[:len(before), j] = before
-            hs = states(p, ids, h[:live])
-            h = hs[-1]
-            real = (np.arange(start, start + steps)[:, None] < lengths[:live][None, :])
-            where = np.nonzero(real)
-            ll = log_likelihood(p, hs[where], targets[where])
-            out[np.array(own)[:live]] += np.bincount(where[1], weights=ll, minlength=live)
+    lengths = np.array([len(d) for d in documents], dtype=np.int64)
+    if not lengths.sum():
+        return out
+    dealt = lanes_of(lengths, lanes)
+    order = [d for lane in dealt for d in lane]
+    # What stands before a document's first word is an END, also at a lane's start.
+    flat = np.concatenate([[END], *[documents[d] for d in order]]).astype(np.int32)
+    owner = np.repeat(order, lengths[order])
+    total = np.array([lengths[lane].sum() for lane in dealt])
+    first = np.cumsum(total) - total
+    h = np.zeros((len(dealt), HIDDEN), dtype=np.float32)
+    for start in range(0, int(total[0]), window):
+        live = int((total > start).sum())
+        steps = min(window, int(total[0]) - start)
+        at = first[:live] + start + np.arange(steps)[:, None]
+        real = at < (first + total)[:live]
+        at = np.minimum(at, len(owner) - 1)  # what stands after a lane's end is not counted
+        ids = flat[at]
+        if not start:
+            ids[0] = END
+        hs = states(p, ids, h[:live])
+        h = hs[-1]
+        found = at[real]
+        ll = log_likelihood(p, hs[real], flat[found + 1])
+        out += np.bincount(owner[found], weights=ll, minlength=len(out))
     return out

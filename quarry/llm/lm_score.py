@@ -33,8 +33,10 @@ from quarry.llm.common import stage, words_of
 SHARE = 1e-6
 ROUNDS = 4         # each training document teaches in one of them
 BATCH = 256        # parallel parts of a replica's stream, fewer if it is short
+WINDOW = 32        # steps that errors go back
 REPLICA = 1_000_000
-CHUNK = 1024       # documents scored together
+GROUP = 3_000_000  # tokens scored together, about
+WARM_TOKENS = 4096 # documents of the first course have no more
 FLUSH = 500_000
 
 
@@ -108,29 +110,57 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, Totals, np.ndarray, int]:
     return vocab, totals, model_counts, least
 
 
-def learn(train: DataFrame, vocab: Vocabulary, model_counts: np.ndarray, warm_docs: int,
-          seed: int = 3) -> dict[str, np.ndarray]:
-    spark = train.sparkSession
-    shared = spark.sparkContext.broadcast(vocab)
+_CODED = ("uid long, doc_id {kind}, held_out boolean, draw long, n_tokens long, n_frequent long, n_rare long, "
+          "frequent double, rare double, ids binary, tail array<string>, tail_n array<int>")
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def code(rows: DataFrame, vocab: Vocabulary, seed: int = 3) -> DataFrame:
+    """Every document once as word numbers (``ids``, two bytes each), with the
+    sums of its frequent tokens and its other tokens with their counts. Written
+    once: the rounds and the scoring read this, the texts are not split again."""
+    shared = rows.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         for batch in batches:
-            ids = [v.ids(v.numbers(words_of(t))).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("draw"), pa.array(ids, pa.binary())], ["draw", "ids"])
+            found = []
+            for text in batch.column("text").to_pylist():
+                words = words_of(text)
+                k = v.numbers(words)
+                ids = v.ids(k)
+                known = k[k >= 0]
+                tail = Counter(words[i].decode() for i in np.flatnonzero(k < 0))
+                found.append((len(words) + 1, len(known) + v.end_known, int((ids == gru.RARE).sum()),
+                              float(v.log_counts[known].sum()) + v.end_log_count,
+                              float(v.log_counts[known[known >= gru.WORDS - 2]].sum()),
+                              ids.astype(np.uint16).tobytes(), list(tail), list(tail.values())))
+            kinds = [*[pa.int64()] * 3, *[pa.float64()] * 2, pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())]
+            names = [f.split()[0] for f in _CODED.split(", ")]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in names[:4]],
+                 *[pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)]], names)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    drawn = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out",
+                        F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"), "text")
+    return stage(drawn.mapInArrow(run, _CODED.format(kind=kind)), "coded")
+
 
-    drawn = train.select("text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"))
-    last = drawn.select("draw").orderBy("draw").limit(warm_docs).agg(F.max("draw")).first()[0]
+def _ids(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint16).astype(np.int32)
+
+
+def learn(train: DataFrame, model_counts: np.ndarray, warm_docs: int) -> dict[str, np.ndarray]:
+    """Weights from the coded training documents."""
     weights = gru.fresh(model_counts)
-    if last is None:
-        return weights
-    warm = drawn.where(F.col("draw") <= last).limit(warm_docs).mapInArrow(encode, "draw long, ids binary").collect()
-    warm.sort(key=lambda r: (r["draw"], r["ids"]))
-    gru.train(weights, np.concatenate([np.frombuffer(r["ids"], np.int32) for r in warm]), rate=0.2)
-    # Written once, as word numbers: each round reads its own part.
-    coded = stage(drawn.mapInArrow(encode, "draw long, ids binary")
-                  .withColumn("round", F.pmod("draw", F.lit(ROUNDS))), "coded")
-    sizes = coded.groupBy("round").agg(F.sum(F.length("ids") / 4).alias("n")).collect()
+    coded = train.select("draw", "ids", "n_tokens").withColumn("round", F.pmod("draw", F.lit(ROUNDS)))
+    short = coded.where(F.col("n_tokens") <= WARM_TOKENS)
+    last = short.select("draw").orderBy("draw").limit(warm_docs).agg(F.max("draw")).first()[0]
+    if last is not None:
+        warm = short.where(F.col("draw") <= last).select("draw", "ids").limit(warm_docs).collect()
+        warm.sort(key=lambda r: (r["draw"], r["ids"]))
+        gru.train(weights, np.concatenate([_ids(r["ids"]) for r in warm]), rate=0.2)
+    sizes = coded.groupBy("round").agg(F.sum("n_tokens").alias("n")).collect()
     for r in sorted(sizes, key=lambda r: r["round"]):
         # Dealt evenly, without a key: as many replicas as the tokens need, however many shuffle partitions there are.
         share = (coded.where(F.col("round") == r["round"]).select("draw", "ids")
@@ -151,13 +181,13 @@ def _averaged(share: DataFrame, weights: dict[str, np.ndarray]) -> dict[str, np.
         def course() -> None:
             nonlocal stream, seen
             ids = np.concatenate(stream)
-            gru.train(own, ids, batch=max(1, min(BATCH, len(ids) // 16)), rate=0.1)
+            gru.train(own, ids, batch=max(1, min(BATCH, len(ids) // 16)), window=WINDOW, rate=0.14)
             seen += len(ids)
             stream = []
         held = 0
         for batch in batches:
             for ids in batch.column("ids").to_pylist():
-                stream.append(np.frombuffer(ids, np.int32))
+                stream.append(_ids(ids))
                 held += len(stream[-1])
                 if held >= REPLICA:
                     course()
@@ -179,72 +209,50 @@ def _averaged(share: DataFrame, weights: dict[str, np.ndarray]) -> dict[str, np.
     return out
 
 
-_DOC = ("doc_id {kind}, held_out boolean, n_tokens long, n_frequent long, n_rare long, model double, "
-        "frequent double, rare double")
-
-
 def score(docs: DataFrame, held_out: Column, warm_docs: int = 1500) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``
     of every row of ``docs`` (``doc_id, text``).
 
     Rows where ``held_out`` is not true teach. Null and empty texts are an end
-    token alone; repeated rows count each time; an empty table gives no rows.
-    Only ``doc_id`` and ``text`` are read.
+    token alone; repeated rows count each time; a text of any length is scored
+    whole, one task holding it as two bytes a token; an empty table gives no
+    rows. Only ``doc_id`` and ``text`` are read.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    train = rows.where(~F.col("held_out"))
-    counts = count_tokens(train)
+    counts = count_tokens(rows.where(~F.col("held_out")))
     vocab, totals, model_counts, least = vocabulary(counts)
-    weights = learn(train, vocab, model_counts, warm_docs)
-    shared = spark.sparkContext.broadcast((vocab, weights))
+    coded = code(rows, vocab)
+    weights = learn(coded.where(~F.col("held_out")), model_counts, warm_docs)
+    shared = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, p = shared.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, CHUNK):
-                batch = whole.slice(at, CHUNK)
-                texts = batch.column("text").to_pylist()
-                ids, sums, uid, key, n = [], [], [], [], []
-                for u, text in zip(batch.column("uid").to_pylist(), texts):
-                    words = words_of(text)
-                    k = v.numbers(words)
-                    ids.append(v.ids(k))
-                    logs = v.log_counts[k[k >= 0]]
-                    sums.append((len(words) + 1, int((k >= 0).sum()) + v.end_known,
-                                 int((ids[-1] == gru.RARE).sum()), float(logs.sum()) + v.end_log_count,
-                                 float(v.log_counts[k[k >= gru.WORDS - 2]].sum())))
-                    tail = Counter(words[i] for i in np.flatnonzero(k < 0))
-                    uid += [u] * len(tail)
-                    key += tail.keys()
-                    n += tail.values()
-                model = gru.score(p, ids, CHUNK) / np.log(10)
-                m = len(texts)
-                own = batch.column("uid").to_pylist()
-                columns = list(zip(*sums))
-                pad = pa.nulls(len(uid))
-                doc = [batch.column("doc_id"), batch.column("held_out"),
-                       *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(model, pa.float64()),
-                       *[pa.array(c, pa.float64()) for c in columns[3:]]]
-                # No word holds a space: a document's own row has a key of its own.
-                keys = [f" {u}".encode() for u in own] + key
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own + uid, pa.int64()), pa.array(keys, pa.binary()).cast(pa.string()),
-                     pa.array([None] * m + n, pa.int64()),
-                     *[pa.concat_arrays([a, pad.cast(a.type)]) for a in doc]],
-                    ["uid", "key", "n", *[f.split()[0] for f in _DOC.split(", ")]])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    flat = (rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text")
-            .mapInArrow(run, f"uid long, key string, n long, {_DOC.format(kind=kind)}"))
+        held: list[np.ndarray] = []
+        uids: list[int] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            model = gru.score(shared.value, held) / np.log(10)
+            return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(model, pa.float64())], ["uid", "model"])
+        for batch in batches:
+            for uid, ids in zip(batch.column("uid").to_pylist(), batch.column("ids").to_pylist()):
+                held.append(np.frombuffer(ids, np.uint16))
+                uids.append(uid)
+                size += len(held[-1])
+                if size >= GROUP:
+                    yield out()
+                    held, uids, size = [], [], 0
+        if held:
+            yield out()
+
+    model = coded.select("uid", "ids").mapInArrow(run, "uid long, model double")
     rest = counts.where((F.col("n") < least) & (F.col("word") != "")).select("word", F.col("n").alias("c"))
-    met = flat.join(rest, F.col("key") == F.col("word"), "left")
-    c = F.coalesce("c", F.lit(0))
-    names = [f.split()[0] for f in _DOC.split(", ")]
-    sums = met.groupBy("uid").agg(
-        *[F.max(x).alias(x) for x in names],
-        F.coalesce(F.sum(F.when(F.col("n").isNotNull(), F.col("n") * F.log10(c + F.lit(0.5)))), F.lit(0.0)).alias("tail"),
-        F.coalesce(F.sum(F.when(c > 0, F.col("n"))), F.lit(0)).alias("tail_known"))
+    tail = (coded.select("uid", F.inline(F.arrays_zip("tail", "tail_n")))
+            .join(rest, F.col("tail") == F.col("word"), "left").withColumn("c", F.coalesce("c", F.lit(0)))
+            .groupBy("uid").agg(F.sum(F.col("tail_n") * F.log10(F.col("c") + F.lit(0.5))).alias("tail"),
+                                F.sum(F.when(F.col("c") > 0, F.col("tail_n")).otherwise(0)).alias("tail_known")))
+    own = coded.select("uid", "doc_id", "held_out", "n_tokens", "n_frequent", "n_rare", "frequent", "rare")
+    sums = own.join(model, "uid").join(tail, "uid", "left").fillna(0, ["tail", "tail_known"])
     base_norm = float(np.log10(totals.tokens + 0.5 * (totals.distinct + 1)))
     rare_norm = float(np.log10(totals.rare_tokens + 0.5 * (totals.rare_distinct + 1)))
     return sums.select(

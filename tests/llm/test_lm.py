@@ -63,9 +63,9 @@ def test_state_goes_from_window_to_window():
     rng = np.random.default_rng(2)
     p = gru.fresh(np.ones(gru.WORDS))
     docs = [np.append(rng.integers(1, gru.WORDS, n), gru.END).astype(np.int32) for n in (0, 1, 7, 50, 200, 33)]
-    whole = gru.score(p, docs, group=8, window=1000)
-    assert np.allclose(whole, gru.score(p, docs, group=2, window=3), rtol=1e-4)
-    assert np.allclose(whole[::-1], gru.score(p, docs[::-1], group=3, window=32), rtol=1e-4)
+    whole = gru.score(p, docs, lanes=8, window=1000)
+    assert np.allclose(whole, gru.score(p, docs, lanes=2, window=3), rtol=1e-4)
+    assert np.allclose(whole[::-1], gru.score(p, docs[::-1], lanes=3, window=32), rtol=1e-4)
 
 
 def test_gradients_equal_differences():
