@@ -7,10 +7,13 @@ often to repeat each pattern to meet the histogram of piece lengths (a length's
 error weighs as the length, for a long piece left over costs most); rounded
 down to what the histogram still holds, the rest goes by best fit (longest
 piece first, then the longest that still fits, repeated while the lengths
-last). Three pattern sets are tried - all, those with a piece over half a
-sequence, none - and the plan with fewest sequences is taken, the first of
-equals. Only the histogram, one number a length, is on the driver; pieces get
-their place by their rank among those of their length.
+last). Two pattern sets are tried - all, and those with a piece over half a
+sequence - and the plan with fewest sequences is taken, the first of equals.
+The patterns are all that fill a sequence exactly with lengths in stock,
+whatever the size of the input: about a twelfth of the capacity's square. Only
+the histogram, one number a length, is on the driver; pieces get their place by
+their rank among those of their length, found in the sorted starts of the
+plan's runs. Full pieces are sequences of their own and need no rank.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -31,7 +35,8 @@ from tokenizers.pre_tokenizers import ByteLevel
 from quarry.llm.common import stage
 
 BUCKET = 1000  # pieces of one length that are ranked together, about
-ROUNDS = 150
+RANKS = 1 << 44  # above every rank: a length and a rank make one sorted number
+ROUNDS, SETTLED = 150, 1e-4
 #: Fixed value: how a byte-level BPE of this kind splits texts before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -78,24 +83,25 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
-    """``uid, doc_id, piece, start, length, ids_crc32`` of every piece."""
+    """``uid`` (of the piece), ``doc_id, piece, start, length, ids_crc32``."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
+        enc, uid = encoder(tokenizer_path), TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
-            for uid, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = np.array([*enc.ids(text or ""), end_id], dtype="<u4")
                 at = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 if at[-1] != len(ids):  # shorter than one sequence
                     at.append(len(ids))
-                rows += [(uid, doc_id, i, a, b - a, zlib.crc32(ids[a:b].tobytes()))
+                rows += [(uid + i, doc_id, i, a, b - a, zlib.crc32(ids[a:b].tobytes()))
                          for i, (a, b) in enumerate(zip(at, at[1:]))]
-            kinds = [pa.int64(), batch.schema.field(1).type, pa.int32(), *[pa.int64()] * 3]
+                uid += len(at) - 1
+            kinds = [pa.int64(), batch.schema.field(0).type, pa.int32(), *[pa.int64()] * 3]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
                                              ["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return (docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
+    return (docs.select("doc_id", "text")
             .mapInArrow(cut, f"uid long, doc_id {kind}, piece int, start long, length long, ids_crc32 long"))
 
 
@@ -104,17 +110,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) ->
 def enumerate_patterns(counts: np.ndarray, capacity: int, shortest_lead: int) -> np.ndarray:
     """Patterns of two or three lengths in stock that fill a sequence exactly,
     as rows of three lengths, the longest (``shortest_lead`` or more) first
-    (0: none).
-
-    Triples are thinned by a step in the middle length, so that there are no
-    more patterns than an eighth of the pieces, or 4096.
+    (0: none). Only which lengths there are matters, not how many pieces.
     """
     stock = counts > 0
     half = np.arange((capacity + 1) // 2, capacity)
     pairs = np.stack([half, capacity - half, np.zeros_like(half)], axis=1)
-    room = max(4096, int(counts.sum()) // 8)
-    step = max(1, capacity * capacity // (12 * room))
-    long, mid = np.meshgrid(np.arange(shortest_lead, capacity - 1), np.arange(1, capacity // 2 + 1, step))
+    long, mid = np.meshgrid(np.arange(shortest_lead, capacity - 1), np.arange(1, capacity // 2 + 1))
     long, mid = long.ravel(), mid.ravel()
     short = capacity - long - mid
     fits = (short > 0) & (short <= mid) & (mid <= long)
@@ -125,7 +126,9 @@ def enumerate_patterns(counts: np.ndarray, capacity: int, shortest_lead: int) ->
 def repeat_counts(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Non-negative least squares of pattern repeats against the histogram,
     errors weighing as the lengths, by multiplicative updates (each keeps the
-    sign and lowers the error)."""
+    sign and lowers the error). Ends when an update changes the repeats by less
+    than ``SETTLED`` of them, after ``rounds`` at the latest: what the repeats
+    then still miss goes by best fit."""
     if not len(patterns):
         return np.zeros(0)
     size, wanted = len(counts), counts.astype(float)
@@ -139,7 +142,12 @@ def repeat_counts(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS
     shares[0], wanted[0] = 1, 0
     x = (wanted / shares)[patterns].max(axis=1) + 1e-9
     for _ in range(rounds):
-        x *= goal / np.maximum((weight * used(x))[patterns].sum(axis=1), 1e-12)
+        factor = goal / np.maximum((weight * used(x))[patterns].sum(axis=1), 1e-12)
+        change = np.abs(factor - 1) @ x
+        settled = change < SETTLED * x.sum()
+        x *= factor
+        if settled:
+            break
     return x
 
 
@@ -162,24 +170,23 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, repeats) of every pattern used; uses exactly ``counts``."""
-    full = int(counts[capacity])
     plans = []
-    for shortest_lead in (capacity // 3, capacity // 2 + 1, None):
+    for shortest_lead in (capacity // 3, capacity // 2 + 1):
         left = counts.astype(np.int64).copy()
+        full = int(left[capacity])
         left[capacity] = 0
         out = [((capacity,), full)] if full else []
-        if shortest_lead is not None:
-            patterns = enumerate_patterns(left, capacity, shortest_lead)
-            x = repeat_counts(patterns, left)
-            for i in np.argsort(-x, kind="stable"):
-                if x[i] < 1:
-                    break
-                row = [int(v) for v in patterns[i] if v]
-                n = min(int(x[i]), *(int(left[v]) // row.count(v) for v in row))
-                if n:
-                    out.append((tuple(row), n))
-                    for v in row:
-                        left[v] -= n
+        patterns = enumerate_patterns(left, capacity, shortest_lead)
+        x = repeat_counts(patterns, left)
+        for i in np.argsort(-x, kind="stable"):
+            if x[i] < 1:
+                break
+            row = [int(v) for v in patterns[i] if v]
+            n = min(int(x[i]), *(int(left[v]) // row.count(v) for v in row))
+            if n:
+                out.append((tuple(row), n))
+                for v in row:
+                    left[v] -= n
         plans.append(out + best_fit(left, capacity))
     return min(plans, key=lambda p: sum(n for _, n in p))
 
@@ -202,29 +209,47 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     ids_crc32, sequence_id, offset``.
 
     Null and empty texts have the end token alone; repeated rows and ids are
-    packed as documents of their own; an empty table gives no rows; only
-    ``doc_id`` and ``text`` are read.
+    packed as documents of their own; a text of any length is one task's ids,
+    cut into full pieces; an empty table gives no rows; only ``doc_id`` and
+    ``text`` are read.
     """
     spark = docs.sparkSession
     found = stage(pieces(docs, tokenizer_path, capacity, end_id), "pieces")
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for row in found.groupBy("length").count().collect():  # one number a length
         counts[row["length"]] = row["count"]
-    places = slots(plan(counts, capacity), capacity)
-    # Both tables are bounded by the capacity: lengths, and slots of patterns.
+    # Full pieces: a sequence each, numbered below zero.
+    whole = (found.where(F.col("length") == capacity)
+             .select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("uid")).alias("sequence_id"),
+                     F.lit(0).cast("long").alias("offset")))
+    counts[capacity] = 0
+    length, low, _, first, offset = np.array(sorted(slots(plan(counts, capacity), capacity)) or [[0] * 5],
+                                             dtype=np.int64).T
+    # At most as many runs as the plan's patterns have pieces, which the capacity bounds.
+    shared = spark.sparkContext.broadcast((length * RANKS + low, low, first, offset))
+    # One row a length: how many buckets share its ranks.
     stock = spark.createDataFrame([(i, int(-(-c // BUCKET))) for i, c in enumerate(counts) if c],
                                   "length long, buckets long")
-    table = spark.createDataFrame(places, "length long, low long, high long, first long, offset long")
-    dealt = (found.join(F.broadcast(stock), "length")
-             .withColumn("draw", F.xxhash64("uid", "piece"))
+    dealt = (found.join(F.broadcast(stock), "length").withColumn("draw", F.xxhash64("uid"))
              .withColumn("bucket", F.pmod("draw", "buckets")))
     sizes = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("length", "bucket").orderBy("draw", "uid", "piece")
+    own = Window.partitionBy("length", "bucket").orderBy("draw", "uid")
     ranked = (dealt.withColumn("nr", F.row_number().over(own)).join(offsets, ["length", "bucket"])
-              .withColumn("rank", F.col("base") + F.col("nr") - 1))
-    return (ranked.join(F.broadcast(table), "length")
-            .where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-            .withColumn("sequence_id", F.col("first") + F.col("rank") - F.col("low"))
-            .select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"))
+              .withColumn("rank", (F.col("base") + F.col("nr") - 1).cast("long"))
+              .select("doc_id", "piece", "start", "length", "ids_crc32", "rank"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, low, first, offset = shared.value
+        for batch in batches:
+            rank = batch.column("rank").to_numpy()
+            at = np.searchsorted(keys, batch.column("length").to_numpy() * RANKS + rank, side="right") - 1
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:5], pa.array(first[at] + rank - low[at]), pa.array(offset[at])],
+                [*batch.schema.names[:5], "sequence_id", "offset"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    placed = ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, "
+                                      "sequence_id long, offset long")
+    return placed.unionByName(whole)

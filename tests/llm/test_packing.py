@@ -76,3 +76,16 @@ def test_least_squares_repeats_fit():
     error = np.bincount(patterns.ravel(), weights=np.repeat(x, 3), minlength=4) - counts
     grad = np.array([sum(v * error[v] for v in row) for row in patterns])  # errors weigh as lengths
     assert (x >= 0).all() and np.abs(grad[x > 1e-3]).max() < 1e-2 and (grad > -1e-2).all()
+
+
+def test_patterns_follow_lengths_not_numbers():
+    """The pattern list of a histogram stays when its counts are multiplied."""
+    rng = np.random.default_rng(5)
+    counts = np.append(0, rng.integers(0, 3, 600))
+    counts[-1] = 0
+    some = packing.enumerate_patterns(counts, 600, 200)
+    assert (some == packing.enumerate_patterns(counts * 1_000_000, 600, 200)).all()
+    assert (some.sum(axis=1) == 600).all()
+    stock = set(np.flatnonzero(counts))
+    every = {(x, y, 600 - x - y) for x in stock for y in stock if x >= 200 and x >= y >= 600 - x - y and 600 - x - y in stock}
+    assert {tuple(r) for r in some.tolist() if r[2]} == every
