@@ -76,29 +76,30 @@ def sides(byte_path: str, piece_path: str) -> Sides:
     return Sides(byte_path, piece_path)
 
 
-def common_runs(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
-    """Where the ends ``a`` and ``b`` agree, as runs (first index in ``a``,
-    first in ``b``, length); both rise and end with the same value (or are both
-    empty). Within a run all groups but the first are one to one."""
-    runs = []
+def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """Indices in ``a`` and in ``b`` of the ends they share; both rise and end
+    with the same value (or are both empty)."""
+    out_a: list[int] = []
+    out_b: list[int] = []
     i = j = 0
-    n = len(a)
+    n, m = len(a), len(b)
     while i < n:
-        first, second = i, j
         probe, growing = 1, True
         while probe:
             if a[i:i + probe] == b[j:j + probe]:
+                if probe > n - i:  # both arrays are through
+                    probe = n - i
+                    growing = False
+                out_a += range(i, i + probe)
+                out_b += range(j, j + probe)
                 i += probe
                 j += probe
-                if i >= n:  # both arrays are through
-                    i = n
+                if i == n:
                     break
                 probe = probe * 2 if growing else probe // 2
             else:
                 growing = False
                 probe //= 2
-        if i > first:
-            runs.append((first, second, i - first))
         if i < n:
             # a[i] and b[j] differ: to the next common end, and the shift it gives.
             x, y = a[i], b[j]
@@ -109,23 +110,21 @@ def common_runs(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
                 else:
                     j += 1
                     y = b[j]
-    return runs
-
-
-def run_indices(runs: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Indices in both arrays of all ends in the runs."""
-    first, second, size = np.array(runs, dtype=np.int64).reshape(-1, 3).T
-    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    return np.repeat(first, size) + step, np.repeat(second, size) + step
-
-
-def group_text(a: list[str], b: list[str], runs: list[tuple[int, int, int]]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of the groups that end within the runs."""
-    out, at, to = [], 0, 0
-    for i, j, n in runs:
-        out.append(",".join(a[at:i + 1]) + "|" + ",".join(b[to:j + 1]))
-        at, to = i + n, j + n
-        out += map("|".join, zip(a[i + 1:at], b[j + 1:to]))
+            out_a.append(i)
+            out_b.append(j)
+            i += 1
+            j += 1
+    return out_a, out_b
+
+
+def group_text(a: list[str], b: list[str], at_a: list[int], at_b: list[int]) -> str:
+    """``a1,a2|b1;a3|b2,b3``: the groups that end with the given indices."""
+    out, i, j = [], 0, 0
+    for x, y in zip(at_a, at_b):
+        left = a[i] if x == i else ",".join(a[i:x + 1])
+        right = b[j] if y == j else ",".join(b[j:y + 1])
+        out.append(left + "|" + right)
+        i, j = x + 1, y + 1
     return ";".join(out)
 
 
@@ -145,10 +144,9 @@ def groups(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
                     links.append(b"")
                     continue
                 ids_a, ids_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-                runs = common_runs(np.cumsum(own.a_size[ids_a]).tolist(), np.cumsum(own.b_size[ids_b]).tolist())
-                at_a, at_b = run_indices(runs)
+                at_a, at_b = common_ends(np.cumsum(own.a_size[ids_a]).tolist(), np.cumsum(own.b_size[ids_b]).tolist())
                 counts.append((len(a), len(b), len(at_a)))
-                text = group_text(list(map(names, a)), list(map(names, b)), runs)
+                text = group_text(list(map(names, a)), list(map(names, b)), at_a, at_b)
                 hashes.append(hashlib.sha256(text.encode()).hexdigest())
                 links.append((ids_a[at_a] * own.base + ids_b[at_b]).astype(own.pair).tobytes())
             yield pa.RecordBatch.from_arrays(
