@@ -12,7 +12,7 @@ from tests.llm.test_simhash import plain_components, plain_fingerprint
 def test_registered():
     names = set(E.queries())
     assert "pipeline" in names and set(QUERIES) <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
     assert [n for n, _ in C.STAGES] == ["language_id", "near_dedup", "personal_data", "mixing", "packing"]
 
 
