@@ -16,7 +16,7 @@ shuffle_order generation_limit retry_first_success search_batch normalize_text n
 normalize_tags sequence_ratio weighted_similarity is_duplicate constraint_score topic_score complexity_score
 prior_score difficulty_class xp_award render_prompts clean_llm_json parse_or_fallback mock_problems
 mock_components case_flatten case_match stream_gate stream_index llm_generate generation_run
-generation_counters""".split()
+generation_counters metadata_rejects llm_generate_once expectations_stored""".split()
 
 
 def test_every_oracle_key_is_a_query():
