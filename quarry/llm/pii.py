@@ -3,15 +3,24 @@
 Base patterns find emails, ip addresses, card and phone numbers with their
 checks; these spans always stay. Generators of high recall propose more spans,
 which may overlap. Features of format and context describe each candidate by a
-few small numbers. Candidates that a base span confirms teach as positives,
-those that fail their kind's check as negatives; others only get judged.
+few small numbers; the outcome of a kind's check (digit counts, Luhn sum, parts
+of an address) is not among them. Candidates that are a base span teach as
+positives; those that fail their check, or lie over a base span of another kind,
+as negatives. ``SEEDS``, a few plain phrases, teach what a word before a number
+says of it. The trees then judge the candidates that no base span settles; those
+that fail their check are dropped afterwards.
 
 Rows with equal features teach alike, so learning needs only their counts: one
-row for each feature vector seen (at most 102,400, the product of the feature
-ranges, whatever the input). Boosted trees are grown on these counts, a logistic fit on held-back
-documents calibrates them, and each kind's threshold is the lowest probability
-that keeps ``precision`` there. The trees then become one SQL expression:
-finding, judging and redacting are DataFrame expressions within a row.
+row for each feature vector seen (at most 259,200, twice the product of the
+feature ranges, whatever the input). Boosted trees are grown on these counts, a
+logistic fit on held-back documents calibrates them, and each kind's threshold
+is the lowest probability that keeps ``precision`` there. The trees then become
+one SQL expression: finding, judging and redacting are DataFrame expressions
+within a row.
+
+Spans of one kind and generator are in order and apart, so what a span meets is
+found by bisection: work grows with the spans of a text, times a logarithm. Texts
+of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -19,9 +28,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.common import stage
+
 KINDS = ["email", "ip", "card", "phone"]
 TAGS = ["<EMAIL>", "<IP>", "<CARD>", "<PHONE>"]
 
@@ -48,8 +59,20 @@ GENERATORS = [
      3, None),
     (r"(?<![0-9])[0-9]{7,19}(?![0-9])", 3, None),
 ]
-FEATURES = ["kind", "ok", "digits", "groups", "plus", "paren", "sep", "prev", "next", "cue"]
-CUE = (r"(?i)mail|contact|phone|tel\b|call|fax|mobile|card|visa|credit|address|server|host|\bip\b|write to|reach")
+FEATURES = ["kind", "digits", "groups", "paren", "sep", "lead", "varied", "prev", "next", "cue"]
+#: Words that announce a kind, and words that announce some other number.
+CUES = [r"e?mail|write|reach|contact", r"ip|address|server|host|node|gateway",
+        r"card|visa|mastercard|amex|credit|debit|paid|pay", r"phone|tel|call|fax|mobile|cell|dial|sms|contact"]
+OTHER_CUE = r"isbn|order|invoice|serial|part|ref|version|ticket|case|sku|page|tracking|id|no|total|build"
+#: Phrases that teach how a cue weighs: (what, forms); each form counts as a
+#: positive behind the first words, as a negative behind the second.
+SEEDS = [
+    (0, ["ann(at)mail.org", "bo.li [at] example [dot] com"], ["mail", "contact"], ["version", "part"]),
+    (1, ["10.20.30.40", "2001:db8:0:0:0:0:0:1"], ["server", "address"], ["version", "build"]),
+    (2, ["4111.1111.1111.1111", "4111 1111 1111 1111", "4111111111111111"], ["card", "visa"], ["isbn", "order"]),
+    (3, ["5551234567", "555-123-4567", "(555) 123-4567", "555 123 4567"], ["phone", "call"], ["order", "ticket"]),
+]
+SEED_WEIGHT = 20.0
 BLOCK = 256
 
 
@@ -127,48 +150,86 @@ def check(kind: int, x: Column) -> Column:
     return (n >= 12) & (n <= 19) & _luhn(_digits(x)) if kind == 2 else (n >= 9) & (n <= 15)
 
 
+def sound(kind: int, x: Column) -> Column:
+    """The check a candidate must pass; an email's last label has letters only."""
+    return x.rlike("[A-Za-z]{2,}$") if kind == 0 else check(kind, x)
+
+
 def _class(c: Column) -> Column:
-    return (F.when((c == "") | c.isNull() | c.rlike(r"\s"), 0).when(c.rlike(r"\p{L}"), 1)
-            .when(c.rlike("[0-9]"), 2).otherwise(3))
+    return (F.when((c == "") | c.isNull() | c.rlike(r"[\x20\x09-\x0D]"), 0).when(c.rlike(r"[\p{L}0-9]"), 1).otherwise(2))
 
 
 def _features(kind: int, m: Column) -> list[Column]:
+    """A plus sign is no feature: only with it can a phone number be a base span."""
     x = m["x"]
-    n = F.length(_digits(x))
-    groups = F.size(F.split(x, "[^0-9A-Za-z]+"))
+    digits = _digits(x)
+    n = F.length(digits)
+    groups = F.size(F.filter(F.split(x, "[^0-9A-Za-z]+"), lambda g: g != ""))
     kinds_of_sep = [x.contains(c).cast("int") for c in (" ", "-", ".")]
     sep = (F.when(sum(kinds_of_sep[1:], kinds_of_sep[0]) > 1, 4).when(x.contains(" "), 1).when(x.contains("-"), 2)
            .when(x.contains("."), 3).otherwise(0))
-    ok = check(kind, x) if kind != 3 else check(3, x) & x.rlike("[^0-9]")
-    values = [F.lit(kind), ok.cast("int"),
+    first = F.regexp_extract(x, "[0-9A-Za-z]", 0)
+    distinct = F.size(F.array_distinct(F.split(digits, "")))
+    nearest = rf"(?is)^.*\b(?:({CUES[kind]})|({OTHER_CUE}))\b"
+    values = [F.lit(kind),
               F.when(n < 7, 0).when(n < 9, 1).when(n < 12, 2).when(n < 16, 3).otherwise(4),
               F.when(groups < 2, 0).when(groups < 4, 1).when(groups < 6, 2).otherwise(3),
-              x.contains("+").cast("int"), x.contains("(").cast("int"), sep,
-              _class(F.right(m["before"], F.lit(1))), _class(m["after"]), m["before"].rlike(CUE).cast("int")]
+              x.contains("("), sep, F.when(first.rlike("[01]"), 0).when(first.rlike("[2-9]"), 1).otherwise(2),
+              distinct > 3, _class(F.right(m["before"], F.lit(1))), _class(m["after"]),
+              F.when(F.regexp_extract(m["before"], nearest, 1) != "", 1)
+              .when(F.regexp_extract(m["before"], nearest, 2) != "", 2).otherwise(0)]
     return [v.cast("int").alias(f) for v, f in zip(values, FEATURES)]
 
 
+STEPS = ", ".join(str(1 << i) for i in range(24, -1, -1))
+
+
+def _below(spans: str, key: str, bound: str) -> str:
+    """SQL: how many spans, in order of ``key``, have it under ``bound``, by bisection."""
+    fits = f"at + w <= size({spans}) AND get({spans}, at + w - 1).{key} < {bound}"
+    return f"if(size({spans}) > 0, aggregate(array({STEPS}), 0, (at, w) -> if({fits}, at + w, at)), 0)"
+
+
+def _where(spans: str, field_name: str, value: int) -> Column:
+    return F.filter(spans, lambda x: x[field_name] == value)
+
+
 def with_candidates(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``base``: array of (s, kind, e), and ``cands``: array of (s, e,
-    features, label); label 1: a base span, 0: fails its check, else null."""
+    """Adds ``base``: array of (s, kind, e), and ``cands``: array of (s, e, g,
+    f, label, open). ``g`` numbers the generator, ``f`` holds the features;
+    label 1: a base span, 0: unsound or over another kind's base span, else
+    null; open: sound and over no base span."""
     keep = list(df.columns)
     df = with_matches(df, text, BASE, "_b")
+
     def accepted(i: int, kind: int) -> Column:
-        return F.transform(F.filter(f"_b{i}", lambda m: check(kind, m["x"])), lambda m: F.struct(
-            m["s"].alias("s"), F.lit(kind).alias("kind"), m["e"].alias("e")))
-    base = [accepted(i, kind) for i, (_, kind, _) in enumerate(BASE)]
-    df = df.select(*keep, F.concat(*base).alias("base"))
+        return F.transform(F.filter(f"_b{i}", lambda m: check(kind, m["x"])),
+                           lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"))).alias(f"_a{kind}")
+    df = df.select(*keep, *[accepted(i, kind) for i, (_, kind, _) in enumerate(BASE)])
+    own = [f"_a{kind}" for kind in range(len(KINDS))]
     df = with_matches(df, text, GENERATORS, "_g")
 
     def described(i: int, kind: int) -> Column:
-        return F.transform(f"_g{i}", lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"),
-                                                        F.struct(*_features(kind, m)).alias("f")))
-    df = df.select(*keep, "base", F.concat(*[described(i, k) for i, (_, k, _) in enumerate(GENERATORS)]).alias("_c"))
-
-    def labelled(c: Column) -> Column:
-        hit = F.exists("base", lambda b: (b["s"] == c["s"]) & (b["e"] == c["e"]) & (b["kind"] == c["f"]["kind"]))
-        label = F.when(hit, 1).when(c["f"]["ok"] == 0, 0)
-        return F.struct(c["s"].alias("s"), c["e"].alias("e"), c["f"].alias("f"), label.alias("label"))
+        return F.transform(f"_g{i}", lambda m: F.struct(
+            m["s"].alias("s"), m["e"].alias("e"), F.lit(i).alias("g"), F.struct(*_features(kind, m)).alias("f"),
+            sound(kind, m["x"]).alias("sound")))
+
+    def named(kind: int) -> Column:
+        return F.transform(f"_a{kind}", lambda x: F.struct(x["s"].alias("s"), F.lit(kind).alias("kind"), x["e"].alias("e")))
+    df = df.select(*keep, *own, F.concat(*[described(i, k) for i, (_, k, _) in enumerate(GENERATORS)]).alias("_c"))
+    # The last base span of each kind that begins before a candidate's end.
+    near = ", ".join(f"get({a}, {_below(a, 's', 'c.e')} - 1)" for a in own)
+    df = df.select(*keep, *own, F.expr(f"transform(_c, c -> struct(c, array({near}) AS near))").alias("_c"))
+    df = df.select(*keep, F.concat(*[named(kind) for kind in range(len(KINDS))]).alias("base"), "_c")
+
+    def labelled(x: Column) -> Column:
+        c, same = x["c"], F.get(x["near"], x["c"]["f"]["kind"])
+        hit = (same["s"] == c["s"]) & (same["e"] == c["e"])
+        over = F.size(F.filter(x["near"], lambda b: b["e"] > c["s"]))
+        foreign = over > F.coalesce(same["e"] > c["s"], F.lit(False)).cast("int")
+        label = F.when(hit, 1).when(~c["sound"] | foreign, 0)
+        return F.struct(c["s"].alias("s"), c["e"].alias("e"), c["g"].alias("g"), c["f"].alias("f"),
+                        label.alias("label"), (c["sound"] & (over == 0)).alias("open"))
     return df.select(*keep, "base", F.transform("_c", labelled).alias("cands"))
 
 
@@ -264,18 +325,30 @@ def calibrate(model: Trees, x: np.ndarray, positive: np.ndarray, negative: np.nd
             model.thresholds[kind] = 1.0
 
 
-def train(docs: DataFrame, precision: float = 0.95, text: str = "text") -> Trees:
-    """Learn from all rows of ``docs`` (``doc_id, text``). Every fifth document
-    (by a hash of its text) calibrates."""
-    base = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    # explode() would test the whole array once more before it, from the text on.
-    seen = (with_candidates(base, "_t")
-            .select((F.pmod(F.xxhash64("_t"), F.lit(5)) == 0).alias("held"), F.explode_outer("cands").alias("c"))
-            .where("c.label IS NOT NULL").groupBy("held", *[F.col(f"c.f.{f}").alias(f) for f in FEATURES])
-            .agg(F.sum("c.label").alias("positive"), F.count(F.lit(1)).alias("n")).collect())
-    # One row of belief for each kind and check: small tables must not learn the reverse.
-    rows = [(False, k, ok, 2, 1, int(k == 3 and ok), 0, 0, 0, 0, 0, ok, 1) for k in range(len(KINDS)) for ok in (0, 1)]
-    rows += [tuple(r) for r in seen]
+def _counts(found: DataFrame, label: Column, *by: Column) -> list:
+    """Each feature vector with its labelled candidates: values, positives, all."""
+    rows = found.select(*by, F.explode_outer("cands").alias("c")).withColumn("_y", label).where("_y IS NOT NULL")
+    names = [c for c in rows.columns if c not in ("c", "_y")]
+    return rows.groupBy(*names, *[F.col(f"c.f.{f}").alias(f) for f in FEATURES]).agg(
+        F.sum("_y").alias("positive"), F.count(F.lit(1)).alias("n")).collect()
+
+
+def _seed_rows(spark: SparkSession) -> list[tuple]:
+    phrases = [(kind, positive, f"{cue} {form}") for kind, forms, good, bad in SEEDS
+               for positive, cues in ((1, good), (0, bad)) for cue in cues for form in forms]
+    found = with_candidates(spark.createDataFrame(phrases, "seed int, positive int, t string"), "t")
+    rows = _counts(found, F.when(F.col("seed") == F.col("c.f.kind"), F.col("positive")), F.col("seed"), F.col("positive"))
+    return [(*r[2:-2], SEED_WEIGHT * r[-2], SEED_WEIGHT * r[-1]) for r in rows]
+
+
+def _held(text: str) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(5)) == 0
+
+
+def learn(found: DataFrame, precision: float) -> Trees:
+    """Trees from rows of (``held``, ``cands``); held rows calibrate."""
+    seen = _counts(found, F.col("c.label"), F.col("held"))
+    rows = [(False, *r) for r in _seed_rows(found.sparkSession)] + [tuple(r) for r in seen]
     x = np.array([r[1:-2] for r in rows], dtype=np.int64)
     positive = np.array([r[-2] for r in rows], dtype=float)
     negative = np.array([r[-1] for r in rows], dtype=float) - positive
@@ -285,38 +358,55 @@ def train(docs: DataFrame, precision: float = 0.95, text: str = "text") -> Trees
     return model
 
 
+def train(docs: DataFrame, precision: float = 0.95, text: str = "text") -> Trees:
+    """Learn from all rows of ``docs``. Every fifth document (by a hash of its
+    text) calibrates."""
+    base = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    # explode() would test the whole array once more before it, from the text on.
+    return learn(with_candidates(base, "_t").select(_held("_t").alias("held"), "cands"), precision)
+
+
 # ---------------------------------------------------------------- applying
 
+def judged(found: DataFrame, model: Trees, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of rows with ``base`` and ``cands``, then ``base`` and
+    ``spans`` in order."""
+    odds = [float(np.log(t / (1 - t))) if t < 1 else 1e9 for t in model.thresholds]
+    least = f"element_at(array({', '.join(f'{o:.10g}D' for o in odds)}), c.f.kind + 1)"
+    scored = F.expr("transform(filter(cands, c -> c.open), c -> named_struct('s', c.s, 'kind', c.f.kind, 'e', c.e, "
+                    f"'g', c.g, 'odds', {model.sql('c.f')}, 'least', {least}))")
+    df = found.select(*keep, "base", scored.alias("_j"))
+    passed = F.filter("_j", lambda c: c["odds"] >= c["least"] - 1e-6)
+    df = df.select(*keep, "base", passed.alias("_j"))
+    df = df.select(*keep, "base", *[_where("_j", "g", i).alias(f"_k{i}") for i in range(len(GENERATORS))])
+
+    better = "struct(d.odds, d.e - d.s, -d.s) > struct(c.odds, c.e - c.s, -c.s)"
+
+    def chosen(i: int, kind: int) -> Column:
+        lost = ["false"]
+        for j, (_, other, _) in enumerate(GENERATORS):
+            if other == kind and j != i:
+                first = _below(f"_k{j}", "e", "c.s + 1")
+                met = f"slice(_k{j}, {first} + 1, greatest({_below(f'_k{j}', 's', 'c.e')} - {first}, 0))"
+                lost.append(f"exists({met}, d -> {better})")
+        return F.expr(f"transform(filter(_k{i}, c -> NOT ({' OR '.join(lost)})), "
+                      "c -> struct(c.s AS s, c.kind AS kind, c.e AS e))")
+
+    picked = [chosen(i, kind) for i, (_, kind, _) in enumerate(GENERATORS)]
+    return df.select(*keep, F.sort_array("base").alias("base"),
+                     F.sort_array(F.array_distinct(F.concat("base", *picked))).alias("spans"))
+
+
 def with_spans(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
     """Adds ``base`` and ``spans`` to every row: arrays of (s, kind, e) in order.
 
     ``spans`` holds the base spans, and the candidates at or above their kind's
-    threshold that overlap no base span of their kind, the likelier of two that
-    overlap each other (then the longer, then the earlier).
+    threshold that pass their check and overlap no base span; of two of a kind
+    that overlap, the likelier (then the longer, then the earlier).
     """
     names = list(docs.columns)
     df = docs.select(*names, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    df = with_candidates(df, "_text")
-    odds = [float(np.log(t / (1 - t))) if t < 1 else 1e9 for t in model.thresholds]
-    least = f"element_at(array({', '.join(f'{o:.10g}D' for o in odds)}), c.f.kind + 1)"
-    judged = F.expr("transform(cands, c -> named_struct('s', c.s, 'kind', c.f.kind, 'e', c.e, "
-                    f"'odds', {model.sql('c.f')}, 'least', {least}))")
-    df = df.select(*names, "base", judged.alias("_j"))
-
-    def overlap(a: Column, b: Column) -> Column:
-        return (a["kind"] == b["kind"]) & (a["s"] < b["e"]) & (b["s"] < a["e"])
-
-    df = df.select(*names, "base", F.filter("_j", lambda c: (c["odds"] >= c["least"] - 1e-6) & ~F.exists(
-        "base", lambda b: overlap(b, c))).alias("_j"))
-
-    def rank(c: Column) -> Column:
-        return F.struct(c["odds"], c["e"] - c["s"], -c["s"])
-
-    chosen = F.transform(
-        F.filter("_j", lambda c: ~F.exists("_j", lambda d: overlap(c, d) & (rank(d) > rank(c)))),
-        lambda c: F.struct(c["s"].alias("s"), c["kind"].alias("kind"), c["e"].alias("e")))
-    return df.select(*names, F.sort_array("base").alias("base"),
-                     F.sort_array(F.array_distinct(F.concat("base", chosen))).alias("spans"))
+    return judged(with_candidates(df, "_text"), model, names)
 
 
 def span_text(spans: str) -> Column:
@@ -333,31 +423,38 @@ def find(docs: DataFrame, precision: float = 0.95) -> DataFrame:
     """Train on ``docs`` and give ``doc_id, base, spans`` of every row.
 
     Null and empty texts have no spans; repeated rows get the same ones; an
-    empty table gives no rows; only ``doc_id`` and ``text`` are read.
+    empty table gives no rows; only ``doc_id`` and ``text`` are read. Texts are
+    searched once: their candidates are written below the shared folder, and
+    both learning and judging read them there.
     """
-    own = docs.select("doc_id", "text")
-    return with_spans(own, train(own, precision)).select("doc_id", "base", "spans")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"))
+    found = stage(with_candidates(texts, "_t").select("doc_id", _held("_t").alias("held"), "base", "cands"), "pii")
+    return judged(found, learn(found, precision), ["doc_id"])
 
 
 def redact(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
     """``docs`` with every span of its text replaced by its kind's tag; spans
-    that overlap become one, with the tag of the first."""
+    that overlap become one, with the tag of the first.
+
+    Spans of a kind lie apart, so how far the spans before one reach is the
+    farthest end of the last one of each kind; where that is not beyond its
+    start, a new piece begins.
+    """
     names = list(docs.columns)
     df = with_spans(docs, model, text)
     tags = F.array(*[F.lit(t) for t in TAGS])
-    empty = F.array().cast("array<struct<s:int,kind:int,e:int>>")
-
-    def join(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        inside = (F.size(done) > 0) & (x["s"] < F.get(done, F.size(done) - 1)["e"])
-        longer = F.struct(last["s"].alias("s"), last["kind"].alias("kind"), F.greatest(last["e"], x["e"]).alias("e"))
-        return F.when(inside, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(
-            F.concat(done, F.array(x)))
-    df = df.withColumn("_m", F.aggregate("spans", empty, join))
+    kinds = [f"_r{k}" for k in range(len(KINDS))]
+    df = df.select(*names, "spans", *[_where("spans", "kind", k).alias(c) for k, c in enumerate(kinds)])
+
+    ends = ", ".join(f"get({c}, {_below(c, 's', f'x.s + int(x.kind > {k})')} - 1).e" for k, c in enumerate(kinds))
+    df = df.select(*names, *kinds, F.expr(
+        f"transform(spans, x -> struct(x.s AS s, x.kind AS kind, coalesce(greatest({ends}), 0) AS reach))").alias("_m"))
+    last = F.greatest(*[F.get(F.col(c), F.size(c) - 1)["e"] for c in kinds])
+    df = df.select(*names, F.filter("_m", lambda x: x["s"] >= x["reach"]).alias("_m"), last.alias("_last"))
+    # What a piece's successor is reached by is where the piece ends.
     pieces = F.transform("_m", lambda x, i: F.concat(
-        F.substring(text, F.coalesce(F.get("_m", i - 1)["e"], F.lit(0)) + 1,
-                    x["s"] - F.coalesce(F.get("_m", i - 1)["e"], F.lit(0))),
+        F.substring(text, F.when(i == 0, 0).otherwise(x["reach"]) + 1, x["s"] - F.when(i == 0, 0).otherwise(x["reach"])),
         F.element_at(tags, x["kind"] + 1)))
-    rest = F.substring(text, F.get("_m", F.size("_m") - 1)["e"] + 1, F.length(text))
+    rest = F.substring(text, F.col("_last") + 1, F.length(text))
     out = F.when(F.size("_m") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text))
     return df.select(*[out.alias(c) if c == text else F.col(c) for c in names])
