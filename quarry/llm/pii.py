@@ -26,6 +26,7 @@ of any length are taken whole.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -170,7 +171,7 @@ def _features(kind: int, m: Column) -> list[Column]:
            .when(x.contains("."), 3).otherwise(0))
     first = F.regexp_extract(x, "[0-9A-Za-z]", 0)
     distinct = F.size(F.array_distinct(F.split(digits, "")))
-    nearest = rf"(?is)^.*\b(?:({CUES[kind]})|({OTHER_CUE}))\b"
+    nearest = rf"(?is)^.*(?<![\p{{L}}0-9])(?:({CUES[kind]})|({OTHER_CUE}))(?![\p{{L}}0-9])"
     values = [F.lit(kind),
               F.when(n < 7, 0).when(n < 9, 1).when(n < 12, 2).when(n < 16, 3).otherwise(4),
               F.when(groups < 2, 0).when(groups < 4, 1).when(groups < 6, 2).otherwise(3),
@@ -333,12 +334,13 @@ def _counts(found: DataFrame, label: Column, *by: Column) -> list:
         F.sum("_y").alias("positive"), F.count(F.lit(1)).alias("n")).collect()
 
 
-def _seed_rows(spark: SparkSession) -> list[tuple]:
+@lru_cache(maxsize=1)
+def _seed_rows(spark: SparkSession) -> tuple[tuple, ...]:
     phrases = [(kind, positive, f"{cue} {form}") for kind, forms, good, bad in SEEDS
                for positive, cues in ((1, good), (0, bad)) for cue in cues for form in forms]
     found = with_candidates(spark.createDataFrame(phrases, "seed int, positive int, t string"), "t")
     rows = _counts(found, F.when(F.col("seed") == F.col("c.f.kind"), F.col("positive")), F.col("seed"), F.col("positive"))
-    return [(*r[2:-2], SEED_WEIGHT * r[-2], SEED_WEIGHT * r[-1]) for r in rows]
+    return tuple((*r[2:-2], SEED_WEIGHT * r[-2], SEED_WEIGHT * r[-1]) for r in rows)
 
 
 def _held(text: str) -> Column:
