@@ -27,7 +27,10 @@ STATS = ["log_word_chars", "log_symbols", "line_repeats", "word_repeats"]
 FLOORS = [0.02, 0.02, 0.03, 0.03]
 CORE = 0.75
 TAIL = 1e-4
+#: Most concentration steps; they end earlier, once no determinant falls.
 ROUNDS = 20
+#: Fewest rows an estimate is made from: five a statistic.
+MIN_ROWS = 20
 
 
 def text_statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -147,14 +150,9 @@ def _with(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(other, on, "left").drop(*[f"of_{c}" for c in by])
 
 
-def robust_distances(rows: DataFrame, group: list[str], names: list[str], fit_on: Column,
-                     core: float = CORE) -> DataFrame:
-    """``rows`` with ``distance``: squared, scaled, from its group's estimate.
-
-    Only rows where ``fit_on`` holds take part in estimates; in a group without
-    any, the distance is null. One row a group moves between steps.
-    """
-    inside = rows.where(fit_on).select(*group, *names)
+def _concentrate(inside: DataFrame, group: list[str], names: list[str], core: float) -> DataFrame:
+    """Each group's estimate from all of its rows: centre, triangular factor and
+    ``scale`` of distances. One row a group moves between steps."""
     groups = stage(_start(inside, group, names), "mcd")
     logdet = sum((F.log(_low(i, i)) for i in range(1, len(names))), F.log(_low(0, 0)))
     for _ in range(ROUNDS):
@@ -170,10 +168,59 @@ def robust_distances(rows: DataFrame, group: list[str], names: list[str], fit_on
     normal_median = chi_square_quantile(0.5, len(names))
     middle = (_with(inside, groups, group).withColumn("distance", _squared_distance(names)).groupBy(*group)
               .agg(F.greatest(F.percentile_approx("distance", 0.5, 10000) / normal_median, F.lit(1.0)).alias("scale")))
-    groups = stage(_with(groups, stage(middle, "mcd"), group), "mcd")
-    extra = [*_params(len(names)), "scale"]
+    return stage(_with(groups, stage(middle, "mcd"), group), "mcd")
+
+
+def _apart(rows: DataFrame, groups: DataFrame, group: list[str], names: list[str]) -> DataFrame:
+    """``rows`` with ``distance`` from their group's estimate, null without one."""
     return (_with(rows, groups, group).withColumn("distance", _squared_distance(names) / F.col("scale"))
-            .drop(*extra))
+            .drop(*_params(len(names)), "scale"))
+
+
+def robust_distances(rows: DataFrame, group: list[str], names: list[str], fit_on: Column,
+                     core: float = CORE) -> DataFrame:
+    """``rows`` with ``distance``: squared, scaled, from its group's estimate,
+    however small the group.
+
+    Only rows where ``fit_on`` holds take part in estimates; in a group without
+    any, the distance is null.
+    """
+    inside = rows.where(fit_on).select(*group, *names)
+    return _apart(rows, _concentrate(inside, group, names, core), group, names)
+
+
+def sized_distances(rows: DataFrame, group: tuple[str, str], names: list[str], fit_on: Column,
+                    min_rows: int = MIN_ROWS, core: float = CORE) -> DataFrame:
+    """``rows`` with ``distance`` from the estimate that judges their group, and
+    ``level``: 0 the group's own, 1 that of the first column of ``group``, 2 that
+    of all rows.
+
+    A group takes the first of the three that ``min_rows`` rows with ``fit_on``
+    stand behind, and all rows where none has so many. An estimate is made from
+    all rows of its level, those of large groups too. In a group where ``fit_on``
+    never holds, the distance may be null.
+    """
+    outer, inner = group
+    sizes = stage(rows.groupBy(*group).agg(F.count_if(fit_on).alias("n")), "mcd")
+    small = (F.col("n") > 0) & (F.col("n") < min_rows)
+    sums = stage(sizes.groupBy(outer).agg(F.sum("n").alias("n_outer"), F.bool_or(small).alias("some_small")), "mcd")
+    level = (F.when(F.col("n") >= min_rows, 0).when(F.col("n_outer") >= min_rows, 1).otherwise(2))
+    levels = stage(_with(sizes, sums, [outer]).select(
+        *group, level.alias("level"), ((F.col("n_outer") >= min_rows) & F.col("some_small")).alias("teaches_outer"),
+        (F.col("n") > 0).alias("judged")), "mcd")
+    all_rows = not levels.where("level = 2 AND judged").isEmpty()
+
+    keys = ["level", "of_outer", "of_inner"]
+    key = [F.when(F.col("level") < 2, F.col(outer)).alias("of_outer"),
+           F.when(F.col("level") < 1, F.col(inner)).alias("of_inner")]
+    own = F.when(F.col("level") == 0, F.lit(0))
+    takes = F.array_compact(F.array(own, F.when(F.col("teaches_outer"), F.lit(1)), F.when(F.lit(all_rows), F.lit(2))))
+    # A row teaches at most three estimates; without small groups just its own.
+    inside = (_with(rows.where(fit_on).select(*group, *names), levels, list(group))
+              .select(*group, *names, F.explode(takes).alias("level")).select(*names, "level", *key))
+    groups = _concentrate(stage(inside, "mcd"), keys, names, core)
+    placed = _with(rows, levels.drop("teaches_outer", "judged"), list(group)).select("*", *key)
+    return _apart(placed, groups, keys, names).drop("of_outer", "of_inner")
 
 
 def chi_square_quantile(share: float, p: int) -> float:
@@ -199,14 +246,18 @@ def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, ta
     """``doc_id``, the counts, ``base_failed``, ``distance`` and ``kept``.
 
     A row is kept if it passes the base rules and its squared distance is
-    within the chi-square quantile of 1 - ``tail``. Null and empty texts have
-    no words and fail the base; null languages and sources form groups;
-    repeated rows count each time; an empty table gives no rows. Only
+    within the chi-square quantile of 1 - ``tail``. Groups are languages and
+    sources; one with fewer than ``MIN_ROWS`` rows that pass the base is judged
+    by its language, or by all rows (``sized_distances``; a table with fewer
+    such rows by what it has). Null and empty texts have no words and fail the
+    base; null languages and sources form groups; repeated rows count each
+    time, equal statistics get equal verdicts; very long texts are counted
+    whole, in one row's arrays; an empty table gives no rows. Only
     ``doc_id, text, lang, source`` are read.
     """
     counted = with_base_verdict(text_statistics(docs, ["doc_id", "lang", "source"]), min_words, max_repeat_percent)
     rows = stage(counted.select("*", *[v.alias(n) for v, n in zip(_vector(), STATS)]), "stats")
-    far = robust_distances(rows, ["lang", "source"], STATS, ~F.col("base_failed"))
+    far = sized_distances(rows, ("lang", "source"), STATS, ~F.col("base_failed"))
     cutoff = chi_square_quantile(1 - tail, len(STATS))
     return far.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",

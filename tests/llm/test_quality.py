@@ -111,3 +111,49 @@ def test_moderate_junk_goes(spark):
     assert sum(got[i]["kept"] for i in range(120)) >= 118
     assert not any(got[120 + i]["kept"] for i in range(len(junk)))
     assert not any(r["base_failed"] for r in got.values())
+
+
+def test_small_groups_are_judged_by_larger_ones(spark):
+    rng = np.random.default_rng(7)
+
+    def prose():
+        return "\n".join(" ".join("".join(rng.choice(list("abcdefghijklmnopqrst"), rng.integers(2, 9))) for _ in range(12))
+                         for _ in range(10))
+
+    def junk():
+        return " ".join(w + "##$%" for w in prose().split())
+
+    rows = [(i, prose(), "en", "large") for i in range(60)]
+    rows += [(100, prose(), "en", "tiny"), (101, prose(), "en", "tiny"), (102, junk(), "en", "tiny"),
+             (103, junk(), "en", "alone"), (104, prose(), None, None), (105, junk(), "xx", None),
+             (106, "too short", "yy", "none pass")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in Q.judge(df).collect()}
+    assert len(got) == len(rows)
+    assert [got[i]["kept"] for i in range(100, 107)] == [True, True, False, False, True, False, False]
+    assert sum(got[i]["kept"] for i in range(60)) >= 59
+
+
+@pytest.mark.parametrize("sizes, levels", [
+    ({("a", "p"): 40, ("a", "q"): 5, ("b", "p"): 30}, {("a", "q"): 1}),
+    ({("a", "p"): 12, ("a", "q"): 12, ("b", "p"): 3, (None, None): 2}, {("a", "p"): 1, ("a", "q"): 1, ("b", "p"): 2, (None, None): 2}),
+    ({("a", "p"): 3, (None, "p"): 2}, {("a", "p"): 2, (None, "p"): 2})])
+def test_levels_and_distances_equal_numpy(spark, sizes, levels):
+    rng = np.random.default_rng(8)
+    rows = [(g, s, *map(float, rng.normal([0, 1, 2, 3], 1.5))) for (g, s), n in sizes.items() for _ in range(n)]
+    df = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{n} double" for n in Q.STATS))
+    got = Q.sized_distances(df, ("lang", "source"), Q.STATS, F.lit(True)).collect()
+    assert len(got) == len(rows)
+
+    def estimate(judges):
+        """Distances of the rows that ``judges`` accepts, by their values."""
+        own = [r[2:] for r in rows if judges(r)]
+        return dict(zip(own, mcd(own, Q.FLOORS)))
+
+    for group in sizes:
+        level = levels.get(group, 0)
+        by = estimate((lambda r: r[:2] == group, lambda r: r[0] == group[0], lambda r: True)[level])
+        for r in got:
+            if (r["lang"], r["source"]) == group:
+                assert r["level"] == level
+                assert r["distance"] == pytest.approx(by[tuple(r[n] for n in Q.STATS)], rel=0.02, abs=1e-6)
