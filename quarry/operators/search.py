@@ -6,24 +6,41 @@ Plan shape at scale:
 * ``postings``: one native projection + explode, one shuffle on
   ``(term, id)`` for the distinct (hash on both columns, so a hot term such
   as ``medium`` is spread over all reducers).
-* ``search_query``: the query words are driver-side literals (bounded by the
-  query), broadcast into a nested-loop join against the *distinct
-  vocabulary* only; matched terms then equi-join the postings.
+* *Dictionary*: with the index goes a table from character bigrams (and single
+  characters) to the terms that hold them, in folders by a hash of the bigram
+  and sorted inside, and the number of terms of each bigram. Any term that
+  contains a word holds the word's rarest bigram.
+* ``search_query``: one word reads one folder of the dictionary, pruned while
+  planning, and of it the row groups of one bigram; matched terms then
+  equi-join the postings. Without a dictionary (an index that is not stored) the
+  words meet the *distinct vocabulary* in a broadcast nested-loop join.
 * ``search_batch``: a table of queries can be large, so substring matching
-  runs as an equi-join on the word's rarest character bigram (any term that
-  contains the word has it) and is verified with ``contains``; each query then
-  starts from the ids of its rarest word.
+  runs as an equi-join on the word's rarest bigram, with the stored dictionary
+  or one made from the vocabulary, and is verified with ``contains``; each query
+  then starts from the ids of its rarest word.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import zlib
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import normalize_word, split_words
 from quarry.sources import store
 
 MIN_TERM_LEN = 2
+#: Folders of the dictionary.
+GRAM_FOLDERS = 64
+
+
+class Dictionary(NamedTuple):
+    """``grams (gram, term, folder)`` and ``sizes (gram, n_terms)``."""
+
+    grams: DataFrame
+    sizes: DataFrame
 
 
 def index_terms(title="title", topic="topic", tags="tags", difficulty="difficulty", xp="xp",
@@ -78,22 +95,60 @@ def query_words(spark: SparkSession, query: str) -> list[str]:
     return out
 
 
-def matching_ids(spark: SparkSession, post: DataFrame, query: str) -> DataFrame:
-    """J7 + T1: ids whose terms contain every query word (substring match)."""
+def _folder(gram: str) -> int:
+    """Driver-side twin of the ``folder`` column of the dictionary."""
+    return zlib.crc32(gram.encode()) % GRAM_FOLDERS
+
+
+def _grams_of(word: str) -> set[str]:
+    return {word[i:i + 2] for i in range(len(word) - 1)} or {word}
+
+
+def dictionary_terms(dictionary: Dictionary, words: list[str]) -> DataFrame | None:
+    """(word, term): terms that contain each of ``words``; None where some word
+    holds a bigram that no term has, so that nothing can match all words.
+
+    Each word's lookup is a plan of its own over the folder of its rarest bigram.
+    """
+    asked = sorted(set().union(*map(_grams_of, words)))
+    sizes = {r["gram"]: r["n_terms"]  # bounded by the query
+             for r in dictionary.sizes.where(F.col("gram").isin(asked)).collect()}
+    if len(sizes) < len(asked):
+        return None
+    found = None
+    for word in words:
+        gram = min(_grams_of(word), key=lambda g: (sizes[g], g))
+        own = (dictionary.grams.where((F.col("folder") == _folder(gram)) & (F.col("gram") == gram)
+                                      & F.col("term").contains(word))
+               .select(F.lit(word).alias("word"), "term"))
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def _vocabulary_terms(spark: SparkSession, post: DataFrame, words: list[str]) -> DataFrame:
+    wdf = F.broadcast(spark.createDataFrame([(w,) for w in words], "word string"))
+    return post.select("term").distinct().join(wdf, F.col("term").contains(F.col("word"))).select("word", "term")
+
+
+def matching_ids(spark: SparkSession, post: DataFrame, query: str, dictionary: Dictionary | None = None) -> DataFrame:
+    """J7 + T1: ids whose terms contain every query word (substring match).
+
+    ``dictionary`` must be that of ``post``; it changes what is read, not what
+    is found."""
     words = query_words(spark, query)
-    if not words:
+    matched = None
+    if words:
+        matched = dictionary_terms(dictionary, words) if dictionary else _vocabulary_terms(spark, post, words)
+    if matched is None:
         return spark.createDataFrame([], "id string")
-    wdf = F.broadcast(spark.createDataFrame([(w,) for w in words], "word string"))
-    vocab = post.select("term").distinct()
-    matched = vocab.join(wdf, F.col("term").contains(F.col("word")))
-    hits = (matched.join(post, "term").select("word", "id").distinct()
-            .groupBy("id").agg(F.count("*").alias("n")))
+    hits = matched.join(post, "term").select("word", "id").distinct().groupBy("id").agg(F.count("*").alias("n"))
     return hits.where(F.col("n") == len(words)).select("id")
 
 
-def search_query(spark: SparkSession, post: DataFrame, summary: DataFrame, query: str) -> DataFrame:
+def search_query(spark: SparkSession, post: DataFrame, summary: DataFrame, query: str,
+                 dictionary: Dictionary | None = None) -> DataFrame:
     """Matched ids joined to their summary; ids without a summary drop."""
-    return matching_ids(spark, post, query).join(summary, "id")
+    return matching_ids(spark, post, query, dictionary).join(summary, "id")
 
 
 def result_lines(df: DataFrame) -> DataFrame:
@@ -130,26 +185,48 @@ def _bigrams(c):
         F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(c, i, 2))))
 
 
-def matching_terms(words: DataFrame, vocab: DataFrame) -> DataFrame:
+def term_grams(vocab: DataFrame) -> DataFrame:
+    """(gram, term): the distinct bigrams and characters of each distinct term."""
+    term = F.col("term")
+    chars = F.transform(F.sequence(F.lit(1), F.length(term)), lambda i: F.substring(term, i, 1))
+    pieces = F.array_distinct(F.concat(_bigrams(term), chars))
+    return (vocab.select("term").where(F.length(term) > 0).distinct()
+            .select(F.explode(pieces).alias("gram"), "term"))
+
+
+def gram_sizes(grams: DataFrame) -> DataFrame:
+    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n_terms"))
+
+
+def _folder_of(gram: str) -> Column:
+    return F.pmod(F.crc32(F.col(gram)), F.lit(GRAM_FOLDERS)).cast("int")
+
+
+def matching_terms(words: DataFrame, vocab: DataFrame, dictionary: Dictionary | None = None) -> DataFrame:
     """(word, term): terms of ``vocab`` that contain each of ``words``.
 
     An equi-join on a piece of the word that every such term has: the one of
     its bigrams that fewest terms hold (a single character: itself). Words
-    with a bigram in no term match nothing and drop out here.
+    with a bigram in no term match nothing and drop out here. A stored
+    ``dictionary`` stands for ``vocab``, whose bigrams are made anew otherwise.
     """
-    def pieces(c):
-        chars = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, 1))
-        return F.array_distinct(F.concat(_bigrams(c), chars))
-    held = vocab.select("term", F.explode(pieces(F.col("term"))).alias("k"))
-    size = held.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    if dictionary is None:
+        held = term_grams(vocab)
+        sizes = gram_sizes(held)
+    else:
+        held, sizes = dictionary
     own = F.when(F.length("word") >= 2, _bigrams(F.col("word"))).otherwise(F.array("word"))
-    key = (words.select("word", F.explode(own).alias("k")).join(size, "k", "left")
-           .groupBy("word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k"))["k"].alias("k")))
-    return key.join(held, "k").where(F.col("term").contains(F.col("word"))).select("word", "term")
+    key = (words.select("word", F.explode(own).alias("gram")).join(sizes, "gram", "left")
+           .groupBy("word").agg(F.min(F.struct(F.coalesce("n_terms", F.lit(0)).alias("n"), "gram")).alias("least"))
+           .where("least.n > 0").select("word", F.col("least.gram").alias("gram")))
+    on = ["gram"]
+    if dictionary is not None:
+        key, on = key.withColumn("folder", _folder_of("gram")), ["folder", "gram"]
+    return key.join(held, on).where(F.col("term").contains(F.col("word"))).select("word", "term")
 
 
 def search_batch(post: DataFrame, summary: DataFrame, queries: DataFrame,
-                 query_id="query_id", text="query") -> DataFrame:
+                 query_id="query_id", text="query", dictionary: Dictionary | None = None) -> DataFrame:
     """Conjunctive search for a whole table of queries in one plan.
 
     Output ``(query_id, id, ...summary)``. Matching (word, term) pairs are
@@ -160,7 +237,7 @@ def search_batch(post: DataFrame, summary: DataFrame, queries: DataFrame,
                          F.explode(split_words(F.col(text))).alias("w"))
           .select("query_id", normalize_word("w").alias("word"))
           .where(F.col("word") != "").distinct())
-    matched = matching_terms(qw.select("word").distinct(), post.select("term").distinct())
+    matched = matching_terms(qw.select("word").distinct(), post, dictionary)
     word_ids = matched.join(post, "term").select("word", "id").distinct()
     sizes = word_ids.groupBy("word").agg(F.count(F.lit(1)).alias("n_ids"))
     per_query = (qw.join(sizes, "word", "left").groupBy("query_id")
@@ -182,24 +259,57 @@ SUMMARY_SCHEMA = ("id string, title string, difficulty string, tags array<string
                   "time_complexity string, space_complexity string")
 
 
+GRAMS_SCHEMA = "gram string, term string, folder int"
+SIZES_SCHEMA = "gram string, n_terms long"
+_TABLES = ["postings", "summary", "grams", "gram_sizes"]
+
+
 def write_index(post: DataFrame, summary: DataFrame, base: str) -> None:
-    """Postings range-sorted by term and the summary table, as Parquet.
+    """Postings range-sorted by term, the summary table and the dictionary
+    of the terms, as Parquet.
 
     Each call writes a new version folder; readers take the newest one whose
-    two tables are complete, so an index being rewritten stays readable.
+    tables are all complete, so an index being rewritten stays readable. The
+    dictionary is made from the postings as written. A bigram that very many
+    terms hold fills several files of its folder.
     """
-    used = store.version_numbers(post.sparkSession, base)
+    spark = post.sparkSession
+    used = store.version_numbers(spark, base)
     path = f"{base.rstrip('/')}/v={(used[-1] + 1 if used else 1):06d}"
     (post.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
      .write.mode("errorifexists").parquet(f"{path}/postings"))
     summary.write.mode("errorifexists").parquet(f"{path}/summary")
+    written = spark.read.schema(POSTINGS_SCHEMA).parquet(f"{path}/postings")
+    order = ["folder", "gram", "term"]
+    (term_grams(written).withColumn("folder", _folder_of("gram"))
+     .repartitionByRange(*order).sortWithinPartitions(*order)
+     .write.mode("errorifexists").partitionBy("folder").parquet(f"{path}/grams"))
+    grams = spark.read.schema(GRAMS_SCHEMA).parquet(f"{path}/grams")
+    (gram_sizes(grams).repartitionByRange("gram").sortWithinPartitions("gram")
+     .write.mode("errorifexists").parquet(f"{path}/gram_sizes"))
+
+
+def _newest(spark: SparkSession, base: str) -> list[str]:
+    """Paths of the tables of the newest complete version; none: empty."""
+    for v in reversed(store.version_numbers(spark, base)):
+        paths = [f"{base.rstrip('/')}/v={v:06d}/{t}" for t in _TABLES]
+        if all(store.committed(spark, p) for p in paths):
+            return paths
+    return []
 
 
 def read_index(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
-    """Both tables of the newest complete index; none reads as empty."""
-    for v in reversed(store.version_numbers(spark, base)):
-        paths = [f"{base.rstrip('/')}/v={v:06d}/{t}" for t in ("postings", "summary")]
-        if all(store.committed(spark, p) for p in paths):
-            return (spark.read.schema(POSTINGS_SCHEMA).parquet(paths[0]),
-                    spark.read.schema(SUMMARY_SCHEMA).parquet(paths[1]))
-    return spark.createDataFrame([], POSTINGS_SCHEMA), spark.createDataFrame([], SUMMARY_SCHEMA)
+    """Postings and summary of the newest complete index; none reads as empty."""
+    return open_index(spark, base)[:2]
+
+
+def open_index(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, Dictionary]:
+    """Postings, summary and dictionary, all of one version: the newest complete
+    one. None reads as empty tables."""
+    schemas = [POSTINGS_SCHEMA, SUMMARY_SCHEMA, GRAMS_SCHEMA, SIZES_SCHEMA]
+    paths = _newest(spark, base)
+    if paths:
+        post, summary, grams, sizes = (spark.read.schema(s).parquet(p) for s, p in zip(schemas, paths))
+    else:
+        post, summary, grams, sizes = (spark.createDataFrame([], s) for s in schemas)
+    return post, summary, Dictionary(grams, sizes)

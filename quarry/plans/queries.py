@@ -63,12 +63,13 @@ def stored_index(spark, sf):
         pf = pf_view(spark, sf)
         search.write_index(search.postings(pf), search.search_summary(pf), base)
         _INDEXES[key] = base
-    return search.read_index(spark, _INDEXES[key])
+    return search.open_index(spark, _INDEXES[key])
 
 
 @register("search_query")
 def q_search_query(spark, sf):
-    hits = search.search_query(spark, *stored_index(spark, sf), SEARCH_TEXT)
+    post, summary, dictionary = stored_index(spark, sf)
+    hits = search.search_query(spark, post, summary, SEARCH_TEXT, dictionary)
     return search.result_lines(hits).select(
         "id", "title", "difficulty", "xp", "topic", _tags_text().alias("tags"),
         "time_complexity", "space_complexity", "line")
@@ -102,7 +103,8 @@ def q_problem_listing(spark, sf):
 def q_search_batch(spark, sf):
     queries = (views.table(spark, sf, "part").select(F.col("p_name").alias("query")).distinct()
                .withColumn("query_id", F.col("query")))
-    hits = search.search_batch(*stored_index(spark, sf), queries)
+    post, summary, dictionary = stored_index(spark, sf)
+    hits = search.search_batch(post, summary, queries, dictionary=dictionary)
     return hits.select("query_id", "id", "title")
 
 
