@@ -36,13 +36,15 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.similarity import (EPS, THRESHOLD, W_STATEMENT, W_TAGS, W_TITLE,
                                          branch_floors, length_floor, ratio_at_least, ratio_udf)
 from quarry.functions.text import normalize_tags, normalize_text
+from quarry.operators.components import components
 from quarry.session import ensure_checkpoint_dir
 
 
@@ -537,14 +539,19 @@ UNDECIDED, ACCEPTED, REJECTED = 0, 1, 2
 
 
 PREFIX = 512  # records of the first prefix; each following one is four times as long
+#: A piece of undecided records is settled in one task up to so many records and links.
+PIECE = 100_000
+#: Rounds before pieces are looked for; about twice as many before the next time.
+FIRST_ROUNDS = 2
 
 
 def _keep_first(cf: DataFrame, t: float) -> DataFrame:
     """Feature rows of ``cf`` that keep-first accepts among themselves.
 
-    Rounds (Blelloch-Fineman-Shun style): reject nodes with an accepted
-    earlier neighbour; accept nodes whose earlier neighbours are all rejected;
-    the earliest undecided one is always decided, so the rounds end.
+    Rounds decide most records: the copies and neighbours of what is accepted
+    first. What stays undecided hangs together in chains, whose rounds would
+    be as many as their links; connected pieces of it that fit a task are
+    settled there in order, larger ones go on in rounds.
     Neighbourhoods are evaluated per title / statement group and per weighted
     signature pair, never as record pairs. Each round's state is checkpointed.
     """
@@ -553,39 +560,111 @@ def _keep_first(cf: DataFrame, t: float) -> DataFrame:
     reps = cf.groupBy("sig", "_grp").agg(F.min(F.struct("at", "kt", "ks", "nt", "ns", "tg")).alias("r"))
     nodes = reps.select("sig", "_grp", "r.*").withColumn("state", F.lit(UNDECIDED)).checkpoint()
     br = _Branches(nodes, None, t)
-    TD = br.TP.where(F.col("ratio") >= t).select("ka", "kb").checkpoint()
-    SD = br.SP.where(F.col("ratio") >= t).select("ka", "kb").checkpoint()
     sig_view = nodes.select("sig", "kt", "ks", "nt", "ns", "tg").dropDuplicates(["sig"])
-    WD = br.weighted_pairs(sig_view, sig_view).select("sa", "sb").checkpoint()
+    links = {"kt": br.TP.where(F.col("ratio") >= t).select("ka", "kb").checkpoint(),
+             "ks": br.SP.where(F.col("ratio") >= t).select("ka", "kb").checkpoint(),
+             "sig": br.weighted_pairs(sig_view, sig_view).select(F.col("sa").alias("ka"), F.col("sb").alias("kb")).checkpoint()}
     nodes = nodes.select("sig", "_grp", "at", "kt", "ks", "state").checkpoint()
-
-    def neighbour_min(nodes, which):
-        """Per node: earliest place of neighbours (any branch) having state in which."""
-        live = nodes.where(F.col("state").isin(which))
-        mt = (TD.join(live.groupBy("kt").agg(F.min("at").alias("x")).withColumnRenamed("kt", "kb"), "kb")
-              .groupBy("ka").agg(F.min("x").alias("mt")).withColumnRenamed("ka", "kt"))
-        ms = (SD.join(live.groupBy("ks").agg(F.min("at").alias("x")).withColumnRenamed("ks", "kb"), "kb")
-              .groupBy("ka").agg(F.min("x").alias("ms")).withColumnRenamed("ka", "ks"))
-        mw = (WD.join(live.groupBy(F.col("sig").alias("sb")).agg(F.min("at").alias("x")), "sb")
-              .groupBy("sa").agg(F.min("x").alias("mw")).withColumnRenamed("sa", "sig"))
-        mg = live.where(F.col("_grp").isNotNull()).groupBy("_grp").agg(F.min("at").alias("mg"))
-        return (nodes.join(mt, "kt", "left").join(ms, "ks", "left").join(mw, "sig", "left")
-                .join(mg, "_grp", "left")
-                .withColumn("_m", F.least("mt", "ms", "mw", "mg")).drop("mt", "ms", "mw", "mg"))
-
-    while nodes.where(F.col("state") == UNDECIDED).limit(1).count():
-        x = neighbour_min(nodes, [ACCEPTED])
-        x = x.withColumn("state", F.when((F.col("state") == UNDECIDED) & (F.col("_m") < F.col("at")),
-                                         F.lit(REJECTED)).otherwise(F.col("state"))).drop("_m")
-        x = x.checkpoint()
-        y = neighbour_min(x, [UNDECIDED, ACCEPTED])
-        y = y.withColumn("state", F.when((F.col("state") == UNDECIDED)
-                                         & (F.coalesce(F.col("_m"), F.col("at")) >= F.col("at")),
-                                         F.lit(ACCEPTED)).otherwise(F.col("state"))).drop("_m")
-        nodes = y.checkpoint()
+    rounds, look = 0, FIRST_ROUNDS
+    while not nodes.where(F.col("state") == UNDECIDED).isEmpty():
+        if rounds == look:
+            nodes, look = _settle_pieces(nodes, links), 2 * look + 1
+        else:
+            nodes, rounds = _round(nodes, links), rounds + 1
     return cf.join(nodes.where(F.col("state") == ACCEPTED).select("at"), "at", "left_semi")
 
 
+def _neighbour_min(nodes: DataFrame, links: dict[str, DataFrame], which: list[int]) -> DataFrame:
+    """``nodes`` with ``_m``: the earliest place of neighbours (any branch) having state in which."""
+    live = nodes.where(F.col("state").isin(which))
+    places = []
+    for i, (key, pairs) in enumerate(links.items()):
+        first = live.groupBy(F.col(key).alias("kb")).agg(F.min("at").alias("x"))
+        nodes = nodes.join(pairs.join(first, "kb").groupBy(F.col("ka").alias(key)).agg(F.min("x").alias(f"_m{i}")),
+                           key, "left")
+        places.append(f"_m{i}")
+    ended = live.where(F.col("_grp").isNotNull()).groupBy("_grp").agg(F.min("at").alias("_mg"))
+    return (nodes.join(ended, "_grp", "left").withColumn("_m", F.least(*places, "_mg")).drop(*places, "_mg"))
+
+
+def _round(nodes: DataFrame, links: dict[str, DataFrame]) -> DataFrame:
+    """One round (Blelloch-Fineman-Shun style): reject nodes with an accepted
+    earlier neighbour; accept nodes whose earlier neighbours are all rejected.
+    The earliest undecided node is always decided, so the rounds end."""
+    undecided = F.col("state") == UNDECIDED
+    x = _neighbour_min(nodes, links, [ACCEPTED])
+    x = x.withColumn("state", F.when(undecided & (F.col("_m") < F.col("at")), F.lit(REJECTED))
+                     .otherwise(F.col("state"))).drop("_m").checkpoint()
+    y = _neighbour_min(x, links, [UNDECIDED, ACCEPTED])
+    return y.withColumn("state", F.when(undecided & (F.coalesce(F.col("_m"), F.col("at")) >= F.col("at")), F.lit(ACCEPTED))
+                        .otherwise(F.col("state"))).drop("_m").checkpoint()
+
+
+def _settle_pieces(nodes: DataFrame, links: dict[str, DataFrame]) -> DataFrame:
+    """``nodes`` with all connected pieces of at most ``PIECE`` rows decided.
+
+    Once accepted nodes have rejected their later neighbours, only undecided
+    nodes can decide undecided ones. Pieces are components of keys (titles,
+    statements, contents, groups), known by their hash: two keys of one hash
+    only make a piece larger.
+    """
+    def spot(key: str, c: str) -> Column:
+        return F.xxhash64(F.lit(key), F.col(c))
+
+    # A rejection by what the last round accepted is still due.
+    x = _neighbour_min(nodes, links, [ACCEPTED])
+    nodes = x.withColumn("state", F.when((F.col("state") == UNDECIDED) & (F.col("_m") < F.col("at")), F.lit(REJECTED))
+                         .otherwise(F.col("state"))).drop("_m").checkpoint()
+    live = nodes.where(F.col("state") == UNDECIDED).select("sig", "_grp", "at", "kt", "ks")
+    rows = None
+    for key, pairs in links.items():
+        held = live.select(F.col(key).alias("k")).distinct()
+        own = (pairs.join(held.withColumnRenamed("k", "ka"), "ka", "left_semi")
+               .join(held.withColumnRenamed("k", "kb"), "kb", "left_semi")
+               .select(F.lit(key).alias("key"), "ka", "kb", spot(key, "ka").alias("u"), spot(key, "kb").alias("v")))
+        rows = own if rows is None else rows.unionByName(own)
+    rows = rows.checkpoint()
+    inner = [live.select(spot("kt", "kt").alias("u"), spot(c, c).alias("v")).where(F.col(c).isNotNull())
+             for c in ("ks", "sig", "_grp")]
+    edges = functools.reduce(DataFrame.unionByName, inner, rows.select("u", "v"))
+    found = components(edges, "u", "v")
+
+    def rooted(df: DataFrame, c: str) -> DataFrame:
+        return (df.join(found.withColumnRenamed("node", c), c, "left")
+                .withColumn("root", F.coalesce("root", c)).drop("u", "v"))
+    members = rooted(live.withColumn("u", spot("kt", "kt")), "u").checkpoint()
+    pairs = rooted(rows, "u")
+    small = (members.select("root").unionByName(pairs.select("root")).groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+             .where(F.col("n") <= PIECE).select("root")).checkpoint()
+    order = Window.partitionBy("root").orderBy("at")  # of small pieces only
+    members = (members.join(small, "root", "left_semi")
+               .select("root", F.col(f"at.{_ROW}").alias("row"), F.row_number().over(order).alias("place"),
+                       "kt", "ks", "sig", "_grp"))
+    settled = (members.groupBy("root").cogroup(pairs.join(small, "root", "left_semi").groupBy("root"))
+               .applyInPandas(_in_order, "row long, decided int"))
+    return (nodes.withColumn("row", F.col(f"at.{_ROW}")).join(settled, "row", "left")
+            .withColumn("state", F.coalesce("decided", "state")).drop("row", "decided").checkpoint())
+
+
+def _in_order(members: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    """Keep-first over one piece: an accepted record rules out whatever is
+    linked to one of its keys, and the rest of its group."""
+    linked: dict[tuple, list] = {}
+    for key, new, old in zip(pairs["key"], pairs["ka"], pairs["kb"]):
+        linked.setdefault((key, bytes(old)), []).append((key, bytes(new)))
+    members = members.sort_values("place")
+    out, ruled_out = [], set()
+    for kt, ks, sig, group in zip(members["kt"], members["ks"], members["sig"], members["_grp"]):
+        own = [("kt", bytes(kt)), ("ks", bytes(ks)), ("sig", bytes(sig))]
+        ends = [("_grp", group)] if group is not None else []
+        if ruled_out.isdisjoint(own + ends):
+            out.append(ACCEPTED)
+            ruled_out.update(ends, *(linked.get(k, ()) for k in own))
+        else:
+            out.append(REJECTED)
+    return pd.DataFrame({"row": members["row"], "decided": out})
+
+
 def greedy_dedupe(cands: DataFrame, store: DataFrame | None = None, t: float = THRESHOLD,
                   limit: int | None = None, group: str | None = None, **cols) -> DataFrame:
     """Order-dependent keep-first. A record is accepted iff it has no
