@@ -3,9 +3,9 @@ P9, P10).
 
 Plan shape at scale:
 
-* ``postings``: one native projection + explode, one shuffle on
-  ``(term, id)`` for the distinct (hash on both columns, so a hot term such
-  as ``medium`` is spread over all reducers).
+* ``postings``: records dealt to tasks of bounded size, one native projection
+  + explode, one shuffle on ``(term, id)`` for the distinct (hash on both
+  columns, so a hot term such as ``medium`` is spread over all reducers).
 * *Dictionary*: with the index goes a table from character bigrams (and single
   characters) to the terms that hold them, in folders by a hash of the bigram
   and sorted inside, and the number of terms of each bigram. Any term that
@@ -34,6 +34,8 @@ from quarry.sources import store
 MIN_TERM_LEN = 2
 #: Folders of the dictionary.
 GRAM_FOLDERS = 64
+#: Records whose terms one task explodes and holds, about.
+RECORDS_PER_TASK = 50_000
 
 
 class Dictionary(NamedTuple):
@@ -64,11 +66,26 @@ def postings(records: DataFrame) -> DataFrame:
 
     The list form (term -> all ids) is deliberately not materialised: a term
     can cover a third of the corpus and must never become one row.
+
+    The distinct holds the pairs of a task before its shuffle, and nearly all
+    are distinct already: a compressed file of many records would be one task
+    with all their pairs. So records are counted and dealt by a row number.
     """
-    return (records.select(F.explode(index_terms()).alias("term"), F.col("id"))
+    return (_spread(records).select(F.explode(index_terms()).alias("term"), F.col("id"))
             .dropDuplicates(["term", "id"]))
 
 
+def _spread(records: DataFrame, key: str | None = None) -> DataFrame:
+    """``records`` in tasks of about ``RECORDS_PER_TASK`` by ``key``, else by a
+    row number, however its files are cut; as they are where one task is enough."""
+    tasks = -(-records.count() // RECORDS_PER_TASK)
+    if tasks <= 1:
+        return records
+    if key:
+        return records.repartition(tasks, key)
+    return records.withColumn("_row", F.monotonically_increasing_id()).repartition(tasks, "_row").drop("_row")
+
+
 def search_summary(records: DataFrame) -> DataFrame:
     """The seven-field lookup record per id (defaults for missing fields)."""
     return records.select(
@@ -147,8 +164,12 @@ def matching_ids(spark: SparkSession, post: DataFrame, query: str, dictionary: D
 
 def search_query(spark: SparkSession, post: DataFrame, summary: DataFrame, query: str,
                  dictionary: Dictionary | None = None) -> DataFrame:
-    """Matched ids joined to their summary; ids without a summary drop."""
-    return matching_ids(spark, post, query, dictionary).join(summary, "id")
+    """Matched ids joined to their summary; ids without a summary drop.
+
+    The summary is joined sorted, in partitions by its number of rows: its
+    files can be small enough for a broadcast that each task then holds, or for
+    a few partitions, and yet have very many rows."""
+    return matching_ids(spark, post, query, dictionary).join(_spread(summary, "id").hint("merge"), "id")
 
 
 def result_lines(df: DataFrame) -> DataFrame:

@@ -119,3 +119,23 @@ def test_half_written_index_is_not_read(spark, stored, tmp_path):
     empty = search.open_index(spark, str(tmp_path / "none"))
     assert [t.count() for t in (*empty[:2], *empty[2])] == [0, 0, 0, 0]
     assert search.search_query(spark, *empty[:2], "tree", empty[2]).count() == 0
+
+
+def test_records_of_one_file_are_dealt_to_bounded_tasks(spark, monkeypatch):
+    """Repeated and null ids, one file: postings and search as with one task."""
+    recs = [(f"R{i % 90:03d}" if i % 7 else None, " ".join(WORDS[(i * k) % len(WORDS)] for k in (1, 3, 7)),
+             WORDS[i % 4], [WORDS[i % 11]], None, i % 5, None, None) for i in range(200)]
+    df = spark.createDataFrame(recs, SCHEMA).coalesce(1)
+    summary = search.search_summary(df).distinct().coalesce(1)
+
+    def found():
+        post = search.postings(df)
+        hits = search.search_query(spark, post, summary, "sliding win")
+        return [sorted(map(str, x.collect())) for x in (post, hits)]
+
+    whole = found()
+    monkeypatch.setattr(search, "RECORDS_PER_TASK", 20)
+    assert search._spread(df).rdd.getNumPartitions() == 10
+    assert max(search._spread(df).rdd.glom().map(len).collect()) < 60
+    assert search._spread(summary, "id").rdd.getNumPartitions() == -(-summary.count() // 20)
+    assert found() == whole and all(whole)
