@@ -562,7 +562,8 @@ def q_index_io(spark, sf):
     pf = pf_view(spark, sf)
     search.write_index(search.postings(pf), search.search_summary(pf), base)
     post, summ = search.read_index(spark, base)
-    return post.join(summ.select("id", "title"), "id")
+    # small files, many rows: no broadcast
+    return post.join(summ.select("id", "title").hint("merge"), "id")
 
 
 @register("assign_ids")
