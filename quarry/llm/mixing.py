@@ -81,10 +81,9 @@ def mix(docs: DataFrame, weights: list[float], factor: float = 1.5, max_epochs:
     group = Window.partitionBy("source", "bucket")
     before = group.orderBy("draw", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     quota = F.round(F.col("fraction") * F.col("bucket_size")).cast("long")
-    sums = dealt.groupBy(F.col("source").alias("of"), F.col("bucket").alias("nr")).agg(
-        F.sum("size").alias("bucket_size"))
+    # Both sums over one dealing of the rows: carried texts move once.
     summed = (dealt.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
-              .join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("nr"))))
+              .withColumn("bucket_size", F.sum("size").over(group)))
     part = F.greatest(F.lit(0).cast("long"), F.least("size", quota - F.col("before")))
     return (summed.withColumn("part", part)
             .withColumn("taken", F.col("whole") * F.col("size") + F.col("part"))

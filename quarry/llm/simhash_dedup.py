@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -208,10 +208,17 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2, segments: int
     prints, owner = prints_and_roots(docs, shingle, max_bits, segments, bucket_limit)
     rows = prints.join(owner, "fp")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first")
-    kept = rows.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.tie").alias("_tie"))
+    # Keys without nulls, the same in the join and the last step: texts move once.
+    def key(id_: str, tie: str) -> list[Column]:
+        kind = docs.schema["doc_id"].dataType
+        return [F.col(id_).isNull().alias("_none"), F.coalesce(id_, F.lit(0).cast(kind)).alias("_id"),
+                F.col(tie).alias("_tie")]
+
+    on = ["_none", "_id", "_tie"]
+    kept = rows.groupBy("root").agg(first).select(*key("first.doc_id", "first.tie"))
     tied = docs.withColumn("_t", F.xxhash64("text"))
-    return (tied.join(kept, tied["doc_id"].eqNullSafe(kept["_id"]) & (tied["_t"] == kept["_tie"]), "left_semi")
-            .dropDuplicates(["doc_id", "_t"]).select(*columns))
+    return (tied.select(*key("doc_id", "_t"), *columns).join(kept, on, "left_semi")
+            .dropDuplicates(on).select(*columns))
 
 
 def hex_fingerprint(c: str = "fp"):

@@ -1,7 +1,10 @@
+import hashlib
+import re
 from collections import Counter
 
 import corpus_pipeline as C
 import __spark_entry__ as E
+from quarry.llm import mixing, simhash_dedup
 from quarry.llm.queries import QUERIES
 from tests.llm.cases import documents, empty, odd
 from tests.llm.test_pii import base
@@ -54,3 +57,28 @@ def test_odd_and_empty_tables(spark, sf):
 
 def test_whole_run(spark, sf):
     assert C.run(spark, sf).count() > 0
+
+
+def _moves(df, column, capsys):
+    """Exchanges of a plan that carry ``column``."""
+    capsys.readouterr()
+    df.explain("formatted")
+    blocks = capsys.readouterr().out.split("\n\n")
+    return sum(bool(re.search(r"^\(\d+\) Exchange", b.strip()) and re.search(rf"\b{column}#", b)) for b in blocks)
+
+
+def test_texts_move_once(spark, capsys):
+    """Near-duplicates and the mix each shuffle the texts one time; repeated
+    rows, null ids and null sources keep their results."""
+    rows = [(i % 250 if i % 9 else None, hashlib.sha512(str(i % 280).encode()).hexdigest() * 8 + f" w{i % 280} x y", "en",
+             [None, "a", "b"][i % 3], 1) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20480")
+    try:
+        kept = simhash_dedup.keep_one(docs)
+        mixed = mixing.mix(docs, [5, 2, 1], carry=["text"])
+        assert _moves(kept, "text", capsys) == 1 and _moves(mixed, "in_text", capsys) == 1
+        assert kept.count() == len({r[1] for r in rows}) and mixed.count() == 300
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
