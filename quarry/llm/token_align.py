@@ -1,12 +1,9 @@
 """Alignment of two tokenizers' tokens by their byte ends.
 
 Both tokenizers spell the same bytes (a space and the text). Byte offsets where
-a token of each ends cut the tokens into groups. Most groups are one token to
-one: as long as they are, the two arrays of ends agree at a constant shift of
-their indices. So the walk compares the arrays along that diagonal in probes of
-doubling size, jumps over what agrees, halves the probe at a difference, and
-only there goes token by token to the next common end, which gives the new
-shift.
+a token of each ends cut the tokens into groups. One side's token indices are
+laid out by byte offset and looked up at the other side's ends, so a text takes
+steps in proportion to its tokens and bytes, however the two sides differ.
 
 Each group gives one link, between the tokens that end with it. How often an
 id pair is linked is counted over the whole corpus: pairs with a share of
@@ -19,7 +16,7 @@ eight bytes a link.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -76,45 +73,16 @@ def sides(byte_path: str, piece_path: str) -> Sides:
     return Sides(byte_path, piece_path)
 
 
-def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+def common_ends(a: Sequence[int], b: Sequence[int]) -> tuple[list[int], list[int]]:
     """Indices in ``a`` and in ``b`` of the ends they share; both rise and end
     with the same value (or are both empty)."""
-    out_a: list[int] = []
-    out_b: list[int] = []
-    i = j = 0
-    n, m = len(a), len(b)
-    while i < n:
-        probe, growing = 1, True
-        while probe:
-            if a[i:i + probe] == b[j:j + probe]:
-                if probe > n - i:  # both arrays are through
-                    probe = n - i
-                    growing = False
-                out_a += range(i, i + probe)
-                out_b += range(j, j + probe)
-                i += probe
-                j += probe
-                if i == n:
-                    break
-                probe = probe * 2 if growing else probe // 2
-            else:
-                growing = False
-                probe //= 2
-        if i < n:
-            # a[i] and b[j] differ: to the next common end, and the shift it gives.
-            x, y = a[i], b[j]
-            while x != y:
-                if x < y:
-                    i += 1
-                    x = a[i]
-                else:
-                    j += 1
-                    y = b[j]
-            out_a.append(i)
-            out_b.append(j)
-            i += 1
-            j += 1
-    return out_a, out_b
+    if not len(a):
+        return [], []
+    place = np.full(int(a[-1]) + 1, -1, dtype=np.int64)
+    place[b] = np.arange(len(b))
+    found = place[a]
+    at_a = np.flatnonzero(found >= 0)
+    return at_a.tolist(), found[at_a].tolist()
 
 
 def group_text(a: list[str], b: list[str], at_a: list[int], at_b: list[int]) -> str:
@@ -144,7 +112,7 @@ def groups(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
                     links.append(b"")
                     continue
                 ids_a, ids_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-                at_a, at_b = common_ends(np.cumsum(own.a_size[ids_a]).tolist(), np.cumsum(own.b_size[ids_b]).tolist())
+                at_a, at_b = common_ends(np.cumsum(own.a_size[ids_a]), np.cumsum(own.b_size[ids_b]))
                 counts.append((len(a), len(b), len(at_a)))
                 text = group_text(list(map(names, a)), list(map(names, b)), at_a, at_b)
                 hashes.append(hashlib.sha256(text.encode()).hexdigest())
@@ -198,7 +166,7 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, share: float = SHARE
     does not spell back, have no tokens: zeros and an empty hash. Repeated rows
     and ids stay rows of their own and count each time; of ties for a B id's
     most frequent partner all are best; texts of any length are aligned whole,
-    in time linear in their tokens, one text in a task; an empty table gives no
+    in time linear in their tokens and bytes, one text in a task; an empty table gives no
     rows. Only ``doc_id`` and ``text`` are read. ``share`` decides how a pair
     meets its count, never the count.
     """

@@ -1,7 +1,9 @@
 import hashlib
 import random
+import sys
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
@@ -75,6 +77,27 @@ def test_common_ends_of_random_arrays():
     assert at_b == list(range(4998)) and at_a == [*range(2000), *range(2001, 4999)]
 
 
+def test_common_ends_take_arrays_without_a_step_for_each_token():
+    r = random.Random(5)
+    a = np.cumsum([r.randint(1, 4) for _ in range(60_000)])
+    b = np.union1d(np.cumsum([r.randint(1, 4) for _ in range(60_000)]), [])
+    end = int(max(a[-1], b[-1])) + 1
+    a, b = np.append(a, end).astype(np.int64), np.append(b, end).astype(np.int64)
+    steps = 0
+
+    def count(frame, event, arg):
+        nonlocal steps
+        steps += event == "line"
+        return count
+    sys.settrace(count)
+    try:
+        at_a, at_b = token_align.common_ends(a, b)
+    finally:
+        sys.settrace(None)
+    assert steps < 100
+    assert a[at_a].tolist() == b[at_b].tolist() == sorted(set(a.tolist()) & set(b.tolist()))
+
+
 def test_alignment_equals_brute_force(spark, sf):
     docs = documents(spark, sf)
     want = wanted([(r["doc_id"], r["text"]) for r in docs.collect()])
