@@ -77,10 +77,10 @@ def test_common_ends_of_random_arrays():
     assert at_b == list(range(4998)) and at_a == [*range(2000), *range(2001, 4999)]
 
 
-def test_common_ends_take_arrays_without_a_step_for_each_token():
+def test_common_ends_take_no_step_for_each_token():
     r = random.Random(5)
     a = np.cumsum([r.randint(1, 4) for _ in range(60_000)])
-    b = np.union1d(np.cumsum([r.randint(1, 4) for _ in range(60_000)]), [])
+    b = np.cumsum([r.randint(1, 4) for _ in range(60_000)])
     end = int(max(a[-1], b[-1])) + 1
     a, b = np.append(a, end).astype(np.int64), np.append(b, end).astype(np.int64)
     steps = 0
@@ -91,7 +91,7 @@ def test_common_ends_take_arrays_without_a_step_for_each_token():
         return count
     sys.settrace(count)
     try:
-        at_a, at_b = token_align.common_ends(a, b)
+        at_a, at_b = token_align.common_ends(a.tolist(), b.tolist())
     finally:
         sys.settrace(None)
     assert steps < 100
