@@ -16,6 +16,8 @@ HIDDEN, CLASSES, SIZE = 16, 64, 64
 WORDS = CLASSES * SIZE
 END, RARE = 0, 1
 NAMES = ["x", "u", "v", "wc", "bc", "ww", "bw"]
+PIECE = 1024       # rows of logits in one go
+_ROWS = np.arange(PIECE)
 
 
 def fresh(counts: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
@@ -35,40 +37,71 @@ def fresh(counts: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
         "bw": np.log(mass / mass.sum(1, keepdims=True)).astype(np.float32)}
 
 
-def _sigmoid(a: np.ndarray) -> np.ndarray:
-    out = np.tanh(0.5 * a)
-    out *= 0.5
-    out += 0.5
-    return out
+def _sigmoid(a: np.ndarray) -> None:
+    """In place."""
+    a *= 0.5
+    np.tanh(a, out=a)
+    a *= 0.5
+    a += 0.5
+
+
+def _kept(ids: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """1 where the state before an input goes on, 0 where it starts anew."""
+    return (ids != END)[..., None].astype(kind)
 
 
 def states(p: dict, ids: np.ndarray, h: np.ndarray, trace: list | None = None) -> np.ndarray:
     """States (T, B, HIDDEN) after each of the inputs ``ids`` (T, B), from ``h``."""
-    out = np.empty((*ids.shape, HIDDEN), dtype=np.float32)
+    x, u, v = p["x"], p["u"], p["v"]
+    keep = _kept(ids, x.dtype)
+    out = np.empty((*ids.shape, HIDDEN), dtype=x.dtype)
     for t in range(len(ids)):
-        a = p["x"][ids[t]]
-        h = h * (ids[t] != END)[:, None]
-        gates = _sigmoid(a[:, :2 * HIDDEN] + h @ p["u"])
-        r, z = gates[:, :HIDDEN], gates[:, HIDDEN:]
+        a = x.take(ids[t], axis=0)
+        h = h * keep[t]
+        gates = h @ u
+        gates += a[:, :2 * HIDDEN]
+        _sigmoid(gates)
+        r, z = gates[:, :HIDDEN].copy(), gates[:, HIDDEN:].copy()
         rh = r * h
-        n = np.tanh(a[:, 2 * HIDDEN:] + rh @ p["v"])
+        n = rh @ v
+        n += a[:, 2 * HIDDEN:]
+        np.tanh(n, out=n)
         if trace is not None:
             trace.append((h, r, z, rh, n))
-        h = n + z * (h - n)
-        out[t] = h
+        after = out[t]
+        np.subtract(h, n, out=after)
+        after *= z
+        after += n
+        h = after
     return out
 
 
-def _softmax_parts(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ln P of entry ``at`` of each row, and the rows' exponentials and sums.
+def _softmax_parts(h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray,
+                   e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln P of entry ``at`` of each row of ``h @ w + b``, and the sums of the
+    rows' exponentials, which are left in ``e``. After the product, worked off
+    in pieces that stay in the processor's cache.
 
     States lie in (-1, 1) and weights are small, so logits stay far below what
     float32 can take; no maximum needs to be taken off.
     """
-    own = logits[np.arange(len(at)), at]
-    e = np.exp(logits, out=logits)
-    total = e.sum(axis=1)
-    return own - np.log(total), e, total
+    own, total = np.empty(len(h), dtype=e.dtype), np.empty(len(h), dtype=e.dtype)
+    np.matmul(h, w, out=e)
+    for a in range(0, len(h), PIECE):
+        some = slice(a, a + PIECE)
+        logits = e[some]
+        logits += b
+        own[some] = logits[_ROWS[:len(logits)], at[some]]
+        np.exp(logits, out=logits)
+        np.add.reduce(logits, axis=1, out=total[some])
+    own -= np.log(total)
+    return own, total
+
+
+def _slope(e: np.ndarray, total: np.ndarray, at: np.ndarray) -> np.ndarray:
+    e /= total[:, None]
+    e.ravel()[np.arange(0, e.size, e.shape[1]) + at] -= 1
+    return e
 
 
 def log_likelihood(p: dict, h: np.ndarray, targets: np.ndarray, grads: dict | None = None):
@@ -76,33 +109,30 @@ def log_likelihood(p: dict, h: np.ndarray, targets: np.ndarray, grads: dict | No
     output layer's gradients of the summed loss there and returns the states'
     gradient as well."""
     order = np.argsort(targets.astype(np.int16), kind="stable")  # WORDS fit; so short a type sorts by radix
-    h, sorted_targets = h[order], targets[order]
+    h, sorted_targets = h.take(order, axis=0), targets[order]
     group, slot = sorted_targets // SIZE, sorted_targets % SIZE
-    found, e, total = _softmax_parts(h @ p["wc"] + p["bc"], group)
+    e = np.empty((len(h), CLASSES), dtype=np.result_type(h, p["wc"]))
+    found, total = _softmax_parts(h, p["wc"], p["bc"], group, e)
     dh = None
-
-    def slope(e: np.ndarray, total: np.ndarray, at: np.ndarray) -> np.ndarray:
-        e /= total[:, None]
-        e[np.arange(len(at)), at] -= 1
-        return e
-
     if grads is not None:
-        d = slope(e, total, group)
+        d = _slope(e, total, group)
         grads["wc"] += h.T @ d
         grads["bc"] += d.sum(0)
         dh = d @ p["wc"].T
-    cuts = np.searchsorted(group, np.arange(CLASSES + 1))
+    e = np.empty((len(h), SIZE), dtype=e.dtype)
+    cuts = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
     for c in range(CLASSES):
         a, b = cuts[c], cuts[c + 1]
         if a == b:
             continue
-        more, e, total = _softmax_parts(h[a:b] @ p["ww"][c] + p["bw"][c], slot[a:b])
+        own, at, w = h[a:b], slot[a:b], p["ww"][c]
+        more, total = _softmax_parts(own, w, p["bw"][c], at, e[a:b])
         found[a:b] += more
         if grads is not None:
-            d = slope(e, total, slot[a:b])
-            grads["ww"][c] += h[a:b].T @ d
+            d = _slope(e[a:b], total, at)
+            grads["ww"][c] += own.T @ d
             grads["bw"][c] += d.sum(0)
-            dh[a:b] += d @ p["ww"][c].T
+            dh[a:b] += d @ w.T
     out = np.empty_like(found)
     out[order] = found
     if grads is None:
@@ -132,30 +162,63 @@ def train(p: dict, stream: np.ndarray, batch: int = 64, window: int = 16, rate:
             g = {k: np.zeros_like(v) for k, v in p.items() if k != "x"}
             _, dout = log_likelihood(p, hs.reshape(-1, HIDDEN), targets.ravel(), g)
             dout = dout.reshape(hs.shape)
+            keep = _kept(ids, p["x"].dtype)
             back = np.zeros_like(h)
             da = np.empty((*ids.shape, 3 * HIDDEN), dtype=np.float32)
             for t in range(len(ids) - 1, -1, -1):
                 before, r, z, rh, n = trace[t]
-                d = dout[t] + back
-                dn = d * (1 - z) * (1 - n * n)
-                dz = d * (before - n) * z * (1 - z)
+                both = da[t, :, :2 * HIDDEN]
+                d = dout[t]
+                d += back
+                rest = 1 - z
+                dz = before - n
+                dz *= d
+                dz *= z
+                dz *= rest
+                both[:, HIDDEN:] = dz
+                dn = rest
+                dn *= d
+                n *= n
+                dn *= np.subtract(1, n, out=n)
+                da[t, :, 2 * HIDDEN:] = dn
                 drh = dn @ p["v"].T
-                dr = drh * before * r * (1 - r)
+                dr = drh * before
+                dr *= r
+                dr *= 1 - r
+                both[:, :HIDDEN] = dr
                 g["v"] += rh.T @ dn
-                both = np.concatenate([dr, dz], axis=1)
                 g["u"] += before.T @ both
-                back = (d * z + drh * r + both @ p["u"].T) * (ids[t] != END)[:, None]
-                da[t, :, :2 * HIDDEN], da[t, :, 2 * HIDDEN:] = both, dn
+                d *= z
+                drh *= r
+                d += drh
+                d += both @ p["u"].T
+                d *= keep[t]
+                back = d
             # Only the rows of words in the window have a gradient.
             order = np.argsort(ids.astype(np.int16), axis=None, kind="stable")
-            rows, starts = np.unique(ids.ravel()[order], return_index=True)
-            g["x"] = np.add.reduceat(da.reshape(-1, 3 * HIDDEN)[order], starts)
+            words = ids.ravel()[order]
+            starts = np.flatnonzero(np.diff(words, prepend=-1))
+            rows = words[starts]
+            columns = np.ascontiguousarray(da.reshape(-1, 3 * HIDDEN).take(order, axis=0).T)
+            g["x"] = np.ascontiguousarray(np.add.reduceat(columns, starts, axis=1).T)
             scale = 1.0 / batch
             for k, v in p.items():
-                own = rows if k == "x" else slice(None)
-                step = np.clip(g[k] * scale, -1, 1)
-                seen[k][own] += step * step
-                v[own] -= rate * step / np.sqrt(seen[k][own])
+                step = g[k]
+                step *= scale
+                np.clip(step, -1, 1, out=step)
+                if k == "x":
+                    total = seen[k].take(rows, axis=0)
+                    total += step * step
+                    seen[k][rows] = total
+                else:
+                    total = seen[k]
+                    total += step * step
+                step *= rate
+                step /= np.sqrt(total)
+                if k == "x":
+                    v[rows] -= step
+                else:
+                    v -= step
 
 
 def lanes_of(lengths: np.ndarray, lanes: int) -> list[list[int]]:

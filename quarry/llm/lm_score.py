@@ -18,17 +18,18 @@ numbers in the model.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import gru
-from quarry.llm.common import stage, words_of
+from quarry.llm.common import stage
 
 SHARE = 1e-6
 ROUNDS = 4         # each training document teaches in one of them
@@ -37,24 +38,43 @@ WINDOW = 32        # steps that errors go back
 REPLICA = 1_000_000
 GROUP = 3_000_000  # tokens scored together, about
 WARM_TOKENS = 4096 # documents of the first course have no more
-FLUSH = 500_000
+FLUSH = 32 << 20    # bytes of counted tokens that a task keeps
+
+
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all ``texts`` one after the other, A-Z lower-cased, and how
+    many each text has: what ``common.words_of`` gives, a whole batch at once.
+
+    Arrow's ASCII whitespace is space and 0x09-0x0D; a text that begins or ends
+    with it, or has nothing else, gives empty words, which are none.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = split.flatten()
+    real = pc.greater(pc.binary_length(words), 0)
+    owner = np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy())
+    n = np.bincount(owner[real.to_numpy(zero_copy_only=False)], minlength=len(texts))
+    return words.filter(real), n
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens of a partition; the empty word counts the end tokens."""
-    found: Counter = Counter()
+    held: list[pa.RecordBatch] = []
+
+    def merged() -> list[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return table.select(["word", "n_sum"]).rename_columns(["word", "n"]).combine_chunks().to_batches()
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()).cast(pa.string()),
-                                           pa.array(list(found.values()), pa.int64())], ["word", "n"])
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            found.update(words_of(text))
-            found[b""] += 1
-            if len(found) > FLUSH:
-                yield out()
-                found.clear()
-    yield out()
+        found = pc.value_counts(words_in(batch.column(0))[0])
+        held += [pa.RecordBatch.from_arrays([found.field(0).cast(pa.string()), found.field(1)], ["word", "n"]),
+                 pa.RecordBatch.from_arrays([pa.array([""]), pa.array([batch.num_rows], pa.int64())], ["word", "n"])]
+        if sum(b.nbytes for b in held) > 2 * FLUSH:
+            held = merged()
+            if sum(b.nbytes for b in held) > FLUSH:
+                yield from held
+                held = []
+    if held:
+        yield from merged()
 
 
 @dataclass
@@ -66,15 +86,14 @@ class Vocabulary:
     end_log_count: float
     end_known: bool
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        get = self.index.get
-        return np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        found = words.cast(pa.binary()).to_numpy(zero_copy_only=False)
+        return np.fromiter(map(self.index.get, found, repeat(-1)), dtype=np.int64, count=len(found))
 
     @staticmethod
     def ids(k: np.ndarray) -> np.ndarray:
-        """The model's word numbers of a document, its end token last."""
-        own = (k >= 0) & (k < gru.WORDS - 2)
-        return np.append(np.where(own, k + 2, gru.RARE), gru.END).astype(np.int32)
+        """The model's numbers of words."""
+        return np.where((k >= 0) & (k < gru.WORDS - 2), k + 2, gru.RARE).astype(np.uint16)
 
 
 @dataclass
@@ -112,6 +131,51 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, Totals, np.ndarray, int]:
 
 _CODED = ("uid long, doc_id {kind}, held_out boolean, draw long, n_tokens long, n_frequent long, n_rare long, "
           "frequent double, rare double, ids binary, tail array<string>, tail_n array<int>")
+_CODED_NAMES = [f.split()[0] for f in _CODED.split(", ")]
+
+
+def _sums(log_counts: np.ndarray, k: np.ndarray, owner: np.ndarray, docs: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every document: how many words are numbered ``least`` or more, and
+    the sum of their logarithms."""
+    some = k >= least
+    n = np.bincount(owner[some], minlength=docs)
+    logs, ends = log_counts[k[some]], np.cumsum(n).tolist()
+    return n, np.array([logs[a:b].sum() for a, b in zip([0, *ends], ends)])
+
+
+def _tails(at: np.ndarray, places: np.ndarray, owner: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the tokens at ``places``: each document's distinct words in the order
+    they come, how often each does, and how many of them a document has."""
+    _, first, n = np.unique((owner[places] << 32) + at[places], return_index=True, return_counts=True)
+    order = np.argsort(first)
+    first = places[first[order]]
+    return at[first], n[order], np.bincount(owner[first], minlength=docs)
+
+
+def _coded(batch: pa.RecordBatch, v: Vocabulary) -> pa.RecordBatch:
+    """The texts of a batch as word numbers, worked off all at once."""
+    words, n = words_in(batch.column("text"))
+    coded = words.dictionary_encode()
+    at = coded.indices.to_numpy()
+    distinct = v.numbers(coded.dictionary)  # each word of the batch is looked up once
+    k, owner = distinct[at], np.repeat(np.arange(len(n)), n)
+    # A document's numbers, two bytes each, its end token last.
+    ends = np.cumsum(n + 1)
+    ids = np.full(len(k) + len(n), gru.END, np.uint16)
+    ids[np.arange(len(k)) + owner] = v.ids(distinct)[at]
+    n_known, frequent = _sums(v.log_counts, k, owner, len(n), 0)
+    n_other, other = _sums(v.log_counts, k, owner, len(n), gru.WORDS - 2)
+    tail, tail_n, n_tail = _tails(at, np.flatnonzero(k < 0), owner, len(n))
+    lists = pa.array(np.concatenate([[0], np.cumsum(n_tail)]), pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [*[batch.column(c) for c in _CODED_NAMES[:4]],
+         pa.array(n + 1, pa.int64()), pa.array(n_known + v.end_known, pa.int64()),
+         pa.array(n - n_known + n_other, pa.int64()),
+         pa.array(frequent + v.end_log_count, pa.float64()), pa.array(other, pa.float64()),
+         pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(
+             np.concatenate([[0], 2 * ends]).astype(np.int32)), pa.py_buffer(ids)]),
+         pa.ListArray.from_arrays(lists, coded.dictionary.take(pa.array(tail)).cast(pa.string())),
+         pa.ListArray.from_arrays(lists, pa.array(tail_n, pa.int32()))], _CODED_NAMES)
 
 
 def code(rows: DataFrame, vocab: Vocabulary, seed: int = 3) -> DataFrame:
@@ -121,24 +185,8 @@ def code(rows: DataFrame, vocab: Vocabulary, seed: int = 3) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
         for batch in batches:
-            found = []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                k = v.numbers(words)
-                ids = v.ids(k)
-                known = k[k >= 0]
-                tail = Counter(words[i].decode() for i in np.flatnonzero(k < 0))
-                found.append((len(words) + 1, len(known) + v.end_known, int((ids == gru.RARE).sum()),
-                              float(v.log_counts[known].sum()) + v.end_log_count,
-                              float(v.log_counts[known[known >= gru.WORDS - 2]].sum()),
-                              ids.astype(np.uint16).tobytes(), list(tail), list(tail.values())))
-            kinds = [*[pa.int64()] * 3, *[pa.float64()] * 2, pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())]
-            names = [f.split()[0] for f in _CODED.split(", ")]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in names[:4]],
-                 *[pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)]], names)
+            yield _coded(batch, shared.value)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     drawn = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out",

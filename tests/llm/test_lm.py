@@ -4,10 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import gru, lang_id, lm_score
+from quarry.llm.common import words_of
 from tests.llm.cases import ROWS, documents, empty, odd
 
 
@@ -110,3 +112,68 @@ def test_every_training_document_teaches(spark):
         others = [i for i in before if i != changed]
         assert all(before[i][0] == pytest.approx(after[i][0], rel=1e-12) for i in others)
         assert sum(before[i][1] != after[i][1] for i in others) > 30
+
+
+ODD_TEXTS = [None, "", " \n\t\r\x0b\x0c ", "  A b C ", "a", "\u00dcn\u00ef \u6f22\u5b57 \U0001f642 \u0130 x", "x\x1cy\x85w\xa0v \x00",
+             "rare a a a rare once " * 50 + "B the the"]
+
+
+def test_words_of_a_batch_equal_words_of_each_text():
+    words, n = lm_score.words_in(pa.array(ODD_TEXTS, pa.string()))
+    assert n.tolist() == [len(words_of(t)) for t in ODD_TEXTS]
+    assert words.cast(pa.binary()).to_pylist() == [w for t in ODD_TEXTS for w in words_of(t)]
+
+
+def test_counts_merge_and_flush(monkeypatch):
+    monkeypatch.setattr(lm_score, "FLUSH", 100)
+    batches = [pa.record_batch([pa.array(ODD_TEXTS[i:i + 2], pa.string())], ["text"]) for i in range(0, len(ODD_TEXTS), 2)]
+    got = Counter()
+    parts = list(lm_score._count(iter(batches * 3)))
+    for part in parts:
+        for r in part.to_pylist():
+            got[r["word"].encode()] += r["n"]
+    want = Counter(w for t in ODD_TEXTS for w in words_of(t))
+    want[b""] = len(ODD_TEXTS)
+    assert got == {w: 3 * n for w, n in want.items()} and len(parts) > 1
+
+
+def test_a_batch_looks_up_each_word_once():
+    asked = []
+
+    class Index(dict):
+        def get(self, word, other=None):
+            asked.append(word)
+            return super().get(word, other)
+
+    counts = np.arange(gru.WORDS + 10, 0, -1.0)
+    index = Index({f"w{i}".encode(): i for i in range(len(counts))} | {b"a": 1, b"the": gru.WORDS + 3})
+    v = lm_score.Vocabulary(index, np.log10(counts + 0.5), 0.25, True)
+    n = len(ODD_TEXTS)
+    batch = pa.record_batch([pa.array(range(n)), pa.array(range(n)), pa.array([False] * n), pa.array(range(n)),
+                             pa.array(ODD_TEXTS, pa.string())], ["uid", "doc_id", "held_out", "draw", "text"])
+    got = lm_score._coded(batch, v)
+    assert len(asked) == len(set(asked)) == len({w for t in ODD_TEXTS for w in words_of(t)})
+    got.validate(full=True)
+    for r, text in zip(got.to_pylist(), ODD_TEXTS, strict=True):
+        k = [index.get(w, -1) for w in words_of(text)]
+        own = [0 <= i < gru.WORDS - 2 for i in k]
+        assert np.frombuffer(r["ids"], np.uint16).tolist() == [i + 2 if o else gru.RARE for i, o in zip(k, own)] + [gru.END]
+        assert (r["n_tokens"], r["n_frequent"], r["n_rare"]) == (len(k) + 1, sum(i >= 0 for i in k) + 1, own.count(False))
+        assert r["frequent"] == pytest.approx(sum(v.log_counts[i] for i in k if i >= 0) + 0.25, rel=1e-12)
+        assert r["rare"] == pytest.approx(sum(v.log_counts[i] for i, o in zip(k, own) if i >= 0 and not o), rel=1e-12)
+        tail = Counter(w.decode() for w, i in zip(words_of(text), k) if i < 0)
+        assert list(zip(r["tail"], r["tail_n"])) == list(tail.items())
+
+
+def test_a_step_changes_only_what_it_owns():
+    """Training works in place: neither the stream nor earlier weights change, and runs repeat."""
+    p = gru.fresh(np.ones(gru.WORDS))
+    stream = np.random.default_rng(4).integers(0, 300, 3000).astype(np.int32)
+    kept, runs = stream.copy(), []
+    for _ in range(2):
+        q = {k: w.copy() for k, w in p.items()}
+        gru.train(q, stream, batch=16, window=8)
+        runs.append(q)
+    assert (stream == kept).all()
+    assert all((p[k] == w).all() for k, w in gru.fresh(np.ones(gru.WORDS)).items())
+    assert all((runs[0][k] == runs[1][k]).all() for k in gru.NAMES) and any((runs[0][k] != p[k]).any() for k in gru.NAMES)
